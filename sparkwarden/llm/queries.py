@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm import mixing, pii, simhash, tokens
+from sparkwarden.llm import lz, mixing, pii, quality, simhash, tokens, toxicity
 from sparkwarden.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -21,6 +21,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.spelled("fp").alias("fingerprint"), "component_id")
@@ -30,5 +38,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.col("copies"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_token_counts, op8_simhash, op9_mixing)}
+def op10_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz.edit_fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_pii, op3_token_counts, op4_toxicity, op6_quality, op8_simhash, op9_mixing, op10_lz_fingerprints)}
 ORACLES: dict[str, str] = {}
