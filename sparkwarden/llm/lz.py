@@ -116,7 +116,7 @@ def _rows(batches):
 
     def out(rows, kind):
         cols = [pa.array([r[k] for r in rows], names.field(k).type if k == 0 else t) for k, t in enumerate(_TYPES)]
-        return pa.RecordBatch.from_arrays([*cols, pa.array([kind[0]] * len(rows)), pa.array([part] * len(rows), pa.int32()), pa.array([kind[1]] * len(rows), pa.string())], names=_NAMES)
+        return pa.RecordBatch.from_arrays([*cols, pa.array([kind[0]] * len(rows), pa.string()), pa.array([part] * len(rows), pa.int32()), pa.array([kind[1]] * len(rows), pa.string())], names=_NAMES)
 
     for b in batches:
         names, rows = b.schema, []

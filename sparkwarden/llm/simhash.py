@@ -197,12 +197,13 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """docs without all but one document of each component: the one with the smallest id (of equal ids, one row).
 
     All columns stay. Rows whose id is null take part in the components; one stays if a component has no other id.
+    Texts move once, at any size: the list of ids to keep grows with the documents, so it is merged and never broadcast.
     """
     found = near_duplicates(docs, id_col, text_col)
     kept = written(found.groupBy(F.col(id_col).alias("kept_id")).agg(F.max(F.col(id_col).eqNullSafe(F.col("component_id"))).alias("keep"), F.count("*").alias("n")).where("keep"), "kept")
     names = docs.columns
     plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
     key = f"c{names.index(id_col)}"
-    once = plain.join(kept.where("n = 1"), plain[key].eqNullSafe(F.col("kept_id")), "left_semi")
-    repeated = plain.join(kept.where("n > 1"), plain[key].eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates([key])
+    once = plain.join(kept.where("n = 1").hint("merge"), plain[key].eqNullSafe(F.col("kept_id")), "left_semi")
+    repeated = plain.join(kept.where("n > 1").hint("merge"), plain[key].eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates([key])
     return once.unionByName(repeated).toDF(*names)

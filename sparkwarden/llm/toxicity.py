@@ -50,10 +50,11 @@ def _cells(column: pa.Array, weights: np.ndarray | None = None):
 
 
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Sums of values between bounds, along the first axis."""
-    total = np.zeros((len(values) + 1, *values.shape[1:]), dtype=np.float64)
-    np.cumsum(values, axis=0, out=total[1:])
-    return total[bounds[1:]] - total[bounds[:-1]]
+    """Sums of values between bounds, along the first axis; a row's sum does not depend on the rows around it."""
+    padded = np.concatenate([values, np.zeros((1, *values.shape[1:]))]).astype(np.float64)
+    out = np.add.reduceat(padded, bounds[:-1], axis=0)
+    out[bounds[1:] == bounds[:-1]] = 0.0
+    return out
 
 
 @dataclass
