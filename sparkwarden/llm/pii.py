@@ -10,7 +10,9 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,10 +142,7 @@ def _candidates(text):
     return F.when(text.rlike("[@0-9]"), text)
 
 
-_SPAN_FIELDS = [
-    ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("score", pa.float64())]))),
-    ("redacted", pa.string()),
-]
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("score", pa.float64())]))
 _SPAN_DDL = "array<struct<start:int,end:int,kind:string,score:double>>"
 
 
@@ -155,7 +154,7 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     def find(batches):
         for b in batches:
             rows = [[{"start": s, "end": e, "kind": k, "score": x} for s, e, k, x in find_spans(t)] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, _SPAN_FIELDS[0][1])], names=["id", "spans"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, _SPANS)], names=["id", "spans"])
 
     slim = docs.select(F.col(id_col).alias("id"), _candidates(F.col(text_col)).alias("text"))
     return slim.mapInArrow(find, f"id {slim.schema['id'].dataType.simpleString()}, spans {_SPAN_DDL}").withColumnRenamed("id", id_col)
@@ -164,22 +163,23 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every span of its texts replaced by <KIND>; all columns and all rows stay, null texts stay null.
 
-    An n_chars column, if there is one, gets the new length.
+    An n_chars column, if there is one, gets the new length. One pass: texts without '@' and digits go through unread.
     """
     def rewrite(batches):
         for b in batches:
-            out = [None if t is None else redact_text(t, find_spans(t)) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *b.columns[1:]], names=[f"c{k}" for k in range(b.num_columns)])
+            text = b.column(at)
+            touched = np.flatnonzero(pc.fill_null(pc.match_substring_regex(text, "[@0-9]"), False).to_numpy(zero_copy_only=False))
+            if len(touched):
+                new = [redact_text(t, find_spans(t)) for t in text.take(pa.array(touched)).to_pylist()]
+                mask = np.zeros(b.num_rows, dtype=bool)
+                mask[touched] = True
+                text = pc.replace_with_mask(text, pa.array(mask), pa.array(new, text.type))
+            yield pa.RecordBatch.from_arrays([text if k == at else c for k, c in enumerate(b.columns)], schema=b.schema)
 
     names = docs.columns
     at = names.index(text_col)
     plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
-    order = [f"c{at}", *[c for c in plain.columns if c != f"c{at}"]]
-    touched = plain.where(F.coalesce(F.col(f"c{at}").rlike("[@0-9]"), F.lit(False))).select(order)
-    fields = ", ".join(f"c{k} {touched.schema[c].dataType.simpleString()}" for k, c in enumerate(order))
-    back = touched.mapInArrow(rewrite, fields).toDF(*order).select(plain.columns)
-    rest = plain.where(~F.coalesce(F.col(f"c{at}").rlike("[@0-9]"), F.lit(False)))
-    out = rest.unionByName(back).toDF(*names)
+    out = plain.mapInArrow(rewrite, plain.schema).toDF(*names)
     return out.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
