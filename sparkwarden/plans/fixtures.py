@@ -28,7 +28,7 @@ CODE = [
     ("c.php", "unserialize($_POST['x']);"), ("c.php", "shell_exec($c);"), ("c.php", "mysql_query(\"x\" . $_GET['q']);"), ("c.php", "function __wakeup() {"),
     ("D.java", "new ObjectInputStream(in)"), ("D.java", "Runtime.getRuntime().exec(c)"), ("D.java", "conn.prepareStatement(\"a\" + b)"), ("D.java", "Cipher.getInstance(\"DES\")"),
     ("e.go", 'import "unsafe"'), ("e.go", 'exec.Command("sh" + x)'), ("e.go", 'db.Query("a" + b)'), ("f.rb", "Marshal.load(d)"), ("f.rb", "eval params[:x]"), ("f.rb", "system params[:c]"),
-    ("f.rb", "User.create(params[:user])"), ("a.py", "  // exec(x)"), ("a.py", "   "), ("a.py", ""),
+    ("f.rb", "User.create(params[:user])"), ("a.py", "db.execute(sql %s % x)"), ("c.php", "header(Access-Control-Allow-Origin: '*')"), ("a.py", "  // exec(x)"), ("a.py", "   "), ("a.py", ""),
 ]
 
 SECRET_LINES = [

@@ -1,6 +1,6 @@
 """File discovery over Spark's binaryFile source.
 
-The listing is read first, without contents; names, patterns and ignore rules prune it; only survivors are read. Text
+Names, patterns and ignore rules prune the listing; the source reads contents last. Text
 is told from binary by the first 8 KiB of those whose extension says nothing.
 """
 
@@ -31,13 +31,38 @@ TEXT_EXTENSIONS = [*SCANNED_EXTENSIONS, ".cljs", ".r", ".m", ".mm", ".ex", ".doc
 SNIFFED = 8192
 
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
-    """(file_path relative to root, ext, length, content) of every file under root; content is read only if used."""
+def listing(spark: SparkSession, root: str, enter_all: bool = True) -> DataFrame:
+    """(file_path relative to root, length, content, ext) of every file under root; content is read only if used.
+
+    Spark's file sources pass over empty files and names that start with '.' or '_' (an __init__.py, a .env); those are
+    listed and read on the driver, which suits source trees: few, small files. enter_all: the skipped folders too.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").removeprefix("file://").removeprefix("file:")
-    at = F.locate(base, F.col("path"))
-    path = F.url_decode(F.replace(F.substr("path", at + F.lit(len(base) + 1)), F.lit("+"), F.lit("%2B")))
-    return files.select(path.alias("file_path"), "length", "content").withColumn("ext", extension(F.col("file_path")))
+    path = F.url_decode(F.replace(F.substr("path", F.locate(base, F.col("path")) + F.lit(len(base) + 1)), F.lit("+"), F.lit("%2B")))
+    plain = files.select(path.alias("file_path"), "length", "content")
+    odd = spark.createDataFrame(list(_passed_over(spark, root, enter_all)), "file_path string, length long, content binary")
+    return plain.unionByName(odd).withColumn("ext", extension(F.col("file_path")))
+
+
+def _passed_over(spark: SparkSession, root: str, enter_all: bool):
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    todo = [(top, "", False)]
+    while todo:
+        folder, at, hidden = todo.pop()
+        for status in fs.listStatus(folder):
+            name = status.getPath().getName()
+            odd = hidden or name.startswith((".", "_"))
+            if status.isDirectory():
+                if enter_all or name not in SKIPPED_DIRS:
+                    todo.append((status.getPath(), f"{at}{name}/", odd))
+            elif odd or status.getLen() == 0:
+                stream = fs.open(status.getPath())
+                try:
+                    yield f"{at}{name}", status.getLen(), bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+                finally:
+                    stream.close()
 
 
 def binary(content: Column) -> Column:
@@ -57,7 +82,7 @@ def discover(spark: SparkSession, root: str, scan_all: bool = False, include_ign
     exclude is tested before include; scan_all switches off all filters but these two. Files without an extension that
     is known as text pass only if they are not empty and their start holds no NUL.
     """
-    files = listing(spark, root)
+    every = files = listing(spark, root, scan_all)
     path = F.col("file_path")
     if exclude:
         files = files.where(~matched(path, list(exclude)))
@@ -68,7 +93,7 @@ def discover(spark: SparkSession, root: str, scan_all: bool = False, include_ign
     parts = F.split(path, "/")
     files = files.where(~F.arrays_overlap(parts, F.array(*map(F.lit, SKIPPED_DIRS))) & ~F.col("ext").isin(*BINARY_EXTENSIONS))
     if not include_ignored:
-        files = files.where(~matched(path, ignore_lines(listing(spark, root))))
+        files = files.where(~matched(path, ignore_lines(every)))
     return files.where(F.col("ext").isin(*TEXT_EXTENSIONS) | ~binary(F.col("content")))
 
 
