@@ -72,16 +72,19 @@ def branches(tree: DataFrame, best: int = 1) -> DataFrame:
     known = base.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there"))
     linked = base.join(known, ["tree", "parent"], "left")
     now = written(linked.select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.col("own").alias("total"), F.lit(1).cast("long").alias("steps")), "tree-jump")
-    jumps = [now.where("up is not null").select("tree", "node", "up")]
+    done, open_ = now.where("up is null"), now.where("up is not null")
+    jumps = [open_.select("tree", "node", "up")]
     for _ in range(max(1, base.count()).bit_length()):  # what is still open then hangs on a cycle
-        if not now.where("up is not null").limit(1).count():
+        if not open_.limit(1).count():
             break
-        far = now.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("steps").alias("further"))
-        total, steps = F.col("total") + F.coalesce("more", F.lit(0.0)), F.col("steps") + F.coalesce("further", F.lit(0))
-        now = written(now.join(far, ["tree", "up"], "left").select("tree", "node", F.col("next").alias("up"), total.alias("total"), steps.alias("steps")), "tree-jump")
-        jumps.append(now.where("up is not null").select("tree", "node", "up"))
+        far = done.unionByName(open_).select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("steps").alias("further"))
+        joined = open_.join(far, ["tree", "up"])  # nodes that have reached their root are joined no more
+        now = joined.select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("steps") + F.col("further")).alias("steps"))
+        now = written(now, "tree-jump")
+        done, open_ = done.unionByName(now.where("up is null")), now.where("up is not null")
+        jumps.append(open_.select("tree", "node", "up"))
     inner = base.where("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
-    leaves = now.where("up is null").join(inner, ["tree", "node"], "left_anti")
+    leaves = done.join(inner, ["tree", "node"], "left_anti")
     order = [F.desc("total"), F.col("node")]
     deal = F.pmod(F.xxhash64("node"), F.lit(64))  # a tree of very many leaves is ranked in parts first
     first = leaves.withColumn("place", F.row_number().over(Window.partitionBy("tree", deal).orderBy(*order))).where(F.col("place") <= best)
