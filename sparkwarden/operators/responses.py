@@ -9,6 +9,7 @@ confidence, endpoint, evidence). Checks of the first response are one array of c
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -59,18 +60,31 @@ def roots(r: DataFrame) -> DataFrame:
     return probes(r, "root")
 
 
+def per_row(*kinds: str):
+    """A check that judges each response to these probes by itself: from its list of conditional findings."""
+    def wrap(columns: Callable[[], list[Column]]) -> Callable[[DataFrame], DataFrame]:
+        def check(r: DataFrame) -> DataFrame:
+            return emit(probes(r, *kinds), *columns())
+
+        check.__name__, check.__doc__, check.kinds, check.columns = columns.__name__, columns.__doc__, kinds, columns
+        return check
+
+    return wrap
+
+
 def unreachable(r: DataFrame) -> DataFrame:
     rows = r.where((F.col("probe") == "root") & (F.col("status_code") == 0))
     return emit(rows, finding("DAST-CONNECTION-ERROR", "LOW", 1.0, "no response"))
 
 
-def security_headers(r: DataFrame) -> DataFrame:
+@per_row("root")
+def security_headers() -> list[Column]:
     hsts = header("Strict-Transport-Security")
     age = F.regexp_extract(hsts, r"(?i)max-age=(\d+)", 1)
     missing = [F.when(header(n) == "", finding("DAST-" + n.upper().replace("-", "_"), sev, 0.95, f"{n} is not set")) for n, _, sev in K.REQUIRED_HEADERS]
     odd = F.when((hsts != "") & ~F.lower(hsts).contains("max-age="), finding("DAST-HSTS-NO-MAX-AGE", "MEDIUM", evidence=hsts))
     low = F.when((age != "") & (age.try_cast("decimal(38,0)") < 10886400), finding("DAST-HSTS-LOW-MAX-AGE", "LOW", evidence=hsts))
-    return emit(roots(r), *missing, odd, low)
+    return [*missing, odd, low]
 
 
 def _cookies(r: DataFrame) -> DataFrame:
@@ -95,35 +109,35 @@ def cookie_prefixes(r: DataFrame) -> DataFrame:
     return emit(_cookies(r), F.when(bare, finding("DAST-COOKIE-PREFIX", "LOW", 0.6, F.substring("cookie", 1, 150))))
 
 
-def cors(r: DataFrame) -> DataFrame:
+@per_row("cors")
+def cors() -> list[Column]:
     origin, allowed = header("Access-Control-Allow-Origin"), F.lower(header("Access-Control-Allow-Credentials")) == "true"
-    return emit(
-        probes(r, "cors"),
+    return [
         F.when(origin == "*", finding("DAST-CORS-WILDCARD", "HIGH", 0.9, origin)),
         F.when(origin.startswith("http://"), finding("DAST-CORS-HTTP-ORIGIN", "MEDIUM", 0.8, origin)),
         F.when(~origin.isin("", "*") & allowed, finding("DAST-CORS-WITH-CREDENTIALS", "MEDIUM", 0.7, origin)),
-    )
+    ]
 
 
-def transport(r: DataFrame) -> DataFrame:
+@per_row("root")
+def transport() -> list[Column]:
     secure = scheme(F.col("target")) == "https"
     weak = finding("DAST-WEAK-TLS", F.when(F.col("tls_rank") >= 4, "HIGH").otherwise("MEDIUM"), evidence=F.col("tls_version"))
-    return emit(
-        roots(r),
+    return [
         F.when(~secure, finding("DAST-NO-HTTPS", "HIGH", 1.0, F.col("target"))),
         F.when(secure & F.col("tls_version").isNull(), finding("DAST-TLS-CONNECTION-FAILED", "HIGH", 1.0, host(F.col("target")))),
         F.when(secure & F.col("tls_version").isNotNull() & (F.col("tls_rank") >= 3), weak),
-    )
+    ]
 
 
-def server_info(r: DataFrame) -> DataFrame:
+@per_row("root")
+def server_info() -> list[Column]:
     server, powered = header("Server"), header("X-Powered-By")
-    return emit(
-        roots(r),
+    return [
         F.when(server != "", finding("DAST-SERVER-INFO-DISCLOSURE", "LOW", 0.9, server)),
         F.when(powered != "", finding("DAST-X-POWERED-BY", "LOW", 0.9, powered)),
         F.when(any_of(F.col("body"), K.DEBUG_BODY), finding("DAST-DEBUG-MODE", "HIGH", 0.8, "debug output")),
-    )
+    ]
 
 
 # --- reflections ---------------------------------------------------------------------------------------------------------
@@ -193,45 +207,52 @@ def markup(r: DataFrame) -> DataFrame:
     return emit(agg, finding("DAST-XSS-REFLECTED", "HIGH", F.round(F.least(raw, F.lit(0.95)), 4), F.col("best")))
 
 
-def template(r: DataFrame) -> DataFrame:
+@per_row("template")
+def template() -> list[Column]:
     body = F.col("body")
     severity = F.when(body.rlike(r"(?U)49\b"), "CRITICAL").when(body.contains("{#"), "MEDIUM")
-    return emit(probes(r, "template"), F.when(severity.isNotNull(), finding("DAST-SSTI", severity, 0.6, "template output")))
+    return [F.when(severity.isNotNull(), finding("DAST-SSTI", severity, 0.6, "template output"))]
 
 
 # --- endpoints -----------------------------------------------------------------------------------------------------------
 
 
-def exposed_paths(r: DataFrame, budget: int | None = None) -> DataFrame:
-    """Paths that answer below 400, by tier. budget: only so many probes a target, in their order (none: all)."""
+@per_row("path")
+def path_tiers() -> list[Column]:
     path, body = F.col("detail"), F.col("body")
-    rows = probes(r, "path").where(F.col("status_code") < 400)
-    if budget is not None:
-        rows = rows.where(F.col("seq") < budget)
     starts = lambda paths: reduce(lambda a, b: a | b, [path.startswith(p) for p in paths])
     vital, links = path.isin("/.git/config", "/.env", "/backup"), (path == "/actuator") & body.contains("_links")
     sure = ((path == "/.git/config") & body.contains("[core]")) | ((path == "/.env") & body.rlike("(?i)(API_KEY|SECRET|PASSWORD)")) | ((path == "/phpinfo.php") & body.contains("PHP License"))
     severity = F.when(vital | links, "CRITICAL").when(starts(K.HIGH_PATHS), "HIGH").when(starts(K.MEDIUM_PATHS), "MEDIUM").otherwise("LOW")
     confidence = F.when(sure, 1.0).when(vital, 0.9).when(links, 0.95).otherwise(0.7)
     name = F.regexp_replace(F.translate(F.upper(path), "/.", "__"), "^_+|_+$", "")
-    return emit(rows, finding(F.concat(F.lit("DAST-EXPOSED-"), name), severity, confidence, F.concat(F.lit("HTTP "), F.col("status_code").cast("string")), path))
+    found = finding(F.concat(F.lit("DAST-EXPOSED-"), name), severity, confidence, F.concat(F.lit("HTTP "), F.col("status_code").cast("string")), path)
+    return [F.when(F.col("status_code") < 400, found)]
+
+
+def exposed_paths(r: DataFrame, budget: int | None = None) -> DataFrame:
+    """Paths that answer below 400, by tier. budget: only so many probes a target, in their order (none: all)."""
+    return path_tiers(r if budget is None else r.where(F.col("seq") < budget))
 
 
-def verbose_errors(r: DataFrame) -> DataFrame:
+@per_row("verbose")
+def verbose_errors() -> list[Column]:
     names = F.create_map(*[F.lit(x) for p, n in K.VERBOSE_PROBES for x in (p, n)])
     rule = F.concat(F.lit("DAST-VERBOSE-ERROR-"), F.try_element_at(names, F.col("detail")))
     severity = F.when(F.col("status_code") >= 500, "HIGH").otherwise("MEDIUM")
-    return emit(probes(r, "verbose"), F.when(any_of(F.col("body"), K.ERROR_BODY) & rule.isNotNull(), finding(rule, severity, 0.85, F.substring("body", 1, 150), F.col("detail"))))
+    return [F.when(any_of(F.col("body"), K.ERROR_BODY) & rule.isNotNull(), finding(rule, severity, 0.85, F.substring("body", 1, 150), F.col("detail")))]
 
 
-def listings(r: DataFrame) -> DataFrame:
+@per_row("listing")
+def listings() -> list[Column]:
     hit = (F.col("status_code") == 200) & any_of(F.col("body"), K.LISTING_BODY)
-    return emit(probes(r, "listing"), F.when(hit, finding("DAST-DIRECTORY-LISTING", "MEDIUM", 0.95, "listing", F.col("detail"))))
+    return [F.when(hit, finding("DAST-DIRECTORY-LISTING", "MEDIUM", 0.95, "listing", F.col("detail")))]
 
 
-def plain_login(r: DataFrame) -> DataFrame:
+@per_row("login")
+def plain_login() -> list[Column]:
     hit = (F.col("status_code") < 400) & any_of(F.col("body"), K.LOGIN_BODY) & (scheme(F.col("target")) != "https")
-    return emit(probes(r, "login"), F.when(hit, finding("DAST-LOGIN-OVER-HTTP", "CRITICAL", 0.95, "login form", "/login")))
+    return [F.when(hit, finding("DAST-LOGIN-OVER-HTTP", "CRITICAL", 0.95, "login form", "/login"))]
 
 
 def user_enumeration(r: DataFrame) -> DataFrame:
@@ -240,35 +261,44 @@ def user_enumeration(r: DataFrame) -> DataFrame:
     return emit(agg, F.when((F.col("n") >= 2) & ((F.col("codes") > 1) | (F.col("sizes") > 1)), finding("DAST-USER-ENUMERATION", "MEDIUM", 0.5, "answers differ", "/login")))
 
 
-def direct_references(r: DataFrame) -> DataFrame:
+@per_row("idor")
+def direct_references() -> list[Column]:
     hit = (F.col("status_code") == 200) & any_of(F.col("body"), K.PERSONAL_BODY)
-    return emit(probes(r, "idor"), F.when(hit, finding("DAST-IDOR-POTENTIAL", "HIGH", 0.5, "personal fields", F.col("detail"))))
+    return [F.when(hit, finding("DAST-IDOR-POTENTIAL", "HIGH", 0.5, "personal fields", F.col("detail")))]
 
 
-def open_redirect(r: DataFrame) -> DataFrame:
+@per_row("redirect")
+def open_redirect() -> list[Column]:
     to = header("Location")
-    return emit(probes(r, "redirect"), F.when(F.col("status_code").isin(301, 302, 303, 307, 308) & to.contains("evil.com"), finding("DAST-OPEN-REDIRECT", "MEDIUM", 0.7, to)))
+    return [F.when(F.col("status_code").isin(301, 302, 303, 307, 308) & to.contains("evil.com"), finding("DAST-OPEN-REDIRECT", "MEDIUM", 0.7, to))]
 
 
-def regex_load(r: DataFrame) -> DataFrame:
-    return emit(
-        probes(r, "regex"),
+@per_row("regex")
+def regex_load() -> list[Column]:
+    return [
         F.when(any_of(F.col("body"), K.REDOS_BODY), finding("DAST-REDOS", "MEDIUM", 0.4, "pattern machinery shows")),
         F.when(F.col("elapsed_ms") > 5000, finding("DAST-REDOS-TIMING", "HIGH", 0.5, F.concat(F.col("elapsed_ms").cast("bigint").cast("string"), F.lit(" ms")))),
-    )
+    ]
 
 
-def parsers(r: DataFrame) -> DataFrame:
-    """XML and serialised objects: the first response's type and body, and the first path that takes an XML post."""
+@per_row("root")
+def parser_signs() -> list[Column]:
     kind = F.lower(header("Content-Type"))
-    first = emit(
-        roots(r),
+    return [
         F.when(kind.contains("xml"), finding("DAST-XXE-POTENTIAL", "MEDIUM", 0.3, kind)),
         F.when(any_of(F.col("body"), K.SERIAL_BODY), finding("DAST-INSECURE-DESERIALIZATION", "MEDIUM", 0.35, "body")),
         F.when(kind.contains("application/x-java-serialized-object") | kind.contains("application/php-serialized"), finding("DAST-INSECURE-DESERIALIZATION", "MEDIUM", 0.35, kind)),
-    )
+    ]
+
+
+def xml_posts(r: DataFrame) -> DataFrame:
     taken = probes(r, "xml").where(F.col("status_code") < 500).groupBy("target").agg(F.min_by("detail", "seq").alias("path"))
-    return first.unionByName(emit(taken, finding("DAST-XXE-ENDPOINT", "HIGH", 0.5, "XML post accepted", F.col("path"))))
+    return emit(taken, finding("DAST-XXE-ENDPOINT", "HIGH", 0.5, "XML post accepted", F.col("path")))
+
+
+def parsers(r: DataFrame) -> DataFrame:
+    """XML and serialised objects: the first response's type and body, and the first path that takes an XML post."""
+    return parser_signs(r).unionByName(xml_posts(r))
 
 
 def graphql(r: DataFrame) -> DataFrame:
@@ -316,38 +346,45 @@ def rate_limit(r: DataFrame) -> DataFrame:
     return emit(agg.where("open and n >= 5"), finding("DAST-NO-RATE-LIMITING", "LOW", 0.4, F.concat(F.round("ms").cast("bigint").cast("string"), F.lit(" ms"))))
 
 
-def metadata(r: DataFrame) -> DataFrame:
-    return emit(probes(r, "metadata").where(F.col("status_code") < 500), finding(F.concat(F.lit("DAST-"), F.upper("detail"), F.lit("-METADATA-ACCESSIBLE")), "CRITICAL", 0.9, "answered"))
+@per_row("metadata")
+def metadata() -> list[Column]:
+    return [F.when(F.col("status_code") < 500, finding(F.concat(F.lit("DAST-"), F.upper("detail"), F.lit("-METADATA-ACCESSIBLE")), "CRITICAL", 0.9, "answered"))]
 
 
-def fetchers(r: DataFrame) -> DataFrame:
+@per_row("root", "fetch")
+def fetchers() -> list[Column]:
     """Bodies that show fetching of given addresses, and probes that brought a cloud's metadata back."""
-    shown = emit(roots(r), F.when(any_of(F.lower("body"), K.FETCH_BODY), finding("DAST-SSRF-INDICATOR", "MEDIUM", 0.3, "fetches addresses")))
-    body = F.col("body")
+    body, first = F.col("body"), F.col("probe") == "root"
     got = (F.col("status_code") < 500) & (body.contains("ami-id") | body.contains("instance-id") | body.contains("security-credentials"))
-    return shown.unionByName(emit(probes(r, "fetch"), F.when(got, finding("DAST-SSRF-CLOUD-METADATA", "CRITICAL", 0.95, "metadata returned"))))
+    return [
+        F.when(first & any_of(F.lower("body"), K.FETCH_BODY), finding("DAST-SSRF-INDICATOR", "MEDIUM", 0.3, "fetches addresses")),
+        F.when(~first & got, finding("DAST-SSRF-CLOUD-METADATA", "CRITICAL", 0.95, "metadata returned")),
+    ]
 
 
 # --- policies and fingerprints -------------------------------------------------------------------------------------------
 
 
-def content_policy(r: DataFrame) -> DataFrame:
+@per_row("root")
+def content_policy() -> list[Column]:
     csp = header("Content-Security-Policy")
     weak = [
         F.when(csp.contains("'unsafe-inline'"), "unsafe-inline"), F.when(csp.contains("'unsafe-eval'"), "unsafe-eval"),
         F.when(csp.rlike(r"(?:script-src|default-src)\s+[^;]*\*"), "wildcard"), F.when(csp.contains("data:"), "data"),
     ]
     found = F.array_join(F.array_compact(F.array(*weak)), ", ")
-    return emit(roots(r), F.when(found != "", finding("DAST-CSP-INSECURE", "MEDIUM", 0.9, found)))
+    return [F.when(found != "", finding("DAST-CSP-INSECURE", "MEDIUM", 0.9, found))]
 
 
-def methods(r: DataFrame) -> DataFrame:
+@per_row("options")
+def methods() -> list[Column]:
     allow = F.upper(F.coalesce(F.nullif(header("Allow"), F.lit("")), header("Access-Control-Allow-Methods")))
     found = F.array_join(F.filter(F.array(*map(F.lit, ("TRACE", "PUT", "DELETE", "PATCH"))), lambda m: F.contains(allow, m)), ", ")
-    return emit(probes(r, "options"), F.when(found != "", finding("DAST-HTTP-METHODS", "MEDIUM", 0.8, found)))
+    return [F.when(found != "", finding("DAST-HTTP-METHODS", "MEDIUM", 0.8, found))]
 
 
-def frameworks(r: DataFrame) -> DataFrame:
+@per_row("root")
+def frameworks() -> list[Column]:
     server, powered, cookie = F.lower(header("Server")), F.lower(header("X-Powered-By")), F.array_join(all_headers("Set-Cookie"), "\n")
     low = F.lower(cookie)
     seen = [
@@ -357,7 +394,7 @@ def frameworks(r: DataFrame) -> DataFrame:
         F.when(low.contains("session") & server.contains("python"), "Flask"),
     ]
     found = F.array_join(F.array_compact(F.array(*seen)), ", ")
-    return emit(roots(r), F.when(found != "", finding("DAST-FRAMEWORK-FINGERPRINT", "LOW", 0.7, found)))
+    return [F.when(found != "", finding("DAST-FRAMEWORK-FINGERPRINT", "LOW", 0.7, found))]
 
 
 def _sources(body: Column, most: int = 5) -> Column:
@@ -367,21 +404,24 @@ def _sources(body: Column, most: int = 5) -> Column:
     return F.slice(F.sort_array(F.array_distinct(names)), 1, most)
 
 
-def integrity(r: DataFrame) -> DataFrame:
+@per_row("root")
+def integrity() -> list[Column]:
     """Scripts of other hosts without an integrity hash; the evidence names the first five of them by name."""
     found = _sources(F.col("body"))
-    return emit(roots(r), F.when(F.size(found) > 0, finding("DAST-SRI-MISSING", "LOW", 0.85, F.array_join(found, ", "))))
+    return [F.when(F.size(found) > 0, finding("DAST-SRI-MISSING", "LOW", 0.85, F.array_join(found, ", ")))]
 
 
-def websockets(r: DataFrame) -> DataFrame:
+@per_row("root")
+def websockets() -> list[Column]:
     low = F.lower("body")
     found = F.when(low.rlike("(?:ws|wss)://"), "address").when(low.rlike(r"new\s+websocket\s*\("), "constructor")
-    return emit(roots(r), F.when(found.isNotNull(), finding("DAST-WEBSOCKET", "LOW", 0.7, found)))
+    return [F.when(found.isNotNull(), finding("DAST-WEBSOCKET", "LOW", 0.7, found))]
 
 
-def sniffing(r: DataFrame) -> DataFrame:
+@per_row("root")
+def sniffing() -> list[Column]:
     value = header("X-Content-Type-Options")
-    return emit(roots(r), F.when(F.lower(value) != "nosniff", finding("DAST-NO-NOSNIFF", "LOW", 0.9, value)))
+    return [F.when(F.lower(value) != "nosniff", finding("DAST-NO-NOSNIFF", "LOW", 0.9, value))]
 
 
 CHECKS = {
@@ -394,15 +434,30 @@ CHECKS = {
 }
 
 
+#: The parts that a check of two kinds is made of, and the one with an option, as they stand in a whole scan.
+_PARTS = {"parsers": (parser_signs, xml_posts), "exposed_paths": (path_tiers,)}
+
+
 def response_findings(r: DataFrame, as_of: int, skip: frozenset[str] = frozenset()) -> DataFrame:
-    """Findings of all checks but those in skip, with the check's place as ord. A target without a first response has only that."""
+    """Findings of all checks but those in skip, with the check's place as ord. A target without a first response has only that.
+
+    All checks that judge a response by itself share one pass over the capture; only those that compare responses, or
+    look at single cookies or tokens, take one of their own.
+    """
     alive = r.where((F.col("probe") == "root") & (F.col("status_code") != 0)).select("target").distinct()
     checked = r.join(alive, "target", "left_semi")
-    out = None
+    single, out = [], None
     for k, (name, check) in enumerate([*CHECKS.items(), ("jwt", lambda x: jwt(x, as_of))]):
-        if name not in skip:
-            part = check(r if name == "unreachable" else checked).withColumn("ord", F.lit(k).cast("bigint"))
-            out = part if out is None else out.unionByName(part)
+        for part in () if name in skip else _PARTS.get(name, (check,)):
+            if hasattr(part, "columns"):
+                single += [F.struct(F.lit(k).cast("bigint").alias("ord"), F.when(F.col("probe").isin(*part.kinds), c).alias("f")) for c in part.columns()]
+            else:
+                rows = part(r if name == "unreachable" else checked).withColumn("ord", F.lit(k).cast("bigint"))
+                out = rows if out is None else out.unionByName(rows)
+    if single:
+        rows = checked.where("status_code <> 0").select("target", F.explode(F.filter(F.array(*single), lambda x: x["f"].isNotNull())).alias("x"))
+        rows = rows.select("target", *[F.col(f"x.f.{c}").alias(c) for c in OUT[1:]], "x.ord")
+        out = rows if out is None else out.unionByName(rows)
     return out.select(
         F.col("endpoint").alias("file_path"), F.lit(0).alias("line_number"), F.lit("response").alias("issue_type"), "severity", F.col("rule_id").alias("message"), "rule_id", "confidence",
         F.substring("evidence", 1, 120).alias("snippet"), F.lit("dast").alias("detection_method"), "endpoint", "evidence", "ord", "target", rank(F.col("severity")).alias("sev"),
