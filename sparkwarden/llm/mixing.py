@@ -4,7 +4,8 @@ A source with target T and size S takes each document T/S times. The whole part
 parts are rounded by pairs: word mass moves at random from one document to the other until one of the two is taken
 wholly or not at all, which keeps every document's expectation and the source's sum. Leaves of about LEAF documents
 (dealt by a hash, so a hot source has many) each leave at most one document undecided; those residuals meet again in
-a tree of FAN-way groups, and only the last of a source is rounded alone.
+a tree of FAN-way groups, and only the last of a source is rounded alone; what that leaves over or short of the target is
+worked off by flipping documents of the last group.
 """
 
 from __future__ import annotations
@@ -67,12 +68,27 @@ def settle(size: np.ndarray, frac: np.ndarray, rng: np.random.Generator, last: b
     return out
 
 
+def work_off(size: np.ndarray, extra: np.ndarray, error: float) -> np.ndarray:
+    """Flips single documents, the best one first, as long as that brings the taken words nearer to the target."""
+    extra = extra.copy()
+    for _ in range(len(size)):
+        after = error + np.where(extra > 0, -size, size)
+        best = int(np.abs(after).argmin())
+        if abs(after[best]) >= abs(error):
+            break
+        extra[best], error = 1 - extra[best], after[best]
+    return extra
+
+
 def _round(level: int, last: bool):
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "round_key"], ascending=[False, True], kind="stable").reset_index(drop=True)
         rng = np.random.default_rng([SEED, level, int(pdf["src"].iloc[0]), int(pdf["bucket"].iloc[0]) // FAN**level])
-        frac = pdf["frac"].to_numpy(dtype=float, copy=True)
-        extra = settle(pdf["size"].to_numpy(), frac, rng, last)
+        frac, size = pdf["frac"].to_numpy(dtype=float, copy=True), pdf["size"].to_numpy()
+        mass, free = float((frac * size).sum()), (frac > 0) & (frac < 1)
+        extra = settle(size, frac, rng, last)
+        if last and free.any():
+            extra[free] = work_off(size[free], extra[free], float((extra * size).sum()) - mass)
         pdf["frac"], pdf["copies"] = frac, np.where(extra < 0, -1, pdf["whole"] + extra).astype(np.int32)
         return pdf
 

@@ -26,6 +26,16 @@ def test_settle_keeps_mass_and_expectation():
     assert np.allclose(hits / 4000, 0.3, atol=0.03)
 
 
+def test_what_the_last_rounding_leaves_is_worked_off():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        size, extra = rng.integers(0, 400, 40), rng.integers(0, 2, 40)
+        error = float(rng.integers(-900, 900))
+        after = mixing.work_off(size, extra, error)
+        left = error + ((after - extra) * size).sum()
+        assert set(after) <= {0, 1} and abs(left) <= abs(error) and abs(left) < 60
+
+
 def test_operator(docs, rows, empty, monkeypatch):
     monkeypatch.setattr(mixing, "LEAF", 4)
     monkeypatch.setattr(mixing, "FAN", 2)
@@ -44,8 +54,8 @@ def test_operator(docs, rows, empty, monkeypatch):
             assert g.source_size == sizes[source] and g.target == pytest.approx(want[source])
             times = want[source] / sizes[source] if sizes[source] else 0
             assert g.copies in (math.floor(times), math.ceil(times)) or g.size == 0
-        taken[g.target] += g.taken
-        largest[g.target] = max(largest[g.target], g.size)
-    for t, n in taken.items():
-        assert abs(n - t) <= largest[t] + 1
+        taken[g.target, g.source_size] += g.taken
+        largest[g.target, g.source_size] = max(largest[g.target, g.source_size], g.size)
+    for (t, source_size), n in taken.items():
+        assert abs(n - t) <= largest[t, source_size] + 1
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(7)).collect()))
