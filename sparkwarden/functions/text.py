@@ -41,6 +41,30 @@ def scheme(url: Column) -> Column:
     return F.when(found == "", "http").otherwise(found)
 
 
+def host_or_self(url: Column) -> Column:
+    """The host in lower case, the text itself if it has none."""
+    return F.coalesce(F.nullif(F.lower(host(url)), F.lit("")), url)
+
+
+def origin(url: Column) -> Column:
+    """Scheme and authority, the port included; '' without a scheme."""
+    return F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+
+
+def join_url(base: Column, path: Column) -> Column:
+    """The base without trailing slashes, one slash, the path without leading ones."""
+    return F.concat(F.regexp_replace(base, "/+$", ""), F.lit("/"), F.regexp_replace(path, "^/+", ""))
+
+
+def is_https(url: Column) -> Column:
+    return scheme(url) == "https"
+
+
+def quote(c: Column) -> Column:
+    """Percent-encoding as for a path: space is %20, '/' stays."""
+    return F.replace(F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/")), F.lit("%7E"), F.lit("~"))
+
+
 def entropy(c: Column) -> Column:
     """Shannon entropy in bits of a string's characters; '' and null have 0."""
     chars = F.filter(F.split(c, ""), lambda x: x != "")

@@ -395,6 +395,17 @@ def url_edges(spark, sf_dir):
     return X.frame(spark, X.URLS, "url string").select("url", T.scheme(F.col("url")).alias("scheme"), T.host(F.col("url")).alias("host"))
 
 
+_JOINS = [("https://example.com/", "/api"), ("https://example.com", "api"), ("https://Example.com/app", "api/v1"), ("http://localhost:8080/test//", "a b/c?d='x'"), ("not-a-url", "")]
+_QUOTED = "replace(replace(replace(replace(path, '?', '%3F'), '=', '%3D'), chr(39), '%27'), ' ', '%20')"
+
+
+@query("WITH " + X.relation("u", _JOINS, "url string, path string") + f""" SELECT url, path, rtrim(url, '/') || '/' || ltrim(path, '/') AS joined, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS origin,
+  CASE WHEN contains(url, '://') THEN lower(regexp_extract(url, '://([^/?#:]*)', 1)) ELSE url END AS host, starts_with(lower(url), 'https://') AS https, {_QUOTED} AS quoted FROM u""")
+def url_functions(spark, sf_dir):
+    rows, url, path = X.frame(spark, _JOINS, "url string, path string"), F.col("url"), F.col("path")
+    return rows.select("url", "path", T.join_url(url, path).alias("joined"), T.origin(url).alias("origin"), T.host_or_self(url).alias("host"), T.is_https(url).alias("https"), T.quote(path).alias("quoted"))
+
+
 @query("SELECT page_id, url FROM pages WHERE NOT starts_with(lower(url), 'https://')")
 def no_https(spark, sf_dir):
     return _table(spark, sf_dir, "pages").where(T.scheme(F.col("url")) != "https").select("page_id", "url")
