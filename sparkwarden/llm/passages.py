@@ -1,0 +1,155 @@
+"""Runs of more than 50 words that repeat, wherever they begin and end: inside longer lines or over line ends.
+
+Words are taken from the whole text, so lines play no part. Of the runs of ANCHOR words in each window of PASSAGE words
+the one of least hash is the window's anchor (winnowing): equal windows have equal anchors, so a window can only repeat
+if its anchor does, and about one word in thirteen is an anchor. The first pass over the texts finds anchors that occur
+more than once; the second hashes each window around those. Neighbouring windows of one anchor are one row, and rows of
+equal words one class, so copies cost a row for each anchor; only the windows of classes are told apart one by one.
+A window's keeper is its first occurrence; windows in a row whose keepers are in one passage are one passage. No pair of
+documents is ever listed, and no run of PASSAGE words that occurs twice is left out.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from sparkwarden.llm.common import slices, span_hashes, text_bytes, word_hashes, written
+from sparkwarden.llm.paragraphs import repeated_paragraphs
+
+PASSAGE, ANCHOR = 51, 26
+_REACH = PASSAGE - ANCHOR + 1
+_PLACE_BITS = np.uint64(26)
+
+
+def _windows(column: pa.Array):
+    """For each slice of the texts: words, bytes of their starts and ends, first word of each text, and the windows' texts, places and anchors.
+
+    Places and anchors count from the slice's first word. Of equal hashes the leftmost is the anchor.
+    """
+    raw, offsets = text_bytes(pc.utf8_lower(column))
+    for a, b in slices(offsets):
+        at = offsets[a : b + 1] - offsets[a]
+        words, rows, starts, ends = word_hashes(raw[offsets[a] : offsets[b]], at)
+        count = np.maximum(np.diff(rows) - PASSAGE + 1, 0)
+        if not count.any():
+            continue
+        doc = np.repeat(np.arange(b - a), count)
+        place = np.arange(len(doc)) + np.repeat(rows[:-1] - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
+        every = np.arange(len(words) - ANCHOR + 1)
+        hashes = span_hashes(words, every, every + ANCHOR)
+        least = (hashes >> _PLACE_BITS << _PLACE_BITS) | every.astype(np.uint64)
+        span = 1
+        while 2 * span <= _REACH:
+            least, span = np.minimum(least[:-span], least[span:]), 2 * span
+        least = np.minimum(least[: len(least) - (_REACH - span)], least[_REACH - span :])
+        anchor = (least[place] & np.uint64((1 << int(_PLACE_BITS)) - 1)).astype(np.int64)
+        yield a, words, starts, ends, at, rows, doc, place, anchor, hashes
+
+
+def _anchors(batches):
+    for b in batches:
+        for a, *_, rows, doc, _, anchor, hashes in _windows(b.column(1)):
+            k = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]))
+            own = (anchor[k] - rows[doc[k]]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(a + doc[k])), pa.array(own), pa.array(hashes[anchor[k]].view(np.int64))], names=["d", "at", "anchor"])
+
+
+_RUNS = "d long, p int, cls long, windows array<long>, starts array<int>, ends array<int>"
+
+
+def _runs(batches):
+    """Of (d, text, found: repeated anchors) a row for each of these anchors: the windows that have it."""
+    for b in batches:
+        found = b.column(2)
+        for a, words, starts, ends, at, rows, doc, place, anchor, _ in _windows(b.column(1)):
+            wanted = np.zeros(len(words), dtype=bool)
+            n = int(doc[-1]) + 1
+            part = found.slice(a, n)
+            owner = np.repeat(np.arange(n), pc.list_value_length(part).to_numpy(zero_copy_only=False).astype(np.int64))
+            wanted[part.flatten().to_numpy(zero_copy_only=False) + rows[owner]] = True
+            keep = wanted[anchor]
+            doc, place, anchor = doc[keep], place[keep], anchor[keep]
+            if not len(doc):
+                continue
+            k = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]))
+            bounds = np.concatenate([k, [len(doc)]])
+            lists = lambda x: pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(x))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0).take(pa.array(a + doc[k])),
+                    pa.array((place[k] - rows[doc[k]]).astype(np.int32)),
+                    pa.array(span_hashes(words, place[k], place[bounds[1:] - 1] + PASSAGE).view(np.int64)),
+                    lists(span_hashes(words, place, place + PASSAGE).view(np.int64)),
+                    lists((starts[place] - at[doc]).astype(np.int32)),
+                    lists((ends[place + PASSAGE - 1] - at[doc]).astype(np.int32)),
+                ],
+                names=[c.split()[0] for c in _RUNS.split(", ")],
+            )
+
+
+def _joined(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of windows p to q with equal keys made one where each follows the other: the first's columns, the last's q and end_byte."""
+    before = F.lag("q").over(Window.partitionBy(*keys).orderBy("p"))
+    rows = rows.withColumn("new", (before.isNull() | (before + 1 != F.col("p"))).cast("int"))
+    rows = rows.withColumn("run", F.sum("new").over(Window.partitionBy(*keys).orderBy("p")))
+    return rows.groupBy(*keys, "run").agg(F.min("p").alias("p"), F.max("q").alias("q"), F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte")).drop("run")
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per passage of at least PASSAGE words that occurs word by word elsewhere, in the columns of repeated_paragraphs.
+
+    place is the number of its first word in the text, from 0. A passage is a longest run of windows whose first
+    occurrences (smallest id, null first, then text, then place) lie one after the other in one text: those are the keeper, of whose
+    columns group_id is made. A text of several sources has several passages, which may overlap by up to PASSAGE - 1
+    words. Rows that are equal in id and text are one text; each gets its rows, and as copies of a keeper all are kept.
+    """
+    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("d"), F.col(text_col).alias("text")).where(F.length(text_col) > 2 * PASSAGE - 2)
+    anchors = written(keyed.select("d", "text").mapInArrow(_anchors, "d long, at int, anchor long"), "passage-anchors")
+    repeated = anchors.groupBy("anchor").count().where("count > 1").select("anchor")
+    found = written(anchors.join(repeated, "anchor", "left_semi").groupBy("d").agg(F.collect_set("at").alias("found")), "passage-found")
+
+    texts = keyed.join(found, "d").groupBy("d").agg(F.first("text").alias("text"), F.first("found").alias("found"))
+    runs = written(texts.mapInArrow(_runs, _RUNS), "passage-runs")
+    names = written(keyed.select("d", "id").join(found.select("d"), "d", "left_semi").groupBy("d", "id").agg(F.count("*").alias("rows")), "passage-texts")
+    named = runs.select("d", "p", "cls").join(names, "d")
+    classes = named.groupBy("cls").agg(F.sum("rows").alias("copies"), F.min(F.struct("id", "d", "p")).alias("first"))
+    lists = runs.groupBy("cls").agg(F.first("windows").alias("windows"))
+    classes = classes.join(lists, "cls").select("cls", "copies", "first", F.posexplode("windows").alias("k", "window"))
+    classes = written(classes, "passage-windows")
+    firsts = classes.groupBy("window").agg(F.sum("copies").alias("n"), F.min(F.struct("first.id", "first.d", (F.col("first.p") + F.col("k")).alias("p"))).alias("f")).where("n > 1")
+    told = classes.select("cls", "k", "window").join(firsts, "window").select("cls", "k", F.col("f.d").alias("fd"), F.col("f.p").alias("f"))
+    order = Window.partitionBy("cls", "fd", "shift").orderBy("k")
+    told = told.repartition("cls").withColumn("shift", F.col("f") - F.col("k")).withColumn("island", F.col("k") - F.row_number().over(order))
+    told = written(told.groupBy("cls", "fd", "shift", "island").agg(F.min("k").alias("k"), F.max("k").alias("l")).drop("island"), "passage-classes")
+
+    at = lambda c, k: F.element_at(c, F.col(k) + 1)
+    parts = runs.select("d", F.col("p").alias("p0"), "cls", "starts", "ends").join(told, "cls")
+    parts = parts.select("d", (F.col("p0") + F.col("k")).alias("p"), (F.col("p0") + F.col("l")).alias("q"), "fd", (F.col("shift") + F.col("k")).alias("f"), at("starts", "k").alias("start_byte"), at("ends", "l").alias("end_byte"))
+    parts = written(parts.withColumn("keeper", (F.col("d") == F.col("fd")) & (F.col("p") == F.col("f"))), "passage-parts")
+    keepers = _joined(parts.where("keeper"), ["d"]).join(names.select("d", F.col("id").alias("keeper_id")), "d")
+    keepers = keepers.select(F.col("d").alias("fd"), F.col("p").alias("keeper_place"), F.col("q").alias("last"), "keeper_id")
+    parts = written(parts.join(keepers, "fd").where(F.col("f").between(F.col("keeper_place"), F.col("last"))), "passage-kept")
+    out = _joined(parts, ["d", "fd", "keeper_id", "keeper_place", "keeper"]).join(names, "d")
+    number = lambda c: F.lpad(F.hex(c), 16, "0")
+    return out.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))).select(
+        F.col("id").alias(id_col),
+        F.col("p").alias("place"),
+        (F.col("q") - F.col("p") + PASSAGE).cast("int").alias("n_words"),
+        "start_byte",
+        "end_byte",
+        F.concat(number("fd"), number("keeper_place")).alias("group_id"),
+        "keeper_id",
+        "keeper_place",
+        (~F.col("keeper")).alias("remove"),
+    )
+
+
+def repeated_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of repeated_paragraphs and of repeated_passages, told apart by kind: what is a long line of its own may be in both."""
+    lines = repeated_paragraphs(docs, id_col=id_col, text_col=text_col).withColumn("kind", F.lit("paragraph"))
+    return lines.unionByName(repeated_passages(docs, id_col, text_col).withColumn("kind", F.lit("passage")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm import chat, decontamination, lz, mixing, paragraphs, pii, quality, simhash, tokens, toxicity
+from sparkwarden.llm import chat, decontamination, lz, mixing, passages, pii, quality, simhash, tokens, toxicity
 from sparkwarden.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -30,7 +30,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.repeated_paragraphs(table(spark, sf_dir, "documents"))
+    return passages.repeated_text(table(spark, sf_dir, "documents"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,23 @@
+import random
+
+from sparkwarden.llm.queries import QUERIES
+
+
+def filler(rng, n):
+    return ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n)]
+
+
+def laid_out(words, each):
+    return "\n".join(" ".join(words[k : k + each]) for k in range(0, len(words), each))
+
+
+def test_passages_laid_out_in_short_lines(spark, tmp_path):
+    rng = random.Random(11)
+    shared = filler(rng, 60)
+    texts = [(1, laid_out(shared, 9)), (2, laid_out(shared, 13)), (3, laid_out(filler(rng, 20) + shared + filler(rng, 20), 8)), (4, laid_out(filler(rng, 90), 9))]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = QUERIES["op5_paragraphs"](spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.place, r.n_words, r.keeper_id, r.remove, r.kind) for r in rows} == {(1, 0, 60, 1, False, "passage"), (2, 0, 60, 1, True, "passage"), (3, 20, 60, 1, True, "passage")}
+    assert len({r.group_id for r in rows}) == 1
+    for r in rows:
+        assert dict(texts)[r.doc_id].encode()[r.start_byte : r.end_byte].split() == " ".join(shared).encode().split()
