@@ -1,5 +1,8 @@
 import random
+import re
+from collections import defaultdict
 
+from sparkwarden.llm import passages as P
 from sparkwarden.llm.queries import QUERIES
 
 
@@ -11,6 +14,21 @@ def laid_out(words, each):
     return "\n".join(" ".join(words[k : k + each]) for k in range(0, len(words), each))
 
 
+def repeats(texts, n=51):
+    """{(id, word)}: the words of each text that stand in a run of n words that occurs more than once."""
+    seen, where = defaultdict(int), []
+    for i, t in texts:
+        w = re.findall(r"(?:[a-z0-9]|[^\x00-\x7f])+", (t or "").lower())
+        for k in range(len(w) - n + 1):
+            seen[tuple(w[k : k + n])] += 1
+            where.append((i, k, tuple(w[k : k + n])))
+    return {(i, j) for i, k, g in where if seen[g] > 1 for j in range(k, k + n)}
+
+
+def covered(rows):
+    return {(r.doc_id, k) for r in rows for k in range(r.place, r.place + r.n_words)}
+
+
 def test_passages_laid_out_in_short_lines(spark, tmp_path):
     rng = random.Random(11)
     shared = filler(rng, 60)
@@ -21,3 +39,33 @@ def test_passages_laid_out_in_short_lines(spark, tmp_path):
     assert len({r.group_id for r in rows}) == 1
     for r in rows:
         assert dict(texts)[r.doc_id].encode()[r.start_byte : r.end_byte].split() == " ".join(shared).encode().split()
+
+
+def test_every_run_of_over_fifty_words_is_found(spark, empty):
+    rng = random.Random(12)
+    runs = [filler(rng, n) for n in (50, 51, 52, 58, 75, 140)]
+    texts = []
+    for k in range(60):
+        w = filler(rng, rng.randrange(5, 80))
+        for run in rng.sample(runs, 2):
+            cut = rng.choice([0, 0, len(run) // 3])
+            w += run[cut:] + filler(rng, rng.randrange(0, 60))
+        texts.append((k, laid_out(w, rng.choice([7, 30, 400]))))
+    texts += [(90, None), (91, ""), (92, "a " * 300), (93, "a " * 120), (None, texts[0][1]), (None, texts[1][1]), (7, texts[7][1]), (94, "É " + texts[3][1].upper())]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = P.repeated_passages(df).collect()
+    assert covered(rows) == repeats(texts)
+    by_id = defaultdict(list)
+    for i, t in texts:
+        by_id[i].append((t or "").lower().split())
+    for r in rows:
+        span = lambda i, k: {tuple(w[k : k + 51]) for w in by_id[i]}
+        assert r.n_words > 50 and (r.remove or r.doc_id == r.keeper_id)
+        if r.doc_id != 92 and r.doc_id != 93:
+            assert r.keeper_place >= 0 and (r.remove or r.place == r.keeper_place) and span(r.doc_id, r.place)
+    kept = covered([r for r in rows if not r.remove])
+    said = {tuple(w[k : k + 51]) for i, ws in by_id.items() for w in ws for k in range(len(w) - 50) if all((i, j) in kept for j in range(k, k + 51))}
+    for r in rows:
+        if r.doc_id is not None:
+            assert all(tuple(by_id[r.doc_id][0][k : k + 51]) in said for k in range(r.place, r.place + r.n_words - 50))
+    assert P.repeated_passages(empty).count() == 0
