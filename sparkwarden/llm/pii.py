@@ -25,6 +25,12 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: Lengths of account numbers by country, as registered; other countries may have any length from 15 to 34.
+_IBAN_LENGTHS = {c: n for n, cs in {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}.items() for c in cs.split()}
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _DATE = re.compile(r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})(?![0-9])")
 
@@ -91,9 +97,17 @@ def _phones(text: str):
 
 
 def _ibans(text: str):
-    for m in _IBAN.finditer(text):
-        if 15 <= len(account := m.group().replace(" ", "")) <= 34 and mod97(account):
-            yield m.span()
+    """The pattern takes along what follows a number, so each end of a token is tried: the country's length first, then the longest."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        start, at = m.start(), m.start() + 1
+        ends = [m.end(), *(start + k for k, c in enumerate(m.group()) if c == " ")]
+        accounts = [(text[start:end].replace(" ", ""), end) for end in ends]
+        for account, end in sorted(accounts, key=lambda x: (len(x[0]) != _IBAN_LENGTHS.get(x[0][:2]), -x[1])):
+            if 15 <= len(account) <= 34 and mod97(account):
+                yield start, end
+                at = end
+                break
 
 
 def _plain(pattern: re.Pattern):

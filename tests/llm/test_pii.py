@@ -51,6 +51,19 @@ def test_method_adds_confirmed_and_cued_spans():
     assert pii.score("call +44 20 7946 0958", "phone", 5, 21) > pii.score("what +44 20 7946 0958", "phone", 5, 21)
 
 
+def test_account_numbers_end_where_other_tokens_follow():
+    found = lambda t: [t[s:e] for s, e, k, _ in pii.find_spans(t) if k == "iban"]
+    number = "DE89 3704 0044 0532 0130 00"
+    for after in (" BIC COBADEFF", " 2024 now", " EUR 100", "", ".", " ok"):
+        assert found(f"IBAN {number}{after}") == [number]
+    assert found("DE89370400440532013000 2024 now") == ["DE89370400440532013000"]
+    assert found("NO93 8601 1117 947 NO93 8601 1117 947") == ["NO93 8601 1117 947"] * 2
+    assert found("AB12 CDEF NO93 8601 1117 947") == ["NO93 8601 1117 947"]
+    assert found("DE88 3704 0044 0532 0130 00 BIC COBADEFF") == []
+    text = f"pay {number} BIC COBADEFF"
+    assert pii.redact_text(text, pii.find_spans(text)) == "pay <IBAN> BIC COBADEFF"
+
+
 def test_digest_and_redaction(spark, docs, rows, empty):
     got = pii.pii_digest(docs).collect()
     assert len(got) == len(rows) and pii.pii_digest(empty).count() == 0
