@@ -194,16 +194,23 @@ def spelled(fp):
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without all but one document of each component: the one with the smallest id (of equal ids, one row).
+    """docs without all but one document of each component: the one with the smallest id (of equal ids, one text; of equal rows, one).
 
     All columns stay. Rows whose id is null take part in the components; one stays if a component has no other id.
-    Texts move once, at any size: the list of ids to keep grows with the documents, so it is merged and never broadcast.
+    A row is known by its id and its text's hash, so rows of one id in several components each count in their own.
+    Texts move once, at any size: the list of rows to keep grows with the documents, so it is merged and never broadcast.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    kept = written(found.groupBy(F.col(id_col).alias("kept_id")).agg(F.max(F.col(id_col).eqNullSafe(F.col("component_id"))).alias("keep"), F.count("*").alias("n")).where("keep"), "kept")
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key")).alias("row"), F.col(text_col).alias("text"))
+    prints = written(fingerprints(keyed, "row", "text"), "fingerprints")
+    roots = connected_components(links(prints))
+    rows = prints.groupBy("fp", F.col("id.id").alias("id"), F.col("id.key").alias("key")).agg(F.count("*").alias("n"))
+    least = rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "key", "n")).alias("row"))
+    rooted = least.join(roots, least["fp"] == roots["node"], "left").select("row", F.coalesce("root", "fp").alias("root"))
+    kept = written(rooted.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.id").alias("kept_id"), F.col("row.key").alias("kept_key"), F.col("row.n").alias("n")), "kept")
     names = docs.columns
     plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
-    key = f"c{names.index(id_col)}"
-    once = plain.join(kept.where("n = 1").hint("merge"), plain[key].eqNullSafe(F.col("kept_id")), "left_semi")
-    repeated = plain.join(kept.where("n > 1").hint("merge"), plain[key].eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates([key])
+    key, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
+    same = plain[key].eqNullSafe(F.col("kept_id")) & (F.xxhash64(plain[text]) == F.col("kept_key"))
+    once = plain.join(kept.where("n = 1").hint("merge"), same, "left_semi")
+    repeated = plain.join(kept.where("n > 1").hint("merge"), same, "left_semi").dropDuplicates([key, text])
     return once.unionByName(repeated).toDF(*names)

@@ -109,3 +109,13 @@ def test_representatives(docs, rows, empty):
     ids = [r.doc_id for r in kept.select("doc_id").collect()]
     groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
     assert sorted(i for i in ids if i is not None) == sorted({c for c in groups.values() if c is not None})
+
+
+def test_representatives_of_null_and_repeated_ids(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(600)) for _ in range(6)]
+    assert len({frozenset(g) for g in components({plain_fingerprint(t) for t in texts}).values()}) == 6
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (3, texts[3]), (None, texts[4]), (9, texts[4]), (8, texts[5]), (8, texts[5])]
+    got = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, texts[0]), (None, texts[1]), (3, texts[3]), (7, texts[2]), (8, texts[5]), (9, texts[4])]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
