@@ -33,7 +33,19 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors, is computed once."""
     path = scratch_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Deletes tables made by written() that nothing will read again, and lets Spark drop the shuffle files of past jobs."""
+    for df in [t for t in tables if t is not None]:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        spark = df.sparkSession
+    if any(t is not None for t in tables):
+        spark._jvm.System.gc()  # the cleaner drops what the driver no longer refers to
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
