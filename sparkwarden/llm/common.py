@@ -17,8 +17,10 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; with a local master (one machine, as in tests) one of our own if that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not found:
         found = f"file://{tempfile.mkdtemp(prefix='sparkwarden-')}"
         spark.conf.set("spark.checkpoint.dir", found)
@@ -39,13 +41,18 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 
 def forget(*tables: DataFrame | None) -> None:
-    """Deletes tables made by written() that nothing will read again, and lets Spark drop the shuffle files of past jobs."""
-    for df in [t for t in tables if t is not None]:
+    """Deletes tables made by written() that nothing will read again, and tidies up."""
+    known = [t for t in tables if t is not None]
+    for df in known:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-        spark = df.sparkSession
-    if any(t is not None for t in tables):
-        spark._jvm.System.gc()  # the cleaner drops what the driver no longer refers to
+    if known:
+        tidy(known[0])
+
+
+def tidy(df: DataFrame) -> None:
+    """Lets Spark drop the shuffle files of past jobs: its cleaner does so for what the driver's collector finds unused."""
+    df.sparkSession._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,10 +115,19 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of values[s:e] for each span; equal content gives equal hashes wherever it stands."""
-    n = len(values)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * powers(_ROOT, n), out=sums[1:])
-    h = (sums[ends] - sums[starts]) * powers(_ROOT_INV, n + 1)[starts]
+    return sums_hashes(prefix_sums(values), starts, ends)
+
+
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """What sums_hashes() needs of values, for all their spans."""
+    sums = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * powers(_ROOT, len(values)), out=sums[1:])
+    return sums
+
+
+def sums_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """span_hashes() from the prefix sums."""
+    h = (sums[ends] - sums[starts]) * powers(_ROOT_INV, len(sums))[starts]
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
