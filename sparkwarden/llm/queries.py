@@ -22,7 +22,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return tokens.token_counts_in_parts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

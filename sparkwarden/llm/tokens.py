@@ -2,7 +2,7 @@
 
 Each text is known by the SHA-256 of its bytes, each tokenizer by the digest of its file and library version. Counts
 are joined from the cache table; only distinct texts that it lacks are encoded, and their counts are appended.
-Normalising a text means null becomes empty: anything more would change its tokens.
+Normalising a text means that null becomes empty and what is no UTF-8 is replaced: anything more would change its tokens.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm.common import scratch_path, written
+from sparkwarden.llm.common import scratch_path
 
 #: Characters for which the two regular expressions below split exactly as the byte-level pre-tokenizer does: all
 #: its classes are spelled out, so no Unicode table of either library matters. Other texts go to the library whole.
@@ -102,25 +102,53 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _normal(text_col: str):
+    """The text that is encoded: null is empty, what is no UTF-8 is replaced."""
+    return F.coalesce(F.make_valid_utf8(F.col(text_col)), F.lit(""))
+
+
+def _digest(text):
+    return F.unhex(F.sha2(text, 256))
+
+
+def _stored(spark: SparkSession, cache: str, version: str) -> DataFrame:
+    """The counts of one tokenizer: the cache is a folder for each, so no other's are read."""
+    rows = spark.read.schema("tokenizer string, digest binary, n_tokens long").parquet(cache)
+    return rows.where(F.col("tokenizer") == version).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
+
+
+def warm(docs: DataFrame, tokenizer: str, cache: str, text_col: str = "text") -> None:
+    """Appends the counts of the distinct texts of docs that the cache (made if absent) lacks; what it has is not encoded again."""
+    spark = docs.sparkSession
+    version, kind, data = tokenizer_version(tokenizer)
+    text = _normal(text_col)
+    misses = docs.select(_digest(text).alias("digest"), text.alias("text")).groupBy("digest").agg(F.first("text").alias("text"))
+    if _exists(spark, cache):
+        misses = misses.join(_stored(spark, cache, version), "digest", "left_anti")
+    counted = misses.mapInArrow(_encoder(version, kind, spark.sparkContext.broadcast(data)), "digest binary, n_tokens long")
+    counted.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache)
+
+
 def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, n_tokens, over_limit (n_tokens > limit) per row of docs; repeated rows and null ids stay, null texts are empty.
 
-    cache: a Parquet folder of (tokenizer, digest, n_tokens), made if absent; None: one of this call alone. A digest
-    that two callers append at once is counted once when read. Texts move once, after copies are merged in each map
-    task, so a text that a third of all rows share costs one row a task.
+    cache: a Parquet folder of (digest, n_tokens) under a folder for each tokenizer, made if absent; None: one of this
+    call alone. A digest that two callers append at once is counted once when read. Texts move once, after copies are
+    merged in each map task, so a text that a third of all rows share costs one row a task. Bytes that are no UTF-8 count
+    as n_bytes, and as the replacement character for the tokenizer. Very long texts are encoded whole, one at a time;
+    extra columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    version, kind, data = tokenizer_version(tokenizer)
     cache = cache or scratch_path(spark, "token-cache")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
-    misses = keyed.select("digest", "text")
-    stored = lambda: spark.read.parquet(cache).where(F.col("tokenizer") == version).select("digest", "n_tokens")
-    if _exists(spark, cache):
-        misses = misses.join(stored(), "digest", "left_anti")
-    misses = misses.groupBy("digest").agg(F.first("text").alias("text"))
-    counted = misses.mapInArrow(_encoder(version, kind, spark.sparkContext.broadcast(data)), "digest binary, n_tokens long")
-    counted.withColumn("tokenizer", F.lit(version)).write.mode("append").parquet(cache)
-    counts = written(stored().groupBy("digest").agg(F.min("n_tokens").alias("n_tokens")), "token-counts")
-    slim = keyed.drop("text")
+    warm(docs, tokenizer, cache, text_col)
+    counts = _stored(spark, cache, tokenizer_version(tokenizer)[0])
+    n_bytes = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
+    slim = docs.select(F.col(id_col), _digest(_normal(text_col)).alias("digest"), n_bytes.alias("n_bytes"))
     return slim.join(counts, "digest").select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+
+
+def token_counts_in_parts(docs: DataFrame, tokenizer: str, cache: str | None = None, parts: int = 8, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """token_counts over a table that comes in two deliveries: one in `parts` of the ids first, then all rows against its counts."""
+    cache = cache or scratch_path(docs.sparkSession, "token-cache")
+    warm(docs.where(F.pmod(F.xxhash64(id_col), F.lit(parts)) == 0), tokenizer, cache, text_col)
+    return token_counts(docs, tokenizer, cache, limit, id_col, text_col)
