@@ -1,8 +1,8 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
-Terms are words and their first five bytes (which joins inflected forms), hashed into 2^BITS cells. A text is a unit
-vector over the cells that it has, weighted by rarity; cells of fewer than LEAST training texts weigh nothing. The
-machine adds a linear part and, through RANK factors a cell, a weight for every pair of terms: an insult next to the
+Terms are words and their first five bytes (which joins inflected forms), hashed into 2^BITS cells. A text is a vector
+over the cells that it has, each weighted by how surely the training texts with it differ in label, alone or together
+with another cell; what tells in neither way weighs nothing. The machine adds a linear part and, through RANK factors a cell, a weight for every pair of terms: an insult next to the
 mention of a group can count for more, or less, than both alone.
 """
 
@@ -23,7 +23,10 @@ from sparkwarden.llm.quality import held_out, labelled
 TRAIN_ROWS = 12_000
 THRESHOLD = 0.7
 BITS, RANK, LEAST, EPOCHS, BATCH, RATE, L2, G0 = 18, 8, 3, 12, 128, 0.2, 1e-3, 1.0
-Z_LEAST, Z_FULL = 3.5, 10.0
+#: |z| from which a cell counts on its own or as one of a pair (half a million pairs are looked at), and that of full weight.
+Z_LEAST, Z_PAIR, Z_FULL = 3.5, 6.0, 10.0
+#: Cells whose pairs are screened: those that most texts, or fewest, are without or with.
+PAIR_CELLS = 1024
 STEM = 5
 
 
@@ -81,18 +84,58 @@ class Machine:
 
 
 def association(seen: np.ndarray, toxic: np.ndarray, n: int, positive: float) -> np.ndarray:
-    """How surely a cell's texts differ in label from the others: |z| of the two shares over Z_FULL, 0 below Z_LEAST."""
+    """|z| of the share of toxic texts among those with a cell against the others; 0 for cells of fewer than LEAST texts."""
     other = np.maximum(n - seen, 1)
     share = positive / max(n, 1)
     spread = np.sqrt(max(share * (1 - share), 1e-9) * (1 / np.maximum(seen, 1) + 1 / other))
     z = np.abs(toxic / np.maximum(seen, 1) - (positive - toxic) / other) / spread
-    return np.where((seen >= LEAST) & (z >= Z_LEAST), np.minimum(z / Z_FULL, 1.0), 0.0).astype(np.float32)
+    return np.where(seen >= LEAST, z, 0.0)
+
+
+def interaction(cell: np.ndarray, bounds: np.ndarray, y: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """The largest |z| over all partners of each of the cells `used`: by how much the toxic share of texts with both cells
+    of a pair differs from what either alone adds up to (a pair counts if LEAST texts have both, each alone and neither)."""
+    n, m = len(y), len(used)
+    column = np.full(1 << BITS, -1)
+    column[used] = np.arange(m)
+    at = column[cell]
+    has = np.zeros((n, m), dtype=np.float32)
+    has[np.repeat(np.arange(n), np.diff(bounds))[at >= 0], at[at >= 0]] = 1
+    out = np.zeros(m)
+    one, one_toxic = has.sum(axis=0), y.astype(np.float32) @ has
+    for k in range(0, m, 256):  # bounds the work arrays
+        both, both_toxic = has[:, k : k + 256].T @ has, (has[:, k : k + 256] * y[:, None].astype(np.float32)).T @ has
+        rows, toxic = [both, one[k : k + 256, None] - both, one - both], [both_toxic, one_toxic[k : k + 256, None] - both_toxic, one_toxic - both_toxic]
+        rows.append(n - rows[0] - rows[1] - rows[2])
+        toxic.append(y.sum() - toxic[0] - toxic[1] - toxic[2])
+        share = [(t + 0.5) / (r + 1) for r, t in zip(rows, toxic, strict=True)]
+        spread = np.sqrt(sum(p * (1 - p) / np.maximum(r, 1) for r, p in zip(rows, share, strict=True)))
+        z = np.abs(share[0] - share[1] - share[2] + share[3]) / spread
+        z[np.minimum.reduce(rows) < LEAST] = 0
+        out[k : k + 256] = z.max(axis=1)
+    return out
+
+
+def weights(cell: np.ndarray, bounds: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """0 to 1 for each cell: how surely it tells on its own (from Z_LEAST on) or as one of a pair (from Z_PAIR on, by the PAIR_CELLS
+    cells that parted texts most evenly)."""
+    size, n = 1 << BITS, len(y)
+    seen = np.bincount(cell, minlength=size)
+    own = association(seen, np.bincount(cell, np.repeat(y, np.diff(bounds)), size), n, float(y.sum()))
+    out = np.where(own >= Z_LEAST, np.minimum(own / Z_FULL, 1.0), 0.0)
+    even = np.minimum(seen, n - seen)
+    used = np.argsort(-even, kind="stable")[:PAIR_CELLS]
+    used = used[even[used] >= 2 * LEAST]
+    if len(used) > 1:
+        z = interaction(cell, bounds, y, used)
+        out[used] = np.maximum(out[used], np.where(z >= Z_PAIR, np.minimum(z / Z_FULL, 1.0), 0.0))
+    return out.astype(np.float32)
 
 
 def fit(cell: np.ndarray, bounds: np.ndarray, y: np.ndarray, rank: int = RANK, epochs: int = EPOCHS) -> Machine:
     """A machine fitted by AdaGrad over small batches, in a fixed shuffled order; rank 0 leaves the linear part alone."""
     size, n = 1 << BITS, len(y)
-    weight = association(np.bincount(cell, minlength=size), np.bincount(cell, np.repeat(y, np.diff(bounds)), size), n, float(y.sum()))
+    weight = weights(cell, bounds, y)
     rng = np.random.default_rng(7)
     share = (y.sum() + 1) / (n + 2)
     m = Machine(weight, np.zeros(size, np.float32), (0.05 * rng.standard_normal((size, rank))).astype(np.float32), float(np.log(share / (1 - share))))

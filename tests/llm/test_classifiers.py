@@ -107,3 +107,56 @@ def test_edges(spark, docs, rows, empty):
     assert {r.score for r in quality.quality_scores(docs, none).collect()} == {0.5}
     kept = quality.accepted(docs, none)
     assert kept.columns == docs.columns and kept.count() == 0
+
+
+def _cells_of(texts):
+    cells, bounds = [], [0]
+    for c, b in toxicity._cells(pa.array(texts)):
+        cells.append(c)
+        bounds += (b[1:] + bounds[-1]).tolist()
+    return np.concatenate(cells), np.array(bounds)
+
+
+def test_terms_that_tell_only_together_are_learnt():
+    """Toxic are texts with both or neither of two words: no word tells anything on its own."""
+    rng = random.Random(6)
+    texts, y = [], []
+    for _ in range(4500):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        t = [f"w{rng.randrange(60)}" for _ in range(30)] + ["alpha"] * a + ["gamma"] * b
+        rng.shuffle(t)
+        texts.append(" ".join(t))
+        y.append(float(a == b))
+    model = toxicity.fit(*_cells_of(texts[:3000]), np.array(y[:3000]))
+    assert ((model.predict(pa.array(texts[3000:])) > 0.5) == np.array(y[3000:])).mean() > 0.95
+    noise = toxicity.weights(*_cells_of(texts[:3000]), np.array([float(rng.random() < 0.5) for _ in range(3000)]))
+    assert (noise > 0).sum() <= 2
+
+
+def test_margin_is_the_sum_over_all_pairs():
+    rng = np.random.default_rng(3)
+    size = 1 << toxicity.BITS
+    m = toxicity.Machine(rng.random(size).astype(np.float32), rng.standard_normal(size).astype(np.float32), rng.standard_normal((size, 4)).astype(np.float32), 0.3)
+    cells = [rng.choice(size, k, replace=False) for k in (0, 1, 2, 9, 40)]
+    got, _ = m.margin(np.concatenate(cells).astype(np.int32), np.cumsum([0, *map(len, cells)]), m.vector(np.concatenate(cells).astype(np.int32)))
+    for row, value in zip(cells, got, strict=True):
+        x, v = m.weight[row].astype(float), m.factors[row].astype(float)
+        want = 0.3 + sum(m.linear[c] * w for c, w in zip(row, x, strict=True)) + sum(v[i] @ v[j] * x[i] * x[j] for i in range(len(row)) for j in range(i))
+        assert np.isclose(value, want, rtol=1e-4, atol=1e-4)
+
+
+def test_fitted_trees_lower_the_loss_at_every_tree():
+    """Boosting by definition: each further tree of the fitted model brings the training loss down."""
+    rng = np.random.default_rng(5)
+    x = rng.random((800, len(quality.STATS)))
+    y = (x[:, 1] + 0.3 * rng.standard_normal(800) > 0.5).astype(float)
+    model = quality.fit(x, y)
+    margin, losses = np.full(len(y), model.base), []
+    for root in model.roots:
+        node = np.full(len(y), root)
+        for _ in range(quality.DEPTH + 1):
+            node = np.where(model.left[node] == node, node, np.where(x[np.arange(len(y)), model.stat[node]] <= model.cut[node], model.left[node], model.right[node]))
+        margin = margin + model.value[node]
+        p = np.clip(1 / (1 + np.exp(-margin)), 1e-9, 1 - 1e-9)
+        losses.append(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
+    assert np.allclose(1 / (1 + np.exp(-margin)), model.predict(x)) and (np.diff(losses) <= 1e-9).all() and losses[-1] < 0.6 * losses[0]
