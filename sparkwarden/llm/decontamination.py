@@ -5,12 +5,13 @@ that shares enough of them with an item is tiled against it: the longest common
 by rolling hashes, marked on both sides, and the search goes on until no run of SEED words is left. The share of an
 item's words under tiles is its coverage, whatever order its passages stand in.
 
-The seed table of the benchmark is broadcast in blocks of at most BLOCK_WORDS words, so what a task holds is bounded
-however large the benchmark grows; every block is joined with all documents, and nothing is shuffled.
+The seed table of the benchmark is broadcast in blocks of at most BLOCK_WORDS words, one at a time, so what a task and the
+driver hold is bounded however large the benchmark grows; every block is joined with all documents, and no text is shuffled.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -19,63 +20,143 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwarden.llm.common import gram_hashes, slices, span_hashes, text_bytes, word_hashes
+from sparkwarden.llm.common import forget, gram_hashes, prefix_sums, slices, span_hashes, sums_hashes, text_bytes, word_hashes, written
 
 SEED, COVERAGE = 5, 0.8
 #: Words of the benchmark that are broadcast at once.
 BLOCK_WORDS = 4_000_000
 
 
-def _windows(words: np.ndarray, n: int) -> np.ndarray:
-    at = np.arange(len(words) - n + 1)
-    return span_hashes(words, at, at + n)
+class _Side:
+    """A sequence of words and which of them are free: hashes and free runs of any length from prefix sums, in linear time."""
 
+    def __init__(self, words: np.ndarray):
+        self.words, self.free = words, np.ones(len(words), dtype=np.int64)
+        self.sums, self.taken = prefix_sums(words), np.zeros(len(words) + 1, dtype=np.int64)
 
-def _longest(item: np.ndarray, doc: np.ndarray, free_i: np.ndarray, free_d: np.ndarray, most: int) -> int:
+    def mark(self, at: int, n: int) -> bool:
+        """Takes the n words from `at` on, if all are free."""
+        if not self.free[at : at + n].all():
+            return False
+        self.free[at : at + n] = 0
+        return True
+
+    def note(self) -> None:
+        """Lets open_runs() see what was taken."""
+        np.cumsum(1 - self.free, out=self.taken[1:])
+
+    def open_runs(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the free runs of n words, and their hashes."""
+        at = np.flatnonzero(self.taken[n:] == self.taken[:-n]) if n <= len(self.words) else np.zeros(0, np.int64)
+        return at, sums_hashes(self.sums, at, at + n)
+
+
+def _common(item: _Side, doc: _Side, n: int):
+    """Free runs of n words that both sides have: starts and hashes in the item, and in the document."""
+    (at_i, hash_i), (at_d, hash_d) = item.open_runs(n), doc.open_runs(n)
+    both = np.intersect1d(hash_i, hash_d)
+    in_i, in_d = np.isin(hash_i, both), np.isin(hash_d, both)
+    return at_i[in_i], hash_i[in_i], at_d[in_d], hash_d[in_d]
+
+
+def _longest(item: _Side, doc: _Side, most: int) -> int:
     """Length of the longest common run of free words, at most `most`, 0 if under SEED: common runs of n words imply ones of n-1."""
     low, high = SEED - 1, most
     while low < high:
         n = (low + high + 1) // 2
-        low, high = (n, high) if _common(item, doc, free_i, free_d, n)[0].size else (low, n - 1)
+        low, high = (n, high) if len(_common(item, doc, n)[0]) else (low, n - 1)
     return low if low >= SEED else 0
 
 
-def _common(item, doc, free_i, free_d, n):
-    """Starts of the free runs of n words that both sides have: positions in the item and in the document."""
-    if n > len(item) or n > len(doc):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    open_i = np.flatnonzero(np.convolve(free_i, np.ones(n, int), "valid") == n)
-    open_d = np.flatnonzero(np.convolve(free_d, np.ones(n, int), "valid") == n)
-    hi, hd = _windows(item, n)[open_i], _windows(doc, n)[open_d]
-    return open_i[np.isin(hi, hd)], open_d[np.isin(hd, hi)]
+def _shared(item: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which words of the document lie in a run of SEED words that the item has: no tile can take another."""
+    out = np.zeros(len(doc) + 1, dtype=np.int64)
+    at = np.flatnonzero(np.isin(gram_hashes(doc, SEED), gram_hashes(item, SEED)))
+    np.add.at(out, at, 1)
+    np.add.at(out, at + SEED, -1)
+    return np.cumsum(out)[:-1] > 0
 
 
-def tile(item: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int]]:
-    """Greedy tiles (item position, document position, words), longest first, none of under SEED words."""
-    free_i, free_d = np.ones(len(item), int), np.ones(len(doc), int)
-    tiles, most = [], min(len(item), len(doc))
-    while n := _longest(item, doc, free_i, free_d, most):
-        at_i, at_d = _common(item, doc, free_i, free_d, n)
+def _by_length(item: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int]]:
+    """Tiles where runs repeat so often that their pairs cannot be listed: the longest length by bisection, all its tiles, the next.
+
+    The document is first cut down to the words that a tile could take, with one word that matches nothing in each gap.
+    """
+    shared = _shared(item, doc)
+    keep = shared | np.concatenate([[False], shared[:-1]])
+    place = np.flatnonzero(keep)
+    a, b = _Side(item), _Side(doc[keep])
+    b.free[~shared[keep]] = 0
+    b.note()
+    tiles, most = [], min(len(item), len(place))
+    while n := _longest(a, b, most):
+        at_i, hash_i, at_d, hash_d = _common(a, b, n)
         places: dict[int, list[int]] = {}
-        for d, h in zip(at_d.tolist(), _windows(doc, n)[at_d].tolist(), strict=True):
+        for d, h in zip(at_d.tolist(), hash_d.tolist(), strict=True):
             places.setdefault(h, []).append(d)
-        for i, h in zip(at_i.tolist(), _windows(item, n)[at_i].tolist(), strict=True):
-            for d in places[h]:
-                if free_i[i : i + n].all() and free_d[d : d + n].all() and (item[i : i + n] == doc[d : d + n]).all():
-                    tiles.append((i, d, n))
-                    free_i[i : i + n] = free_d[d : d + n] = 0
+        for i, h in zip(at_i.tolist(), hash_i.tolist(), strict=True):
+            for k, d in enumerate(places[h]):
+                if not a.free[i : i + n].all():
+                    break
+                if (a.words[i : i + n] == b.words[d : d + n]).all() and b.mark(d, n):
+                    a.mark(i, n)
+                    tiles.append((i, int(place[d]), n))
+                    places[h] = places[h][k + 1 :]
+                    break
+        a.note()
+        b.note()
         most = n
     return tiles
 
 
+#: Pairs of equal seeds for each word of both sides up to which tile() lists them.
+LISTED = 8
+
+
+def tile(item: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int]]:
+    """Greedy tiles (item position, document position, words), longest first, none of under SEED words.
+
+    Equal seeds that follow each other on both sides are one run. The longest run is taken if all of it is still free,
+    else what is free of it goes back among the others, so every run is looked at once and for each tile that cuts it.
+    """
+    of_item, of_doc = gram_hashes(item, SEED), gram_hashes(doc, SEED)
+    order = np.argsort(of_item, kind="stable")
+    low, high = (np.searchsorted(of_item[order], of_doc, side=x) for x in ("left", "right"))
+    count = high - low
+    if count.sum() > LISTED * (len(item) + len(doc)):
+        return _by_length(item, doc)
+    d = np.repeat(np.arange(len(of_doc)), count)
+    i = order[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)]
+    k = np.lexsort((i, d - i))
+    i, d = i[k], d[k]
+    begins = np.flatnonzero(np.concatenate([[True], (np.diff(d - i) != 0) | (np.diff(i) != 1)])) if len(i) else np.zeros(0, np.int64)
+    runs = [(-int(n) - SEED + 1, int(x), int(y)) for n, x, y in zip(np.diff(np.concatenate([begins, [len(i)]])), i[begins], d[begins], strict=True)]
+    heapq.heapify(runs)
+    free_i, free_d, tiles = np.ones(len(item), dtype=bool), np.ones(len(doc), dtype=bool), []
+    while runs:
+        n, x, y = heapq.heappop(runs)
+        n = -n
+        good = free_i[x : x + n] & free_d[y : y + n] & (item[x : x + n] == doc[y : y + n])
+        if good.all():
+            tiles.append((x, y, n))
+            free_i[x : x + n] = free_d[y : y + n] = False
+            continue
+        step = np.diff(np.concatenate([[0], good.view(np.int8), [0]]))
+        for a, b in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True):
+            if b - a >= SEED:
+                heapq.heappush(runs, (a - b, x + a, y + a))
+    return tiles
+
+
 class Seeds:
-    """The seeds of a block of items: sorted hashes, with the items and positions that have them."""
+    """The seeds of a block of items: sorted hashes, with the items and positions that have them; short items by their whole."""
 
     def __init__(self, ids: list, texts: list[str]):
         raw, offsets = text_bytes(pc.utf8_lower(pa.array(texts, pa.string())))
         words, rows, _, _ = word_hashes(raw, offsets)
         self.ids, self.items = ids, [words[a:b] for a, b in zip(rows[:-1], rows[1:], strict=True)]
         grams = [gram_hashes(w, SEED) for w in self.items]
+        self.short = {self.whole(w): k for k, w in enumerate(self.items) if 0 < len(w) < SEED}
         owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         place = np.concatenate([np.arange(len(g)) for g in grams] or [np.zeros(0, int)])
         every = np.concatenate([*grams, np.zeros(0, np.uint64)]).astype(np.uint64)
@@ -86,6 +167,10 @@ class Seeds:
         self.screen = np.zeros(1 << 22, dtype=bool)
         self.screen[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
 
+    @staticmethod
+    def whole(words: np.ndarray) -> int:
+        return int(span_hashes(words, np.array([0]), np.array([len(words)]))[0])
+
     def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of grams that are seeds, and which."""
         at = np.flatnonzero(self.screen[(grams >> np.uint64(42)).astype(np.int64)])
@@ -126,31 +211,45 @@ def _found(column: pa.Array, seeds: Seeds, coverage: float):
         for r in np.unique(row):
             for got in seeds.covered(words[rows[r] : rows[r + 1]], which[row == r], coverage):
                 yield (a + int(r), *got)
+        for r in np.flatnonzero(np.diff(rows) < SEED).tolist() if seeds.short else []:
+            own = words[rows[r] : rows[r + 1]]
+            if len(own) and (k := seeds.short.get(seeds.whole(own))) is not None:
+                yield (a + r, seeds.ids[k], len(own), len(own), 1, len(own))
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
-    """The benchmark's items in blocks of at most BLOCK_WORDS words (an item of more is a block), each ready to broadcast.
+def _blocks(items: DataFrame):
+    """The distinct items (item, text) in blocks of at most BLOCK_WORDS words (an item of more is a block), each ready to broadcast.
 
-    The blocks are cut by a hash of the text; their number comes from the size of the benchmark, their content is read
-    one block at a time.
+    The blocks are cut by a hash of the text; their number comes from the size of the benchmark. One block is read,
+    broadcast and given up before the next.
     """
-    items = benchmark.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     n = math.ceil(total / (BLOCK_WORDS / 2))
     for k in range(n):
-        got = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).orderBy("id", "text").toArrow()
-        yield benchmark.sparkSession.sparkContext.broadcast(Seeds(got["id"].to_pylist(), got["text"].to_pylist()))
+        got = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).orderBy("item").toArrow()
+        yield items.sparkSession.sparkContext.broadcast(Seeds(got["item"].to_pylist(), got["text"].to_pylist())), n
+
+
+def _distinct_items(benchmark: DataFrame, text_col: str) -> DataFrame:
+    """(item: a hash of the text, text): equal items are one, so a repeated item does not fill a block."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return written(benchmark.select(F.xxhash64(text).alias("item"), text.alias("text")).distinct(), "benchmark")
+
+
+_HITS = ["item_words", "covered_words", "tiles", "longest"]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """id, item_id, item_words, covered_words, coverage, tiles, longest for each document and item that it covers enough of.
 
-    Words are runs of letters and digits, case folded. Null and empty texts, and items of under SEED words, match
-    nothing. Repeated documents and items give repeated rows; ties between equally long tiles go to the first in the item.
+    Words are runs of letters and digits, case folded. Null and empty texts and items match nothing; an item of under
+    SEED words is in a document that has these words and no others. Repeated documents and items give repeated rows;
+    of equally long tiles the first in the item is taken, then the first in the document. A long text costs in
+    proportion to its length and to what it shares with an item. Only the named columns are read.
     """
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kinds = slim.schema["id"].dataType, benchmark.schema[item_col].dataType
-    schema = f"id {kinds[0].simpleString()}, item {kinds[1].simpleString()}, item_words long, covered_words long, tiles long, longest long"
+    schema = f"id {slim.schema['id'].dataType.simpleString()}, item long, " + ", ".join(f"{c} long" for c in _HITS)
+    items = _distinct_items(benchmark, "text")
 
     def search(block):
         def run(batches):
@@ -158,23 +257,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
                 rows = list(_found(b.column(1), block.value, coverage))
                 if rows:
                     take = b.column(0).take(pa.array([r[0] for r in rows]))
-                    items = pa.array([r[1] for r in rows])
-                    yield pa.RecordBatch.from_arrays([take, items, *[pa.array([r[k] for r in rows], pa.int64()) for k in range(2, 6)]], names=["id", "item", "item_words", "covered_words", "tiles", "longest"])
+                    yield pa.RecordBatch.from_arrays([take, *[pa.array([r[k] for r in rows], pa.int64()) for k in range(1, 6)]], names=["id", "item", *_HITS])
 
         return slim.mapInArrow(run, schema)
 
-    parts = [search(b) for b in _blocks(benchmark, item_col, "text")]
-    out = parts[0] if parts else docs.sparkSession.createDataFrame([], schema)
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "item_words", "covered_words", (F.col("covered_words") / F.col("item_words")).alias("coverage"), "tiles", "longest")
+    out = docs.sparkSession.createDataFrame([], schema)
+    for block, n in _blocks(items):
+        found = search(block)
+        if n > 1:
+            found = written(found, "benchmark-hits")
+            block.destroy()
+        out = found if n == 1 else out.unionByName(found)
+    names = benchmark.select(F.col(item_col).alias("item_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("item"))
+    out = out.join(names, "item")
+    return out.select(F.col("id").alias(id_col), F.col("item_id").alias(item_col), "item_words", "covered_words", (F.col("covered_words") / F.col("item_words")).alias("coverage"), "tiles", "longest")
+
 
+def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, text_col: str = "text") -> DataFrame:
+    """The rows of docs that cover no item enough (see contaminated()), with all their columns and repeats; one pass over docs a block, no shuffle.
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """The rows of docs that cover no item enough, with all their columns; one pass over docs a block, no shuffle."""
+    With several blocks, what a block leaves is written before the next block is read, so one block is held at a time.
+    """
     at, names = docs.columns.index(text_col), docs.columns
-    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
-    for block in _blocks(benchmark, item_col, "text"):
+    plain, before = docs.toDF(*[f"c{k}" for k in range(len(names))]), None
+    for block, n in _blocks(_distinct_items(benchmark, "text")):
 
         def keep(batches, block=block):
             for b in batches:
@@ -183,4 +289,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVE
                 yield b.filter(pa.array(good))
 
         plain = plain.mapInArrow(keep, plain.schema)
+        if n > 1:
+            plain = written(plain, "uncontaminated")
+            block.destroy()
+            forget(before)
+            before = plain
     return plain.toDF(*names)

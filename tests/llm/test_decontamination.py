@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -26,7 +27,7 @@ def brute_cover(item, doc, least=5):
         total += n
 
 
-def test_tiles_cover_what_plain_tiling_covers():
+def test_tiles_cover_what_plain_tiling_covers(monkeypatch):
     rng = random.Random(1)
     for _ in range(60):
         item = [rng.randrange(12) for _ in range(rng.randrange(0, 30))]
@@ -34,9 +35,12 @@ def test_tiles_cover_what_plain_tiling_covers():
         if item and rng.random() < 0.7:
             cut = rng.randrange(len(item))
             doc[5:5] = item[cut:] + [99] + item[:cut]  # reordered
-        tiles = D.tile(np.array(item, dtype=np.uint64), np.array(doc, dtype=np.uint64))
-        assert all(item[i : i + n] == doc[j : j + n] and n >= 5 for i, j, n in tiles)
-        assert sum(n for *_, n in tiles) == brute_cover(item, doc)
+        for listed in (8, 0):  # by listed runs, and by length
+            monkeypatch.setattr(D, "LISTED", listed)
+            tiles = D.tile(np.array(item, dtype=np.uint64), np.array(doc, dtype=np.uint64))
+            assert all(item[i : i + n] == doc[j : j + n] and n >= 5 for i, j, n in tiles)
+            assert len({k for i, _, n in tiles for k in range(i, i + n)}) == len({k for _, j, n in tiles for k in range(j, j + n)}) == sum(n for *_, n in tiles)
+            assert sum(n for *_, n in tiles) == brute_cover(item, doc)
 
 
 @pytest.fixture(scope="module")
@@ -52,6 +56,7 @@ def test_operator(spark, docs, rows, empty, benchmark, monkeypatch):
     w = items[3].split()
     more = [
         (900, "Lead in. " + items[1].upper() + ", and out", 0), (901, " ".join(w[len(w) // 2 :]) + " between " + " ".join(w[: len(w) // 2]), 0),
+        (905, "Too, SHORT!", 0), (906, "too short by a word", 0),
         (902, " ".join(w[: len(w) // 3]), 0), (903, items[0] + "\n" + items[2], 0), (904, items[5].replace(" ", "\n\t"), 0), (904, items[5].replace(" ", "\n\t"), 0),
     ]
     every = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string, x int").drop("x"))
@@ -59,9 +64,9 @@ def test_operator(spark, docs, rows, empty, benchmark, monkeypatch):
     for i, t in [(r[0], r[1]) for r in rows] + [(m[0], m[1]) for m in more]:
         for k, item in items.items():
             a = split(item)
-            if len(a) >= 5 and len(split(t)) < 1000 and brute_cover(a, split(t)) >= 0.8 * len(a):
+            if (len(a) >= 5 and len(split(t)) < 1000 and brute_cover(a, split(t)) >= 0.8 * len(a)) or (0 < len(a) < 5 and split(t) == a):
                 want.add((i, k))
-    assert {900, 901, 903, 904} <= {i for i, _ in want} and 902 not in {i for i, _ in want}
+    assert {900, 901, 903, 904, 905} <= {i for i, _ in want} and not {902, 906} & {i for i, _ in want}
     for words in (4_000_000, 60):  # in one block, and in many
         monkeypatch.setattr(D, "BLOCK_WORDS", words)
         got = D.contaminated(every, benchmark).collect()
@@ -69,5 +74,31 @@ def test_operator(spark, docs, rows, empty, benchmark, monkeypatch):
         assert len(got) == len(want) + sum(i == 904 for i, _ in want)
         clean = D.decontaminated(docs, benchmark)
         assert clean.columns == docs.columns and clean.count() == len(rows)
-        assert D.decontaminated(every, benchmark).count() == len(rows) + 1
+        assert D.decontaminated(every, benchmark).count() == len(rows) + 2
     assert D.contaminated(empty, benchmark).count() == 0 and D.contaminated(docs, benchmark.limit(0)).count() == 0 and D.decontaminated(empty, benchmark).count() == 0
+
+
+def test_long_texts(spark):
+    """Tiles of texts of 80,000 words in a moment, and passages deep inside long texts are found."""
+    rng = np.random.default_rng(0)
+    a = rng.integers(0, 1 << 60, 80_000).astype(np.uint64)
+    b = a.copy()
+    b[rng.integers(0, len(b), 1600)] = 7
+    began = time.time()
+    assert sum(n for *_, n in D.tile(a, b)) > 75_000
+    same = np.full(80_000, 5, dtype=np.uint64)
+    assert D.tile(same[:40_000], same) == [(0, 0, 40_000)] and D.tile(a[:50], np.concatenate([a[50:], a[:50]])) == [(0, 79_950, 50)]
+    assert time.time() - began < 5
+    words = [f"w{k}" for k in range(60_000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:100])), (3, "x " * 60_000)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(words[40_000:40_040])), (8, " ".join(words[100:50_000])), (9, "x " * 30_000)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.coverage) for r in D.contaminated(docs, items).collect()} == {(1, 7, 1.0), (1, 8, 1.0), (3, 9, 1.0)}
+
+
+def test_repeated_items_do_not_fill_a_block(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK_WORDS", 100)
+    text = " ".join(f"w{k}" for k in range(20))
+    items = spark.createDataFrame([(k, text) for k in range(300)] + [(None, text)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, text), (None, text)], "doc_id long, text string")
+    assert len(list(D._blocks(D._distinct_items(items, "text")))) == 1
+    assert D.contaminated(docs, items).count() == 602
