@@ -4,14 +4,13 @@ A source with target T and size S takes each document T/S times. The whole part
 parts are rounded by pairs: word mass moves at random from one document to the other until one of the two is taken
 wholly or not at all, which keeps every document's expectation and the source's sum. Leaves of about LEAF documents
 (dealt by a hash, so a hot source has many) each leave at most one document undecided; those residuals meet again in
-a tree of FAN-way groups, and only the last of a source is rounded alone; what that leaves over or short of the target is
-worked off by flipping documents of the last group.
+a tree of FAN-way groups, and only the last of a source is rounded alone. That is the whole rounding; mix(exact=True) adds
+a step of its own, which flips documents of the last group until the source is as near its target as they can bring it
+(those few documents then no longer have their expectation).
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,7 +20,7 @@ from sparkwarden.llm.common import WORD_RE, written
 
 WEIGHTS, MOST, LEAF, FAN, SEED = (5.0, 2.0, 1.0), 3.0, 1024, 64, 20240
 
-_ROW = "id {id}, src int, bucket long, size long, source_size long, target double, whole int, frac double, copies int, round_key long"
+_ROW = "id {id}, src long, bucket long, size long, source_size long, target double, whole int, frac double, copies int, round_key long, n long"
 
 
 def targets(sizes: dict[str | None, int], weights=WEIGHTS, most: float = MOST) -> dict[str | None, float]:
@@ -80,48 +79,76 @@ def work_off(size: np.ndarray, extra: np.ndarray, error: float) -> np.ndarray:
     return extra
 
 
-def _round(level: int, last: bool):
+def _round(level: int, last: bool, exact: bool):
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.loc[pdf.index.repeat(pdf["n"])]  # rows that are equal came as one
         pdf = pdf.sort_values(["size", "round_key"], ascending=[False, True], kind="stable").reset_index(drop=True)
         rng = np.random.default_rng([SEED, level, int(pdf["src"].iloc[0]), int(pdf["bucket"].iloc[0]) // FAN**level])
         frac, size = pdf["frac"].to_numpy(dtype=float, copy=True), pdf["size"].to_numpy()
         mass, free = float((frac * size).sum()), (frac > 0) & (frac < 1)
         extra = settle(size, frac, rng, last)
-        if last and free.any():
+        if exact and last and free.any():
             extra[free] = work_off(size[free], extra[free], float((extra * size).sum()) - mass)
-        pdf["frac"], pdf["copies"] = frac, np.where(extra < 0, -1, pdf["whole"] + extra).astype(np.int32)
+        pdf["frac"], pdf["copies"], pdf["n"] = frac, np.where(extra < 0, -1, pdf["whole"] + extra).astype(np.int32), 1
         return pdf
 
     return group
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, most: float = MOST) -> DataFrame:
+def ranked_sources(sources: DataFrame) -> DataFrame:
+    """sources with src: their place by code point, from 0, null last. Only one number a partition reaches the driver."""
+    dealt = sources.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
+    dealt = written(dealt.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "mix-sources")
+    sizes = sorted((r["part"], r["n"]) for r in dealt.groupBy("part").agg(F.count("*").alias("n")).collect())
+    before = dict(zip([p for p, _ in sizes], np.cumsum([0, *[n for _, n in sizes]]).tolist(), strict=False))
+    offsets = sources.sparkSession.createDataFrame(list(before.items()), "part int, offset long")
+    return dealt.join(F.broadcast(offsets), "part").select(*sources.columns, (F.col("offset") + F.col("place")).alias("src"))
+
+
+def aims(sources: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFrame:
+    """(source, total, n) with src, weight and target, as targets() has them, however many sources there are.
+
+    A source is full where `most` times its size per unit of weight is below the level at which the others fill, which
+    rises as full ones leave; sums of whole numbers, so that the order of adding them does not matter.
+    """
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("src") % len(weights) + 1).cast("int"))
+    ranked = written(ranked_sources(sources).withColumn("weight", weight), "mix-weights")
+    full = F.col("total") * F.lit(most)
+    level, before = 0.0, None
+    while level != before:
+        is_full = full < F.lit(level) * F.col("weight")
+        row = ranked.agg(F.sum("total").alias("all"), F.sum(F.when(is_full, F.col("total"))).alias("gone"), F.sum(F.when(~is_full, F.col("weight"))).alias("open")).first()
+        before, level = level, (row["all"] - most * (row["gone"] or 0)) / row["open"] if row["open"] else level
+    return ranked.withColumn("target", F.when(full < F.lit(level) * F.col("weight"), full).otherwise(F.lit(level) * F.col("weight")).cast("double"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, most: float = MOST, exact: bool = True) -> DataFrame:
     """id, size, source_size, target, copies, taken per row of docs; reruns agree, whatever the partitioning.
 
-    size: words of the text (null: 0). Documents without words are taken 0 words. Repeated rows are rows of their own.
-    A null source is a source, the last. An empty table gives no rows. Only one row a source reaches the driver.
+    size: words of the text (null: 0). Documents without words are taken 0 words. Repeated rows are rows of their own
+    (rows equal in id, source and size travel as one with a count until they are rounded, LEAF at most in one place).
+    A null source is a source, the last; null ids are ids. An empty table gives no rows, extra columns are not read,
+    and a long text is only counted. What reaches the driver are sums and one number a partition, not the sources.
+    exact: see work_off(); without it each document is taken as often as its expectation says.
     """
-    spark = docs.sparkSession
-    sizes = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_RE)), F.lit(0)).cast("long").alias("size"))
-    sizes = written(sizes, "sizes")
-    totals = {r["source"]: (r["s"], r["n"]) for r in sizes.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()}
-    aim = targets({k: v[0] for k, v in totals.items()}, weights, most)
-    plan = []
-    for src, s in enumerate(sorted(totals, key=lambda s: (s is None, s or ""))):
-        total, n = totals[s]
-        times = min(most, aim[s] / total) if total else 0.0
-        whole = min(math.floor(times), math.floor(most))
-        plan.append((s, src, total, float(aim[s]), whole, times - whole, math.ceil(n / LEAF)))
-    deep = max([1, *[p[-1] for p in plan]])
-    plan = spark.createDataFrame(plan, f"source {sizes.schema['source'].dataType.simpleString()}, src int, source_size long, target double, whole int, frac double, buckets long")
-    key = F.xxhash64(F.lit(SEED), "id", "size")
-    rows = sizes.join(plan, sizes["source"].eqNullSafe(plan["source"])).select(
-        "id", "src", F.pmod(key, "buckets").alias("bucket"), "size", "source_size", "target", "whole", "frac", F.lit(-1).alias("copies"), key.alias("round_key")
-    )
+    sizes = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_RE)), F.lit(0)).cast("long").alias("size"))
+    sizes = written(sizes.groupBy("id", "source", "size").agg(F.count("*").alias("n")), "sizes")
+    plan = aims(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("total"), F.sum("n").alias("n")), weights, most)
+    times = F.coalesce(F.least(F.lit(float(most)), F.try_divide("target", "total")), F.lit(0.0))
+    plan = plan.select(F.col("source").alias("of"), "src", F.col("total").alias("source_size"), "target", times.alias("times"), F.ceil(F.col("n") / LEAF).alias("buckets"))
+    plan = written(plan.withColumn("whole", F.floor("times").cast("int")), "mix-plan")
+    deep = plan.agg(F.max("buckets")).first()[0] or 1
+    chunk = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / LEAF))).alias("chunk")
+    rows = sizes.select("id", "source", "size", F.col("n").alias("of_all"), chunk)
+    key = F.xxhash64(F.lit(SEED), "id", "size", "chunk")
+    rows = rows.join(plan, rows["source"].eqNullSafe(plan["of"])).select(
+        "id", "src", F.pmod(key, "buckets").alias("bucket"), "size", "source_size", "target", "whole", (F.col("times") - F.col("whole")).alias("frac"), F.lit(-1).alias("copies"), key.alias("round_key"),
+        F.least(F.lit(LEAF), F.col("of_all") - F.col("chunk") * LEAF).cast("long").alias("n"),
+    )
     schema, done, level = _ROW.format(id=sizes.schema["id"].dataType.simpleString()), [], 0
     while True:
         last = deep <= FAN**level
-        step = rows.groupBy("src", F.floor(F.col("bucket") / F.lit(FAN**level)).alias("leaf")).applyInPandas(_round(level, last), schema)
+        step = rows.groupBy("src", F.floor(F.col("bucket") / F.lit(FAN**level)).alias("leaf")).applyInPandas(_round(level, last, exact), schema)
         step = written(step, f"mix-{level}")
         done.append(step if last else step.where("copies >= 0"))
         if last:

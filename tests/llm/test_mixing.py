@@ -59,3 +59,52 @@ def test_operator(docs, rows, empty, monkeypatch):
     for (t, source_size), n in taken.items():
         assert abs(n - t) <= largest[t, source_size] + 1
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(7)).collect()))
+    plain = mixing.mix(docs, exact=False).collect()
+    assert len(plain) == len(rows) and all(g.copies in (math.floor(g.target / g.source_size), math.ceil(g.target / g.source_size)) for g in plain if g.size)
+
+
+def test_aims_are_the_targets(spark):
+    rng = np.random.default_rng(2)
+    for n in (1, 3, 40):
+        sizes = {f"s{k}é" if k % 3 else f"S{k}": int(rng.integers(0, 5) ** 6) for k in range(n)} | ({None: 77} if n > 1 else {})
+        rows = mixing.aims(spark.createDataFrame([(s, t, 1) for s, t in sizes.items()], "source string, total long, n long")).collect()
+        want = mixing.targets(sizes)
+        assert {r.source: round(r.target, 6) for r in rows} == {s: round(t, 6) for s, t in want.items()}
+        assert [r.source for r in sorted(rows, key=lambda r: r.src)] == sorted(sizes, key=lambda s: (s is None, s or ""))
+
+
+def test_repeated_rows_are_dealt_to_many_leaves(spark):
+    """20,000 rows of one id and size, and others of the source: no group of the first round holds more than a few leaves."""
+    rows = spark.range(20_000).selectExpr("7L doc_id", "'a b c' text", "'s' source").unionByName(spark.range(9_000).selectExpr("id + 10 doc_id", "'a b c d' text", "if(id % 9 = 0, 't', 's') source"))
+    plain = mixing._round
+
+    def watched(level, last, exact):
+        run = plain(level, last, exact)
+
+        def group(pdf):
+            assert level or pdf["n"].sum() <= 6 * mixing.LEAF
+            return run(pdf)
+
+        return group
+
+    mixing._round = watched
+    try:
+        got = mixing.mix(rows).groupBy("doc_id").agg({"*": "count", "taken": "sum"}).collect()
+    finally:
+        mixing._round = plain
+    assert len(got) == 9_001 and max(r["count(1)"] for r in got) == 20_000
+
+
+def test_expectations_hold_without_the_last_step(spark, monkeypatch):
+    """Over many seeds every document is taken as often as its source's target says."""
+    import pandas as pd
+
+    taken = np.zeros(60)
+    size = 1 + np.arange(60) % 7
+    for seed in range(1500):
+        monkeypatch.setattr(mixing, "SEED", seed)
+        pdf = pd.DataFrame({"id": range(60), "src": 0, "bucket": 0, "size": size, "source_size": 0, "target": 0.0, "whole": 1, "frac": 0.37, "copies": -1, "round_key": range(60), "n": 1})
+        out = mixing._round(0, True, False)(pdf).sort_values("id")
+        assert set(out["copies"]) <= {1, 2}
+        taken += out["copies"].to_numpy()
+    assert np.allclose(taken / 1500, 1.37, atol=0.06)
