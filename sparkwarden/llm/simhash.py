@@ -86,15 +86,16 @@ _TWO = [np.uint64(1 << a | 1 << b) for a in range(32) for b in range(a)]
 _BALL = [np.uint64(0), *_ONE]
 
 
-def _bucket_links(bucket: np.ndarray, fp: np.ndarray, exact: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links within runs of equal bucket; exact marks rows whose half was emitted unchanged. Buckets of one row link nothing."""
-    edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+def _bucket_links(bucket: np.ndarray, cell: np.ndarray, fp: np.ndarray, exact: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links within runs of equal bucket and cell; exact marks rows whose half was emitted unchanged. Runs of one row link nothing."""
+    new = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (cell[1:] != cell[:-1]), [True]])
+    edge = np.flatnonzero(new)
     many = np.repeat(np.diff(edge) > 1, np.diff(edge))
-    bucket, fp, exact = bucket[many], fp[many], exact[many]
+    half = (bucket >> np.int64(32)).astype(np.uint64)[many]
+    bucket, fp, exact = np.cumsum(new[:-1])[many], fp[many], exact[many]
     if not len(fp):
         return []
     bits = fp.view(np.uint64)
-    half = (bucket >> np.int64(32)).astype(np.uint64)
     other = np.where(half == 0, bits >> np.uint64(32), bits & np.uint64(0xFFFFFFFF))
     order = np.lexsort((other, bucket))
     bucket, fp, exact, other = bucket[order], fp[order], exact[order], other[order]
@@ -106,7 +107,7 @@ def _bucket_links(bucket: np.ndarray, fp: np.ndarray, exact: np.ndarray) -> list
     return links
 
 
-_SMALL = 64
+_SMALL, _PART = 64, 65_536
 
 
 def _three(bucket: np.ndarray, fp: np.ndarray, other: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -122,8 +123,8 @@ def _three(bucket: np.ndarray, fp: np.ndarray, other: np.ndarray) -> list[tuple[
         near = (b[d:] == b[:-d]) & (np.bitwise_count(o[d:] ^ o[:-d]) <= RADIUS)
         links.append((f[d:][near], f[:-d][near]))
     for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-        for part in range(lo, hi if hi - lo > _SMALL else lo, 4096):  # bounds the work arrays
-            k, f = other[part : min(part + 4096, hi)], fp[part : min(part + 4096, hi)]
+        for part in range(lo, hi if hi - lo > _SMALL else lo, _PART):  # bounds the work arrays
+            k, f = other[part : min(part + _PART, hi)], fp[part : min(part + _PART, hi)]
             keys, owners = np.concatenate([k ^ m for m in _BALL]), np.tile(f, len(_BALL))
             order = np.argsort(keys, kind="stable")
             keys, owners = keys[order], owners[order]
@@ -138,13 +139,14 @@ def _three(bucket: np.ndarray, fp: np.ndarray, other: np.ndarray) -> list[tuple[
 
 
 def _links(batches):
-    """Batches of (bucket, fp, exact) sorted by bucket within the partition; the last bucket of a batch waits for the next."""
+    """Batches of (bucket, cell, fp, exact) sorted by bucket and cell within the partition; the last run of a batch waits for the next."""
     rest = None
     for b in batches:
-        now = [np.asarray(b.column(k).to_numpy(zero_copy_only=False)) for k in range(3)]
+        now = [np.asarray(b.column(k).to_numpy(zero_copy_only=False)) for k in range(4)]
         if rest is not None:
             now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
-        cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
+        new = np.flatnonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1]))
+        cut = int(new[-1]) + 1 if len(new) else 0
         rest = [x[cut:] for x in now]
         yield from _as_batches(_bucket_links(*[x[:cut] for x in now]) if cut else [])
     if rest is not None and len(rest[0]):
@@ -160,15 +162,37 @@ def _as_batches(links):
             yield pa.RecordBatch.from_arrays([pa.array(pair[k : k + 100_000, 0]), pa.array(pair[k : k + 100_000, 1])], names=["a", "b"])
 
 
+#: Fingerprints that share a half from which its buckets are cut into cells.
+HOT = 3_000
+
+
+def _cells(hot: DataFrame) -> DataFrame:
+    """The rows of hot buckets, cut by their other half: at most one bit apart there, two share a quarter of the
+    fingerprint; equal in the bucket's half and at most three bits apart in the other, they share a byte of it."""
+    other = F.when(F.col("bucket") < F.lit(1 << 32), F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
+    part = lambda k, bits: F.shiftright(other, k * bits).bitwiseAND(F.lit((1 << bits) - 1)).bitwiseOR(F.lit((k + bits) << 32))
+    quarters = hot.select("bucket", F.explode(F.array(*[part(k, 16) for k in range(2)])).alias("cell"), "fp", F.lit(False).alias("exact"))
+    return quarters.unionByName(hot.where("exact").select("bucket", F.explode(F.array(*[part(k, 8) for k in range(4)])).alias("cell"), "fp", "exact"))
+
+
 def links(fps: DataFrame) -> DataFrame:
-    """(a, b): links between distinct fingerprints of column fp that connect all those at most three bits apart."""
+    """(a, b): links between distinct fingerprints of column fp that connect all those at most three bits apart.
+
+    A half that very many fingerprints share would make its buckets the work of one task each: those buckets are cut
+    into cells by the other half. No link is lost by that, and the other buckets are as they were.
+    """
     distinct = fps.select("fp").where(F.col("fp").isNotNull()).distinct()
     low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
     flips = F.expr("transform(sequence(-1, 31), i -> if(i < 0, 0L, shiftleft(1L, i)))")
-    halves = F.array(low, high.bitwiseOR(F.lit(1 << 32)))
-    emitted = distinct.select("fp", F.explode(halves).alias("half")).select("fp", "half", F.explode(flips).alias("flip"))
-    emitted = emitted.select(F.col("half").bitwiseXOR(F.col("flip")).alias("bucket"), "fp", (F.col("flip") == 0).alias("exact"))
-    dealt = emitted.repartition("bucket").sortWithinPartitions("bucket")
+    halves = distinct.select("fp", F.explode(F.array(low, high.bitwiseOR(F.lit(1 << 32)))).alias("half"))
+    flipped = F.col("half").bitwiseXOR(F.col("flip")).alias("bucket")
+    emitted = halves.select("fp", "half", F.explode(flips).alias("flip")).select(flipped, F.lit(0).cast("long").alias("cell"), "fp", (F.col("flip") == 0).alias("exact"))
+    hot = halves.groupBy("half").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("half", F.explode(flips).alias("flip")).select(flipped).distinct()
+    hot = written(hot, "hot-buckets")
+    dealt = emitted
+    if hot.limit(1).count():
+        dealt = emitted.join(hot, "bucket", "left_anti").unionByName(_cells(emitted.join(hot, "bucket", "left_semi")))
+    dealt = dealt.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell")
     return dealt.mapInArrow(_links, "a long, b long")
 
 

@@ -3,6 +3,8 @@ from collections import defaultdict
 
 import xxhash
 
+import pytest
+
 from sparkwarden.llm import simhash
 
 
@@ -46,7 +48,9 @@ def test_whole_operator(docs, rows, empty):
         assert r.component_id == (min(ids) if ids else None)
 
 
-def test_links_connect_what_lies_three_bits_apart(spark):
+@pytest.mark.parametrize("hot", [3_000, 3, 1])  # no bucket, some and nearly all buckets cut into cells
+def test_links_connect_what_lies_three_bits_apart(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT", hot)
     rng = random.Random(3)
     prints = {0, (1 << 64) - 1}
     for _ in range(150):
