@@ -146,18 +146,20 @@ def _tails(batches):
 def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Documents are ordered by descending id (null ids last, equal ids by text); each one's edited text borrows from the
-    next, the last one's from the first, an only document's from itself. Null texts are empty; empty texts have the
-    fingerprint of no phrases. Texts move once, into ranges of ids; what crosses the edge of two ranges is one
-    document a partition.
+    Documents are ordered by descending id (null ids last, equal ids by their text's hash, then the text); each one's
+    edited text borrows from the next, the last one's from the first, an only document's from itself. Null texts are
+    empty; empty texts have the fingerprint of no phrases; very long texts are parsed whole; extra columns are not read.
+    Texts move once, into ranges of ids and hashes, and rows equal in both are dealt by a number, so neither one id nor
+    one row that a third of all rows repeat fills a range; what crosses the edge of two ranges is one document a partition.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
-    order = [F.col("id").desc_nulls_last(), F.col("text")]
+    slim = slim.withColumn("hash", F.xxhash64("text")).withColumn("salt", F.monotonically_increasing_id())
+    order = [F.col("id").desc_nulls_last(), "hash", "salt"]
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = slim.repartitionByRange(ranges, F.col("id").desc_nulls_last()).sortWithinPartitions(*order)
-    found = written(dealt.mapInArrow(_rows, _DDL.format(id=kind) + ", kind string, part int, text string"), "lz")
+    dealt = slim.repartitionByRange(ranges, *order).sortWithinPartitions(order[0], "hash", "text", "salt")
+    found = written(dealt.select("id", "text").mapInArrow(_rows, _DDL.format(id=kind) + ", kind string, part int, text string"), "lz")
     parts = sorted(r[0] for r in found.where("kind = 'tail'").select("part").collect())  # one number a partition
     after = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "part int, next_part int")
     heads = found.where("kind = 'head'").select(F.col("part").alias("next_part"), F.col("text").alias("following"))

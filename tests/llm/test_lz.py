@@ -60,3 +60,24 @@ def test_operator(spark, docs, rows, empty):
     assert lz.edit_fingerprints(empty).count() == 0
     one = lz.edit_fingerprints(spark.createDataFrame([(1, "abcdef")], "doc_id long, text string")).first()
     assert one.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest() and one.near_next == 1.0
+
+
+def test_one_row_over_and_over_fills_no_range(spark):
+    """Rows equal in id and text are dealt to many ranges, and so are the rows of null ids."""
+    rows = [(7, "the same text again and again")] * 300 + [(None, f"text number {k % 90}") for k in range(300)] + [(k, f"{k} words") for k in range(100, 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    found, plain = [], lz.written
+
+    def watched(table, what):
+        out = plain(table, what)
+        found.append(out)
+        return out
+
+    lz.written = watched
+    try:
+        got = lz.edit_fingerprints(df).collect()
+    finally:
+        lz.written = plain
+    assert len(got) == 700 and sum(r.doc_id == 7 and r.near_next == 1.0 for r in got) >= 299
+    assert sum(r.doc_id is None and r.near_next == 1.0 for r in got) >= 200  # equal texts of null ids lie side by side
+    assert max(r["count"] for r in found[0].groupBy("part").count().collect()) < 400
