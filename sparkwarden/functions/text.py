@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LINE_BREAK = r"\r\n|[\n\r\u000B\u000C\u001C-\u001E\u0085\u2028\u2029]"
+BREAKS = ("\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029")
 
 
 def strip(c: Column) -> Column:
@@ -22,12 +23,12 @@ def basename(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)$", 1)
 
 
-def lines(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line_no from 1, line) of every line; a line break at the end starts no further line; null texts have none."""
-    parts = F.split(F.col(text), LINE_BREAK)
-    ended = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    rows = texts.select(F.col(key), F.posexplode(ended).alias("pos", "line"))
-    return rows.select(key, (F.col("pos") + 1).alias("line_no"), "line")
+def lines(texts: DataFrame, key: str, text: str, *carried: str) -> DataFrame:
+    """(key, carried columns, line_no from 1, line) of every line; a line break at the end starts no further line; null and empty texts have none."""
+    last = F.when(F.endswith(F.col(text), F.lit("\r\n")), 2).when(F.right(F.col(text), F.lit(1)).isin(*BREAKS), 1).otherwise(0)
+    whole = F.substring(F.col(text), F.lit(1), F.char_length(text) - last)
+    rows = texts.where(F.col(text) != "").select(key, *carried, F.posexplode(F.split(whole, LINE_BREAK)).alias("pos", "line"))
+    return rows.select(key, *carried, (F.col("pos") + 1).alias("line_no"), "line")
 
 
 def host(url: Column) -> Column:
