@@ -145,6 +145,14 @@ SENSITIVE_PATHS = [
 ]
 HIGH_PATHS = ["/admin", "/administrator", "/wp-admin", "/console", "/actuator", "/phpinfo.php", "/.env", "/.git/config", "/backup"]
 MEDIUM_PATHS = ["/debug", "/swagger", "/api/docs", "/info.php", "/server-status", "/server-info", "/login", "/signin"]
+#: What is known of a path: the path, what its body must hold (a pattern, or nothing), severity, confidence; the first that fits counts.
+KNOWN_PATHS = [
+    ("/.git/config", r"\[core\]", "CRITICAL", 1.0), ("/.env", r"(?i)(API_KEY|SECRET|PASSWORD)", "CRITICAL", 1.0), ("/phpinfo.php", "PHP License", "HIGH", 1.0),
+    ("/.git/config", "", "CRITICAL", 0.9), ("/.env", "", "CRITICAL", 0.9), ("/backup", "", "CRITICAL", 0.9), ("/actuator", "_links", "CRITICAL", 0.95),
+]
+#: Beginnings of other paths with their severity, and the severity and confidence of the rest.
+PATH_TIERS = [(HIGH_PATHS, "HIGH"), (MEDIUM_PATHS, "MEDIUM")]
+OTHER_PATH = ("LOW", 0.7)
 IDOR_PATHS = ["/api/users/1", "/api/profile/1", "/api/account/1", "/user/1", "/profile/1", "/account/1"]
 XML_PATHS = ["/api", "/soap", "/ws", "/xmlrpc", "/xml", "/api/xml", "/rpc", "/soap/", "/service"]
 GRAPHQL_PATHS = ["/graphql", "/api/graphql", "/gql", "/api/gql"]
@@ -153,6 +161,21 @@ VERBOSE_PROBES = [("/test%0d%0a", "CRLF_INJECTION"), ("/..%2f", "PATH_TRAVERSAL"
 LOGIN_PATHS = ["/login", "/signin", "/admin"]
 METADATA_PROVIDERS = ["aws", "gcp", "azure"]
 
+# --- fixed values: frameworks by signs: where (cookie as it is, or header or cookie in lower case) and what; each group of signs is enough ---
+FRAMEWORKS = [
+    ("Django", [[("cookies", "csrftoken")], [("x-powered-by", "django")]]), ("Ruby on Rails", [[("cookies", "_session_id")], [("server", "rails")]]),
+    ("Express.js", [[("x-powered-by", "express")], [("cookies", "connect.sid")]]), ("Laravel", [[("cookies", "laravel_session")], [("x-powered-by", "laravel")]]),
+    ("Spring Boot", [[("cookies as sent", "JSESSIONID")], [("x-powered-by", "spring")]]), ("ASP.NET", [[("cookies as sent", "ASPSESSIONID")], [("x-powered-by", "asp.net")]]),
+    ("Flask", [[("cookies", "session"), ("server", "python")]]),
+]
+
+# --- fixed values: weak tokens of a content policy (name, pattern), methods that change things, redirects, token algorithms, signs of metadata ---
+POLICY_TOKENS = [("unsafe-inline", "'unsafe-inline'"), ("unsafe-eval", "'unsafe-eval'"), ("wildcard", r"(?:script-src|default-src)\s+[^;]*\*"), ("data", "data:")]
+UNSAFE_METHODS = ("TRACE", "PUT", "DELETE", "PATCH")
+REDIRECTS, REDIRECT_HOST = (301, 302, 303, 307, 308), "evil.com"
+NO_ALGORITHM, SHARED_ALGORITHMS, SWAPPED_PREFIX = ("none", "None", "NONE"), ("HS256", "HS384", "HS512"), "RS"
+METADATA_BODY = ("ami-id", "instance-id", "security-credentials")
+
 # --- fixed values: patterns over response bodies ----------------------------------------------------------------------------
 DEBUG_BODY = [r"DEBUG\s*=\s*True", r"debug\s*=\s*true", r"APP_DEBUG\s*=\s*true", r"WP_DEBUG", r"laravel\.debug\s*=\s*true", r"Django\s+Debug\s+Toolbar", r"<div[^>]*class=\"[^\"]*debug[^\"]*\""]
 ERROR_BODY = [

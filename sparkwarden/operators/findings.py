@@ -35,7 +35,7 @@ def conform(rows: DataFrame) -> DataFrame:
 
 
 def union(*detectors: DataFrame) -> DataFrame:
-    """All detectors' findings in one frame, ordered by detector first: ord holds the detector's place in its top bits."""
+    """All detectors' findings in one frame, ordered by detector first: ord holds the detector's place in its top bits, its own ord (below 2^52) the others."""
     out = None
     for k, d in enumerate(detectors):
         part = conform(d).withColumn("ord", F.col("ord") + F.lit(k << 52))
@@ -90,7 +90,8 @@ def distinct_rules(findings: DataFrame) -> DataFrame:
 
 def by_file(findings: DataFrame) -> DataFrame:
     """Findings of each file in their order, as one array."""
-    item = F.struct("ord", "line_number", "severity", "rule_id", "message")
+    told = [c for c in ("remediation_hint", "cwe_id", "owasp_category") if c in findings.columns]
+    item = F.struct("ord", "line_number", "severity", "rule_id", "message", *told)
     return findings.groupBy("file_path").agg(F.array_sort(F.collect_list(item)).alias("findings"), F.max("sev_rank").alias("max_rank"))
 
 
@@ -102,6 +103,12 @@ def shares(counts: DataFrame, name: str, n: str = "n") -> DataFrame:
     return counts.join(F.broadcast(total)).select(name, n, F.round(pct, 4).alias("pct"), bar.alias("bar")).orderBy(F.desc(n), name)
 
 
+def time_shares(times: DataFrame, total_ms: float | Column) -> DataFrame:
+    """(scanner, ms) with its percentage of a scan's whole time, which other work is part of too; longest first, ties by name."""
+    whole = total_ms if isinstance(total_ms, Column) else F.lit(float(total_ms))
+    return times.withColumn("pct", F.when(whole > 0, F.round(100 * F.col("ms") / whole, 4)).otherwise(0.0)).orderBy(F.desc("ms"), "scanner")
+
+
 def ranked(findings: DataFrame, *order: Column) -> DataFrame:
     """findings with ord as their place within the file, from 1, for detectors that number by file."""
     return findings.withColumn("ord", F.row_number().over(Window.partitionBy("file_path").orderBy(*order)).cast("bigint"))

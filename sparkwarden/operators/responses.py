@@ -14,9 +14,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sparkwarden.functions import catalog as K
-from sparkwarden.functions.text import host, scheme, unbase64url
+from sparkwarden.functions.advice import web_advice
+from sparkwarden.functions.text import host, join_url, scheme, unbase64url
 from sparkwarden.operators.findings import rank
 
 OUT = ("target", "rule_id", "severity", "confidence", "endpoint", "evidence")
@@ -157,11 +159,16 @@ def in_error(c: Column) -> Column:
 
 
 def executable(c: Column, payload: Column) -> Column:
-    """Whether a payload stands where markup runs it: a script, a handler, inside or just before the end of a tag, or a link's value."""
+    """Whether a payload stands where markup runs it: a script, a handler, inside or just before the end of a tag, or a link's value.
+
+    Each place of the payload counts. The text is split at it: what precedes a place is all parts up to it, joined again.
+    """
     low, head = F.lower(c), F.substring(payload, 1, 20)
-    at = F.position(head, c)
-    before, after = F.substr(c, F.lit(1), at - 1), F.substr(c, at + F.length(head))
-    tagged = (at > 0) & (before.rlike(r"<[a-zA-Z][^>]*$") | after.contains(">"))
+    parts = F.split(c, F.concat(F.lit(r"\Q"), F.replace(head, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")), F.lit(-1))
+    places = F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1)))
+    before = lambda k: F.call_function("array_join", F.slice(parts, F.lit(1), k), head)
+    after = lambda k: F.call_function("array_join", F.slice(parts, k + 1, F.size(parts)), head)
+    tagged = (head != "") & (F.size(parts) > 1) & F.exists(places, lambda k: before(k).rlike(r"<[a-zA-Z][^>]*$") | F.contains(after(k), F.lit(">")))
     value = lambda a: F.regexp_extract(c, rf"(?is)^.*?{a}=[^\"]*(\"[^\"]*\")", 1)
     linked = reduce(lambda a, b: a | b, [low.contains(f"{a}=") & F.contains(value(a), head) for a in ("href", "src", "action", "data", "formaction")])
     return low.contains("<script") | low.rlike(r"on\w+\s*=") | tagged | linked
@@ -220,19 +227,35 @@ def template() -> list[Column]:
 @per_row("path")
 def path_tiers() -> list[Column]:
     path, body = F.col("detail"), F.col("body")
-    starts = lambda paths: reduce(lambda a, b: a | b, [path.startswith(p) for p in paths])
-    vital, links = path.isin("/.git/config", "/.env", "/backup"), (path == "/actuator") & body.contains("_links")
-    sure = ((path == "/.git/config") & body.contains("[core]")) | ((path == "/.env") & body.rlike("(?i)(API_KEY|SECRET|PASSWORD)")) | ((path == "/phpinfo.php") & body.contains("PHP License"))
-    severity = F.when(vital | links, "CRITICAL").when(starts(K.HIGH_PATHS), "HIGH").when(starts(K.MEDIUM_PATHS), "MEDIUM").otherwise("LOW")
-    confidence = F.when(sure, 1.0).when(vital, 0.9).when(links, 0.95).otherwise(0.7)
+    told = lambda severity, confidence: F.struct(F.lit(severity).alias("severity"), F.lit(confidence).alias("confidence"))
+    known = [F.when((path == p) & (body.rlike(pattern) if pattern else F.lit(True)), told(severity, sure)) for p, pattern, severity, sure in K.KNOWN_PATHS]
+    tiers = [F.when(reduce(lambda a, b: a | b, [path.startswith(p) for p in paths]), told(severity, K.OTHER_PATH[1])) for paths, severity in K.PATH_TIERS]
+    tier = F.coalesce(*known, *tiers, told(*K.OTHER_PATH))
+    severity, confidence = tier["severity"], tier["confidence"]
     name = F.regexp_replace(F.translate(F.upper(path), "/.", "__"), "^_+|_+$", "")
     found = finding(F.concat(F.lit("DAST-EXPOSED-"), name), severity, confidence, F.concat(F.lit("HTTP "), F.col("status_code").cast("string")), path)
     return [F.when(F.col("status_code") < 400, found)]
 
 
 def exposed_paths(r: DataFrame, budget: int | None = None) -> DataFrame:
-    """Paths that answer below 400, by tier. budget: only so many probes a target, in their order (none: all)."""
-    return path_tiers(r if budget is None else r.where(F.col("seq") < budget))
+    """Paths that answer below 400, by tier. budget: see budgeted() (none: all)."""
+    return path_tiers(r if budget is None else budgeted(r, budget))
+
+
+# --- fixed values: probes of addresses in the order in which they are sent, and the one that uses up no budget ---
+SCHEDULE = ("root", "path", "verbose", "listing", "idor", "xml", "graphql")
+FREE = "listing"
+
+
+def budgeted(r: DataFrame, most: int) -> DataFrame:
+    """The responses that a budget of `most` addresses a target leaves, over the whole schedule; other probes stay all.
+
+    A probe is sent while fewer addresses than that were asked before it, the first response being one of them.
+    """
+    at = F.array_position(F.array(*map(F.lit, SCHEDULE)), F.col("probe"))
+    before = Window.partitionBy("target").orderBy(at, "seq", "detail").rowsBetween(Window.unboundedPreceding, -1)
+    asked = F.coalesce(F.sum(((at > 0) & (F.col("probe") != FREE)).cast("int")).over(before), F.lit(0))
+    return r.withColumn("_asked", asked).where((at <= 1) | (F.col("_asked") < most)).drop("_asked")
 
 
 @per_row("verbose")
@@ -270,7 +293,7 @@ def direct_references() -> list[Column]:
 @per_row("redirect")
 def open_redirect() -> list[Column]:
     to = header("Location")
-    return [F.when(F.col("status_code").isin(301, 302, 303, 307, 308) & to.contains("evil.com"), finding("DAST-OPEN-REDIRECT", "MEDIUM", 0.7, to))]
+    return [F.when(F.col("status_code").isin(*K.REDIRECTS) & to.contains(K.REDIRECT_HOST), finding("DAST-OPEN-REDIRECT", "MEDIUM", 0.7, to))]
 
 
 @per_row("regex")
@@ -332,9 +355,9 @@ def jwt(r: DataFrame, as_of: int) -> DataFrame:
     alg = F.coalesce("alg", F.lit(""))
     return emit(
         rows,
-        F.when(alg.isin("none", "None", "NONE"), finding("DAST-JWT-ALG-NONE", "CRITICAL", 1.0, alg)),
-        F.when(alg.isin("HS256", "HS384", "HS512"), finding("DAST-JWT-SYMMETRIC-ALG", "MEDIUM", 0.6, alg)),
-        F.when(alg.startswith("RS"), finding("DAST-JWT-ALG-CONFUSION", "LOW", 0.3, alg)),
+        F.when(alg.isin(*K.NO_ALGORITHM), finding("DAST-JWT-ALG-NONE", "CRITICAL", 1.0, alg)),
+        F.when(alg.isin(*K.SHARED_ALGORITHMS), finding("DAST-JWT-SYMMETRIC-ALG", "MEDIUM", 0.6, alg)),
+        F.when(alg.startswith(K.SWAPPED_PREFIX), finding("DAST-JWT-ALG-CONFUSION", "LOW", 0.3, alg)),
         F.when(F.col("exp").isNull(), finding("DAST-JWT-NO-EXPIRY", "HIGH", 0.9, "no exp")),
         F.when(life > LONG_LIFE, finding("DAST-JWT-LONG-LIVED", "MEDIUM", 0.7, F.col("exp"))),
         F.when(F.col("iss").isNull() | F.col("aud").isNull(), finding("DAST-JWT-MISSING-CLAIMS", "LOW", 0.5, F.concat_ws(", ", F.when(F.col("iss").isNull(), "iss"), F.when(F.col("aud").isNull(), "aud")))),
@@ -355,7 +378,7 @@ def metadata() -> list[Column]:
 def fetchers() -> list[Column]:
     """Bodies that show fetching of given addresses, and probes that brought a cloud's metadata back."""
     body, first = F.col("body"), F.col("probe") == "root"
-    got = (F.col("status_code") < 500) & (body.contains("ami-id") | body.contains("instance-id") | body.contains("security-credentials"))
+    got = (F.col("status_code") < 500) & reduce(lambda a, b: a | b, [body.contains(x) for x in K.METADATA_BODY])
     return [
         F.when(first & any_of(F.lower("body"), K.FETCH_BODY), finding("DAST-SSRF-INDICATOR", "MEDIUM", 0.3, "fetches addresses")),
         F.when(~first & got, finding("DAST-SSRF-CLOUD-METADATA", "CRITICAL", 0.95, "metadata returned")),
@@ -368,31 +391,24 @@ def fetchers() -> list[Column]:
 @per_row("root")
 def content_policy() -> list[Column]:
     csp = header("Content-Security-Policy")
-    weak = [
-        F.when(csp.contains("'unsafe-inline'"), "unsafe-inline"), F.when(csp.contains("'unsafe-eval'"), "unsafe-eval"),
-        F.when(csp.rlike(r"(?:script-src|default-src)\s+[^;]*\*"), "wildcard"), F.when(csp.contains("data:"), "data"),
-    ]
-    found = F.array_join(F.array_compact(F.array(*weak)), ", ")
+    found = F.array_join(F.array_compact(F.array(*[F.when(csp.rlike(pattern), name) for name, pattern in K.POLICY_TOKENS])), ", ")
     return [F.when(found != "", finding("DAST-CSP-INSECURE", "MEDIUM", 0.9, found))]
 
 
 @per_row("options")
 def methods() -> list[Column]:
     allow = F.upper(F.coalesce(F.nullif(header("Allow"), F.lit("")), header("Access-Control-Allow-Methods")))
-    found = F.array_join(F.filter(F.array(*map(F.lit, ("TRACE", "PUT", "DELETE", "PATCH"))), lambda m: F.contains(allow, m)), ", ")
+    found = F.array_join(F.filter(F.array(*map(F.lit, K.UNSAFE_METHODS)), lambda m: F.contains(allow, m)), ", ")
     return [F.when(found != "", finding("DAST-HTTP-METHODS", "MEDIUM", 0.8, found))]
 
 
 @per_row("root")
 def frameworks() -> list[Column]:
-    server, powered, cookie = F.lower(header("Server")), F.lower(header("X-Powered-By")), F.array_join(all_headers("Set-Cookie"), "\n")
-    low = F.lower(cookie)
-    seen = [
-        F.when(low.contains("csrftoken") | powered.contains("django"), "Django"), F.when(low.contains("_session_id") | server.contains("rails"), "Ruby on Rails"),
-        F.when(powered.contains("express") | low.contains("connect.sid"), "Express.js"), F.when(low.contains("laravel_session") | powered.contains("laravel"), "Laravel"),
-        F.when(cookie.contains("JSESSIONID") | powered.contains("spring"), "Spring Boot"), F.when(cookie.contains("ASPSESSIONID") | powered.contains("asp.net"), "ASP.NET"),
-        F.when(low.contains("session") & server.contains("python"), "Flask"),
-    ]
+    cookie = F.array_join(all_headers("Set-Cookie"), "\n")
+    places = {"cookies as sent": cookie, "cookies": F.lower(cookie)}
+    sign = lambda where, token: (places[where] if where in places else F.lower(header(where))).contains(token)
+    every = lambda signs: reduce(lambda a, b: a & b, [sign(*x) for x in signs])
+    seen = [F.when(reduce(lambda a, b: a | b, map(every, groups)), name) for name, groups in K.FRAMEWORKS]
     found = F.array_join(F.array_compact(F.array(*seen)), ", ")
     return [F.when(found != "", finding("DAST-FRAMEWORK-FINGERPRINT", "LOW", 0.7, found))]
 
@@ -458,7 +474,8 @@ def response_findings(r: DataFrame, as_of: int, skip: frozenset[str] = frozenset
         rows = checked.where("status_code <> 0").select("target", F.explode(F.filter(F.array(*single), lambda x: x["f"].isNotNull())).alias("x"))
         rows = rows.select("target", *[F.col(f"x.f.{c}").alias(c) for c in OUT[1:]], "x.ord")
         out = rows if out is None else out.unionByName(rows)
+    told = [c.alias(name) for name, c in web_advice(F.col("rule_id")).items()]
     return out.select(
-        F.col("endpoint").alias("file_path"), F.lit(0).alias("line_number"), F.lit("response").alias("issue_type"), "severity", F.col("rule_id").alias("message"), "rule_id", "confidence",
+        F.when(F.col("endpoint").startswith("/"), join_url(F.col("target"), F.col("endpoint"))).otherwise(F.col("endpoint")).alias("file_path"), F.lit(0).alias("line_number"), "severity", "rule_id", "confidence", *told,
         F.substring("evidence", 1, 120).alias("snippet"), F.lit("dast").alias("detection_method"), "endpoint", "evidence", "ord", "target", rank(F.col("severity")).alias("sev"),
     )
