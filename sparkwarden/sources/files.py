@@ -31,24 +31,20 @@ TEXT_EXTENSIONS = [*SCANNED_EXTENSIONS, ".cljs", ".r", ".m", ".mm", ".ex", ".doc
 SNIFFED = 8192
 
 
-def listing(spark: SparkSession, root: str, enter_all: bool = True) -> DataFrame:
-    """(file_path relative to root, length, content, ext) of every file under root; content is read only if used.
-
-    Spark's file sources pass over empty files and names that start with '.' or '_' (an __init__.py, a .env); those are
-    listed and read on the driver, which suits source trees: few, small files. enter_all: the skipped folders too.
-    """
+def _plain(spark: SparkSession, root: str) -> DataFrame:
+    """(file_path relative to root, length, content) of what Spark's source lists; content is read only if used."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").removeprefix("file://").removeprefix("file:")
     path = F.url_decode(F.replace(F.substr("path", F.locate(base, F.col("path")) + F.lit(len(base) + 1)), F.lit("+"), F.lit("%2B")))
-    plain = files.select(path.alias("file_path"), "length", "content")
-    odd = spark.createDataFrame(list(_passed_over(spark, root, enter_all)), "file_path string, length long, content binary")
-    return plain.unionByName(odd).withColumn("ext", extension(F.col("file_path")))
+    return files.select(path.alias("file_path"), "length", "content")
 
 
-def _passed_over(spark: SparkSession, root: str, enter_all: bool):
+def _passed_over(spark: SparkSession, root: str, enter_all: bool) -> DataFrame:
+    """(file_path, length) of what Spark's file sources pass over: empty files and names that start with '.' or '_' (an
+    __init__.py, a .env). They are listed on the driver, names only. enter_all: the skipped folders too."""
     top = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    todo = [(top, "", False)]
+    todo, found = [(top, "", False)], []
     while todo:
         folder, at, hidden = todo.pop()
         for status in fs.listStatus(folder):
@@ -58,11 +54,28 @@ def _passed_over(spark: SparkSession, root: str, enter_all: bool):
                 if enter_all or name not in SKIPPED_DIRS:
                     todo.append((status.getPath(), f"{at}{name}/", odd))
             elif odd or status.getLen() == 0:
-                stream = fs.open(status.getPath())
-                try:
-                    yield f"{at}{name}", status.getLen(), bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
-                finally:
-                    stream.close()
+                found.append((f"{at}{name}", status.getLen()))
+    return spark.createDataFrame(found, "file_path string, length long")
+
+
+def _content(spark: SparkSession, root: str, path: str) -> bytes:
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{path}")
+    stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).open(place)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
+def names(spark: SparkSession, root: str, enter_all: bool = True) -> DataFrame:
+    """(file_path, length, ext) of every file under root; no content is read."""
+    every = _plain(spark, root).select("file_path", "length").unionByName(_passed_over(spark, root, enter_all))
+    return every.withColumn("ext", extension(F.col("file_path")))
+
+
+def count_files(spark: SparkSession, root: str, **options) -> int:
+    """How many files names and patterns leave (see discover()); contents are not read, so those without a known extension count."""
+    return _named(names(spark, root, options.get("scan_all", False)), spark, root, **options).count()
 
 
 def binary(content: Column) -> Column:
@@ -70,19 +83,16 @@ def binary(content: Column) -> Column:
     return (F.octet_length(content) == 0) | F.contains(F.substring(content, 1, SNIFFED), F.lit(b"\x00"))
 
 
-def ignore_lines(files: DataFrame) -> list[str]:
+def ignore_lines(spark: SparkSession, root: str) -> list[str]:
     """The lines of the root's .gitignore: one file, read on the driver."""
-    row = files.where(F.col("file_path") == ".gitignore").select(F.col("content").cast("string")).first()
-    return row[0].splitlines() if row and row[0] else []
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/.gitignore")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return []
+    return _content(spark, root, ".gitignore").decode("utf-8", "replace").splitlines()
 
 
-def discover(spark: SparkSession, root: str, scan_all: bool = False, include_ignored: bool = True, exclude: list[str] = (), include: list[str] = ()) -> DataFrame:
-    """Files to look at: (file_path, ext, length, content).
-
-    exclude is tested before include; scan_all switches off all filters but these two. Files without an extension that
-    is known as text pass only if they are not empty and their start holds no NUL.
-    """
-    every = files = listing(spark, root, scan_all)
+def _named(files: DataFrame, spark: SparkSession, root: str, scan_all: bool = False, include_ignored: bool = True, exclude: list[str] = (), include: list[str] = ()) -> DataFrame:
+    """What discover() keeps by name alone."""
     path = F.col("file_path")
     if exclude:
         files = files.where(~matched(path, list(exclude)))
@@ -92,9 +102,20 @@ def discover(spark: SparkSession, root: str, scan_all: bool = False, include_ign
         return files
     parts = F.split(path, "/")
     files = files.where(~F.arrays_overlap(parts, F.array(*map(F.lit, SKIPPED_DIRS))) & ~F.col("ext").isin(*BINARY_EXTENSIONS))
-    if not include_ignored:
-        files = files.where(~matched(path, ignore_lines(every)))
-    return files.where(F.col("ext").isin(*TEXT_EXTENSIONS) | ~binary(F.col("content")))
+    return files if include_ignored else files.where(~matched(path, ignore_lines(spark, root)))
+
+
+def discover(spark: SparkSession, root: str, scan_all: bool = False, include_ignored: bool = True, exclude: list[str] = (), include: list[str] = ()) -> DataFrame:
+    """Files to look at: (file_path, ext, length, content).
+
+    exclude is tested before include; scan_all switches off all filters but these two. Files without an extension that
+    is known as text pass only if they are not empty and their start holds no NUL. Of the files that Spark's sources
+    pass over only those that are left by name are read, on the driver, which suits source trees: few, small files.
+    """
+    kept = lambda rows: _named(rows.withColumn("ext", extension(F.col("file_path"))), spark, root, scan_all, include_ignored, exclude, include)
+    odd = [(r.file_path, r.length, _content(spark, root, r.file_path), r.ext) for r in kept(_passed_over(spark, root, scan_all)).toLocalIterator()]
+    files = kept(_plain(spark, root)).unionByName(spark.createDataFrame(odd, "file_path string, length long, content binary, ext string"))
+    return files if scan_all else files.where(F.col("ext").isin(*TEXT_EXTENSIONS) | ~binary(F.col("content")))
 
 
 def scannable(files: DataFrame, scan_all: bool = False, dotenv: bool = False) -> DataFrame:
