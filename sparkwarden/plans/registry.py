@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkwarden.functions import advice as A
 from sparkwarden.functions import catalog as K
 from sparkwarden.functions import text as T
 from sparkwarden.operators import advisories, code_rules, findings, manifests, responses, syntax_tree
@@ -56,9 +57,8 @@ def _secret_sql(key: str, lines: str) -> str:
 
 
 def _secrets(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    rows = code_rules.secret_findings(T.lines(docs, "doc_id", "text"), "doc_id")
-    return rows.join(docs.select("doc_id", "source"), "doc_id")
+    lines = T.lines(_table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    return code_rules.secret_findings(lines, "doc_id", "source")
 
 
 @query(f"WITH {_LINES} " + _secret_sql("doc_id", "doc_lines"))
@@ -80,10 +80,11 @@ def secret_by_source(spark, sf_dir):
 @query(f"WITH {_LINES}, s AS (" + _secret_sql("doc_id", "doc_lines") + f"""), g AS (SELECT source, count(rule_id) AS n, CAST(max({_SEV}) AS INTEGER) AS max_rank
   FROM documents LEFT JOIN s USING (doc_id) GROUP BY source) SELECT source, n, {_VERDICT.format(t=1)} AS verdict FROM g""")
 def secret_verdict(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    found = code_rules.secret_findings(T.lines(docs, "doc_id", "text"), "doc_id").withColumn("file_path", F.col("doc_id").cast("string")).withColumn("line_number", F.col("line_no")).withColumn("ord", F.col("rule_ord"))
-    once = findings.first_only(findings.conform(found)).select(F.col("file_path").cast("bigint").alias("doc_id"), "rule_id", "sev_rank")
-    agg = docs.select("doc_id", "source").join(once, "doc_id", "left").groupBy("source").agg(F.count("rule_id").alias("n"), F.max("sev_rank").alias("max_rank"))
+    # a line has a rule once and the lines of a document stay together: nothing to deduplicate, nothing to join
+    every = _table(spark, sf_dir, "documents").select("source").distinct()
+    found = _secrets(spark, sf_dir).withColumn("sev_rank", findings.rank(F.col("severity"))).groupBy("source").agg(F.count("*").alias("n"), F.max("sev_rank").alias("max_rank"))
+    found = found.unionByName(every.select("source", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("int").alias("max_rank")))
+    agg = found.groupBy("source").agg(F.sum("n").alias("n"), F.max("max_rank").alias("max_rank"))
     return agg.select("source", "n", findings.verdict(F.col("max_rank"), "MEDIUM").alias("verdict"))
 
 
@@ -225,9 +226,15 @@ for _family in FAMILIES:
 query(f"WITH {_CODE}, " + _rule_sql(K.CODE_RULES, "c"), "static_match_all")(_code_query(None))
 
 
-@query(f"WITH {_LINES}, " + _rule_sql(K.CODE_RULES, "doc_lines", "doc_id"))
+_PLANTED = "every AS (SELECT doc_id, line_no, line FROM doc_lines UNION ALL SELECT -1 AS doc_id, line_no, line FROM c)"
+
+
+@query(f"WITH {_LINES}, {_CODE}, {_PLANTED}, " + _rule_sql(K.CODE_RULES, "every", "doc_id"))
 def static_match_documents(spark, sf_dir):
-    return code_rules.code_findings(_doc_lines(spark, sf_dir), "doc_id").select("doc_id", "line_no", "rule_id", "severity", "confidence")
+    """All rules over all documents' lines; as prose holds no code, the lines of the code fixtures are among them, as document -1."""
+    planted = X.frame(spark, _CODE_ROWS, "file_path string, line_no int, line string").select(F.lit(-1).cast("bigint").alias("doc_id"), "line_no", "line")
+    rows = _doc_lines(spark, sf_dir).unionByName(planted)
+    return code_rules.code_findings(rows, "doc_id").select("doc_id", "line_no", "rule_id", "severity", "confidence")
 
 
 @query(f"WITH {_CODE} SELECT line_no, starts_with(trim(line), '#') OR starts_with(trim(line), '//') OR starts_with(trim(line), '/*') OR contains(line, '\"\"\"') OR contains(line, '''''''') AS comment, contains(lower(line), 'import ') AND contains(lower(line), 'from ') AS imported, left(trim(line), 80) AS snippet FROM c")
@@ -354,8 +361,10 @@ _OSV = [
     '{"id":"GHSA-1","aliases":["X-1","CVE-2020-1"],"database_specific":{"severity":"high"},"affected":[{"ranges":[{"type":"SEMVER","events":[{"introduced":"0"},{"fixed":"1.2"}]},{"type":"GIT","events":[{"fixed":"abc"}]}]}]}',
     '{"id":"GHSA-2","severity":[{"type":"CVSS_V2","score":"9.9"},{"type":"CVSS_V3","score":"CVSS:3.1/AV:N"},{"type":"CVSS_V3","score":"7.5"}],"affected":[{"ranges":[{"type":"ECOSYSTEM","events":[{"introduced":"0"},{"fixed":"2.0"}]}]},{"ranges":[{"type":"ECOSYSTEM","events":[{"fixed":"3.1"}]}]}]}',
     '{"id":"CVE-2021-9","aliases":[],"affected":[{"ecosystem_specific":{"severity":"critical"}}]}', '{"id":"Z"}',
+    '{"id":"G-4","severity":[{"type":"CVSS_V3","score":"3.1"}],"affected":[{"database_specific":{"severity":"HIGH"},"ranges":[{"type":"SEMVER","events":[{"introduced":"0"}]},{"type":"ECOSYSTEM","events":[{"fixed":"4.0"},{"fixed":"4.1"}]}]}]}',
+    '{"id":"G-5","database_specific":{"severity":"moderate"},"severity":[{"type":"CVSS_V3","score":"9.8"}]}', '{"id":"G-6","severity":[{"type":"CVSS_V3","score":"9.0"}],"affected":[]}',
+    '{"id":"G-7","affected":[{"ecosystem_specific":{"severity":"odd"}},{"database_specific":{"severity":"low"}}]}',
 ]
-_OSV_ROWS = [("GHSA-1", "CVE-2020-1", "HIGH", "1.2"), ("GHSA-2", "GHSA-2", "HIGH", "3.1"), ("CVE-2021-9", "CVE-2021-9", "CRITICAL", ""), ("Z", "Z", "MEDIUM", "")]
 
 
 def _osv(spark):
@@ -363,25 +372,66 @@ def _osv(spark):
     return rows.select(F.from_json("j", f"struct<{advisories.OSV.replace(' string', ':string').replace(' array', ':array').replace(' struct', ':struct')}>").alias("o")).select("o.*")
 
 
-@query("WITH " + X.relation("r", [(x,) for x in _OSV], "j string") + """, s AS (SELECT json_extract_string(j, '$.id') AS id, j FROM r)
-  SELECT id, coalesce(list_filter(CAST(json_extract(j, '$.aliases') AS VARCHAR[]), lambda a: starts_with(a, 'CVE-'))[1], id) AS cve,
-  coalesce(upper(json_extract_string(j, '$.database_specific.severity')),
-    CASE WHEN list_filter(json_extract_string(j, '$.severity[*].score'), lambda x: try_cast(x AS DOUBLE) < 9.5)[1] IS NOT NULL THEN 'HIGH' END,
-    upper(json_extract_string(j, '$.affected[0].ecosystem_specific.severity')), 'MEDIUM') AS severity,
-  coalesce(list_filter(json_extract_string(j, '$.affected[*].ranges[*].events[*].fixed'), lambda x: x <> 'abc')[-1], '') AS fixed FROM s""")
+_OSV_WORD = "CASE WHEN upper({0}) IN ('LOW', 'MEDIUM', 'HIGH', 'CRITICAL') THEN upper({0}) WHEN upper({0}) = 'MODERATE' THEN 'MEDIUM' END"
+_OSV_SQL = X.relation("r", [(x,) for x in _OSV], "j string") + f""", s AS (SELECT json_extract_string(j, '$.id') AS id, j FROM r),
+  score AS (SELECT id, min_by(v, k) AS score FROM (SELECT id, k, try_cast(json_extract_string(x, '$.score') AS DOUBLE) AS v FROM (SELECT id, unnest(json_extract(j, '$.severity[*]')) AS x, generate_subscripts(json_extract(j, '$.severity[*]'), 1) AS k FROM s) WHERE json_extract_string(x, '$.type') = 'CVSS_V3') WHERE v IS NOT NULL GROUP BY id),
+  aff AS (SELECT id, unnest(json_extract(j, '$.affected[*]')) AS a, generate_subscripts(json_extract(j, '$.affected[*]'), 1) AS k FROM s),
+  word AS (SELECT id, min_by(w, k) AS word FROM (SELECT id, k, coalesce({_OSV_WORD.format("json_extract_string(a, '$.database_specific.severity')")}, {_OSV_WORD.format("json_extract_string(a, '$.ecosystem_specific.severity')")}) AS w FROM aff) WHERE w IS NOT NULL GROUP BY id),
+  rng AS (SELECT id, k, unnest(json_extract(a, '$.ranges[*]')) AS g, generate_subscripts(json_extract(a, '$.ranges[*]'), 1) AS m FROM aff),
+  fix AS (SELECT id, max_by(f, 1000 * k + m) AS fixed FROM (SELECT id, k, m, json_extract_string(g, '$.events[*].fixed')[1] AS f FROM rng WHERE json_extract_string(g, '$.type') IN ('SEMVER', 'ECOSYSTEM')) WHERE f IS NOT NULL GROUP BY id),
+  osv AS (SELECT s.id, coalesce(list_filter(CAST(json_extract(j, '$.aliases') AS VARCHAR[]), lambda a: starts_with(a, 'CVE-'))[1], s.id) AS cve,
+    coalesce({_OSV_WORD.format("json_extract_string(j, '$.database_specific.severity')")}, CASE WHEN score >= 9 THEN 'CRITICAL' WHEN score >= 7 THEN 'HIGH' WHEN score >= 4 THEN 'MEDIUM' WHEN score IS NOT NULL THEN 'LOW' END, word, 'MEDIUM') AS severity, coalesce(fixed, '') AS fixed
+    FROM s LEFT JOIN score USING (id) LEFT JOIN word USING (id) LEFT JOIN fix USING (id))"""
+
+
+@query(f"WITH {_OSV_SQL} SELECT id, cve, severity, fixed FROM osv")
 def osv_summary(spark, sf_dir):
     return advisories.osv_summary(_osv(spark))
 
 
-_HITS = [("PyPI", "flask", "2.0.0", "GHSA-1"), ("npm", "redis", "4.0.0", "GHSA-2"), ("PyPI", "redis", "9.9", "Z")]
+_HITS = [("PyPI", "flask", "2.0.0", "GHSA-1"), ("PyPI", "django", "3.0.0", "G-4"), ("PyPI", "numpy", "1.23.0", "G-6"), ("npm", "redis", "4.0.0", "GHSA-2"), ("PyPI", "redis", "9.9", "Z")]
 
 
-@query("WITH " + X.relation("p", _PKG, _PKG_COLUMNS) + ", " + X.relation("h", _HITS, "ecosystem string, name string, version string, id string") + ", " + X.relation("o", _OSV_ROWS, "id string, cve string, severity string, fixed string") + """
-  SELECT manifest, line_num, p.name, h.version, 'DEP-' || replace(cve, '-', '_') AS rule_id, severity, fixed FROM p JOIN h ON p.ecosystem = h.ecosystem AND p.name = h.name AND regexp_replace(version_spec, '^[=^]+', '') = h.version JOIN o USING (id)""")
+@query("WITH " + X.relation("p", _PKG, _PKG_COLUMNS) + ", " + X.relation("h", _HITS, "ecosystem string, name string, version string, id string") + f""", {_OSV_SQL}
+  SELECT manifest, line_num, p.name, h.version, 'DEP-' || replace(cve, '-', '_') AS rule_id, severity, fixed FROM p JOIN h ON p.ecosystem = h.ecosystem AND p.name = h.name AND regexp_replace(version_spec, '^[=^]+', '') = h.version JOIN osv USING (id)""")
 def osv_join(spark, sf_dir):
     return advisories.osv_findings(X.frame(spark, _PKG, _PKG_COLUMNS), X.frame(spark, _HITS, "ecosystem string, name string, version string, id string"), _osv(spark))
 
 
+# --- times, budget and advice -------------------------------------------------------------------------------------------------------
+
+_TIMES = [("secrets", 30.0), ("static_analysis", 30.0), ("dependencies", 12.5), ("discovery", 0.0)]
+
+
+@query("WITH " + X.relation("t", _TIMES, "scanner string, ms double") + " SELECT scanner, ms, round(100 * ms / 80.0, 4) AS pct FROM t")
+def timing_share(spark, sf_dir):
+    return findings.time_shares(X.frame(spark, _TIMES, "scanner string, ms double"), 80.0)
+
+
+_ADVISED = [(r,) for r in sorted(A.WEB)] + [("DAST-EXPOSED-ENV",), ("DAST-VERBOSE-ERROR-PATH_TRAVERSAL",), ("DAST-INJECTION-OTHER",), ("DAST-AWS-METADATA-ACCESSIBLE",), ("DAST-UNKNOWN",)]
+_WEB_TABLE = X.relation("w", [(r, *v[:3]) for r, v in A.WEB.items()], "rule_id string, t string, c string, o string")
+
+
+@query("WITH " + X.relation("r", _ADVISED, "rule_id string") + f", {_WEB_TABLE} " + """SELECT rule_id,
+  coalesce(t, CASE WHEN starts_with(rule_id, 'DAST-EXPOSED-') THEN 'dast_exposed_endpoint' WHEN starts_with(rule_id, 'DAST-VERBOSE') THEN 'dast_information_disclosure' WHEN starts_with(rule_id, 'DAST-INJ') THEN 'dast_injection' WHEN ends_with(rule_id, '-METADATA-ACCESSIBLE') THEN 'dast_ssrf' ELSE 'dast' END) AS issue_type,
+  coalesce(c, CASE WHEN starts_with(rule_id, 'DAST-EXPOSED-') THEN 'CWE-200' WHEN starts_with(rule_id, 'DAST-VERBOSE') THEN 'CWE-209' WHEN starts_with(rule_id, 'DAST-INJ') THEN 'CWE-74' WHEN ends_with(rule_id, '-METADATA-ACCESSIBLE') THEN 'CWE-918' ELSE '' END) AS cwe_id,
+  coalesce(o, CASE WHEN starts_with(rule_id, 'DAST-EXPOSED-') OR starts_with(rule_id, 'DAST-VERBOSE') THEN 'A05:2021' WHEN starts_with(rule_id, 'DAST-INJ') THEN 'A03:2021' WHEN ends_with(rule_id, '-METADATA-ACCESSIBLE') THEN 'A10:2021' ELSE '' END) AS owasp_category FROM r LEFT JOIN w USING (rule_id)""")
+def rule_categories(spark, sf_dir):
+    told = A.web_advice(F.col("rule_id"))
+    return X.frame(spark, _ADVISED, "rule_id string").select("rule_id", *[told[c].alias(c) for c in ("issue_type", "cwe_id", "owasp_category")])
+
+
+_PROBES = [("t", p, "", k, 200) for p, n in (("root", 1), ("path", 5), ("verbose", 3), ("listing", 4), ("idor", 3), ("xml", 2), ("graphql", 2), ("cors", 2)) for k in range(n)] + [("u", "path", "", 0, 200), ("u", "listing", "", 0, 200)]
+_PROBE_COLUMNS = "target string, probe string, detail string, seq int, status_code int"
+
+
+@query("WITH " + X.relation("r", _PROBES, _PROBE_COLUMNS) + """, o AS (SELECT *, list_position(['root', 'path', 'verbose', 'listing', 'idor', 'xml', 'graphql'], probe) AS step FROM r),
+  b AS (SELECT *, (SELECT count(*) FROM o p WHERE p.target = o.target AND p.step > 0 AND p.probe <> 'listing' AND (p.step < o.step OR (p.step = o.step AND p.seq < o.seq))) AS asked FROM o)
+  SELECT target, probe, seq FROM b WHERE step IS NULL OR step = 1 OR asked < 10""")
+def probe_budget(spark, sf_dir):
+    return responses.budgeted(X.frame(spark, _PROBES, _PROBE_COLUMNS), 10).select("target", "probe", "seq")
+
+
 # --- addresses and pages -------------------------------------------------------------------------------------------------------------
 
 
@@ -467,7 +517,7 @@ _ORIGIN = _h("access-control-allow-origin")
 _SCRIPTS = "len(list_filter(regexp_extract_all(body, '(?i)<script[^>]*src=[\"''](?:https?:)?//[^\"'']+[\"''][^>]*>'), lambda t: NOT contains(lower(t), 'integrity='))) > 0"
 _CTX = ", w AS (SELECT *, string_split(detail, '|')[1] AS kind, substr(detail, instr(detail, '|') + 1) AS payload FROM a), x AS (SELECT *, instr(body, payload) AS p FROM w WHERE contains(body, payload)), y AS (SELECT *, left(trim(regexp_replace(substr(body, greatest(1, p - 50), p - greatest(1, p - 50) + length(payload) + 50), '\\s+', ' ', 'g')), 120) AS ctx FROM x)"
 _ERR = "(" + " OR ".join(f"contains(lower(ctx), {_Q(p.lower())})" for p in K.ERROR_PHRASES) + ")"
-_RUN = "(contains(lower(ctx), '<script') OR regexp_matches(lower(ctx), 'on\\w+\\s*=') OR (instr(ctx, left(payload, 20)) > 0 AND (regexp_matches(left(ctx, instr(ctx, left(payload, 20)) - 1), '<[a-zA-Z][^>]*$') OR contains(substr(ctx, instr(ctx, left(payload, 20)) + length(left(payload, 20))), '>'))))"
+_RUN = "(contains(lower(ctx), '<script') OR regexp_matches(lower(ctx), 'on\\w+\\s*=') OR regexp_matches(ctx, '<[a-zA-Z][^>]*' || regexp_escape(left(payload, 20))) OR regexp_matches(ctx, regexp_escape(left(payload, 20)) || '[^>]*>'))"
 _SUM = f", z AS (SELECT target, {{g}} count(*) AS n, count(DISTINCT ctx) AS places, count(DISTINCT kind) AS kinds, bool_and({_ERR}) AS errors, bool_or({_RUN}) AS runs, sum((length(body) - length(replace(body, payload, ''))) / length(payload)) AS times, bool_or(contains(lower(body), '<html') OR contains(lower(body), '<body') OR contains(lower(body), '<p>') OR contains(lower(body), '<div')) AS html FROM y WHERE probe = '{{p}}' GROUP BY ALL)"
 _JWT = f""", tk AS (SELECT target, unnest(list_filter(list_concat([regexp_extract({_h('authorization')}, '(?i)bearer\\s+(\\S+)', 1)], [{', '.join(f"regexp_extract({_SET}, '(?i){n}=([^;\\n]+)', 1)" for n in responses.TOKEN_COOKIES)}],
   regexp_extract_all(body, 'eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+')), lambda t: t <> '')[1:5]) AS token FROM a WHERE probe = 'root'),
@@ -549,7 +599,7 @@ for _name in (*responses.CHECKS, "jwt"):
 def response_report(spark, sf_dir):
     """All checks over one capture, deduplicated."""
     found = responses.response_findings(X.frame(spark, X.RESPONSES, X.RESPONSE_COLUMNS), X.AS_OF)
-    return findings.first_only(findings.conform(found)).select("endpoint", "rule_id", "severity", "confidence", "sev_rank", "ord")
+    return findings.first_only(findings.conform(found)).select("file_path", "endpoint", "rule_id", "issue_type", "severity", "confidence", "cwe_id", "owasp_category", "sev_rank", "ord")
 
 
 @query()
@@ -575,7 +625,9 @@ def label_profile(spark, sf_dir):
     return joined.groupBy("quality", "toxic").agg(F.count("*").alias("docs"), F.sum("n_chars").alias("chars"))
 
 
-@query("WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line FROM conversations) SELECT role, count(*) AS n FROM conversations c JOIN l USING (conv_id, turn) WHERE regexp_matches(line, '[0-9a-f]{32,}') GROUP BY role")
-def conversation_hex(spark, sf_dir):
-    rows = _table(spark, sf_dir, "conversations").select("role", F.explode(F.split("text", "\n")).alias("line"))
-    return rows.where(F.col("line").rlike("[0-9a-f]{32,}")).groupBy("role").agg(F.count("*").alias("n"))
+@query(f"WITH l AS (SELECT conv_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INTEGER) AS line_no, turn, role, unnest(string_split(text, chr(10))) AS line FROM conversations) "
+       "SELECT role, count(*) AS n, CAST(sum(length(line)) AS BIGINT) AS chars, count(*) FILTER (regexp_matches(line, '[.?!]$')) AS closed FROM l WHERE regexp_matches(line, '[A-Za-z]') GROUP BY role")
+def conversation_lines(spark, sf_dir):
+    """Lines of conversations by role: how many, how long, and how many end in a sentence mark."""
+    lines = T.lines(_table(spark, sf_dir, "conversations"), "conv_id", "text", "role").where(F.col("line").rlike("[A-Za-z]"))
+    return lines.groupBy("role").agg(F.count("*").alias("n"), F.sum(F.char_length("line")).alias("chars"), F.count_if(F.col("line").rlike("[.?!]$")).alias("closed"))

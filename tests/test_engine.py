@@ -190,7 +190,6 @@ def test_options():
         findings.parse_threshold("urgent")
     with pytest.raises(SystemExit):
         cli.parser().parse_args(["scan", ".", "--threshold", "urgent"])
-    assert sinks.rule_title("SAF-OS-SYSTEM") == "Os System"
 
 
 def test_streams(spark, tmp_path):
@@ -211,3 +210,98 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("firsts").count() == 1
+
+
+def test_two_targets_keep_their_findings(spark):
+    """The same path exposed on two targets is two findings, told apart by the address that they name."""
+    columns = fixtures.RESPONSE_COLUMNS
+    rows = [(t, probe, detail, 0, 200, [], "API_KEY=1", 1.0, "TLS 1.3", 1) for t in ("https://a.example", "https://b.example") for probe, detail in (("root", ""), ("path", "/.env"))]
+    summary, found = api.scan_responses(spark, spark.createDataFrame(rows, columns), 0)
+    exposed = {(r.file_path, r.endpoint, r.issue_type, r.cwe_id, r.severity) for r in found.collect() if r.rule_id == "DAST-EXPOSED-ENV"}
+    assert exposed == {(f"https://{t}.example/.env", "/.env", "dast_exposed_endpoint", "CWE-200", "CRITICAL") for t in "ab"}
+    assert summary["by_type"]["dast_exposed_endpoint"] == 2
+    assert all(r.message and r.remediation_hint for r in found.collect())
+
+
+@pytest.mark.parametrize(
+    ("context", "payload", "runs"),
+    [
+        ("it's <a title='", "'", True), ("it's <a title=' x", "'", True), ("it's plain", "'", False), ("a' > b", "'", True), ("<b>x</b> ' y", "'", False), ("see \\E here <i \\E", "\\E", True),
+        ("{{7*7}} and", "{{7*7}}", False), ("<p>{{7*7}}</p>", "{{7*7}}", True), ("a.b <x a+b", "a.b", False), ("on it", "it", False), ("onx = it", "it", True),
+    ],
+)
+def test_every_place_of_a_payload_counts(spark, context, payload, runs):
+    from pyspark.sql import functions as F
+
+    row = spark.createDataFrame([(context, payload)], "c string, p string").select(responses.executable(F.col("c"), F.col("p")).alias("runs")).first()
+    want = bool("<script" in context.lower() or re.search(r"on\w+\s*=", context.lower()) or re.search(r"<[a-zA-Z][^>]*" + re.escape(payload[:20]), context) or re.search(re.escape(payload[:20]) + r"[^>]*>", context))
+    assert row.runs == want == runs
+
+
+SAMPLE = {
+    "app.py": "import os\n\n\ndef run(user_input):\n    eval(user_input)\n    os.system('ls ' + user_input)\n    # eval(ignored)\n    return hashlib.md5(user_input)\n",
+    "config.py": "password = 'long enough to count'\nDEBUG = False\n",
+    "requirements.txt": "# pinned\ndjango==3.0.0\nflask==2.0.0\nclick==8.1.0\n",
+}
+
+
+@pytest.fixture(scope="module")
+def sample(tmp_path_factory):
+    root = tmp_path_factory.mktemp("sample")
+    for name, content in SAMPLE.items():
+        (root / name).write_text(content)
+    return str(root)
+
+
+def test_whole_scan_of_a_sample(spark, sample, tmp_path):
+    """Exact findings, counts, times and reports of a small repository."""
+    summary, rows = api.scan_repository(spark, sample)
+    got = {(r.file_path, r.line_number, r.rule_id, r.issue_type) for r in rows.collect()}
+    code = {("app.py", 5, r, "static_analysis") for r in ("SAF-EVAL", "SAF-JS-EVAL", "SAF-RUBY-EVAL")} | {("app.py", 6, r, "static_analysis") for r in ("SAF-OS-SYSTEM", "SAF-PHP-EXEC", "SAF-RUBY-SYSTEM")}
+    code |= {("app.py", 8, "SAF-MD5", "static_analysis"), ("config.py", 1, "SAF-HARDCODED-CRED", "static_analysis")}
+    deps = {("requirements.txt", 2, "DEP-CVE_2023_23969", "dependency"), ("requirements.txt", 3, "DEP-CVE_2023_25577", "dependency")}
+    assert got - {g for g in got if g[3] == "secret"} == code | deps and ("config.py", 1, "SEC-password-in-code", "secret") in got
+    assert summary["verdict"] == "BLOCK" and summary["scanned_files"] == 3 and summary["files_by_extension"] == {".py": 2, ".txt": 1}
+    assert set(summary["scanner_times_ms"]) == {"discovery", "secrets", "static_analysis", "syntax_trees", "dependencies"} and all(v >= 0 for v in summary["scanner_times_ms"].values())
+    assert sum(summary["scanner_times_ms"].values()) <= summary["scan_time_ms"]
+    assert all(r.message and r.remediation_hint for r in rows.collect())
+    order = [(r.issue_type, r.file_path, r.line_number) for r in rows.orderBy("ord").collect() if r.issue_type == "static_analysis" and r.detection_method == "regex"]
+    assert order == sorted(order)
+    report = sinks.text_report(summary, rows, colour=True, stats=True)
+    assert "\033[91mHIGH" in report and "\033[97;41m BLOCK" in report and "syntax_trees" in report and "\033" not in sinks.text_report(summary, rows)
+    own = tmp_path / "advisories.json"
+    own.write_text(json.dumps({"vulnerabilities": [{"package": "Click", "versions": ["<9"], "severity": "low", "cve": "CVE-1999-1", "description": "x"}]}))
+    _, other = api.scan_repository(spark, sample, advisory_file=str(own))
+    assert {r.rule_id for r in other.collect() if r.issue_type == "dependency"} == {"DEP-CVE_1999_1"}
+
+
+def test_sarif_structure(spark, sample):
+    _, rows = api.scan_repository(spark, sample)
+    log = sinks.sarif(rows)
+    assert sinks.sarif_errors(log) == [] and sinks.sarif_errors(sinks.sarif(rows.limit(0))) == []
+    names = {r["id"]: r["name"] for r in log["runs"][0]["tool"]["driver"]["rules"]}
+    assert names["SAF-OS-SYSTEM"] == "Os System" and len(names) == len({r.rule_id for r in rows.collect()})
+    for spoil, said in (
+        (lambda x: x.pop("version"), "version"), (lambda x: x.update(version="2.0.0"), "2.0.0"), (lambda x: x["runs"][0]["tool"].pop("driver"), ""), (lambda x: x["runs"][0]["results"][0].update(level="bad"), "level"),
+        (lambda x: x["runs"][0]["results"][0].update(ruleId="X-1"), "ruleId"), (lambda x: x["runs"][0]["results"][0].pop("message"), "message"), (lambda x: x["runs"][0].update(results=[3]), "not an object"),
+        (lambda x: x["runs"][0]["results"][0]["locations"][0]["physicalLocation"]["region"].update(startLine=0), "startLine"),
+        (lambda x: x["runs"][0]["tool"]["driver"]["rules"].append(x["runs"][0]["tool"]["driver"]["rules"][0]), "twice"),
+    ):
+        broken = json.loads(json.dumps(log))
+        spoil(broken)
+        errors = sinks.sarif_errors(broken)
+        assert errors and any(said in e for e in errors)
+    assert sinks.sarif_errors([]) or sinks.sarif_errors({})
+
+
+def test_manifests_are_read_in_one_pass(spark, tmp_path):
+    rows = [(m, c) for kind in fixtures.MANIFESTS.values() for m, c in kind]
+    spark.createDataFrame(rows, "file_path string, content string").write.parquet(str(tmp_path / "m"))
+    plan = manifests.packages(spark.read.parquet(str(tmp_path / "m")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan
+
+
+def test_file_counts_read_no_contents(spark, sample):
+    assert files.count_files(spark, sample) == 3
+    plan = files.names(spark, sample)._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan
