@@ -1,7 +1,9 @@
 """The corpus pipeline: five stages over documents, each on all that the one before it kept.
 
 Every stage takes (spark, docs, sf_dir), returns a DataFrame, and is written as Parquet and read again before the next.
-All but the last return the columns of documents.
+All but the last return the columns of documents, extra columns of docs included. Null and empty texts are texts without
+words, null ids and repeated rows are rows of their own, long texts are worked on whole, and an empty table stays empty
+through all stages. Of labels and benchmark only the columns that are named are read.
 """
 
 from __future__ import annotations
@@ -13,27 +15,27 @@ from sparkwarden.llm.common import scratch_path, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts (a score of 0.7 or more, repeated rows and null ids included); without usable labels, none."""
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest id) of each group of near copies."""
+    """One document (the smallest id; a null one only if the group has no other) of each group of near copies; empty texts are copies of each other."""
     return simhash.representatives(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that do not contain a benchmark item."""
+    """Documents that do not contain a benchmark item; null texts contain none, and null items are in none."""
     return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind."""
+    """All documents, personal data replaced by its kind; null texts stay null."""
     return pii.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words the mix takes from each document."""
+    """How many words the mix takes from each document, one row each; a null source is a source, the last."""
     return mixing.mix(docs)
 
 
@@ -47,6 +49,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows: every stage applied to all that the one before it kept, each written to the shared folder."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
@@ -55,7 +58,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: A trained classifier and random rounding have no SQL form; tests hold run() against a brute-force version.
+#: A trained classifier and random rounding have no SQL form. The test holds run() against a version that scores with the
+#: same trained model but finds components, items and personal data by plain Python, all pairs with all pairs.
 ORACLE_SQL = None
 
 QUERIES = {"pipeline": run}
