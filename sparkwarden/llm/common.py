@@ -43,13 +43,18 @@ def written(df: DataFrame, what: str) -> DataFrame:
 def forget(*tables: DataFrame | None) -> None:
     """Deletes tables made by written() that nothing will read again, and tidies up."""
     known = [t for t in tables if t is not None]
-    for df in known:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    delete(*known)
     if known:
         tidy(known[0])
 
 
+def delete(*tables: DataFrame) -> None:
+    """Deletes the files of tables made by written()."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def tidy(df: DataFrame) -> None:
     """Lets Spark drop the shuffle files of past jobs: its cleaner does so for what the driver's collector finds unused."""
     df.sparkSession._jvm.System.gc()
@@ -197,9 +202,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = minima(both, "large")
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         large = written(large.distinct(), "large-star")
-        least = minima(large, "small")
-        small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        lower = minima(large, "small")
+        small = large.join(lower, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        contracted = written(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        delete(e, least, large, lower)
+        e = contracted
         before, state = state, _state(e)
         if state == before:
             break
