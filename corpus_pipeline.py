@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkwarden.llm import decontamination, mixing, pii, quality, simhash
-from sparkwarden.llm.common import scratch_path, table
+from sparkwarden.llm.common import forget, table, written
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,12 +49,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows: every stage applied to all that the one before it kept, each written to the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows: every stage applied to all that the one before it kept, each written to the shared folder and
+    deleted when the next one is."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = scratch_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        forget(before)
+        before = docs
     return docs
 
 
