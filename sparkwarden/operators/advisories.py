@@ -1,4 +1,4 @@
-"""Advisories: PEP 440 versions as sortable arrays, range tests, and the joins of packages with advisories."""
+"""Advisories: PEP 440 versions as sortable structs, range tests, and the joins of packages with advisories."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ _VERSION = (
     r"^v?(?:(\d+)!)?(\d+(?:\.\d+)*)(?:[-_.]?(alpha|a|beta|b|preview|pre|c|rc)[-_.]?(\d*))?"
     r"(?:[-_.]?(post|rev|r)[-_.]?(\d*)|-(\d+))?(?:[-_.]?(dev)[-_.]?(\d*))?(?:\+[a-z0-9]+(?:[-_.][a-z0-9]+)*)?$"
 )
-_PARTS, _NONE = 8, 1 << 40
+_NONE = 1 << 40
 
 
 def _number(c: Column) -> Column:
@@ -20,28 +20,34 @@ def _number(c: Column) -> Column:
 
 
 def version_key(version: Column) -> Column:
-    """An array that sorts as PEP 440 does (epoch, eight release numbers, pre, post, dev); null for anything else.
+    """A struct that sorts as PEP 440 does (epoch, release, phase, pre, post, dev); null for anything else.
 
-    Release numbers beyond the eighth are not compared; local labels are ignored.
+    The release has its numbers without zeros at the end, however many there are; local labels are ignored.
     """
     v = F.lower(F.trim(version))
     part = lambda k: F.regexp_extract(v, _VERSION, k)
     release = F.transform(F.split(part(2), r"\."), _number)
-    padded = F.slice(F.concat(release, F.array_repeat(F.lit(0).cast("bigint"), _PARTS)), 1, _PARTS)
+    used = F.array_max(F.transform(release, lambda x, k: F.when(x != 0, k + 1).otherwise(0)))
     pre, has_post, has_dev = part(3), (part(5) != "") | (part(7) != ""), part(8) != ""
     phase = F.when(pre.isin("a", "alpha"), 0).when(pre.isin("b", "beta"), 1).when(pre != "", 2).when(has_dev & ~has_post, -1).otherwise(3).cast("bigint")
     post = F.when(has_post, _number(F.concat(part(6), part(7)))).otherwise(F.lit(-1).cast("bigint"))
     dev = F.when(has_dev, _number(part(9))).otherwise(F.lit(_NONE).cast("bigint"))
-    return F.when(v.rlike(_VERSION), F.concat(F.array(_number(part(1))), padded, F.array(phase, _number(part(4)), post, dev)))
+    fields = {"epoch": _number(part(1)), "release": F.slice(release, F.lit(1), used), "phase": phase, "pre": _number(part(4)), "post": post, "dev": dev}
+    return F.when(v.rlike(_VERSION), F.struct(*[c.alias(n) for n, c in fields.items()]))
 
 
 def _base(key: Column) -> Column:
-    return F.slice(key, 1, 1 + _PARTS)
+    return F.struct(key["epoch"], key["release"])
+
+
+def _head(key: Column, n: Column) -> Column:
+    """The epoch and the first n numbers of the release."""
+    return F.struct(key["epoch"], F.slice(F.concat(key["release"], F.array_repeat(F.lit(0).cast("bigint"), n)), F.lit(1), n))
 
 
 def _early(key: Column) -> Column:
     """Whether a key is that of a pre- or dev-release."""
-    return (F.element_at(key, 2 + _PARTS) < 3) | (F.element_at(key, 4 + _PARTS + 1) < _NONE)
+    return (key["phase"] < 3) | (key["dev"] < _NONE)
 
 
 def satisfies(key: Column, clause: Column) -> Column:
@@ -51,13 +57,12 @@ def satisfies(key: Column, clause: Column) -> Column:
     wild = text.endswith(".*")
     bound = version_key(F.regexp_replace(text, r"\.\*$", ""))
     size = F.size(F.split(F.regexp_replace(text, r"\.\*$", ""), r"\."))
-    head = lambda k, n: F.slice(k, F.lit(1), n)
-    same = F.when(wild, head(key, size + 1) == head(bound, size + 1)).otherwise(key == bound)
+    same = F.when(wild, _head(key, size) == _head(bound, size)).otherwise(key == bound)
     below = (key < bound) & ~(_early(key) & ~_early(bound) & (_base(key) == _base(bound)))
-    above = (key > bound) & ~((F.element_at(key, 4 + _PARTS) >= 0) & (F.element_at(bound, 4 + _PARTS) < 0) & (_base(key) == _base(bound)))
+    above = (key > bound) & ~((key["post"] >= 0) & (bound["post"] < 0) & (_base(key) == _base(bound)))
     return F.coalesce(
         F.when(op.isin("==", "==="), same).when(op == "!=", ~same).when(op == "<", below).when(op == ">", above).when(op == "<=", key <= bound)
-        .when(op == ">=", key >= bound).when(op == "~=", (key >= bound) & (head(key, size) == head(bound, size))),
+        .when(op == ">=", key >= bound).when(op == "~=", (key >= bound) & (_head(key, size - 1) == _head(bound, size - 1))),
         F.lit(False),
     )
 

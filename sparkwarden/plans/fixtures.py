@@ -56,6 +56,7 @@ MANIFESTS = {
 VERSIONS = [
     ("2.0.0", "<2.3.0"), ("2.3.0", "<2.3.0"), ("2.5.0", "<2.3.0"), ("3.1.9", "<3.2.0"), ("3.2", "<3.2.0"), ("10.0", "<9.5.0"), ("9.4", "<9.5.0"), ("4.0.0", ">=4.0.0,<5.0"),
     ("4.9.9", ">=4.0.0,<5.0"), ("5.0", ">=4.0.0,<5.0"), ("1.2.3", "==1.2.3"), ("1.2.3.0", "==1.2.3"), ("1.2.4", "!=1.2.3"), ("not-a-version", "<9"), ("2.0.", "<9"), ("1.0", ">1.0"), ("1.1", ">1.0"),
+    ("1.0.0.0.0.0.0.0.0.2", ">1.0.0.0.0.0.0.0.0.1"), ("1.0.0.0.0.0.0.0.0.1", "<1.0.0.0.0.0.0.0.0.1"),
 ]
 
 FINDINGS = [

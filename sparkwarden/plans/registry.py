@@ -326,7 +326,7 @@ def version_extraction(spark, sf_dir):
     return X.frame(spark, _SPECS, "spec string").select("spec", manifests.bound_version(F.col("spec")).alias("version"))
 
 
-_NUM = "list_resize(list_transform(string_split(regexp_replace({0}, '^[<>=!]+', ''), '.'), lambda x: try_cast(x AS BIGINT)), 8, 0)"
+_NUM = "list_resize(list_transform(string_split(regexp_replace({0}, '^[<>=!]+', ''), '.'), lambda x: try_cast(x AS BIGINT)), 12, 0)"
 _OPS = "CASE regexp_extract(c, '^(==|!=|<=|>=|<|>)', 1) WHEN '==' THEN v = b WHEN '!=' THEN v <> b WHEN '<' THEN v < b WHEN '>' THEN v > b WHEN '<=' THEN v <= b WHEN '>=' THEN v >= b END"
 
 
@@ -338,13 +338,16 @@ def version_boundary(spark, sf_dir):
     return rows.select("version", "ranges", advisories.affected(F.col("version"), F.array("ranges")).alias("hit"))
 
 
-_PKG = [("requirements.txt", "PyPI", n, f"=={v}", k + 1, f"{n}=={v}") for k, (n, v) in enumerate([("django", "3.0.0"), ("flask", "2.0.0"), ("requests", "2.28.0"), ("PyYAML", "5.3.0"), ("cryptography", "38.0.0"), ("numpy", "1.23.0"), ("pillow", "9.4.0"), ("gunicorn", "20.0"), ("celery", "5.2.0"), ("redis", "4.4.0"), ("tornado", "6.3.0"), ("click", "8"), ("boto3", "1.x")])] + [("package.json", "npm", "redis", "^4.0.0", 0, "redis")]
+_PKG = [("requirements.txt", "PyPI", n, f"=={v}", k + 1, f"{n}=={v}") for k, (n, v) in enumerate([("django", "3.0.0"), ("flask", "2.0.0"), ("requests", "2.28.0"), ("PyYAML", "5.3.0"), ("cryptography", "38.0.0"), ("numpy", "1.23.0"), ("pillow", "9.4.0"), ("django", "4.0.0"), ("Django", "3.9.9"), ("gunicorn", "20.0"), ("celery", "5.2.0"), ("redis", "4.4.0"), ("tornado", "6.3.0"), ("click", "8"), ("boto3", "1.x")])] + [("package.json", "npm", "redis", "^4.0.0", 0, "redis")]
 _PKG_COLUMNS = "manifest string, ecosystem string, name string, version_spec string, line_num int, snippet string"
-_ADV = [(p, r, s, c) for p, rs, s, c in K.ADVISORIES for r in rs if "a1" not in r]
+_ADV = [(p, r, s, c) for p, rs, s, c in K.ADVISORIES for r in rs]
+_KEY = "list_append(" + _NUM.replace("{0}", "regexp_replace({0}, '(a|b|rc)[0-9]+$', '')") + ", CASE WHEN regexp_matches({0}, '(a|b|rc)[0-9]+$') THEN -1 ELSE 0 END)"
 
 
 @query("WITH " + X.relation("p", _PKG, _PKG_COLUMNS) + ", " + X.relation("a", _ADV, "package string, r string, sev string, cve string") + f""", j AS (SELECT p.*, a.*, regexp_replace(version_spec, '^[=^]+', '') AS version FROM p JOIN a ON lower(name) = package WHERE ecosystem = 'PyPI'),
-  k AS (SELECT *, {_NUM.format('version')} AS v, {_NUM.format('r')} AS b FROM j WHERE regexp_matches(version, '^[0-9.]+$')) SELECT manifest, line_num, name, version, 'DEP-' || replace(cve, '-', '_') AS rule_id, sev AS severity FROM k WHERE v < b""")
+  u AS (SELECT *, unnest(string_split(r, ',')) AS c FROM j WHERE regexp_matches(version, '^[0-9.]+$')), k AS (SELECT *, {_KEY.format('version')} AS v, {_KEY.format('c')} AS b FROM u),
+  h AS (SELECT manifest, line_num, name, version, cve, sev, r, bool_and({_OPS}) AS hit FROM k GROUP BY ALL)
+  SELECT DISTINCT manifest, line_num, name, version, 'DEP-' || replace(cve, '-', '_') AS rule_id, sev AS severity FROM h WHERE hit""")
 def advisory_join(spark, sf_dir):
     return advisories.advisory_findings(X.frame(spark, _PKG, _PKG_COLUMNS), advisories.offline_advisories(spark)).drop("snippet")
 

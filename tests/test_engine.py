@@ -107,7 +107,9 @@ def test_versions(spark):
     assert [r.v for r in sorted(rows, key=lambda r: r.k)] == sorted(order, key=key.Version)
     from packaging.specifiers import SpecifierSet
 
-    cases = [(v, s) for v in ["1.0", "1.0.0", "1.0.1", "2.0", "1.5", "1.0.post1", "0.9", "1.10"] for s in ["<1.0", "<=1.0", ">1.0", ">=1.0.1", "==1.0", "!=1.0", "~=1.0", "==1.*", ">=0.9,<1.5", "==1.0.*"]]
+    versions = ["1.0", "1.0.0", "1.0.1", "2.0", "1.5", "1.0.post1", "0.9", "1.10", "1.0a1", "1.0rc2", "1.0.dev3", "1!0.5", "1.0.0.0.0.0.0.0.0.1", "1.0.0.0.0.0.0.0.0.2"]
+    specs = ["<1.0", "<=1.0", ">1.0", ">=1.0.1", "==1.0", "!=1.0", "~=1.0", "==1.*", ">=0.9,<1.5", "==1.0.*", ">1.0.0.0.0.0.0.0.0.1", "~=1.0.0", "<1.0a2", ">=1!0", "==1!0.*", "!=1.0.*"]
+    cases = [(v, s) for v in versions for s in specs]
     got = spark.createDataFrame(cases, "v string, s string").select("v", "s", advisories.affected(findings.F.col("v"), findings.F.array("s")).alias("hit")).collect()
     assert {(r.v, r.s): r.hit for r in got} == {(v, s): SpecifierSet(s).contains(v, prereleases=True) for v, s in cases}
 
