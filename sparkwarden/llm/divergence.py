@@ -1,177 +1,224 @@
 """How the sources of a language differ in the words they use.
 
-Each task counts the terms of its documents in byte tries, one for each language, whose leaves have a counter for every
-source and the number of documents. A full trie is given out as pieces: short stretches of its leaves in byte order. The
-pieces are dealt by ranges of prefixes and merged there in tries again; as they come in order, all leaves before the
-newest piece are complete and leave the trie, so that a merging task holds what overlaps and no more. The kept leaves,
-in blocks, are walked once more with the totals of all sources: each block adds to the distance of every pair of
-sources and offers its terms, in UTF-8 order, as candidates.
+Each task counts the terms of its documents in byte tries, one for each language. A trie's edges are eight bytes long, and
+it is built level by level with numpy: the nodes of a level are the distinct pairs of a parent and an edge, so all terms of
+some megabytes of text go down together. Its leaves, laid out in byte order, have a counter for every source and the number
+of documents; they travel in pieces, are dealt by ranges of prefixes and merged there in tries again. As they come in
+order, all leaves before the newest piece are complete and leave, so that a merging task holds what overlaps and no more.
+The kept leaves, in blocks, are walked once more with the totals of all sources: each block adds to the distance of every
+pair of sources and offers its terms, in UTF-8 order, as candidates.
 """
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_right
-from collections import Counter
 from heapq import nsmallest
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkwarden.llm.common import delete, written
+from sparkwarden.llm.common import delete, slices, text_bytes, written
 
 LEAST_DOCS, SMOOTH, SCALE, TOP = 30, 5, 1_000_000_000, 50
-#: Terms (repeats included) that are counted before they go into the tries, and counters that the tries of a task hold.
-GATHER, HELD = 400_000, 150_000
-#: Leaves and counters in a piece; in a block of kept leaves.
-PIECE, BLOCK = (512, 8192), (2048, 65_536)
+#: Bytes of text that are counted in one trie; leaves that a task gathers before it merges them.
+GATHER, HELD = 8_000_000, 600_000
+#: Leaves in a piece, and in a block of kept leaves; bytes of an edge.
+PIECE, BLOCK, EDGE = 8192, 2048, 8
 #: Sources whose distances one row of work measures, and pieces of the sample that sets the ranges, for each range.
 TILE, SAMPLE = 256, 20
 #: Bytes of pieces that a range aims at.
-RANGE_BYTES = 32 << 20
+RANGE_BYTES = 8 << 20
 
-#: [^\x00-\x40\x5B-\x60\x7B-\x7F]+ in UTF-8: ASCII letters and all bytes of other characters.
-_TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
-_GAP = re.compile(rb"[^A-Za-z\x80-\xff]")
+#: The bytes of terms: [^\x00-\x40\x5B-\x60\x7B-\x7F] in UTF-8, A-Z lower-cased.
+_LETTER = np.zeros(256, dtype=np.int8)
+_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 # --- tries -----------------------------------------------------------------------------------------------------------
 
 
-class Node:
-    __slots__ = ("edge", "kids", "docs", "counts")
+def edges(raw: np.ndarray, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The EDGE bytes from `at` on as a number that is ordered as they are; what is at or after an end counts as zero, a byte
+    that no term has."""
+    view = np.ndarray(len(raw) + 1, ">u8", np.concatenate([raw, np.zeros(EDGE, np.uint8)]).tobytes(), strides=(1,))
+    gone = np.uint64(8) * np.clip(EDGE - (ends - at), 0, EDGE).astype(np.uint64)
+    value = view[np.minimum(at, len(raw))].astype(np.uint64)
+    return np.where(gone < 64, value >> np.minimum(gone, np.uint64(63)) << np.minimum(gone, np.uint64(63)), np.uint64(0))
 
-    def __init__(self, edge: bytes = b""):
-        self.edge, self.kids, self.docs, self.counts = edge, {}, 0, None
 
+def nodes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, int]:
+    """The node at which each term ends, and how many nodes there are: equal terms, and no others, end at one node."""
+    number, total = np.zeros(len(starts), np.int64), 0
+    going, parent, depth = np.arange(len(starts)), np.zeros(len(starts), np.int64), 0
+    while len(going):
+        edge = edges(raw, starts[going] + EDGE * depth, ends[going])
+        order = np.lexsort((edge, parent)) if depth else np.argsort(edge)
+        e, p = edge[order], parent[order]
+        node = np.empty(len(going), np.int64)
+        node[order] = total + np.cumsum(np.concatenate([[False], (e[1:] != e[:-1]) | (p[1:] != p[:-1])]))
+        number[going], total, depth = node, int(node.max()) + 1, depth + 1
+        more = ends[going] > starts[going] + EDGE * depth
+        going, parent = going[more], node[more]
+    return number, total
 
-class Trie:
-    """A radix trie over bytes; a leaf has the number of documents and the count of each source."""
 
-    def __init__(self):
-        self.root, self.held = Node(), 0
+def byte_order(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The order of the terms by their bytes."""
+    levels = -(-int((ends - starts).max(initial=0)) // EDGE)
+    if levels <= 8:
+        return np.lexsort([edges(raw, starts + EDGE * k, ends) for k in reversed(range(levels))]) if levels else np.arange(len(starts))
+    data = raw.tobytes()  # a few very long terms would make many keys for all
+    return np.array(sorted(range(len(starts)), key=[data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)].__getitem__), dtype=np.int64)
 
-    def add(self, term: bytes, docs: int, counts: dict) -> None:
-        node, at = self.root, 0
-        while at < len(term):
-            kid = node.kids.get(term[at])
-            if kid is None:
-                kid = node.kids[term[at]] = Node(term[at:])
-                node, at = kid, len(term)
-            elif term.startswith(kid.edge, at):
-                node, at = kid, at + len(kid.edge)
-            else:
-                shared = commonprefix([kid.edge, term[at : at + len(kid.edge)]])
-                fork = node.kids[term[at]] = Node(shared)
-                kid.edge = kid.edge[len(shared) :]
-                fork.kids[kid.edge[0]] = kid
-                node, at = fork, at + len(shared)
-        node.docs += docs
-        if node.counts is None:
-            node.counts = {}
-        had = len(node.counts)
-        for s, n in counts.items():
-            node.counts[s] = node.counts.get(s, 0) + n
-        self.held += len(node.counts) - had
-
-    @staticmethod
-    def walk(node: Node, prefix: bytes):
-        """(term, docs, counts) of the leaves under node, in byte order."""
-        stack = [(node, prefix)]
-        while stack:
-            node, prefix = stack.pop()
-            if node.counts is not None:
-                yield prefix, node.docs, node.counts
-            stack += [(node.kids[k], prefix + node.kids[k].edge) for k in sorted(node.kids, reverse=True)]
-
-    def take(self, below: bytes | None = None):
-        """Takes out the leaves before `below` (None: all) and yields them in byte order."""
-        if below is None:
-            node, self.root, self.held = self.root, Node(), 0
-            yield from self.walk(node, b"")
-            return
-        node, prefix = self.root, b""
-        while node is not None:
-            if node.counts is not None and len(prefix) < len(below):
-                self.held -= len(node.counts)
-                yield prefix, node.docs, node.counts
-                node.docs, node.counts = 0, None
-            byte = below[len(prefix)] if len(prefix) < len(below) else -1
-            same = node.kids.get(byte)
-            goes_on = same is not None and below.startswith(prefix + same.edge)
-            for k in sorted(k for k in node.kids if k < byte or (k == byte and not goes_on and prefix + same.edge < below)):
-                kid = node.kids.pop(k)
-                for leaf in self.walk(kid, prefix + kid.edge):
-                    self.held -= len(leaf[2])
-                    yield leaf
-            node, prefix = (same, prefix + same.edge) if goes_on else (None, prefix)
-
-
-def dump(leaves: list[tuple]) -> tuple[list, bytes]:
-    """Names of the sources and the bytes of leaves (ascending): each term without what it shares with the one before."""
-    names: dict = {}
-    shared, rest, before = [], [], b""
-    for term, _, counts in leaves:
-        k = len(commonprefix([before, term]))
-        shared.append(k)
-        rest.append(term[k:])
-        before = term
-        for s in counts:
-            names.setdefault(s, len(names))
-    each = [
-        np.array([len(leaves), sum(len(c) for _, _, c in leaves)]), np.array([d for _, d, _ in leaves]), np.array(shared), np.array([len(r) for r in rest]),
-        np.array([len(c) for _, _, c in leaves]), np.array([names[s] for _, _, c in leaves for s in c]), np.array([n for _, _, c in leaves for n in c.values()]),
-    ]
-    return list(names), b"".join([x.astype("<i8").tobytes() for x in each] + rest)
+
+def _least_type(x: np.ndarray) -> str:
+    top = int(x.max(initial=0))
+    return next(t for t in ("<u1", "<u2", "<u4", "<i8") if top <= np.iinfo(t).max)
 
 
 class Leaves:
-    """What dump() wrote: terms, docs, and the counters of leaf k at bounds[k] to bounds[k+1] of source and count."""
-
-    def __init__(self, data: bytes):
-        n, m = np.frombuffer(data, "<i8", 2).tolist()
-        row = np.frombuffer(data, "<i8", 4 * n + 2 * m, 16)
-        self.docs, shared, length, fan = row[: 4 * n].reshape(4, n)
-        self.source, self.count = row[4 * n : 4 * n + m], row[4 * n + m :]
-        self.bounds = np.concatenate([[0], np.cumsum(fan)])
-        self.terms, at, before = [], 16 + 8 * len(row), b""
-        for k, size in zip(shared.tolist(), length.tolist(), strict=True):
-            before = before[:k] + data[at : at + size]
-            at += size
-            self.terms.append(before)
-
-    def __iter__(self):
-        b, s, c = self.bounds.tolist(), self.source.tolist(), self.count.tolist()
-        for k, (term, docs) in enumerate(zip(self.terms, self.docs.tolist(), strict=True)):
-            yield term, docs, dict(zip(s[b[k] : b[k + 1]], c[b[k] : b[k + 1]], strict=True))
-
-
-def stretches(leaves, most: tuple[int, int]):
-    """Lists of leaves, of at most so many leaves and (but for a leaf that has more) counters."""
-    now, counters = [], 0
-    for leaf in leaves:
-        if now and (len(now) >= most[0] or counters + len(leaf[2]) > most[1]):
-            yield now
-            now, counters = [], 0
-        now.append(leaf)
-        counters += len(leaf[2])
-    if now:
-        yield now
+    """Leaves of a trie in byte order: term k is raw[starts[k]:ends[k]], docs[k] documents have it, and its counters are
+    bounds[k] to bounds[k+1] of source and count."""
+
+    def __init__(self, raw, starts, ends, docs, bounds, source, count):
+        self.raw, self.starts, self.ends, self.docs, self.bounds, self.source, self.count = raw, starts, ends, docs, bounds, source, count
+
+    def __len__(self) -> int:
+        return len(self.docs)
+
+    @property
+    def terms(self) -> list[bytes]:
+        data = self.raw.tobytes()
+        return [data[a:b] for a, b in zip(self.starts.tolist(), self.ends.tolist(), strict=True)]
+
+    def prefixes(self) -> np.ndarray:
+        """The first edges."""
+        return edges(self.raw, self.starts, self.ends)
+
+    def take(self, which: np.ndarray) -> Leaves:
+        """The leaves at the places `which`."""
+        size = np.diff(self.bounds)[which]
+        at = np.repeat(self.bounds[which] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return Leaves(self.raw, self.starts[which], self.ends[which], self.docs[which], np.concatenate([[0], np.cumsum(size)]), self.source[at], self.count[at])
+
+    def parts(self, most: int):
+        for k in range(0, len(self), most):
+            yield self.take(np.arange(k, min(k + most, len(self))))
+
+    def packed(self) -> Leaves:
+        """The same with a raw of its terms alone."""
+        size = self.ends - self.starts
+        end = np.cumsum(size)
+        at = np.repeat(self.starts - (end - size), size) + np.arange(size.sum())
+        return Leaves(self.raw[at], end - size, end, self.docs, self.bounds, self.source, self.count)
+
+    def dump(self) -> tuple[list[int], bytes]:
+        """The sources, and the bytes of the leaves, whose counters have a source's place among them; each column in the least type that holds it."""
+        used, place = np.unique(self.source, return_inverse=True)
+        own = self.packed()
+        columns = [own.ends - own.starts, own.docs, np.diff(own.bounds), place, own.count]
+        kinds = [_least_type(c) for c in columns]
+        head = np.array([len(own), len(own.count), len(own.raw), *[int(k[2:]) for k in kinds]], dtype="<i8")
+        return used.tolist(), b"".join([head.tobytes(), *[c.astype(k).tobytes() for c, k in zip(columns, kinds, strict=True)], own.raw.tobytes()])
+
+    @classmethod
+    def load(cls, data: bytes, sources: np.ndarray) -> Leaves:
+        """What dump() wrote; sources: what to put for each place."""
+        head = np.frombuffer(data, "<i8", 8)
+        at, columns = 64, []
+        for n, width in zip((head[0], head[0], head[0], head[1], head[1]), head[3:], strict=True):
+            columns.append(np.frombuffer(data, {1: "<u1", 2: "<u2", 4: "<u4", 8: "<i8"}[int(width)], int(n), at).astype(np.int64))
+            at += int(n * width)
+        ends = np.cumsum(columns[0])
+        return cls(np.frombuffer(data, np.uint8, int(head[2]), at), ends - columns[0], ends, columns[1], np.concatenate([[0], np.cumsum(columns[2])]), sources[columns[3]], columns[4])
+
+
+def _reduced(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct keys, ascending, and the sums of the values of each."""
+    if not len(key):
+        return key, *values
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], *[np.add.reduceat(v[order], first) for v in values]
+
+
+def merge(tries: list[Leaves]) -> Leaves:
+    """One trie of the leaves of several: those of one term are one, its documents and counts added up."""
+    raw = np.concatenate([t.raw for t in tries])
+    base = np.cumsum([0, *[len(t.raw) for t in tries[:-1]]])
+    starts, ends = (np.concatenate([getattr(t, x) + b for t, b in zip(tries, base, strict=True)]) for x in ("starts", "ends"))
+    number, total = nodes(raw, starts, ends)
+    one = np.full(total, -1)
+    one[number] = np.arange(len(number))
+    leaf = np.flatnonzero(one >= 0)  # the other nodes lie on the way to one
+    leaf = leaf[byte_order(raw, starts[one[leaf]], ends[one[leaf]])]
+    rank = np.zeros(total, np.int64)
+    rank[leaf] = np.arange(len(leaf))
+    docs = np.zeros(len(leaf), np.int64)
+    np.add.at(docs, rank[number], np.concatenate([t.docs for t in tries]))
+    source, count = (np.concatenate([getattr(t, x) for t in tries]) for x in ("source", "count"))
+    each = np.repeat(rank[number], np.concatenate([np.diff(t.bounds) for t in tries]))
+    width = int(source.max(initial=0)) + 1
+    key, count = _reduced(each * width + source, count)
+    return Leaves(raw, starts[one[leaf]], ends[one[leaf]], docs, np.searchsorted(key, np.arange(len(leaf) + 1) * width), key % width, count).packed()
 
 
 # --- counting and merging ---------------------------------------------------------------------------------------------
 
 
-def portions(data: bytes, size: int = 1 << 20):
-    """The terms of a text, a list for each MB of it; a cut lies where no term is."""
-    start = 0
-    while start < len(data):
-        gap = _GAP.search(data, start + size)
-        stop = gap.start() if gap else len(data)
-        yield _TERM.findall(data[start:stop])
+def spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the terms, and the row of each; none runs over the edge of two rows."""
+    inside = np.zeros(len(raw) + 2, dtype=np.int8)
+    inside[1:-1] = _LETTER[raw]
+    step = np.diff(inside)
+    starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    cuts = np.unique(offsets[1:-1])
+    cuts = cuts[(cuts > 0) & (cuts < len(raw))]
+    cuts = cuts[(inside[cuts] == 1) & (inside[cuts + 1] == 1)]
+    starts, ends = np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
+    return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
+
+
+def counted(raw: np.ndarray, offsets: np.ndarray, group: np.ndarray, langs: np.ndarray) -> dict[int, Leaves]:
+    """A trie for each language of the texts (lower-cased bytes, offsets, each one's group); langs: the language of each group. The sources are groups."""
+    starts, ends, row = spans(raw, offsets)
+    if not len(starts):
+        return {}
+    number, total = nodes(raw, starts, ends)
+    one = np.full(total, -1)
+    one[number] = np.arange(len(number))
+    leaf = np.flatnonzero(one >= 0)
+    leaf = leaf[byte_order(raw, starts[one[leaf]], ends[one[leaf]])]
+    rank = np.zeros(total, np.int64)
+    rank[leaf] = np.arange(len(leaf))
+    at, m, g = one[leaf], len(leaf), len(langs)
+    # a row for each document and term, then one for each language, term and group
+    pair = np.sort(row * m + rank[number])
+    first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+    pair, n = pair[first], np.diff(np.append(first, len(pair)))
+    own = group[pair // m]
+    both, docs, count = _reduced((langs[own] * m + pair % m) * g + own, np.ones(len(pair), np.int64), n)
+    of, out = both // g, {}
+    for lang in np.unique(of // m).tolist():
+        lo, hi = np.searchsorted(of, [lang * m, (lang + 1) * m])
+        terms, first = np.unique(of[lo:hi], return_index=True)
+        which = at[terms - lang * m]
+        out[lang] = Leaves(raw, starts[which], ends[which], np.add.reduceat(docs[lo:hi], first), np.concatenate([first, [hi - lo]]), both[lo:hi] % g, count[lo:hi])
+    return out
+
+
+def _portions(raw: np.ndarray, size: int):
+    """Parts of a text of at least `size` bytes (the last may have fewer), cut where no term is."""
+    gaps, start = np.flatnonzero(_LETTER[raw] == 0), 0
+    while start < len(raw):
+        k = int(np.searchsorted(gaps, start + size))
+        stop = int(gaps[k]) if k < len(gaps) else len(raw)
+        yield raw[start:stop]
         start = stop
 
 
@@ -182,112 +229,110 @@ def _record(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
 
-def _pieces(tries: dict):
-    for lang, trie in tries.items():
-        for part in stretches(trie.take(), PIECE):
-            sources, data = dump(part)
-            yield _record([(lang, part[0][0], part[-1][0], sources, data)], ["lang", "first", "last", "sources", "data"], [pa.string(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.binary()])
+def _prefix(value) -> bytes:
+    return int(value).to_bytes(EDGE, "big")
+
+
+_KINDS = [pa.string(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.binary()]
+
+
+def _piece(lang: str, part: Leaves, sources: list[str]) -> tuple:
+    used, data = part.dump()
+    ends = part.prefixes()[[0, -1]]
+    return lang, _prefix(ends[0]), _prefix(ends[1]), [sources[k] for k in used], data
 
 
 def _counted(batches):
     """Pieces of the tries of a partition's documents (lang, source, text)."""
-    tries: dict[str, Trie] = {}
-    counts: dict[tuple, Counter] = {}
-    seen: dict[str, Counter] = {}
-    waiting = 0
-
-    def fold():
-        by_term: dict[str, dict] = {lang: {term: (n, {}) for term, n in found.items()} for lang, found in seen.items()}
-        for (lang, source), found in counts.items():
-            of = by_term[lang]
-            for term, n in found.items():
-                if term not in of:  # of a document that is not yet at its end
-                    of[term] = (0, {})
-                of[term][1][source] = n
-        for lang, terms in by_term.items():
-            trie = tries.setdefault(lang, Trie())
-            for term, (docs, by_source) in terms.items():
-                trie.add(term, docs, by_source)
-        counts.clear()
-        seen.clear()
+    sources: dict[str, int] = {}
+    held: dict[str, list[Leaves]] = {}
+
+    def pieces():
+        names = list(sources)
+        for lang, tries in held.items():
+            for part in merge(tries).parts(PIECE):
+                yield _record([_piece(lang, part, names)], ["lang", "first", "last", "sources", "data"], _KINDS)
+        held.clear()
 
     for b in batches:
-        for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()), strict=True):
-            own, distinct = counts.setdefault((lang, source), Counter()), set()
-            seen.setdefault(lang, Counter())
-            for found in portions(text.as_py().lower()):
-                own.update(found)
-                distinct.update(found)
-                waiting += len(found)
-            seen[lang].update(distinct)
-            if waiting >= GATHER:
-                fold()
-                waiting = 0
-                if sum(t.held for t in tries.values()) >= HELD:
-                    yield from _pieces(tries)
-    fold()
-    yield from _pieces(tries)
+        of = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        groups = sorted(set(of))
+        place = {x: k for k, x in enumerate(groups)}
+        group = np.array([place[x] for x in of], dtype=np.int64)
+        names = sorted({lang for lang, _ in groups})
+        langs = np.array([names.index(lang) for lang, _ in groups], dtype=np.int64)
+        known = np.array([sources.setdefault(source, len(sources)) for _, source in groups], dtype=np.int64)
+        raw, offsets = text_bytes(b.column(2))
+        for x, y in slices(offsets, GATHER):
+            low = _LOWER[raw[offsets[x] : offsets[y]]]
+            if y == x + 1 and len(low) > 2 * GATHER:
+                tries, found = {}, [t for part in _portions(low, GATHER) for t in counted(part, np.array([0, len(part)]), group[x:y], langs).values()]
+                if found:
+                    tries[int(langs[group[x]])] = whole = merge(found)
+                    whole.docs[:] = 1  # it is one document
+            else:
+                tries = counted(low, offsets[x : y + 1] - offsets[x], group[x:y], langs)
+            for lang, trie in tries.items():
+                trie = trie.packed()
+                trie.source = known[trie.source]
+                held.setdefault(names[lang], []).append(trie)
+            if sum(len(t) for tries in held.values() for t in tries) >= HELD:
+                yield from pieces()
+    yield from pieces()
 
 
 def _ranged(cuts: list[tuple]):
-    """A piece for each range that it reaches into; range k begins at cuts[k-1]."""
+    """Pieces cut at the edges of ranges; range k begins at cuts[k-1]."""
 
     def rows(batches):
         for b in batches:
-            keys = [x.to_pylist() for x in b.columns[:3]]
-            at, range_ = [], []
-            for k, (lang, first, last) in enumerate(zip(*keys, strict=True)):
-                lo, hi = (bisect_right(cuts, (lang.encode(), x)) for x in (first, last))
-                at += [k] * (hi - lo + 1)
-                range_ += range(lo, hi + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(range_, pa.int32()), *[c.take(pa.array(at, pa.int64())) for c in b.columns]], names=["range", *b.schema.names])
+            for lang, first, last, sources, data in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                key = lang.encode()
+                lo, hi = (bisect_right(cuts, (key, x)) for x in (first, last))
+                out = [(lo, lang, first, last, sources, data)]
+                if hi > lo:
+                    leaves = Leaves.load(data, np.arange(len(sources)))
+                    edge = np.array([int.from_bytes(x, "big") for _, x in cuts[lo:hi]], dtype=np.uint64)
+                    at = [0, *np.searchsorted(leaves.prefixes(), edge).tolist(), len(leaves)]
+                    out = [(lo + k, *_piece(lang, leaves.take(np.arange(at[k], at[k + 1])), sources)) for k in range(len(at) - 1) if at[k] < at[k + 1]]
+                yield _record(out, ["range", "lang", "first", "last", "sources", "data"], [pa.int32(), *_KINDS])
 
     return rows
 
 
-_BLOCKS = "lang string, first binary, terms int, sources array<string>, sums array<long>, data binary"
+_BLOCKS = "lang string, terms int, sources array<string>, sums array<long>, data binary"
 
 
-def _merged(cuts: list[tuple], least: int):
+def _merged(least: int):
     """Blocks of kept leaves, from pieces (range, lang, first, last, sources, data) in this order."""
 
-    def block(lang, part):
-        sources, data = dump(part)
-        sums = dict.fromkeys(sources, 0)
-        for _, _, counts in part:
-            for s, n in counts.items():
-                sums[s] += n
-        kinds = [pa.string(), pa.binary(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()]
-        return _record([(lang, part[0][0], len(part), sources, list(sums.values()), data)], ["lang", "first", "terms", "sources", "sums", "data"], kinds)
-
-    def stream(batches):
-        """(lang, leaf) of the kept leaves in order, None where a block has to end."""
-        trie, now = Trie(), None
+    def rows(batches):
+        now, names, held, most = None, {}, [], HELD
+
+        def blocks(leaves: Leaves):
+            known = list(names)
+            for part in leaves.take(np.flatnonzero(leaves.docs >= least)).parts(BLOCK):
+                used, data = part.dump()
+                sums = np.zeros(len(used), np.int64)
+                np.add.at(sums, np.searchsorted(used, part.source), part.count)
+                kinds = [pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()]
+                yield _record([(now[1], len(part), [known[s] for s in used], sums.tolist(), data)], ["lang", "terms", "sources", "sums", "data"], kinds)
+
         for b in batches:
             for range_, lang, first, sources, data in zip(*[b.column(k).to_pylist() for k in (0, 1, 2, 4, 5)], strict=True):
                 if now != (range_, lang):
-                    yield from ((now[1], leaf) for leaf in trie.take() if now and leaf[1] >= least)
-                    now = range_, lang
-                else:
-                    yield from ((lang, leaf) for leaf in trie.take(first) if leaf[1] >= least)
-                low = cuts[range_ - 1] if range_ else None
-                high = cuts[range_] if range_ < len(cuts) else None
-                key = lang.encode()
-                for term, docs, counts in Leaves(data):
-                    if (low is None or (key, term) >= low) and (high is None or (key, term) < high):
-                        trie.add(term, docs, {sources[s]: n for s, n in counts.items()})
-        yield from ((now[1], leaf) for leaf in trie.take() if leaf[1] >= least) if now else ()
-
-    def rows(batches):
-        lang, part, counters = None, [], 0
-        for of, leaf in stream(batches):
-            if part and (of != lang or len(part) >= BLOCK[0] or counters + len(leaf[2]) > BLOCK[1] or leaf[0] < part[-1][0]):
-                yield block(lang, part)
-                part, counters = [], 0
-            lang, counters = of, counters + len(leaf[2])
-            part.append(leaf)
-        if part:
-            yield block(lang, part)
+                    if held:
+                        yield from blocks(merge(held))
+                    now, names, held, most = (range_, lang), {}, [], HELD
+                elif sum(map(len, held)) >= most:
+                    whole = merge(held)
+                    done = int(np.searchsorted(whole.prefixes(), np.uint64(int.from_bytes(first, "big"))))  # what comes is not before `first`
+                    yield from blocks(whole.take(np.arange(done)))
+                    held = [whole.take(np.arange(done, len(whole))).packed()]
+                    most = max(HELD, 2 * len(held[0]))
+                held.append(Leaves.load(data, np.array([names.setdefault(s, len(names)) for s in sources], dtype=np.int64)))
+        if held:
+            yield from blocks(merge(held))
 
     return rows
 
@@ -297,12 +342,12 @@ def kept_terms(docs: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
     spark = docs.sparkSession
     pieces = written(docs.select("lang", "source", "text").mapInArrow(_counted, _PIECES), "trie-pieces")
     size = pieces.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    ranges = max(1, -(-size // RANGE_BYTES))
     # a bounded sample, which sets how evenly the ranges are dealt and nothing else
     sample = sorted((r["lang"].encode(), bytes(r["first"])) for r in pieces.select("lang", "first").orderBy(F.xxhash64("first", "lang"), "lang", "first").limit(SAMPLE * ranges).collect())
     cuts = sorted({sample[len(sample) * k // ranges] for k in range(1, ranges)}) if sample else []
     dealt = pieces.mapInArrow(_ranged(cuts), "range int, " + _PIECES).repartition(ranges, "range").sortWithinPartitions("range", "lang", "first")
-    kept = written(dealt.mapInArrow(_merged(cuts, least), _BLOCKS), "trie-kept")
+    kept = written(dealt.mapInArrow(_merged(least), _BLOCKS), "trie-kept")
     delete(pieces)
     return kept
 
@@ -342,14 +387,14 @@ def _measured(batches):
 
     for batch in batches:
         for row in batch.to_pylist():
-            leaves, lang, terms = Leaves(row["data"]), row["lang"], row["kept"]
-            line = np.repeat(np.arange(len(leaves.terms)), np.diff(leaves.bounds))
+            leaves, lang, terms = Leaves.load(row["data"], np.arange(len(row["sources"]))), row["lang"], row["kept"]
+            line, spelled = np.repeat(np.arange(len(leaves)), np.diff(leaves.bounds)), leaves.terms
 
             def dense(names, line=line, leaves=leaves, row=row):
                 place = {s: k for k, s in enumerate(names)}
                 column = np.array([place.get(s, -1) for s in row["sources"]], dtype=np.int64)[leaves.source]
                 has = column >= 0
-                counts = np.zeros((len(leaves.terms), len(names)), dtype=np.int64)
+                counts = np.zeros((len(leaves), len(names)), dtype=np.int64)
                 counts[line[has], column[has]] = leaves.count[has]
                 return counts
 
@@ -366,13 +411,13 @@ def _measured(batches):
                 begin = i + 1 if same else 0
                 sums[key][2][i, begin:] += np.abs(q[:, begin:] - p[:, i : i + 1]).sum(axis=0)
             if same:  # the tiles on the diagonal cover every source once
-                whole = np.zeros(len(leaves.terms), dtype=np.int64)
+                whole = np.zeros(len(leaves), dtype=np.int64)
                 np.add.at(whole, line, leaves.count)
                 over = p - shares(whole, row["lang_total"], terms)[:, None]
                 for i, source in enumerate(row["left"]):
                     mine = np.flatnonzero((left[:, i] > 0) & (over[:, i] > 0))
                     mine = mine[np.argsort(-over[mine, i], kind="stable")[:TOP]]  # equal ones stay in the order of the walk
-                    best[lang, source] = nsmallest(TOP, best.get((lang, source), []) + [(-int(over[k, i]), leaves.terms[k]) for k in mine.tolist()])
+                    best[lang, source] = nsmallest(TOP, best.get((lang, source), []) + [(-int(over[k, i]), spelled[k]) for k in mine.tolist()])
                 if len(best) > 4096:
                     yield from candidates()
     yield from pairs()

@@ -44,37 +44,75 @@ def result(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-def test_a_trie_is_a_sorted_table_of_counters():
+def leaves_of(table):
+    """A trie from {term: (docs, {source: count})}."""
+    terms = sorted(table)
+    raw = np.frombuffer(b"".join(terms), np.uint8)
+    size = np.array([len(t) for t in terms], dtype=np.int64)
+    ends = np.cumsum(size)
+    each = [sorted(table[t][1].items()) for t in terms]
+    column = lambda k: np.array([x[k] for e in each for x in e], dtype=np.int64)
+    bounds = np.cumsum([0, *[len(e) for e in each]])
+    return divergence.Leaves(raw, ends - size, ends, np.array([table[t][0] for t in terms], dtype=np.int64), bounds, column(0), column(1))
+
+
+def table_of(leaves):
+    b = leaves.bounds.tolist()
+    return {t: (int(d), dict(zip(leaves.source[b[k] : b[k + 1]].tolist(), leaves.count[b[k] : b[k + 1]].tolist(), strict=True))) for k, (t, d) in enumerate(zip(leaves.terms, leaves.docs, strict=True))}
+
+
+def test_tries_merge_as_tables_do():
     rng = random.Random(3)
-    for alphabet in (b"ab", bytes(range(256))):
-        trie, want, gone = divergence.Trie(), {}, b""
-        for k in range(3000):
-            term = gone + bytes(rng.choice(alphabet) for _ in range(rng.randint(0 if not gone else 1, 6)))
-            trie.add(term, 1, {"s": 2, rng.choice("tu"): 1})
-            docs, counts = want.setdefault(term, (0, Counter()))
-            want[term] = docs + 1, counts
-            if k % 500 == 499:
-                below = bytes(rng.choice(alphabet) for _ in range(3))
-                got = [t for t, *_ in trie.take(below)]
-                assert got == sorted(t for t in want if t < below)
-                for t in got:
-                    del want[t]
-        leaves = [(t, d, dict(c)) for t, d, c in trie.walk(trie.root, b"")]
-        assert [(t, d) for t, d, _ in leaves] == sorted((t, d) for t, (d, _) in want.items())
-        assert all(c["s"] == 2 * d and sum(c.values()) == 3 * d for _, d, c in leaves) and trie.held == sum(len(c) for *_, c in leaves)
-        names, data = divergence.dump(leaves)
-        assert [(t, d, {names[s]: n for s, n in c.items()}) for t, d, c in divergence.Leaves(data)] == leaves
-        assert [t for part in divergence.stretches(iter(leaves), (7, 12)) for t, *_ in part] == [t for t, *_ in leaves]
-        list(trie.take())
-        assert trie.held == 0
+    for alphabet, longest in ((b"ab", 30), (bytes(range(65, 91)) + bytes(range(128, 256)), 6), (b"a", 200), (b"xyz", 9)):
+        tables = []
+        for _ in range(4):
+            table = {}
+            for _ in range(rng.choice([0, 1, 300])):
+                term = bytes(rng.choice(alphabet) for _ in range(rng.randint(1, longest)))
+                table[term] = (rng.randint(1, 9), {rng.randrange(6): rng.choice([1, 300, 2**40]) for _ in range(rng.randint(1, 3))})
+            tables.append(table)
+        if not any(tables):
+            continue
+        want = {}
+        for table in tables:
+            for t, (d, c) in table.items():
+                had = want.setdefault(t, (0, Counter()))
+                had[1].update(c)
+                want[t] = had[0] + d, had[1]
+        got = divergence.merge([leaves_of(t) for t in tables])
+        assert got.terms == sorted(want) and table_of(got) == {t: (d, dict(c)) for t, (d, c) in want.items()}
+        assert got.prefixes().tolist() == [int.from_bytes(t[:8].ljust(8, b"\0"), "big") for t in got.terms]
+        for part in got.parts(7):
+            used, data = part.dump()
+            back = divergence.Leaves.load(data, np.array(used))
+            assert table_of(back) == table_of(part) and len(back.raw) == sum(map(len, back.terms))
+
+
+def test_counting_is_by_documents_and_sources():
+    rng = random.Random(7)
+    for _ in range(60):
+        texts = ["".join(rng.choice(["ab", "é", " ", "1", "日本", "x" * 9, "Q", "-"]) for _ in range(rng.randint(0, 25))) for _ in range(rng.randint(1, 9))]
+        group = np.array([rng.randrange(3) for _ in texts])
+        low = divergence._LOWER[np.frombuffer("".join(texts).encode(), np.uint8)]
+        got = divergence.counted(low, np.cumsum([0, *[len(t.encode()) for t in texts]]), group, np.array([0, 1, 0]))
+        want = {}
+        for t, g in zip(texts, group.tolist(), strict=True):
+            for term, n in Counter(TERM.findall(t.translate(LOWER))).items():
+                docs, counts = want.setdefault((0, 1, 0)[g], {}).setdefault(term.encode(), (0, Counter()))
+                want[(0, 1, 0)[g]][term.encode()] = docs + 1, counts
+                counts[g] += n
+        assert {k: table_of(v) for k, v in got.items()} == {k: {t: (d, dict(c)) for t, (d, c) in v.items()} for k, v in want.items()}
+        assert all(v.terms == sorted(want[k]) for k, v in got.items())
 
 
 def test_portions_cut_between_terms():
     rng = random.Random(2)
     for _ in range(50):
-        data = "".join(rng.choice(["abc", "é", " ", "1", "日本", "\n\n"]) for _ in range(rng.randint(0, 300))).encode()
+        data = np.frombuffer("".join(rng.choice(["abc", "é", " ", "1", "日本", "\n\n"]) for _ in range(rng.randint(0, 300))).encode(), np.uint8)
         for size in (1, 2, 17, 1000):
-            assert [t for p in divergence.portions(data, size) for t in p] == divergence._TERM.findall(data)
+            parts = list(divergence._portions(data, size))
+            terms = lambda raw: [raw[a:b].tobytes() for a, b in zip(*divergence.spans(raw, np.array([0, len(raw)]))[:2], strict=True)]
+            assert b"".join(p.tobytes() for p in parts) == data.tobytes() and [t for p in parts for t in terms(p)] == terms(data)
 
 
 def test_shares_of_very_large_counts_are_exact():
@@ -84,15 +122,15 @@ def test_shares_of_very_large_counts_are_exact():
     assert divergence.shares(counts, total, 2).tolist() == want
 
 
-SETTINGS = [{}, {"GATHER": 50, "HELD": 60, "PIECE": (3, 7), "BLOCK": (4, 9), "TILE": 2, "SAMPLE": 5, "RANGE_BYTES": 400}, {"GATHER": 1, "HELD": 1, "PIECE": (1, 1), "BLOCK": (1, 1), "TILE": 1, "RANGE_BYTES": 100}]
+SETTINGS = [{}, {"GATHER": 500, "HELD": 60, "PIECE": 3, "BLOCK": 4, "TILE": 2, "SAMPLE": 5, "RANGE_BYTES": 4000}, {"GATHER": 10, "HELD": 1, "PIECE": 1, "BLOCK": 1, "TILE": 1, "RANGE_BYTES": 9000}]
 
 
 @pytest.mark.parametrize("settings", SETTINGS)
 def test_operator(spark, docs, rows, empty, monkeypatch, settings):
     for name, value in settings.items():
         monkeypatch.setattr(divergence, name, value)
-    few = [r for r in rows if len(r[1] or "") < 5000] if settings.get("HELD") == 1 else rows
-    table = docs if few is rows else docs.where("text is null or length(text) < 5000")
+    few = [r for r in rows if len(r[1] or "") < 300] if settings.get("HELD") == 1 else rows
+    table = docs if few is rows else docs.where("text is null or length(text) < 300")
     for least in (30, 2):
         want = plain(few, least)
         assert any(r[2] == "term" for r in want) or least == 30
@@ -111,7 +149,7 @@ def test_ties_go_by_bytes_and_sources_without_terms_stay(spark):
 
 
 def test_a_hot_term_and_a_hot_source(spark, monkeypatch):
-    monkeypatch.setattr(divergence, "PIECE", (8, 16))
+    monkeypatch.setattr(divergence, "PIECE", 8)
     rows = [(k, "the " * 50 + f"w{'abcdefghij'[k % 10]} {'xyz'[k % 3] * (1 + k % 7)}", "en", "hot" if k % 3 else f"s{k % 9}", 0) for k in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(7)
     assert result(divergence.source_divergence(df)) == plain(rows, 30)
