@@ -3,10 +3,12 @@
 A source with target T and size S takes each document T/S times. The whole part is taken outright; the fractional
 parts are rounded by pairs: word mass moves at random from one document to the other until one of the two is taken
 wholly or not at all, which keeps every document's expectation and the source's sum. Leaves of about LEAF documents
-(dealt by a hash, so a hot source has many) each leave at most one document undecided; those residuals meet again in
-a tree of FAN-way groups, and only the last of a source is rounded alone. That is the whole rounding; mix(exact=True) adds
-a step of its own, which flips documents of the last group until the source is as near its target as they can bring it
-(those few documents then no longer have their expectation).
+(dealt by a hash, so a hot source has many) hand on the one document that is left undecided and their HANDED smallest,
+which nothing has been decided of; those meet again in a tree of FAN-way groups, and only the last of a source is rounded
+alone. That is the whole rounding; mix(exact=True) adds a step of its own, which flips documents of the last group, one or
+two at a time, until the source is as near its target as they can bring it (those documents then no longer have their
+expectation). What is flipped there is mostly small, and where a document is larger than its source's target, the step
+looks at both ways of rounding it and at what the others can make of either.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 from sparkwarden.llm.common import WORD_RE, written
 
 WEIGHTS, MOST, LEAF, FAN, SEED = (5.0, 2.0, 1.0), 3.0, 1024, 64, 20240
+#: Smallest documents that a group hands on; largest documents of the last group that are tried both ways; documents up to which all choices are looked at.
+HANDED, TRIED, FEW = 8, 16, 20
 
 _ROW = "id {id}, src long, bucket long, size long, source_size long, target double, whole int, frac double, copies int, round_key long, n long"
 
@@ -67,16 +71,59 @@ def settle(size: np.ndarray, frac: np.ndarray, rng: np.random.Generator, last: b
     return out
 
 
+def _best_choice(size: np.ndarray, goal: float) -> np.ndarray:
+    """1 or 0 for each of a few documents, so that those with 1 come nearest to the goal; sums of either half meet in order."""
+    half, sums = len(size) // 2, []
+    for part in (size[:half], size[half:]):
+        total = np.zeros(1)
+        for x in part:
+            total = np.concatenate([total, total + x])
+        sums.append(total)
+    order = np.argsort(sums[1], kind="stable")
+    at = np.searchsorted(sums[1][order], goal - sums[0])
+    pairs = [(np.abs(sums[0] + sums[1][order[j]] - goal), order[j]) for j in (np.clip(at - 1, 0, len(order) - 1), np.clip(at, 0, len(order) - 1))]
+    near, other = min(pairs, key=lambda p: p[0].min())
+    first = int(near.argmin())
+    code = first | int(other[first]) << half
+    return code >> np.arange(len(size)) & 1
+
+
 def work_off(size: np.ndarray, extra: np.ndarray, error: float) -> np.ndarray:
-    """Flips single documents, the best one first, as long as that brings the taken words nearer to the target."""
-    extra = extra.copy()
-    for _ in range(len(size)):
-        after = error + np.where(extra > 0, -size, size)
-        best = int(np.abs(after).argmin())
-        if abs(after[best]) >= abs(error):
+    """extra with one or two documents flipped at a time, the best choice first, as long as that brings the taken words
+    nearer to the target; error: how far they are over. That is tried from extra as it is, and with each of the TRIED
+    largest documents flipped at the start and then left alone; the nearest outcome counts, the first of equal ones. Of at
+    most FEW documents the best of all choices is taken."""
+    if len(size) <= FEW:
+        return _best_choice(size, float((extra * size).sum()) - error)
+    best, least = extra, abs(error)
+    for first in [-1, *np.argsort(-size, kind="stable")[:TRIED].tolist()]:
+        if least < 1:
             break
-        extra[best], error = 1 - extra[best], after[best]
-    return extra
+        now, left = extra.copy(), error
+        change = np.where(now > 0, -size, size).astype(np.float64)
+        if first >= 0:
+            now[first], left, change[first] = 1 - now[first], left + change[first], np.inf
+        for _ in range(len(size)):
+            order = np.argsort(change, kind="stable")
+            order = order[np.isfinite(change[order])]
+            d = change[order]
+            flips = [(abs(left + d[k]), (order[k],)) for k in [int(np.abs(left + d).argmin())]] if len(d) else []
+            at = np.searchsorted(d, -left - d)
+            for shift in (-2, -1, 0, 1):  # the second of two flips: the one nearest to what the first leaves, but not itself
+                j = at + shift
+                usable = np.flatnonzero((j >= 0) & (j < len(d)) & (j != np.arange(len(d))))
+                if len(usable):
+                    after = np.abs(left + d[usable] + d[j[usable]])
+                    k = usable[int(after.argmin())]
+                    flips.append((float(after.min()), (order[k], order[j[k]])))
+            after, which = min(flips, key=lambda f: (f[0], len(f[1])), default=(np.inf, ()))
+            if after >= abs(left):
+                break
+            for k in which:
+                now[k], left, change[k] = 1 - now[k], left + change[k], -change[k]
+        if abs(left) < least:
+            best, least = now, abs(left)
+    return best
 
 
 def _round(level: int, last: bool, exact: bool):
@@ -85,8 +132,11 @@ def _round(level: int, last: bool, exact: bool):
         pdf = pdf.sort_values(["size", "round_key"], ascending=[False, True], kind="stable").reset_index(drop=True)
         rng = np.random.default_rng([SEED, level, int(pdf["src"].iloc[0]), int(pdf["bucket"].iloc[0]) // FAN**level])
         frac, size = pdf["frac"].to_numpy(dtype=float, copy=True), pdf["size"].to_numpy()
-        mass, free = float((frac * size).sum()), (frac > 0) & (frac < 1)
-        extra = settle(size, frac, rng, last)
+        mass, free = float((frac * size).sum()), (frac > 0) & (frac < 1) & (size > 0)
+        handed = np.zeros(len(pdf), dtype=bool) if last else free & (np.cumsum(free[::-1])[::-1] <= HANDED)
+        extra, some = np.full(len(pdf), -1), frac[~handed]
+        extra[~handed] = settle(size[~handed], some, rng, last)
+        frac[~handed] = some
         if exact and last and free.any():
             extra[free] = work_off(size[free], extra[free], float((extra * size).sum()) - mass)
         pdf["frac"], pdf["copies"], pdf["n"] = frac, np.where(extra < 0, -1, pdf["whole"] + extra).astype(np.int32), 1

@@ -1,4 +1,5 @@
 import math
+import os
 import re
 from collections import defaultdict
 
@@ -33,7 +34,37 @@ def test_what_the_last_rounding_leaves_is_worked_off():
         error = float(rng.integers(-900, 900))
         after = mixing.work_off(size, extra, error)
         left = error + ((after - extra) * size).sum()
-        assert set(after) <= {0, 1} and abs(left) <= abs(error) and abs(left) < 60
+        assert set(after) <= {0, 1} and abs(left) <= abs(error) and abs(left) <= 2
+
+
+def test_few_documents_of_very_unlike_sizes_come_near_the_best_subset():
+    rng = np.random.default_rng(5)
+    for _ in range(150):
+        size = np.concatenate([rng.integers(1500, 3000, rng.integers(1, 3)), rng.integers(20, 500, 9)])
+        target = float(rng.uniform(0.2, 0.8)) * size.sum()
+        sums = np.array([0])
+        for x in size:
+            sums = np.concatenate([sums, sums + x])
+        extra = rng.integers(0, 2, len(size))
+        after = mixing.work_off(size, extra, float((extra * size).sum()) - target)
+        assert abs((after * size).sum() - target) <= np.abs(sums - target).min() + 0.02 * target
+
+
+def test_a_source_of_one_large_and_some_small_documents(spark):
+    """The large one alone is over the target, the small ones can be put together to meet it."""
+    rows = [(k, "w " * n, "a" if k < 10 else "b") for k, n in enumerate([2065, 180, 420, 97, 300, 250, 111, 205, 190, 244, *[400] * 30])]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1.0, 9.0)).collect()
+    for source in {r.target for r in got}:
+        assert abs(sum(r.taken for r in got if r.target == source) - source) <= 0.05 * source
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no driver tables")
+def test_given_tables_come_near_their_targets(spark):
+    for sf in ("sf0.001", "sf0.01"):
+        got = mixing.mix(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).groupBy("target", "source_size").agg({"taken": "sum", "*": "count"}).collect()
+        assert len(got) == 20
+        for r in got:
+            assert abs(r["sum(taken)"] - r["target"]) <= 0.02 * r["target"], (sf, r)
 
 
 def test_operator(docs, rows, empty, monkeypatch):
