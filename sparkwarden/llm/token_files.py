@@ -11,6 +11,8 @@ documents is one file, written by one task, and Parquet's commit leaves no half
 
 from __future__ import annotations
 
+import itertools
+import re
 import zlib
 
 import numpy as np
@@ -19,14 +21,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm.common import scratch_path, written
-from sparkwarden.llm.tokens import _MOST_PIECES, _PIECES, _UNSAFE, Counter, _normal, tokenizer_version
+from sparkwarden.llm import tokens
+from sparkwarden.llm.common import scratch_path, slices, span_hashes, text_bytes
+from sparkwarden.llm.tokens import _UNSAFE, Counter, _normal, tokenizer_version
 
 #: Ids in a word and bits of each, by selector - 1: the layouts that fill sixty bits. Selector 0 is an escape.
 LAYOUTS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 BLOCK = 4096
-#: Bytes of packed words that a file aims at, and ids that are packed at a time.
-FILE_BYTES, WORK_IDS = 64 << 20, 1 << 19
+#: Ids that are packed, and bytes of text that are encoded, at a time.
+WORK_IDS, WORK_BYTES = 1 << 21, 8_000_000
 
 _COUNT = np.array([1, *[c for c, _ in LAYOUTS], 1], dtype=np.int64)
 _HELD = (1 << 60) - 1
@@ -52,7 +55,7 @@ def _selectors(bits: np.ndarray, room: np.ndarray) -> np.ndarray:
         half = count
     for s in range(len(LAYOUTS) - 1, 0, -1):
         count, width = LAYOUTS[s - 1]
-        out[(widest[count] <= width) & (room >= count)] = s
+        np.copyto(out, s, where=(widest[count] <= width) & (room >= count))
     return out
 
 
@@ -63,11 +66,14 @@ def pack(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64), np.zeros(0, np.int64)
     last = np.repeat(ends, np.diff(ends, prepend=0))
     sel = _selectors(_bits(values), np.minimum(last - np.arange(n), 60).astype(np.uint8))
-    step, at, i = _COUNT[sel].tolist(), [], 0
-    while i < n:
-        at.append(i)
-        i += step[i]
-    at = np.array(at, dtype=np.int64)
+    step, begun = _COUNT[sel], []
+    at, stop = np.concatenate([[0], ends[:-1]]), ends
+    while len(at):  # a word further in all blocks that have one
+        begun.append(at)
+        at = at + step[at]
+        more = at < stop
+        at, stop = at[more], stop[more]
+    at = np.sort(np.concatenate(begun))
     sel = sel[at]
     words = sel.astype(np.uint64) << np.uint64(60)
     for s in np.unique(sel[sel > 0]).tolist():
@@ -155,60 +161,149 @@ def decode_span(words: bytes, blocks: bytes, escapes: bytes, begin: int, end: in
 # --- ids of texts ----------------------------------------------------------------------------------------------------
 
 
+_OTHER, _LETTERS, _DIGITS, _SPACES = range(4)
+
+
+def _kinds() -> np.ndarray:
+    """The class of each character below U+0250 that the byte-level pre-tokenizer goes by."""
+    every = "".join(map(chr, range(0x250)))
+    kinds = np.zeros(0x250, dtype=np.int8)
+    for kind, chars in ((_LETTERS, tokens._L), (_DIGITS, tokens._N), (_SPACES, tokens._S)):
+        kinds[[m.start() for m in re.finditer(f"[{chars}]", every)]] = kind
+    return kinds
+
+
+_KINDS = _kinds()
+
+
+def piece_starts(raw: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where the pieces of the byte-level pre-tokenizer begin in texts of safe characters; first: where each text begins, and the end of the last.
+
+    A piece is a run of one class, with one space before it if there is one; of white space before another class the last
+    character is a piece of its own or that space, and 's, 't, 're, 've, 'm, 'll, 'd are pieces where one can begin.
+    """
+    n = len(raw)
+    kind = _KINDS[raw]  # of an ASCII character; the other safe ones of three bytes are all of one class
+    two = np.flatnonzero((raw >= 0xC0) & (raw < 0xE0))
+    kind[two] = kind[two + 1] = _KINDS[(raw[two].astype(np.int64) & 0x1F) << 6 | raw[two + 1] & 0x3F]
+    three = np.flatnonzero(raw >= 0xE0)
+    kind[three] = kind[three + 1] = kind[three + 2] = _OTHER
+    text_start = np.zeros(n + 1, dtype=bool)
+    text_start[first] = True
+    starts = text_start.copy()
+    starts[1:n] |= kind[1:] != kind[:-1]
+    # white space before something else of the same text: its last character begins a piece, and a space goes on with what follows
+    ends = np.flatnonzero((kind[:-1] == _SPACES) & starts[1:n] & ~text_start[1:n]) + 1
+    starts[ends - 1 - (raw[ends - 1] >= 0x80)] = True
+    starts[ends[raw[ends - 1] == 32]] = False
+    # contractions: a lone apostrophe where a piece begins, and the letters after it
+    quote = np.flatnonzero((raw == 39) & starts[:n])
+    quote = quote[~text_start[quote + 1]]
+    padded = np.concatenate([raw, np.zeros(3, np.uint8)])
+    one, two = padded[quote + 1], padded[quote + 2]
+    whole = ~text_start[np.minimum(quote + 2, n)]
+    short = np.isin(one, [ord(c) for c in "stmd"])
+    long = whole & (((one == ord("r")) & (two == ord("e"))) | ((one == ord("v")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l"))))
+    starts[quote[short | long] + 1] = False
+    starts[quote[short] + 2] = True
+    starts[quote[long] + 3] = True
+    return np.flatnonzero(starts[:n])
+
+
+#: Pieces that are one text for the library.
+JOINED = 2000
+#: Pieces whose ids a worker keeps.
+_MOST_KEPT = 1_500_000
+
+
 class Encoder(Counter):
-    """Ids of a text as the library gives them; those of byte-level pieces are kept, as their bytes, and joined."""
+    """Ids of texts as the library gives them. Byte-level texts of safe characters are cut into pieces, all texts of a batch at
+    once; each distinct piece is looked up once, and those that are new go to the library, many in one call."""
 
     def __init__(self, kind: str, data: bytes):
         super().__init__(kind, data)
-        self.bytes_of: dict[str, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
+        if self.by_piece:  # each character of a byte-level token stands for a byte
+            vocab = self.library.get_vocab(with_added_tokens=False)
+            self.size = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
+            self.size[list(vocab.values())] = [len(t) for t in vocab]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         got = self.library.encode(texts, num_threads=1) if self.kind == "model" else [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        return [np.array(x, dtype="<u4").tobytes() for x in got]
-
-    def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if not text:
-            return b""
-        if not self.by_piece or _UNSAFE.search(text) or any(s in text for s in self.special):
-            return self._ids([text])[0]
-        known, pieces = self.bytes_of, _PIECES.findall(text)
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            new = list({p for p in pieces if p not in known})
-        if len(known) > _MOST_PIECES:
-            known.clear()
-            new = list(set(pieces))
-        known.update(zip(new, self._ids(new), strict=True))
-        return b"".join([known[p] for p in pieces])
+        flat = np.fromiter(itertools.chain.from_iterable(got), "<u4").tobytes()
+        ends = list(itertools.accumulate([4 * len(x) for x in got]))
+        return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if got else []
+
+    def _new(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of pieces. Those that begin with a space and go on with something else stay pieces when they stand one after
+        the other, so the library gets many as one text, and the tokens' sizes tell where each ends."""
+        spaced = [len(p) > 1 and p[0] == 32 and p[1] not in b" \t\n\r" and p[1:3] != b"\xc2\xa0" for p in pieces]
+        rest = iter(self._ids([p.decode() for p, joined in zip(pieces, spaced, strict=True) if not joined]))
+        many = [p for p, joined in zip(pieces, spaced, strict=True) if joined]
+        flat = b"".join(self._ids([b"".join(many[k : k + JOINED]).decode() for k in range(0, len(many), JOINED)]))
+        ends = np.cumsum(self.size[np.frombuffer(flat, "<u4")])
+        cuts = 4 * (np.searchsorted(ends, np.cumsum([len(p) for p in many])) + 1)
+        found = iter([flat[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=False)])
+        return [next(found) if joined else next(rest) for joined in spaced]
+
+    def _looked_up(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts of safe characters, none of them empty."""
+        coded = [t.encode() for t in texts]
+        data = b"".join(coded)
+        raw, first = np.frombuffer(data, np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in coded])])
+        starts = piece_starts(raw, first)
+        ends = np.concatenate([starts[1:], first[-1:]])
+        _, one, which = np.unique(span_hashes(raw, starts, ends), return_index=True, return_inverse=True)
+        pieces = [data[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
+        got = list(map(self.pieces.get, pieces))
+        if None in got:
+            new = [k for k, known in enumerate(got) if known is None]
+            if len(self.pieces) > _MOST_KEPT:
+                self.pieces.clear()
+            for k, ids in zip(new, self._new([pieces[k] for k in new]), strict=True):
+                got[k] = self.pieces[pieces[k]] = ids
+        size = np.array([len(x) // 4 for x in got])
+        n = size[which]
+        end = np.cumsum(n)
+        at = np.repeat((np.cumsum(size) - size)[which] - (end - n), n) + np.arange(end[-1])
+        return np.split(np.frombuffer(b"".join(got), "<u4")[at], end[np.searchsorted(starts, first[1:-1]) - 1])
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        out: list = [np.zeros(0, "<u4")] * len(texts)
+        plain, whole = [], []
+        for k, text in enumerate(texts):
+            if text:
+                (whole if not self.by_piece or _UNSAFE.search(text) or any(s in text for s in self.special) else plain).append(k)
+        for k, found in zip(plain, self._looked_up([texts[k] for k in plain]) if plain else [], strict=True):
+            out[k] = found
+        for k, found in zip(whole, self._ids([texts[k] for k in whole]), strict=True):
+            out[k] = np.frombuffer(found, "<u4")
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
-_NAMES = ["id", "n_tokens", "words", "blocks", "escapes"]
+_NAMES = ["id", "n_tokens", "words", "blocks", "escapes", "shard", "at"]
 
 
 def _encoded(version: str, kind: str, data, end_id: int | None):
-    tail = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
-
-    def batch(ids, parts):
-        bounds = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])])
-        values = np.frombuffer(b"".join(parts), dtype="<u4").astype(np.uint64)
-        words, blocks, escapes = zip(*encode_many(values, bounds), strict=True)
-        return pa.RecordBatch.from_arrays([ids, pa.array(np.diff(bounds)), *[pa.array(x, pa.binary()) for x in (words, blocks, escapes)]], names=_NAMES)
+    """(id, text) in order to the rows of a file: with the file's number and how many ids stand before each row in it."""
+    tail = np.array([] if end_id is None else [end_id], dtype="<u4")
 
     def rows(batches):
         if version not in _ENCODERS:
             _ENCODERS[version] = Encoder(kind, data.value)
-        encoder = _ENCODERS[version]
+        encoder, shard, before = _ENCODERS[version], TaskContext.get().partitionId(), 0
         for b in batches:
-            parts, size, first = [], 0, 0
-            for k, text in enumerate(b.column(1)):
-                parts.append(encoder.ids(text.as_py()) + tail)
-                size += len(parts[-1])
-                if size >= 4 * WORK_IDS or k + 1 == len(b):
-                    yield batch(b.column(0).slice(first, len(parts)), parts)
-                    parts, size, first = [], 0, k + 1
+            _, offsets = text_bytes(b.column(1))
+            for x, y in slices(offsets, WORK_BYTES):
+                parts = encoder.ids(b.column(1)[x:y].to_pylist())
+                n = np.array([len(p) + len(tail) for p in parts], dtype=np.int64)
+                bounds = np.concatenate([[0], np.cumsum(n)])
+                values = np.concatenate([p for part in parts for p in (part, tail)]).astype(np.uint64)
+                coded = [pa.array(c, pa.binary()) for c in zip(*encode_many(values, bounds), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0)[x:y], pa.array(n), *coded, pa.array(np.full(len(n), shard, dtype=np.int32)), pa.array(before + bounds[:-1])], names=_NAMES)
+                before += int(bounds[-1])
 
     return rows
 
@@ -216,35 +311,22 @@ def _encoded(version: str, kind: str, data, end_id: int | None):
 # --- files -----------------------------------------------------------------------------------------------------------
 
 
-def _placed(batches):
-    """Adds the number of the file and how many ids stand before each row in it."""
-    shard, before = TaskContext.get().partitionId(), 0
-    for b in batches:
-        n = b.column(1).to_numpy()
-        at = before + np.cumsum(n) - n
-        before += int(n.sum())
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(n), shard, dtype=np.int32)), pa.array(at)], names=[*_NAMES, "shard", "at"])
-
-
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the token set of docs to `path`: ids of each whole text, then end_id (None: nothing), by ascending document id.
 
-    Null ids come last; documents of one id follow each other by a hash of their words, then by the words, equal ones in
-    any order. Null texts are empty and have the end id alone, what is no UTF-8 is replaced, very long texts are encoded
-    whole, extra columns are not read, an empty table makes a set without rows. Texts do not move: they are encoded where
-    they are read, and the packed words are dealt into ranges of ids and hashes. Rows equal in both are dealt by a number,
-    so that no id or text that a third of the rows share fills a file.
+    Null ids come last; documents of one id follow each other by a hash of their texts, then by the texts. Null texts are
+    empty and have the end id alone, what is no UTF-8 is replaced, very long texts are encoded whole, extra columns are not
+    read, an empty table makes a set without rows. Texts move once, into ranges of ids and hashes; rows equal in both are
+    dealt by a number, so that no id or text that a third of the rows share fills a file. Each range is encoded once, where
+    its file is written.
     """
     spark = docs.sparkSession
     version, kind, data = tokenizer_version(tokenizer)
     slim = docs.select(F.col(id_col).alias("id"), _normal(text_col).alias("text"))
-    schema = f"id {slim.schema['id'].dataType.simpleString()}, n_tokens long, words binary, blocks binary, escapes binary"
-    packed = written(slim.mapInArrow(_encoded(version, kind, spark.sparkContext.broadcast(data), end_id), schema), "token-words")
-    size = packed.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
-    packed = packed.withColumn("hash", F.xxhash64("words", "escapes")).withColumn("salt", F.monotonically_increasing_id())
-    dealt = packed.repartitionByRange(files, F.col("id").asc_nulls_last(), "hash", "salt").sortWithinPartitions(F.col("id").asc_nulls_last(), "hash", "words", "escapes")
-    dealt.select(*_NAMES).mapInArrow(_placed, schema + ", shard int, at long").write.parquet(path)
+    schema = f"id {slim.schema['id'].dataType.simpleString()}, n_tokens long, words binary, blocks binary, escapes binary, shard int, at long"
+    order = [F.col("id").asc_nulls_last(), F.xxhash64("text")]
+    dealt = slim.repartitionByRange(*order, F.monotonically_increasing_id()).sortWithinPartitions(*order, "text")
+    dealt.mapInArrow(_encoded(version, kind, spark.sparkContext.broadcast(data), end_id), schema).write.option("compression", "zstd").parquet(path)
 
 
 def read_packed(spark: SparkSession, path: str) -> DataFrame:

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from sparkwarden.llm import token_files
+from sparkwarden.llm import token_files, tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -58,6 +58,7 @@ def test_operator(spark, docs, rows, empty, monkeypatch):
     order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
     for parts, work in (("1", 1 << 19), ("3", 2000), ("40", 1 << 19)):
         monkeypatch.setattr(token_files, "WORK_IDS", work)
+        monkeypatch.setattr(token_files, "WORK_BYTES", work)
         spark.conf.set("spark.sql.shuffle.partitions", parts)
         try:
             path = token_files.token_set(docs.repartition(5), PATH)
@@ -96,12 +97,27 @@ def test_other_tokenizers(spark, name):
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t'stéñ½²ª–x7.,<|\xa0\xad"), st.characters(codec="utf-8")), max_size=60))
 def test_ids_are_the_librarys(text):
-    assert np.frombuffer(ENCODER.ids(text), "<u4").tolist() == ids(text)
+    assert ENCODER.ids([text])[0].tolist() == ids(text)
 
 
 ENCODER = token_files.Encoder("json", open(PATH, "rb").read())
 
 
-def test_special_strings_and_repeats():
-    for text in ("it's  <|endoftext|> we'll\n\n go", "x" * 3000, "", "the the the"):
-        assert np.frombuffer(ENCODER.ids(text), "<u4").tolist() == ids(text)
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(" \n\t'stremvdlxé½²ª–7.,<\xa0\xad×ɏ"), min_size=1, max_size=25), min_size=1, max_size=6))
+def test_pieces_are_the_pre_tokenizers(texts):
+    coded = [t.encode() for t in texts]
+    first = np.cumsum([0, *map(len, coded)])
+    raw = np.frombuffer(b"".join(coded), np.uint8)
+    starts = token_files.piece_starts(raw, first)
+    pieces = [raw[a:b].tobytes().decode() for a, b in zip(starts, [*starts[1:], len(raw)], strict=True)]
+    assert pieces == [p for t in texts for p in tokens._PIECES.findall(t)]
+
+
+def test_special_strings_and_repeats(monkeypatch):
+    texts = ["it's  <|endoftext|> we'll\n\n go", "x" * 3000, "", "the the the", " a", "a ", "a\n b", "a \nb", "don't 's x's 's", "日 本", "a\tb c\xa0 d", "1 22 3a a3 .. ,a"]
+    for most in (600_000, 0):
+        monkeypatch.setattr(token_files, "_MOST_KEPT", most)
+        assert [x.tolist() for x in ENCODER.ids(texts)] == [ids(t) for t in texts]
+    for text in texts:
+        assert ENCODER.ids([text])[0].tolist() == ids(text)
