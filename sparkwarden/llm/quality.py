@@ -185,23 +185,32 @@ def held_out(key, modulus: int, rest: int):
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, modulus: int, rest: int, most: int) -> DataFrame:
-    """(text, label) of at most `most` labelled rows that may be learnt from, an even sample by a hash of their ids."""
+    """(id, hash, text, label) of the rows of at most `most` labelled ids that may be learnt from, an even sample by a hash of the ids."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("double").alias("label")).where("label is not null")
     known = known.where(~held_out(F.col("id"), modulus, rest)).groupBy("id").agg(F.max("label").alias("label"))
     picked = known.orderBy(F.xxhash64("id"), "id").limit(most)
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").select("text", "label")
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text")).join(F.broadcast(picked), "id").select("id", "hash", "text", "label")
+
+
+def one_each(described: DataFrame) -> DataFrame:
+    """One row of (id, hash, x, label) for each id, that of the least hash, however the rows were dealt: as many as there are
+    ids in the sample. Rows of one id meet as what was made of their texts, combined before they move."""
+    return described.groupBy("id", "label").agg(F.min(F.struct("hash", "x")).alias("least")).select("id", "label", "least.x")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", modulus: int = 4, rest: int = 2) -> Trees:
+    """The model of the labelled rows, at most TRAIN_ROWS of them and one of each id, the same however the rows are dealt."""
     rows = labelled(docs, labels, label, id_col, text_col, modulus, rest, TRAIN_ROWS)
 
     def describe(batches):
         for b in batches:
-            x = np.column_stack([statistics(b.column(0)), b.column(1).to_numpy(zero_copy_only=False)])
+            x = statistics(b.column(2))
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([flat], names=["x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), flat, b.column(3)], names=["id", "hash", "x", "label"])
 
-    got = rows.mapInArrow(describe, "x array<double>").limit(TRAIN_ROWS).toArrow()["x"].combine_chunks()
+    each = one_each(rows.mapInArrow(describe, f"id {rows.schema['id'].dataType.simpleString()}, hash long, x array<double>, label double"))
+    got = each.select(F.concat("x", F.array("label")).alias("x")).toArrow()["x"].combine_chunks()
     x = np.asarray(got.flatten()).reshape(-1, len(STATS) + 1)
     x = x[np.lexsort(x.T)]  # the same rows in the same order, however they were dealt
     return fit(x[:, :-1], x[:, -1])
@@ -210,8 +219,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, score, predicted (score >= THRESHOLD) per row of docs.
 
-    Null and empty texts are scored by their (zero) statistics. Without usable labels every score is the smoothed
-    share of a class, one half. Repeated rows stay; only the id and text columns are read.
+    Null and empty texts are scored by their (zero) statistics, very long ones by those of the whole text. Without usable
+    labels every score is the smoothed share of a class, one half; an empty table gives no rows. Repeated rows stay (one of
+    an id is learnt from), only the id and text columns are read. Scores do not depend on how the rows are dealt.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col=id_col, text_col=text_col))
 

@@ -16,11 +16,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwarden.llm.common import slices, span_hashes, text_bytes, word_spans
-from sparkwarden.llm.quality import held_out, labelled
+from sparkwarden.llm.common import delete, slices, span_hashes, text_bytes, word_spans, written
+from sparkwarden.llm.quality import held_out, labelled, one_each
 
-#: Bound on the labelled rows that a model is fitted on.
-TRAIN_ROWS = 12_000
+#: Bounds on the labelled rows that a model is fitted on, and on the cells of their texts.
+TRAIN_ROWS, TRAIN_CELLS = 12_000, 16_000_000
 THRESHOLD = 0.7
 BITS, RANK, LEAST, EPOCHS, BATCH, RATE, L2, G0 = 18, 8, 3, 12, 128, 0.2, 1e-3, 1.0
 #: |z| from which a cell counts on its own or as one of a pair (half a million pairs are looked at), and that of full weight.
@@ -172,26 +172,39 @@ def fit(cell: np.ndarray, bounds: np.ndarray, y: np.ndarray, rank: int = RANK, e
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", modulus: int = 3, rest: int = 1) -> Machine:
+    """The model of the labelled rows, one of each id, the same however the rows are dealt: at most TRAIN_ROWS, and of these,
+    by the hash of their ids, as many as have TRAIN_CELLS cells together, so that the driver holds so many whatever the texts are."""
     rows = labelled(docs, labels, label, id_col, text_col, modulus, rest, TRAIN_ROWS)
 
     def describe(batches):
         for b in batches:
-            found = [np.split(c, e[1:-1]) for c, e in _cells(b.column(0))]
+            found = [np.split(c, e[1:-1]) for c, e in _cells(b.column(2))]
             cells = pa.array([x.astype("<i4").tobytes() for part in found for x in part], pa.binary())
-            yield pa.RecordBatch.from_arrays([cells, b.column(1)], names=["cells", "label"])
-
-    got = rows.mapInArrow(describe, "cells binary, label double").limit(TRAIN_ROWS).toArrow()
-    rows = sorted(zip(got["cells"].to_pylist(), got["label"].to_pylist(), strict=True))  # in the same order, however they were dealt
-    each = [np.frombuffer(c, dtype="<i4") for c, _ in rows]
-    bounds = np.concatenate([[0], np.cumsum([len(c) for c in each])]).astype(np.int64)
-    return fit(np.concatenate([*each, np.zeros(0, np.int32)]).astype(np.int32), bounds, np.array([v for _, v in rows]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), cells, b.column(3)], names=["id", "hash", "x", "label"])
+
+    each = written(one_each(rows.mapInArrow(describe, f"id {rows.schema['id'].dataType.simpleString()}, hash long, x binary, label double")), "toxicity-rows")
+    sizes = sorted(tuple(r) for r in each.select(F.xxhash64("id"), "id", F.octet_length("x") / 4).collect())
+    fits = int(np.searchsorted(np.cumsum([n for *_, n in sizes]), TRAIN_CELLS, side="right"))
+    if fits < len(sizes):
+        h, key = sizes[fits][:2]
+        used = each.where((F.xxhash64("id") < h) | ((F.xxhash64("id") == h) & (F.col("id") < F.lit(key))))
+    else:
+        used = each
+    got = used.select("x", "label").toArrow()
+    delete(each)
+    rows = sorted(zip(got["x"].to_pylist(), got["label"].to_pylist(), strict=True))  # in the same order, however they were dealt
+    cells = [np.frombuffer(c, dtype="<i4") for c, _ in rows]
+    bounds = np.concatenate([[0], np.cumsum([len(c) for c in cells])]).astype(np.int64)
+    return fit(np.concatenate([*cells, np.zeros(0, np.int32)]).astype(np.int32), bounds, np.array([v for _, v in rows]))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, score, predicted (score >= THRESHOLD) per row of docs.
 
-    Null and empty texts get the score of a text without known terms. Without usable labels every score is near the
-    smoothed share of a class. Repeated rows stay; only the id and text columns are read. The model is of fixed size.
+    Null and empty texts get the score of a text without known terms, very long ones that of the whole text. Without usable
+    labels every score is near the smoothed share of a class; an empty table gives no rows. Repeated rows stay (one of an id
+    is learnt from), only the id and text columns are read. The model is of fixed size, and so is what it is learnt from;
+    scores do not depend on how the rows are dealt.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col=id_col, text_col=text_col))
 

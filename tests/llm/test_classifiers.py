@@ -160,3 +160,30 @@ def test_fitted_trees_lower_the_loss_at_every_tree():
         p = np.clip(1 / (1 + np.exp(-margin)), 1e-9, 1 - 1e-9)
         losses.append(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
     assert np.allclose(1 / (1 + np.exp(-margin)), model.predict(x)) and (np.diff(losses) <= 1e-9).all() and losses[-1] < 0.6 * losses[0]
+
+
+@pytest.mark.parametrize(("module", "op"), [(quality, quality.quality_scores), (toxicity, toxicity.toxicity_scores)])
+def test_scores_do_not_depend_on_dealing_past_the_bound(spark, corpus, monkeypatch, module, op):
+    """More labelled ids than may be learnt from, each with six rows of unlike texts."""
+    monkeypatch.setattr(module, "TRAIN_ROWS", 300)
+    _, labels, truth, rows = corpus
+    rng = random.Random(9)
+    many = [(k, " ".join(rng.sample(t.split(), len(t.split()) - j))) for k, t in rows for j in range(6)]
+    docs = spark.createDataFrame(many, "doc_id long, text string").repartition(3).persist()
+    seen = [{str(r) for r in op(docs.repartition(n, *by), labels).collect()} for n, by in ((3, []), (7, []), (5, ["text"]))]
+    assert seen[0] == seen[1] == seen[2] and len({r.score for r in op(docs, labels).collect()}) > 3
+
+
+def test_cells_of_the_training_rows_are_bounded(spark, corpus, monkeypatch):
+    docs, labels, _, rows = corpus
+    held = []
+    plain = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda cell, bounds, y: held.append((len(cell), len(y))) or plain(cell, bounds, y))
+    whole = toxicity.train(docs, labels)
+    for most in (3000, 1, held[0][0], held[0][0] - 1):
+        monkeypatch.setattr(toxicity, "TRAIN_CELLS", most)
+        models = [toxicity.train(docs.repartition(n), labels) for n in (2, 5)]
+        assert held[-1] == held[-2] and held[-1][0] <= most and np.array_equal(models[0].linear, models[1].linear)
+        assert (held[-1] == held[0]) == (most >= held[0][0])
+        assert most > 1 or held[-1][1] == 0
+    assert np.isfinite(whole.linear).all()
