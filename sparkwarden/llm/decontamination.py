@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwarden.llm.common import forget, gram_hashes, prefix_sums, slices, span_hashes, sums_hashes, text_bytes, word_hashes, written
+from sparkwarden.llm.common import forget, gram_hashes, prefix_sums, slices, sums_hashes, text_bytes, word_hashes, written
 
 SEED, COVERAGE = 5, 0.8
 #: Words of the benchmark that are broadcast at once.
@@ -149,14 +149,18 @@ def tile(item: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 class Seeds:
-    """The seeds of a block of items: sorted hashes, with the items and positions that have them; short items by their whole."""
+    """The seeds of a block of items: sorted hashes, with the items and positions that have them; items of under SEED words,
+    which have none, by the hash of all their words, for each number of words."""
 
     def __init__(self, ids: list, texts: list[str]):
         raw, offsets = text_bytes(pc.utf8_lower(pa.array(texts, pa.string())))
         words, rows, _, _ = word_hashes(raw, offsets)
         self.ids, self.items = ids, [words[a:b] for a, b in zip(rows[:-1], rows[1:], strict=True)]
         grams = [gram_hashes(w, SEED) for w in self.items]
-        self.short = {self.whole(w): k for k, w in enumerate(self.items) if 0 < len(w) < SEED}
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for k, w in enumerate(self.items):
+            if 0 < len(w) < SEED:
+                self.short.setdefault(len(w), {}).setdefault(int(gram_hashes(w, len(w))[0]), []).append(k)
         owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         place = np.concatenate([np.arange(len(g)) for g in grams] or [np.zeros(0, int)])
         every = np.concatenate([*grams, np.zeros(0, np.uint64)]).astype(np.uint64)
@@ -167,9 +171,15 @@ class Seeds:
         self.screen = np.zeros(1 << 22, dtype=bool)
         self.screen[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
 
-    @staticmethod
-    def whole(words: np.ndarray) -> int:
-        return int(span_hashes(words, np.array([0]), np.array([len(words)]))[0])
+    def short_hits(self, words: np.ndarray, rows: np.ndarray):
+        """(row, item, words) of the short items whose words stand in a row somewhere in a text; each once."""
+        for n, known in sorted(self.short.items()):
+            grams = gram_hashes(words, n)
+            at = np.flatnonzero(np.isin(grams, np.fromiter(known, np.uint64, len(known))))
+            row = np.searchsorted(rows, at, side="right") - 1
+            inside = at + n <= rows[row + 1]
+            for r, h in sorted(set(zip(row[inside].tolist(), grams[at[inside]].tolist(), strict=True))):
+                yield from ((r, k, n) for k in known[h])
 
     def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of grams that are seeds, and which."""
@@ -211,10 +221,12 @@ def _found(column: pa.Array, seeds: Seeds, coverage: float):
         for r in np.unique(row):
             for got in seeds.covered(words[rows[r] : rows[r + 1]], which[row == r], coverage):
                 yield (a + int(r), *got)
-        for r in np.flatnonzero(np.diff(rows) < SEED).tolist() if seeds.short else []:
-            own = words[rows[r] : rows[r + 1]]
-            if len(own) and (k := seeds.short.get(seeds.whole(own))) is not None:
-                yield (a + r, seeds.ids[k], len(own), len(own), 1, len(own))
+        for r, k, n in seeds.short_hits(words, rows):
+            yield (a + r, seeds.ids[k], n, n, 1, n)
+
+
+#: The words of word_hashes() as a pattern: runs of ASCII letters and digits and of what is not ASCII.
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _blocks(items: DataFrame):
@@ -223,7 +235,7 @@ def _blocks(items: DataFrame):
     The blocks are cut by a hash of the text; their number comes from the size of the benchmark. One block is read,
     broadcast and given up before the next.
     """
-    total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    total = items.agg(F.sum(F.regexp_count("text", F.lit(_WORD)))).first()[0] or 0
     n = math.ceil(total / (BLOCK_WORDS / 2))
     for k in range(n):
         got = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).orderBy("item").toArrow()
@@ -243,7 +255,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     """id, item_id, item_words, covered_words, coverage, tiles, longest for each document and item that it covers enough of.
 
     Words are runs of letters and digits, case folded. Null and empty texts and items match nothing; an item of under
-    SEED words is in a document that has these words and no others. Repeated documents and items give repeated rows;
+    SEED words, which no tile covers, is in each document that has all its words in a row. Repeated documents and items give repeated rows;
     of equally long tiles the first in the item is taken, then the first in the document. A long text costs in
     proportion to its length and to what it shares with an item. Only the named columns are read.
     """

@@ -64,9 +64,11 @@ def test_operator(spark, docs, rows, empty, benchmark, monkeypatch):
     for i, t in [(r[0], r[1]) for r in rows] + [(m[0], m[1]) for m in more]:
         for k, item in items.items():
             a = split(item)
-            if (len(a) >= 5 and len(split(t)) < 1000 and brute_cover(a, split(t)) >= 0.8 * len(a)) or (0 < len(a) < 5 and split(t) == a):
+            d = split(t)
+            runs = lambda x, n: {tuple(x[j : j + n]) for j in range(len(x) - n + 1)}
+            if (len(a) >= 5 and runs(a, 5) & runs(d, 5) and brute_cover(a, d) >= 0.8 * len(a)) or (0 < len(a) < 5 and tuple(a) in runs(d, len(a))):
                 want.add((i, k))
-    assert {900, 901, 903, 904, 905} <= {i for i, _ in want} and not {902, 906} & {i for i, _ in want}
+    assert {900, 901, 903, 904, 905, 906} <= {i for i, _ in want} and not {902} & {i for i, _ in want}
     for words in (4_000_000, 60):  # in one block, and in many
         monkeypatch.setattr(D, "BLOCK_WORDS", words)
         got = D.contaminated(every, benchmark).collect()
@@ -74,7 +76,7 @@ def test_operator(spark, docs, rows, empty, benchmark, monkeypatch):
         assert len(got) == len(want) + sum(i == 904 for i, _ in want)
         clean = D.decontaminated(docs, benchmark)
         assert clean.columns == docs.columns and clean.count() == len(rows)
-        assert D.decontaminated(every, benchmark).count() == len(rows) + 2
+        assert D.decontaminated(every, benchmark).count() == len(rows) + 1
     assert D.contaminated(empty, benchmark).count() == 0 and D.contaminated(docs, benchmark.limit(0)).count() == 0 and D.decontaminated(empty, benchmark).count() == 0
 
 
@@ -102,3 +104,19 @@ def test_repeated_items_do_not_fill_a_block(spark, monkeypatch):
     docs = spark.createDataFrame([(1, text), (None, text)], "doc_id long, text string")
     assert len(list(D._blocks(D._distinct_items(items, "text")))) == 1
     assert D.contaminated(docs, items).count() == 602
+
+
+def test_short_items_are_found_wherever_they_stand(spark):
+    texts = ["zebra quantum lattice", "a Zebra, quantum -- LATTICE and a zebra quantum lattice", "zebra quantum", "quantum lattice zebra", "zebra", "x " * 3000 + "zebra quantum lattice", None, "", "zebra quantum lattices"]
+    items = [(1, "zebra quantum lattice"), (2, "zebra"), (3, "Zebra - Quantum - lattice!"), (4, "a b c d"), (5, ""), (6, None)]
+    got = D.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    whole = [0, 1, 5]
+    assert sorted((r.doc_id, r.item_id) for r in got) == sorted([(d, i) for d in whole for i in (1, 3)] + [(d, 2) for d in (0, 1, 2, 3, 4, 5, 8)])
+    assert all(r.item_words == r.covered_words == r.longest == (1 if r.item_id == 2 else 3) and r.coverage == 1.0 and r.tiles == 1 for r in got)
+
+
+def test_blocks_are_counted_in_the_words_that_they_hold(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK_WORDS", 1000)
+    items = spark.createDataFrame([(k, ".".join(f"w{k}x{j}" for j in range(100))) for k in range(40)], "item_id long, text string")
+    blocks = [b for b, _ in D._blocks(D._distinct_items(items, "text"))]
+    assert len(blocks) == 8 and max(sum(map(len, b.value.items)) for b in blocks) <= 1300
