@@ -167,11 +167,12 @@ def test_scores_do_not_depend_on_dealing_past_the_bound(spark, corpus, monkeypat
     """More labelled ids than may be learnt from, each with six rows of unlike texts."""
     monkeypatch.setattr(module, "TRAIN_ROWS", 300)
     _, labels, truth, rows = corpus
+    labels = labels.selectExpr("doc_id", "if(xxhash64(doc_id) % 4 = 0, 1 - quality, quality) quality", "if(xxhash64(doc_id) % 4 = 0, 1 - toxic, toxic) toxic")  # so that scores differ
     rng = random.Random(9)
     many = [(k, " ".join(rng.sample(t.split(), len(t.split()) - j))) for k, t in rows for j in range(6)]
     docs = spark.createDataFrame(many, "doc_id long, text string").repartition(3).persist()
     seen = [{str(r) for r in op(docs.repartition(n, *by), labels).collect()} for n, by in ((3, []), (7, []), (5, ["text"]))]
-    assert seen[0] == seen[1] == seen[2] and len({r.score for r in op(docs, labels).collect()}) > 3
+    assert seen[0] == seen[1] == seen[2] and len({r.score for r in op(docs, labels).collect()}) > 3, {r.score for r in op(docs, labels).collect()}
 
 
 def test_cells_of_the_training_rows_are_bounded(spark, corpus, monkeypatch):
