@@ -12,26 +12,30 @@ _VERSION = (
     r"^v?(?:(\d+)!)?(\d+(?:\.\d+)*)(?:[-_.]?(alpha|a|beta|b|preview|pre|c|rc)[-_.]?(\d*))?"
     r"(?:[-_.]?(post|rev|r)[-_.]?(\d*)|-(\d+))?(?:[-_.]?(dev)[-_.]?(\d*))?(?:\+[a-z0-9]+(?:[-_.][a-z0-9]+)*)?$"
 )
-_NONE = 1 << 40
+#: Numbers are strings, see _number(); this is nought's. No post-release comes before any number, no dev-release after all.
+ZERO, _NO_POST, _NO_DEV = "!", "", "\x7f"
 
 
 def _number(c: Column) -> Column:
-    return F.coalesce(c.try_cast("bigint"), F.lit(0).cast("bigint"))
+    """A string that sorts as the number does, of any length: how many digits it has, without noughts in front, and these."""
+    digits = F.regexp_replace(c, "^0+", "")
+    size = F.length(digits)
+    return F.concat(F.repeat(F.lit("~"), F.floor(size / 90).cast("int")), F.char(33 + size % 90), digits)
 
 
 def version_key(version: Column) -> Column:
     """A struct that sorts as PEP 440 does (epoch, release, phase, pre, post, dev); null for anything else.
 
-    The release has its numbers without zeros at the end, however many there are; local labels are ignored.
+    The release has its numbers without noughts at the end, however many and however long they are; local labels are ignored.
     """
     v = F.lower(F.trim(version))
     part = lambda k: F.regexp_extract(v, _VERSION, k)
     release = F.transform(F.split(part(2), r"\."), _number)
-    used = F.array_max(F.transform(release, lambda x, k: F.when(x != 0, k + 1).otherwise(0)))
+    used = F.array_max(F.transform(release, lambda x, k: F.when(x != ZERO, k + 1).otherwise(0)))
     pre, has_post, has_dev = part(3), (part(5) != "") | (part(7) != ""), part(8) != ""
     phase = F.when(pre.isin("a", "alpha"), 0).when(pre.isin("b", "beta"), 1).when(pre != "", 2).when(has_dev & ~has_post, -1).otherwise(3).cast("bigint")
-    post = F.when(has_post, _number(F.concat(part(6), part(7)))).otherwise(F.lit(-1).cast("bigint"))
-    dev = F.when(has_dev, _number(part(9))).otherwise(F.lit(_NONE).cast("bigint"))
+    post = F.when(has_post, _number(F.concat(part(6), part(7)))).otherwise(F.lit(_NO_POST))
+    dev = F.when(has_dev, _number(part(9))).otherwise(F.lit(_NO_DEV))
     fields = {"epoch": _number(part(1)), "release": F.slice(release, F.lit(1), used), "phase": phase, "pre": _number(part(4)), "post": post, "dev": dev}
     return F.when(v.rlike(_VERSION), F.struct(*[c.alias(n) for n, c in fields.items()]))
 
@@ -42,24 +46,29 @@ def _base(key: Column) -> Column:
 
 def _head(key: Column, n: Column) -> Column:
     """The epoch and the first n numbers of the release."""
-    return F.struct(key["epoch"], F.slice(F.concat(key["release"], F.array_repeat(F.lit(0).cast("bigint"), n)), F.lit(1), n))
+    return F.struct(key["epoch"], F.slice(F.concat(key["release"], F.array_repeat(F.lit(ZERO), n)), F.lit(1), n))
 
 
 def _early(key: Column) -> Column:
     """Whether a key is that of a pre- or dev-release."""
-    return (key["phase"] < 3) | (key["dev"] < _NONE)
+    return (key["phase"] < 3) | (key["dev"] != _NO_DEV)
 
 
-def satisfies(key: Column, clause: Column) -> Column:
-    """Whether a version key meets one clause such as '<3.2.0'; a clause that cannot be read is never met."""
+def parsed(clause: Column) -> Column:
+    """What a clause such as '<3.2.0' says: (op, wild: a .* at the end, size: numbers of its release, bound: their key)."""
     c = F.trim(clause)
-    op, text = F.regexp_extract(c, r"^(===|==|!=|~=|<=|>=|<|>)", 1), F.trim(F.regexp_replace(c, r"^[<>=!~]+", ""))
-    wild = text.endswith(".*")
-    bound = version_key(F.regexp_replace(text, r"\.\*$", ""))
-    size = F.size(F.split(F.regexp_replace(text, r"\.\*$", ""), r"\."))
-    same = F.when(wild, _head(key, size) == _head(bound, size)).otherwise(key == bound)
+    text = F.trim(F.regexp_replace(c, r"^[<>=!~]+", ""))
+    plain = F.regexp_replace(text, r"\.\*$", "")
+    op = F.regexp_extract(c, r"^(===|==|!=|~=|<=|>=|<|>)", 1)
+    return F.struct(op.alias("op"), text.endswith(".*").alias("wild"), F.size(F.split(plain, r"\.")).alias("size"), version_key(plain).alias("bound"))
+
+
+def meets(key: Column, clause: Column) -> Column:
+    """Whether a version key meets a parsed() clause; one that cannot be read is never met."""
+    op, bound, size = clause["op"], clause["bound"], clause["size"]
+    same = F.when(clause["wild"], _head(key, size) == _head(bound, size)).otherwise(key == bound)
     below = (key < bound) & ~(_early(key) & ~_early(bound) & (_base(key) == _base(bound)))
-    above = (key > bound) & ~((key["post"] >= 0) & (bound["post"] < 0) & (_base(key) == _base(bound)))
+    above = (key > bound) & ~((key["post"] != _NO_POST) & (bound["post"] == _NO_POST) & (_base(key) == _base(bound)))
     return F.coalesce(
         F.when(op.isin("==", "==="), same).when(op == "!=", ~same).when(op == "<", below).when(op == ">", above).when(op == "<=", key <= bound)
         .when(op == ">=", key >= bound).when(op == "~=", (key >= bound) & (_head(key, size - 1) == _head(bound, size - 1))),
@@ -67,6 +76,11 @@ def satisfies(key: Column, clause: Column) -> Column:
     )
 
 
+def satisfies(key: Column, clause: Column) -> Column:
+    """Whether a version key meets one clause such as '<3.2.0'; a clause that cannot be read is never met."""
+    return meets(key, parsed(clause))
+
+
 def affected(version: Column, ranges: Column) -> Column:
     """Whether a version lies in any of the ranges (each a comma-joined list of clauses). Unreadable versions lie in none."""
     key = version_key(version)

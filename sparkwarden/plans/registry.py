@@ -634,3 +634,6 @@ def conversation_lines(spark, sf_dir):
     """Lines of conversations by role: how many, how long, and how many end in a sentence mark."""
     lines = T.lines(_table(spark, sf_dir, "conversations"), "conv_id", "text", "role").where(F.col("line").rlike("[A-Za-z]"))
     return lines.groupBy("role").agg(F.count("*").alias("n"), F.sum(F.char_length("line")).alias("chars"), F.count_if(F.col("line").rlike("[.?!]$")).alias("closed"))
+
+
+from sparkwarden.plans import tables  # noqa: E402, F401  (adds its queries)
