@@ -6,6 +6,7 @@ import base64
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkwarden.functions import catalog as K
 
@@ -164,3 +165,32 @@ def relation(name: str, rows: list[tuple], columns: str) -> str:
     body = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
     picked = ", ".join(_HEADERS if n == "headers" else n for n in names)
     return f"{name} AS (SELECT {picked} FROM (VALUES {body}) t({', '.join(names)}))"
+
+
+class Over:
+    """A relation that grows with a given table: each of its rows takes some of the inline rows, which its key chooses, under
+    names of its own. The same for Spark (frame) and, as a common table expression, for DuckDB (sql).
+
+    change: expressions, in the SQL that both know, over the table's and the inline columns; further names are further columns.
+    group: which of the inline rows stay together (a number from 0 on for each); by default each is alone.
+    """
+
+    def __init__(self, name: str, rows: list[tuple], columns: str, change: dict[str, str] | None = None, table: str = "documents", key: str = "doc_id", group=None):
+        self.name, self.columns, self.table, self.key, self.change = name, columns, table, key, change or {}
+        picks = [k if group is None else group(r) for k, r in enumerate(rows)]
+        names = list(dict.fromkeys(picks))
+        self.rows, self.parts = [(names.index(p), *r) for p, r in zip(picks, rows, strict=True)], len(names)
+        self.names = [c.split()[0] for c in columns.split(", ")]
+
+    @property
+    def sql(self) -> str:
+        body = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in self.rows)
+        plain = {n: f"{self.change[n]} AS {n}" if n in self.change else _HEADERS if n == "headers" else n for n in self.names}
+        more = [f"{e} AS {n}" for n, e in self.change.items() if n not in self.names]
+        return f"{self.name} AS (SELECT {', '.join([*plain.values(), *more])} FROM {self.table} JOIN (VALUES {body}) t(pick, {', '.join(self.names)}) ON pick = {self.key} % {self.parts})"
+
+    def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        inline = F.broadcast(frame(spark, self.rows, f"pick int, {self.columns}"))  # a few dozen rows
+        table = spark.read.parquet(f"{sf_dir}/{self.table}.parquet")
+        both = table.withColumn("pick", (F.col(self.key) % self.parts).cast("int")).join(inline, "pick")
+        return both.selectExpr(*[f"{self.change.get(n, n)} AS {n}" for n in self.names], *[f"{e} AS {n}" for n, e in self.change.items() if n not in self.names])

@@ -32,6 +32,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _own(column: str) -> str:
+    """The inline column, told apart for each document."""
+    return f"concat(cast(doc_id as string), '/', {column})"
+
+
 def _doc_lines(spark, sf_dir, *more) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return T.lines(docs.select("doc_id", "text"), "doc_id", "text")
@@ -66,10 +71,12 @@ def secret_findings(spark, sf_dir):
     return code_rules.secret_findings(_doc_lines(spark, sf_dir), "doc_id").select("doc_id", "line_no", "rule_id", "severity", "confidence")
 
 
-@query("WITH " + X.relation("l", [(f, k + 1, t) for k, (f, t) in enumerate(X.SECRET_LINES)], "file_path string, line_no int, line string") + " " + _secret_sql("file_path", "l"))
+_PLANTED_SECRETS = X.Over("l", [(f, k + 1, t) for k, (f, t) in enumerate(X.SECRET_LINES)], "file_path string, line_no int, line string", {"file_path": _own("file_path"), "line": "concat(line, ' ', source)"})
+
+
+@query(f"WITH {_PLANTED_SECRETS.sql} " + _secret_sql("file_path", "l"))
 def secret_patterns(spark, sf_dir):
-    rows = X.frame(spark, [(f, k + 1, t) for k, (f, t) in enumerate(X.SECRET_LINES)], "file_path string, line_no int, line string")
-    return code_rules.secret_findings(rows).select("file_path", "line_no", "rule_id", "severity", "confidence")
+    return code_rules.secret_findings(_PLANTED_SECRETS.frame(spark, sf_dir)).select("file_path", "line_no", "rule_id", "severity", "confidence")
 
 
 @query(f"WITH {_LINES}, s AS (" + _secret_sql("doc_id", "doc_lines") + ") SELECT source, rule_id, count(*) AS n FROM s JOIN documents USING (doc_id) GROUP BY ALL")
@@ -115,19 +122,22 @@ def ext_histogram(spark, sf_dir):
     return findings.shares(counts, "name")
 
 
-@query("SELECT regexp_extract(p, '[^/.][^/]*?(\\.[^./]*)$', 1) AS ext, count(*) AS n FROM (VALUES ('a.py'), ('b/c.PY'), ('.env'), ('x/.env'), ('a.tar.gz'), ('Makefile'), ('d.e/f')) t(q), (SELECT 1) u, LATERAL (SELECT lower(q) AS p) v GROUP BY 1")
+_NAMES = X.Over("e", [("a.py",), ("b/c.PY",), (".env",), ("x/.env",), ("a.tar.gz",), ("Makefile",), ("d.e/f",)], "p string", {"p": "concat(source, '/', p)"})
+
+
+@query(f"WITH {_NAMES.sql} SELECT regexp_extract(lower(p), '[^/.][^/]*?(\\.[^./]*)$', 1) AS ext, count(*) AS n FROM e GROUP BY 1")
 def extension_counts(spark, sf_dir):
-    rows = X.frame(spark, [("a.py",), ("b/c.PY",), (".env",), ("x/.env",), ("a.tar.gz",), ("Makefile",), ("d.e/f",)], "p string")
-    return rows.groupBy(T.extension(F.col("p")).alias("ext")).agg(F.count("*").alias("n"))
+    return _NAMES.frame(spark, sf_dir).groupBy(T.extension(F.col("p")).alias("ext")).agg(F.count("*").alias("n"))
 
 
 # --- findings and the verdict --------------------------------------------------------------------------------------------------
 
-_F = X.relation("f", X.FINDINGS, X.FINDING_COLUMNS)
+_FOUND = X.Over("f", X.FINDINGS, X.FINDING_COLUMNS, {"file_path": _own("file_path"), "ord": "doc_id * 100 + ord"}, group=lambda r: r[0])
+_F = _FOUND.sql
 
 
-def _findings(spark) -> DataFrame:
-    return findings.conform(X.frame(spark, X.FINDINGS, X.FINDING_COLUMNS))
+def _findings(spark, sf_dir) -> DataFrame:
+    return findings.conform(_FOUND.frame(spark, sf_dir))
 
 
 _FIRST = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_path, line_number, rule_id, endpoint ORDER BY ord) AS rn FROM f) WHERE rn = 1"
@@ -135,33 +145,34 @@ _FIRST = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_path, l
 
 @query(f"WITH {_F} SELECT file_path, line_number, rule_id, endpoint, severity, ord FROM ({_FIRST})")
 def findings_dedup_first(spark, sf_dir):
-    return findings.first_only(_findings(spark)).select("file_path", "line_number", "rule_id", "endpoint", "severity", "ord")
+    return findings.first_only(_findings(spark, sf_dir)).select("file_path", "line_number", "rule_id", "endpoint", "severity", "ord")
 
 
 @query(f"WITH {_F} SELECT file_path, line_number, rule_id, ord FROM (SELECT *, row_number() OVER (PARTITION BY file_path, line_number, rule_id ORDER BY ord) AS rn FROM f) WHERE rn = 1")
 def dependency_dedup(spark, sf_dir):
-    return findings.first_only(_findings(spark), "file_path", "line_number", "rule_id").select("file_path", "line_number", "rule_id", "ord")
+    return findings.first_only(_findings(spark, sf_dir), "file_path", "line_number", "rule_id").select("file_path", "line_number", "rule_id", "ord")
 
 
 @query(f"""WITH {_F}, d AS ({_FIRST}) SELECT file_path, count(*) FILTER (severity = 'LOW') AS low, count(*) FILTER (severity = 'MEDIUM') AS medium, count(*) FILTER (severity = 'HIGH') AS high,
   count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) AS total, CAST(max({_SEV}) AS TINYINT) AS max_rank FROM d GROUP BY file_path""")
 def severity_summary(spark, sf_dir):
-    return findings.severity_counts(findings.first_only(_findings(spark)), "file_path")
+    return findings.severity_counts(findings.first_only(_findings(spark, sf_dir)), "file_path")
 
 
 @query(f"WITH {_F}, d AS ({_FIRST}) SELECT issue_type, count(*) AS n FROM d GROUP BY issue_type")
 def type_counts(spark, sf_dir):
-    return findings.type_counts(findings.first_only(_findings(spark)))
+    return findings.type_counts(findings.first_only(_findings(spark, sf_dir)))
 
 
 _MATRIX = [(h, t) for h in (None, *K.SEVERITIES) for t in K.SEVERITIES]
-_M = X.relation("m", _MATRIX, "highest string, threshold string")
+_MATRIX_ROWS = X.Over("m", _MATRIX, "highest string, threshold string")
+_M = _MATRIX_ROWS.sql
 _MV = f"SELECT highest, threshold, {_RANK.format('highest')} AS max_rank, {_RANK.format('threshold')} AS t FROM m"
 
 
 @query(f"WITH {_M}, r AS ({_MV}) SELECT highest, threshold, {_VERDICT.format(t='t')} AS verdict FROM r")
 def verdict_matrix(spark, sf_dir):
-    rows = X.frame(spark, _MATRIX, "highest string, threshold string")
+    rows = _MATRIX_ROWS.frame(spark, sf_dir)
     return rows.select("highest", "threshold", findings.verdict(findings.rank(F.col("highest")), F.col("threshold")).alias("verdict"))
 
 
@@ -172,24 +183,25 @@ def exit_code(spark, sf_dir):
 
 @query(f"WITH {_F} SELECT rule_id, arg_min(severity, ord) AS severity, arg_min(issue_type, ord) AS issue_type, min(ord) AS first_ord FROM f GROUP BY rule_id")
 def distinct_rules(spark, sf_dir):
-    return findings.distinct_rules(_findings(spark)).drop("message")
+    return findings.distinct_rules(_findings(spark, sf_dir)).drop("message")
 
 
 @query(f"WITH {_F} SELECT file_path, string_agg(rule_id, ',' ORDER BY ord) AS rules, CAST(max({_SEV}) AS TINYINT) AS max_rank FROM f GROUP BY file_path")
 def findings_by_file(spark, sf_dir):
-    rows = findings.by_file(_findings(spark))
+    rows = findings.by_file(_findings(spark, sf_dir))
     return rows.select("file_path", F.array_join(F.transform("findings", lambda f: f["rule_id"]), ",").alias("rules"), "max_rank")
 
 
 @query(f"WITH {_F} SELECT rule_id, severity, CAST(ord + CASE WHEN k = 1 THEN 4503599627370496 ELSE 0 END AS BIGINT) AS ord FROM f, (VALUES (0), (1)) u(k)")
 def detector_union(spark, sf_dir):
-    return findings.union(_findings(spark), _findings(spark)).select("rule_id", "severity", "ord")
+    return findings.union(_findings(spark, sf_dir), _findings(spark, sf_dir)).select("rule_id", "severity", "ord")
 
 
 # --- insecure code ---------------------------------------------------------------------------------------------------------------
 
 _CODE_ROWS = [(f, k + 1, t) for k, (f, t) in enumerate(X.CODE)]
-_CODE = X.relation("c", _CODE_ROWS, "file_path string, line_no int, line string")
+_CODE_LINES = X.Over("c", _CODE_ROWS, "file_path string, line_no int, line string", {"file_path": _own("file_path"), "line": "concat(line, ' ', source)", "planted_in": "doc_id"}, group=lambda r: r[1] % 8)
+_CODE = _CODE_LINES.sql
 _KEPT = """SELECT * FROM {0} WHERE NOT (starts_with(trim(line), '#') OR starts_with(trim(line), '//') OR starts_with(trim(line), '/*') OR contains(line, '\"\"\"') OR contains(line, ''''''''))
   AND NOT (contains(lower(line), 'import ') AND contains(lower(line), 'from '))"""
 
@@ -215,7 +227,7 @@ FAMILIES = tuple(dict.fromkeys(r[1] for r in K.CODE_RULES))
 
 def _code_query(family: str | None):
     def run(spark, sf_dir):
-        rows = X.frame(spark, _CODE_ROWS, "file_path string, line_no int, line string")
+        rows = _CODE_LINES.frame(spark, sf_dir)
         return code_rules.code_findings(rows, families=(family,) if family else ()).select("file_path", "line_no", "rule_id", "severity", "confidence")
 
     return run
@@ -226,20 +238,20 @@ for _family in FAMILIES:
 query(f"WITH {_CODE}, " + _rule_sql(K.CODE_RULES, "c"), "static_match_all")(_code_query(None))
 
 
-_PLANTED = "every AS (SELECT doc_id, line_no, line FROM doc_lines UNION ALL SELECT -1 AS doc_id, line_no, line FROM c)"
+_PLANTED = "every AS (SELECT doc_id, line_no, line FROM doc_lines UNION ALL SELECT -1 - planted_in AS doc_id, line_no, line FROM c)"
 
 
 @query(f"WITH {_LINES}, {_CODE}, {_PLANTED}, " + _rule_sql(K.CODE_RULES, "every", "doc_id"))
 def static_match_documents(spark, sf_dir):
-    """All rules over all documents' lines; as prose holds no code, the lines of the code fixtures are among them, as document -1."""
-    planted = X.frame(spark, _CODE_ROWS, "file_path string, line_no int, line string").select(F.lit(-1).cast("bigint").alias("doc_id"), "line_no", "line")
+    """All rules over all documents' lines; as prose holds no code, each document has some lines of code too, under ids from -1 down."""
+    planted = _CODE_LINES.frame(spark, sf_dir).select((F.lit(-1) - F.col("planted_in")).alias("doc_id"), "line_no", "line")
     rows = _doc_lines(spark, sf_dir).unionByName(planted)
     return code_rules.code_findings(rows, "doc_id").select("doc_id", "line_no", "rule_id", "severity", "confidence")
 
 
 @query(f"WITH {_CODE} SELECT line_no, starts_with(trim(line), '#') OR starts_with(trim(line), '//') OR starts_with(trim(line), '/*') OR contains(line, '\"\"\"') OR contains(line, '''''''') AS comment, contains(lower(line), 'import ') AND contains(lower(line), 'from ') AS imported, left(trim(line), 80) AS snippet FROM c")
 def suppressions(spark, sf_dir):
-    rows, line = X.frame(spark, _CODE_ROWS, "file_path string, line_no int, line string"), F.col("line")
+    rows, line = _CODE_LINES.frame(spark, sf_dir), F.col("line")
     imported = F.lower(line).contains("import ") & F.lower(line).contains("from ")
     return rows.select("line_no", code_rules.commented(line).alias("comment"), imported.alias("imported"), F.substring(T.strip(line), 1, 80).alias("snippet"))
 
@@ -252,12 +264,13 @@ _PYTHON = [
 
 @query()
 def ast_rules(spark, sf_dir):
-    return syntax_tree.tree_findings(X.frame(spark, _PYTHON, "file_path string, content string"))
+    return syntax_tree.tree_findings(X.Over("p", _PYTHON, "file_path string, content string", {"file_path": _own("file_path")}).frame(spark, sf_dir))
 
 
 # --- manifests and advisories ------------------------------------------------------------------------------------------------------
 
-_MF = lambda kind: X.relation("m", X.MANIFESTS[kind], "manifest string, content string")
+_MANIFEST_ROWS = {kind: X.Over("m", rows, "manifest string, content string", {"manifest": _own("manifest")}, group=lambda r: 0) for kind, rows in X.MANIFESTS.items()}
+_MF = lambda kind: _MANIFEST_ROWS[kind].sql
 _ML = "l AS (SELECT manifest, CAST(generate_subscripts(string_split(content, chr(10)), 1) AS INTEGER) AS line_num, trim(unnest(string_split(content, chr(10))), ' ' || chr(9)) AS line FROM m)"
 _SECTION = "h AS (SELECT *, last_value(CASE WHEN {0} THEN line END IGNORE NULLS) OVER (PARTITION BY manifest ORDER BY line_num) AS section, {0} AS heading FROM l)"
 _OUT = "manifest, lower({0}) AS name, {1} AS version_spec, {2} AS line_num"
@@ -289,7 +302,7 @@ for _kind, _parts in manifests.JSON_SECTIONS.items():
 
 def _parse_query(kind: str):
     def run(spark, sf_dir):
-        return manifests.PARSERS[kind](X.frame(spark, X.MANIFESTS[kind], "manifest string, content string")).drop("snippet")
+        return manifests.PARSERS[kind](_MANIFEST_ROWS[kind].frame(spark, sf_dir)).drop("snippet")
 
     return run
 
@@ -298,13 +311,14 @@ for _kind, _sql in _PARSE_SQL.items():
     query(f"WITH {_MF(_kind)}" + (", " if _sql[:6] != "SELECT" else " ") + _sql, f"parse_{_kind}")(_parse_query(_kind))
 
 _FILES = [(m, c) for rows in X.MANIFESTS.values() for m, c in rows] + [("sub/requirements.txt", "flask==1.0"), ("bin/x.csproj", "<PackageReference Include=\"A\" Version=\"1\" />")]
+_TREE = X.Over("f", _FILES, "file_path string, content string", {"of": "doc_id"}, group=lambda r: 0)
 _DETECT_ROWS = [(n, e, k) for n, (e, k) in K.MANIFESTS.items()]
 
 
-@query("WITH " + X.relation("f", [(m,) for m, _ in _FILES], "file_path string") + ", " + X.relation("d", _DETECT_ROWS, "name string, ecosystem string, parser string") + """
+@query(f"WITH {_TREE.sql}, " + X.relation("d", _DETECT_ROWS, "name string, ecosystem string, parser string") + """
   SELECT file_path, ecosystem, parser FROM f JOIN d ON file_path = name UNION ALL SELECT file_path, 'NuGet', 'csproj' FROM f WHERE regexp_matches(file_path, '\\.(csproj|vbproj|fsproj)$') AND NOT regexp_matches(file_path, '(^|/)(bin|obj|target|node_modules)/')""")
 def manifest_detection(spark, sf_dir):
-    return manifests.detect(X.frame(spark, _FILES, "file_path string, content string")).select("file_path", "ecosystem", "parser")
+    return manifests.detect(_TREE.frame(spark, sf_dir)).select("file_path", "ecosystem", "parser")
 
 
 _ECOSYSTEM = {kind: eco for eco, kind in K.MANIFESTS.values()} | {"csproj": "NuGet"}
@@ -315,49 +329,60 @@ _COUNTED = " UNION ALL ".join(
 
 @query(f"SELECT ecosystem, CAST(sum(n) AS BIGINT) AS n FROM ({_COUNTED}) GROUP BY ecosystem")
 def package_counts(spark, sf_dir):
-    return manifests.packages(X.frame(spark, _FILES, "file_path string, content string")).groupBy("ecosystem").agg(F.count("*").alias("n"))
+    found = manifests.detect(_TREE.frame(spark, sf_dir)).select(F.concat_ws("/", "of", "file_path").alias("manifest"), "content", "ecosystem", "parser")
+    return manifests.parse(found).groupBy("ecosystem").agg(F.count("*").alias("n"))
 
 
 _SPECS = [("==2.0.0",), (">=3.2,<4.0",), ("^4.18.0",), ("~4.17.21",), ("==2.0.*",), ("v1.2.3",), ("!=2.0.0",), ("1.0",)]
 
 
-@query("WITH " + X.relation("s", _SPECS, "spec string") + " SELECT spec, regexp_replace(regexp_replace(trim(regexp_replace(trim(string_split(spec, ',')[1]), '^[><=!~]+', '')), '\\*+$', ''), '^[\\^~vV]+', '') AS version FROM s")
+_SPEC_ROWS = X.Over("s", _SPECS, "spec string")
+
+
+@query(f"WITH {_SPEC_ROWS.sql}" + " SELECT spec, regexp_replace(regexp_replace(trim(regexp_replace(trim(string_split(spec, ',')[1]), '^[><=!~]+', '')), '\\*+$', ''), '^[\\^~vV]+', '') AS version FROM s")
 def version_extraction(spark, sf_dir):
-    return X.frame(spark, _SPECS, "spec string").select("spec", manifests.bound_version(F.col("spec")).alias("version"))
+    return _SPEC_ROWS.frame(spark, sf_dir).select("spec", manifests.bound_version(F.col("spec")).alias("version"))
 
 
 _NUM = "list_resize(list_transform(string_split(regexp_replace({0}, '^[<>=!]+', ''), '.'), lambda x: try_cast(x AS BIGINT)), 12, 0)"
 _OPS = "CASE regexp_extract(c, '^(==|!=|<=|>=|<|>)', 1) WHEN '==' THEN v = b WHEN '!=' THEN v <> b WHEN '<' THEN v < b WHEN '>' THEN v > b WHEN '<=' THEN v <= b WHEN '>=' THEN v >= b END"
 
 
-@query("WITH " + X.relation("t", X.VERSIONS, "version string, ranges string") + f""", u AS (SELECT version, ranges, unnest(string_split(ranges, ',')) AS c FROM t WHERE regexp_matches(version, '^[0-9]+(\\.[0-9]+)*$')),
+_VERSION_ROWS = X.Over("t", X.VERSIONS, "version string, ranges string", {"d": "doc_id"})
+
+
+@query(f"WITH {_VERSION_ROWS.sql}" + f""", u AS (SELECT version, ranges, unnest(string_split(ranges, ',')) AS c FROM t WHERE regexp_matches(version, '^[0-9]+(\\.[0-9]+)*$')),
   k AS (SELECT version, ranges, c, {_NUM.format('version')} AS v, {_NUM.format('c')} AS b FROM u), a AS (SELECT version, ranges, bool_and({_OPS}) AS hit FROM k GROUP BY ALL)
   SELECT t.version, t.ranges, coalesce(a.hit, false) AS hit FROM t LEFT JOIN a USING (version, ranges)""")
 def version_boundary(spark, sf_dir):
-    rows = X.frame(spark, X.VERSIONS, "version string, ranges string")
+    rows = _VERSION_ROWS.frame(spark, sf_dir)
     return rows.select("version", "ranges", advisories.affected(F.col("version"), F.array("ranges")).alias("hit"))
 
 
 _PKG = [("requirements.txt", "PyPI", n, f"=={v}", k + 1, f"{n}=={v}") for k, (n, v) in enumerate([("django", "3.0.0"), ("flask", "2.0.0"), ("requests", "2.28.0"), ("PyYAML", "5.3.0"), ("cryptography", "38.0.0"), ("numpy", "1.23.0"), ("pillow", "9.4.0"), ("django", "4.0.0"), ("Django", "3.9.9"), ("gunicorn", "20.0"), ("celery", "5.2.0"), ("redis", "4.4.0"), ("tornado", "6.3.0"), ("click", "8"), ("boto3", "1.x")])] + [("package.json", "npm", "redis", "^4.0.0", 0, "redis")]
 _PKG_COLUMNS = "manifest string, ecosystem string, name string, version_spec string, line_num int, snippet string"
+_PKG_ROWS = X.Over("p", _PKG, _PKG_COLUMNS, {"manifest": _own("manifest")}, group=lambda r: r[4] % 4)
 _ADV = [(p, r, s, c) for p, rs, s, c in K.ADVISORIES for r in rs]
 _KEY = "list_append(" + _NUM.replace("{0}", "regexp_replace({0}, '(a|b|rc)[0-9]+$', '')") + ", CASE WHEN regexp_matches({0}, '(a|b|rc)[0-9]+$') THEN -1 ELSE 0 END)"
 
 
-@query("WITH " + X.relation("p", _PKG, _PKG_COLUMNS) + ", " + X.relation("a", _ADV, "package string, r string, sev string, cve string") + f""", j AS (SELECT p.*, a.*, regexp_replace(version_spec, '^[=^]+', '') AS version FROM p JOIN a ON lower(name) = package WHERE ecosystem = 'PyPI'),
+@query("WITH " + _PKG_ROWS.sql + ", " + X.relation("a", _ADV, "package string, r string, sev string, cve string") + f""", j AS (SELECT p.*, a.*, regexp_replace(version_spec, '^[=^]+', '') AS version FROM p JOIN a ON lower(name) = package WHERE ecosystem = 'PyPI'),
   u AS (SELECT *, unnest(string_split(r, ',')) AS c FROM j WHERE regexp_matches(version, '^[0-9.]+$')), k AS (SELECT *, {_KEY.format('version')} AS v, {_KEY.format('c')} AS b FROM u),
   h AS (SELECT manifest, line_num, name, version, cve, sev, r, bool_and({_OPS}) AS hit FROM k GROUP BY ALL)
   SELECT DISTINCT manifest, line_num, name, version, 'DEP-' || replace(cve, '-', '_') AS rule_id, sev AS severity FROM h WHERE hit""")
 def advisory_join(spark, sf_dir):
-    return advisories.advisory_findings(X.frame(spark, _PKG, _PKG_COLUMNS), advisories.offline_advisories(spark)).drop("snippet")
+    return advisories.advisory_findings(_PKG_ROWS.frame(spark, sf_dir), advisories.offline_advisories(spark)).drop("snippet")
 
 
 _CVSS = [(None,), (9.0,), (8.9,), (7.0,), (6.9,), (4.0,), (3.9,), (0.0,), (10.0,)]
 
 
-@query("WITH " + X.relation("s", _CVSS, "score double") + " SELECT score, CASE WHEN score IS NULL THEN 'MEDIUM' WHEN score >= 9 THEN 'CRITICAL' WHEN score >= 7 THEN 'HIGH' WHEN score >= 4 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM s")
+_CVSS_ROWS = X.Over("s", _CVSS, "score double")
+
+
+@query(f"WITH {_CVSS_ROWS.sql}" + " SELECT score, CASE WHEN score IS NULL THEN 'MEDIUM' WHEN score >= 9 THEN 'CRITICAL' WHEN score >= 7 THEN 'HIGH' WHEN score >= 4 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM s")
 def cvss_buckets(spark, sf_dir):
-    return X.frame(spark, _CVSS, "score double").select("score", advisories.cvss_severity(F.col("score")).alias("severity"))
+    return _CVSS_ROWS.frame(spark, sf_dir).select("score", advisories.cvss_severity(F.col("score")).alias("severity"))
 
 
 _OSV = [
@@ -370,13 +395,15 @@ _OSV = [
 ]
 
 
-def _osv(spark):
-    rows = X.frame(spark, [(x,) for x in _OSV], "j string")
+_OSV_ROWS = X.Over("r", [(x,) for x in _OSV], "j string", {"j": "replace(j, '{\"id\":\"', concat('{\"id\":\"', cast(doc_id as string), '-'))"})
+
+
+def _osv(rows):
     return rows.select(F.from_json("j", f"struct<{advisories.OSV.replace(' string', ':string').replace(' array', ':array').replace(' struct', ':struct')}>").alias("o")).select("o.*")
 
 
 _OSV_WORD = "CASE WHEN upper({0}) IN ('LOW', 'MEDIUM', 'HIGH', 'CRITICAL') THEN upper({0}) WHEN upper({0}) = 'MODERATE' THEN 'MEDIUM' END"
-_OSV_SQL = X.relation("r", [(x,) for x in _OSV], "j string") + f""", s AS (SELECT json_extract_string(j, '$.id') AS id, j FROM r),
+_OSV_SQL = f"""s AS (SELECT json_extract_string(j, '$.id') AS id, j FROM r),
   score AS (SELECT id, min_by(v, k) AS score FROM (SELECT id, k, try_cast(json_extract_string(x, '$.score') AS DOUBLE) AS v FROM (SELECT id, unnest(json_extract(j, '$.severity[*]')) AS x, generate_subscripts(json_extract(j, '$.severity[*]'), 1) AS k FROM s) WHERE json_extract_string(x, '$.type') = 'CVSS_V3') WHERE v IS NOT NULL GROUP BY id),
   aff AS (SELECT id, unnest(json_extract(j, '$.affected[*]')) AS a, generate_subscripts(json_extract(j, '$.affected[*]'), 1) AS k FROM s),
   word AS (SELECT id, min_by(w, k) AS word FROM (SELECT id, k, coalesce({_OSV_WORD.format("json_extract_string(a, '$.database_specific.severity')")}, {_OSV_WORD.format("json_extract_string(a, '$.ecosystem_specific.severity')")}) AS w FROM aff) WHERE w IS NOT NULL GROUP BY id),
@@ -387,18 +414,18 @@ _OSV_SQL = X.relation("r", [(x,) for x in _OSV], "j string") + f""", s AS (SELEC
     FROM s LEFT JOIN score USING (id) LEFT JOIN word USING (id) LEFT JOIN fix USING (id))"""
 
 
-@query(f"WITH {_OSV_SQL} SELECT id, cve, severity, fixed FROM osv")
+@query(f"WITH {_OSV_ROWS.sql}, {_OSV_SQL} SELECT id, cve, severity, fixed FROM osv")
 def osv_summary(spark, sf_dir):
-    return advisories.osv_summary(_osv(spark))
+    return advisories.osv_summary(_osv(_OSV_ROWS.frame(spark, sf_dir)))
 
 
 _HITS = [("PyPI", "flask", "2.0.0", "GHSA-1"), ("PyPI", "django", "3.0.0", "G-4"), ("PyPI", "numpy", "1.23.0", "G-6"), ("npm", "redis", "4.0.0", "GHSA-2"), ("PyPI", "redis", "9.9", "Z")]
 
 
-@query("WITH " + X.relation("p", _PKG, _PKG_COLUMNS) + ", " + X.relation("h", _HITS, "ecosystem string, name string, version string, id string") + f""", {_OSV_SQL}
+@query("WITH " + _PKG_ROWS.sql + ", " + X.relation("h", _HITS, "ecosystem string, name string, version string, id string") + ", " + X.relation("r", [(x,) for x in _OSV], "j string") + f""", {_OSV_SQL}
   SELECT manifest, line_num, p.name, h.version, 'DEP-' || replace(cve, '-', '_') AS rule_id, severity, fixed FROM p JOIN h ON p.ecosystem = h.ecosystem AND p.name = h.name AND regexp_replace(version_spec, '^[=^]+', '') = h.version JOIN osv USING (id)""")
 def osv_join(spark, sf_dir):
-    return advisories.osv_findings(X.frame(spark, _PKG, _PKG_COLUMNS), X.frame(spark, _HITS, "ecosystem string, name string, version string, id string"), _osv(spark))
+    return advisories.osv_findings(_PKG_ROWS.frame(spark, sf_dir), X.frame(spark, _HITS, "ecosystem string, name string, version string, id string"), _osv(X.frame(spark, [(x,) for x in _OSV], "j string")))
 
 
 # --- times, budget and advice -------------------------------------------------------------------------------------------------------
@@ -406,33 +433,40 @@ def osv_join(spark, sf_dir):
 _TIMES = [("secrets", 30.0), ("static_analysis", 30.0), ("dependencies", 12.5), ("discovery", 0.0)]
 
 
-@query("WITH " + X.relation("t", _TIMES, "scanner string, ms double") + " SELECT scanner, ms, round(100 * ms / 80.0, 4) AS pct FROM t")
+_TIME_ROWS = X.Over("t", _TIMES, "scanner string, ms double", {"ms": "ms + n_chars % 50"})
+
+
+@query(f"WITH {_TIME_ROWS.sql}" + " SELECT scanner, ms, round(100 * ms / 80.0, 4) AS pct FROM t")
 def timing_share(spark, sf_dir):
-    return findings.time_shares(X.frame(spark, _TIMES, "scanner string, ms double"), 80.0)
+    return findings.time_shares(_TIME_ROWS.frame(spark, sf_dir), 80.0)
 
 
 _ADVISED = [(r,) for r in sorted(A.WEB)] + [("DAST-EXPOSED-ENV",), ("DAST-VERBOSE-ERROR-PATH_TRAVERSAL",), ("DAST-INJECTION-OTHER",), ("DAST-AWS-METADATA-ACCESSIBLE",), ("DAST-UNKNOWN",)]
+_ADVISED_ROWS = X.Over("r", _ADVISED, "rule_id string")
 _WEB_TABLE = X.relation("w", [(r, *v[:3]) for r, v in A.WEB.items()], "rule_id string, t string, c string, o string")
 
 
-@query("WITH " + X.relation("r", _ADVISED, "rule_id string") + f", {_WEB_TABLE} " + """SELECT rule_id,
+@query(f"WITH {_ADVISED_ROWS.sql}, {_WEB_TABLE} " + """SELECT rule_id,
   coalesce(t, CASE WHEN starts_with(rule_id, 'DAST-EXPOSED-') THEN 'dast_exposed_endpoint' WHEN starts_with(rule_id, 'DAST-VERBOSE') THEN 'dast_information_disclosure' WHEN starts_with(rule_id, 'DAST-INJ') THEN 'dast_injection' WHEN ends_with(rule_id, '-METADATA-ACCESSIBLE') THEN 'dast_ssrf' ELSE 'dast' END) AS issue_type,
   coalesce(c, CASE WHEN starts_with(rule_id, 'DAST-EXPOSED-') THEN 'CWE-200' WHEN starts_with(rule_id, 'DAST-VERBOSE') THEN 'CWE-209' WHEN starts_with(rule_id, 'DAST-INJ') THEN 'CWE-74' WHEN ends_with(rule_id, '-METADATA-ACCESSIBLE') THEN 'CWE-918' ELSE '' END) AS cwe_id,
   coalesce(o, CASE WHEN starts_with(rule_id, 'DAST-EXPOSED-') OR starts_with(rule_id, 'DAST-VERBOSE') THEN 'A05:2021' WHEN starts_with(rule_id, 'DAST-INJ') THEN 'A03:2021' WHEN ends_with(rule_id, '-METADATA-ACCESSIBLE') THEN 'A10:2021' ELSE '' END) AS owasp_category FROM r LEFT JOIN w USING (rule_id)""")
 def rule_categories(spark, sf_dir):
     told = A.web_advice(F.col("rule_id"))
-    return X.frame(spark, _ADVISED, "rule_id string").select("rule_id", *[told[c].alias(c) for c in ("issue_type", "cwe_id", "owasp_category")])
+    return _ADVISED_ROWS.frame(spark, sf_dir).select("rule_id", *[told[c].alias(c) for c in ("issue_type", "cwe_id", "owasp_category")])
 
 
 _PROBES = [("t", p, "", k, 200) for p, n in (("root", 1), ("path", 5), ("verbose", 3), ("listing", 4), ("idor", 3), ("xml", 2), ("graphql", 2), ("cors", 2)) for k in range(n)] + [("u", "path", "", 0, 200), ("u", "listing", "", 0, 200)]
 _PROBE_COLUMNS = "target string, probe string, detail string, seq int, status_code int"
 
 
-@query("WITH " + X.relation("r", _PROBES, _PROBE_COLUMNS) + """, o AS (SELECT *, list_position(['root', 'path', 'verbose', 'listing', 'idor', 'xml', 'graphql'], probe) AS step FROM r),
+_PROBE_ROWS = X.Over("r", _PROBES, _PROBE_COLUMNS, {"target": "concat(target, '/', cast(page_id as string))"}, table="pages", key="page_id", group=lambda r: r[0])
+
+
+@query(f"WITH {_PROBE_ROWS.sql}" + """, o AS (SELECT *, list_position(['root', 'path', 'verbose', 'listing', 'idor', 'xml', 'graphql'], probe) AS step FROM r),
   b AS (SELECT *, (SELECT count(*) FROM o p WHERE p.target = o.target AND p.step > 0 AND p.probe <> 'listing' AND (p.step < o.step OR (p.step = o.step AND p.seq < o.seq))) AS asked FROM o)
   SELECT target, probe, seq FROM b WHERE step IS NULL OR step = 1 OR asked < 10""")
 def probe_budget(spark, sf_dir):
-    return responses.budgeted(X.frame(spark, _PROBES, _PROBE_COLUMNS), 10).select("target", "probe", "seq")
+    return responses.budgeted(_PROBE_ROWS.frame(spark, sf_dir), 10).select("target", "probe", "seq")
 
 
 # --- addresses and pages -------------------------------------------------------------------------------------------------------------
@@ -443,19 +477,25 @@ def url_parts(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", F.lower(F.regexp_extract("url", "^([A-Za-z][A-Za-z0-9+.-]*)://", 1)).alias("scheme"), T.host(F.col("url")).alias("host"))
 
 
-@query("WITH " + X.relation("u", X.URLS, "url string") + " SELECT url, CASE WHEN regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) ELSE 'http' END AS scheme, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1) AS host FROM u")
+_URL_ROWS = X.Over("u", X.URLS, "url string", {"url": "concat(url, case when contains(url, '://') then cast(doc_id as string) else '' end)"})
+
+
+@query(f"WITH {_URL_ROWS.sql}" + " SELECT url, CASE WHEN regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) ELSE 'http' END AS scheme, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1) AS host FROM u")
 def url_edges(spark, sf_dir):
-    return X.frame(spark, X.URLS, "url string").select("url", T.scheme(F.col("url")).alias("scheme"), T.host(F.col("url")).alias("host"))
+    return _URL_ROWS.frame(spark, sf_dir).select("url", T.scheme(F.col("url")).alias("scheme"), T.host(F.col("url")).alias("host"))
 
 
 _JOINS = [("https://example.com/", "/api"), ("https://example.com", "api"), ("https://Example.com/app", "api/v1"), ("http://localhost:8080/test//", "a b/c?d='x'"), ("not-a-url", "")]
 _QUOTED = "replace(replace(replace(replace(path, '?', '%3F'), '=', '%3D'), chr(39), '%27'), ' ', '%20')"
 
 
-@query("WITH " + X.relation("u", _JOINS, "url string, path string") + f""" SELECT url, path, rtrim(url, '/') || '/' || ltrim(path, '/') AS joined, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS origin,
+_JOIN_ROWS = X.Over("u", _JOINS, "url string, path string", {"path": "concat(path, source)"})
+
+
+@query(f"WITH {_JOIN_ROWS.sql}" + f""" SELECT url, path, rtrim(url, '/') || '/' || ltrim(path, '/') AS joined, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS origin,
   CASE WHEN contains(url, '://') THEN lower(regexp_extract(url, '://([^/?#:]*)', 1)) ELSE url END AS host, starts_with(lower(url), 'https://') AS https, {_QUOTED} AS quoted FROM u""")
 def url_functions(spark, sf_dir):
-    rows, url, path = X.frame(spark, _JOINS, "url string, path string"), F.col("url"), F.col("path")
+    rows, url, path = _JOIN_ROWS.frame(spark, sf_dir), F.col("url"), F.col("path")
     return rows.select("url", "path", T.join_url(url, path).alias("joined"), T.origin(url).alias("origin"), T.host_or_self(url).alias("host"), T.is_https(url).alias("https"), T.quote(path).alias("quoted"))
 
 
@@ -491,7 +531,9 @@ def event_enumeration(spark, sf_dir):
 
 # --- responses -------------------------------------------------------------------------------------------------------------------------
 
-_R = X.relation("r", X.RESPONSES, X.RESPONSE_COLUMNS)
+#: Each page is a target; the first answer's body has the page's markup in it.
+_CAPTURE = X.Over("r", X.RESPONSES, X.RESPONSE_COLUMNS, {"target": "concat(target, '/', cast(page_id as string))", "body": "case when probe = 'root' and body <> '' then concat(body, html) else body end"}, table="pages", key="page_id", group=lambda r: r[0])
+_R = _CAPTURE.sql
 
 
 def _h(name: str) -> str:
@@ -587,7 +629,7 @@ RESPONSE_SQL = {
 
 def _response_query(name: str):
     def run(spark, sf_dir):
-        rows = X.frame(spark, X.RESPONSES, X.RESPONSE_COLUMNS)
+        rows = _CAPTURE.frame(spark, sf_dir)
         found = responses.jwt(rows, X.AS_OF) if name == "jwt" else responses.CHECKS[name](rows)
         return found.drop("evidence")
 
@@ -601,7 +643,7 @@ for _name in (*responses.CHECKS, "jwt"):
 @query()
 def response_report(spark, sf_dir):
     """All checks over one capture, deduplicated."""
-    found = responses.response_findings(X.frame(spark, X.RESPONSES, X.RESPONSE_COLUMNS), X.AS_OF)
+    found = responses.response_findings(_CAPTURE.frame(spark, sf_dir), X.AS_OF)
     return findings.first_only(findings.conform(found)).select("file_path", "endpoint", "rule_id", "issue_type", "severity", "confidence", "cwe_id", "owasp_category", "sev_rank", "ord")
 
 
@@ -609,14 +651,14 @@ def response_report(spark, sf_dir):
 def sarif_json(spark, sf_dir):
     from sparkwarden.plans import sinks
 
-    return sinks.sarif_results(findings.first_only(_findings(spark)))
+    return sinks.sarif_results(findings.first_only(_findings(spark, sf_dir)))
 
 
 @query()
 def finding_json(spark, sf_dir):
     from sparkwarden.plans import sinks
 
-    return sinks.finding_json(findings.first_only(_findings(spark)))
+    return sinks.finding_json(findings.first_only(_findings(spark, sf_dir)))
 
 
 # --- the driver's other tables ---------------------------------------------------------------------------------------------------------

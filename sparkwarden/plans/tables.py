@@ -175,7 +175,7 @@ _GRAPH = f"""l AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey AS packag
   near AS (SELECT root, package, min(depth) AS depth FROM reach GROUP BY ALL),
   by_parent AS (SELECT n.root, n.package, n.depth, min(struct_pack(parent := p.package, version := e.version)) AS w FROM near n JOIN near p ON p.root = n.root AND p.depth = n.depth - 1
     JOIN least e ON e.package = p.package AND e.needs = n.package GROUP BY ALL)
-  SELECT root, package, CAST(depth AS INTEGER) AS depth, w.parent AS parent, w.version AS version FROM by_parent UNION ALL SELECT root, package, 0, NULL, version FROM roots""")
+  SELECT root, package, CAST(depth AS INTEGER) AS depth, w.parent AS parent, w.version AS version FROM by_parent UNION ALL SELECT root, package, 0, -1, version FROM roots""")
 def dependency_closure(spark, sf_dir):
     """What suppliers' parts need through the parts that follow them in orders, in versions made of the parts' sizes."""
     line = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("package"), "l_suppkey", F.col("l_quantity").cast("int").alias("q"), "l_returnflag").distinct()
@@ -185,7 +185,8 @@ def dependency_closure(spark, sf_dir):
     after = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("package").alias("needs"), F.concat(F.lit(">=3,<"), F.col("q").cast("string"), F.lit(".5")).alias("clauses"))
     asked = line.where("l_returnflag = 'R' and l_linenumber > 4").join(after, ["l_orderkey", "l_linenumber"]).select("package", "needs", "clauses").distinct()
     roots = line.where("l_returnflag = 'R' and l_linenumber = 5").join(part, "package").select(F.col("l_suppkey").alias("root"), "package", name(F.col("p_size"), F.lit(0)).alias("version"))
-    return dependencies.closure(roots, dependencies.resolved(asked, offered), DEPTH)
+    found = dependencies.closure(roots, dependencies.resolved(asked, offered), DEPTH)
+    return found.withColumn("parent", F.coalesce("parent", F.lit(-1).cast("long")))
 
 
 # --- bursts ------------------------------------------------------------------------------------------------------------------------
