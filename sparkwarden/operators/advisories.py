@@ -118,11 +118,48 @@ def advisory_findings(packages: DataFrame, advisories: DataFrame, ecosystem: str
 
 OSV = (
     "id string, summary string, details string, aliases array<string>, severity array<struct<type:string,score:string>>, "
-    "affected array<struct<ranges:array<struct<type:string,events:array<struct<introduced:string,fixed:string>>>>,"
+    "affected array<struct<package:struct<ecosystem:string,name:string>,versions:array<string>,"
+    "ranges:array<struct<type:string,events:array<struct<introduced:string,fixed:string,last_affected:string>>>>,"
     "database_specific:struct<severity:string>,ecosystem_specific:struct<severity:string>>>, database_specific struct<severity:string>"
 )
 
 
+def read_osv(spark: SparkSession, path: str) -> DataFrame:
+    """OSV records of a dump: a file or folder of JSON, one record (or an array of them) a file, or .jsonl with one a line."""
+    return spark.read.schema(OSV).option("multiLine", not path.rstrip("/").endswith(".jsonl")).json(path)
+
+
+def osv_ranges(records: DataFrame) -> DataFrame:
+    """(range_id: the record's id, ecosystem, name in lower case, clauses) of the records' SEMVER and ECOSYSTEM ranges and of the
+    versions that they list. A range begins at an `introduced` event and ends before the `fixed` one that follows, or at
+    `last_affected`; without either it has no end, and introduced '0' has no beginning."""
+    of = records.select("id", F.explode("affected").alias("a")).where("a.package.name is not null")
+    place = ["id", F.col("a.package.ecosystem").alias("ecosystem"), F.lower("a.package.name").alias("name")]
+    each = of.select(*place, F.explode("a.ranges").alias("r")).where(F.col("r.type").isin("SEMVER", "ECOSYSTEM"))
+    events = F.col("r.events")
+
+    def stretch(e: Column, k: Column) -> Column:
+        after = F.try_element_at(events, (k + 2).cast("int"))
+        low = F.when(e["introduced"] == "0", ">=0.dev0").otherwise(F.concat(F.lit(">="), e["introduced"]))
+        high = F.when(after["fixed"].isNotNull(), F.concat(F.lit(",<"), after["fixed"])).when(after["last_affected"].isNotNull(), F.concat(F.lit(",<="), after["last_affected"]))
+        return F.when(e["introduced"].isNotNull(), F.concat(low, F.coalesce(high, F.lit(""))))
+
+    spans = each.select("id", "ecosystem", "name", F.explode(F.array_compact(F.transform(events, stretch))).alias("clauses"))
+    listed = of.select(*place, F.explode("a.versions").alias("v")).select("id", "ecosystem", "name", F.concat(F.lit("=="), "v").alias("clauses"))
+    return spans.unionByName(listed).withColumnRenamed("id", "range_id")
+
+
+def osv_hits(packages: DataFrame, records: DataFrame) -> DataFrame:
+    """(ecosystem, name, version, id): which records of a dump affect which packages (ecosystem, name, version_spec), by ranges and
+    listed versions; names are compared in lower case. However many ranges a package has, none is paired with all its versions."""
+    from sparkwarden.operators.version_ranges import range_hits
+
+    both = F.to_json(F.struct("ecosystem", F.lower("name").alias("name")))
+    points = packages.select("ecosystem", "name", bound_version(F.col("version_spec")).alias("version"), both.alias("package"))
+    hits = range_hits(points, osv_ranges(records).select("range_id", both.alias("package"), "clauses")).distinct()
+    return points.distinct().join(hits, ["package", "version"]).select("ecosystem", "name", "version", F.col("range_id").alias("id"))
+
+
 def cvss_severity(score: Column) -> Column:
     """The bucket of a CVSS score: from 9 CRITICAL, 7 HIGH, 4 MEDIUM, below LOW; null MEDIUM."""
     return F.when(score.isNull(), "MEDIUM").when(score >= 9, "CRITICAL").when(score >= 7, "HIGH").when(score >= 4, "MEDIUM").otherwise("LOW")
@@ -151,4 +188,4 @@ def osv_findings(packages: DataFrame, hits: DataFrame, records: DataFrame) -> Da
     rows = packages.withColumn("version", bound_version(F.col("version_spec")))
     found = rows.join(hits, ["ecosystem", "name", "version"]).join(osv_summary(records), "id")
     rule = F.concat(F.lit("DEP-"), F.replace(F.col("cve"), F.lit("-"), F.lit("_")))
-    return found.select("manifest", "line_num", "name", "version", rule.alias("rule_id"), "severity", "fixed")
+    return found.select("manifest", "line_num", "name", "version", rule.alias("rule_id"), "severity", "fixed", *["snippet"] * ("snippet" in packages.columns))

@@ -31,21 +31,33 @@ def _ordered(rows: DataFrame) -> DataFrame:
     return dealt.withColumn("ord", F.monotonically_increasing_id())
 
 
-def detectors(spark: SparkSession, found: DataFrame, scan_all: bool = False, advisory_rows: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Findings by detector over files(file_path, ext, content): secrets, code rules, syntax trees, manifests."""
-    texts = files.text_of(files.scannable(found, scan_all))
+def detectors(
+    spark: SparkSession, found: DataFrame, scan_all: bool = False, advisory_rows: DataFrame | None = None, records: DataFrame | None = None, disabled: list[str] = (), dotenv: bool = False
+) -> dict[str, DataFrame]:
+    """Findings by detector over files(file_path, ext, content): secrets, code rules, syntax trees, manifests.
+
+    records: an OSV dump, which is looked up in place of the advisories; disabled: rules without findings; dotenv: .env files too.
+    """
+    texts = files.text_of(files.scannable(found, scan_all, dotenv))
     rows = lines(texts, "file_path", "content")
     known = advisories.offline_advisories(spark) if advisory_rows is None else advisory_rows
-    deps = advisories.advisory_findings(manifests.packages(files.text_of(found)), known)
+    packages = manifests.packages(files.text_of(found))
+    if records is None:
+        deps = advisories.advisory_findings(packages, known)
+    else:
+        packages = packages.persist(StorageLevel.MEMORY_AND_DISK)  # looked up in the dump, and then joined with what was found
+        deps = advisories.osv_findings(packages, advisories.osv_hits(packages, records), records)
     cve = F.replace(F.substring("rule_id", 5, 99), F.lit("_"), F.lit("-"))
-    deps = deps.withColumn("message", F.concat_ws(" ", "name", "version", F.lit("is affected by"), cve)).withColumn("remediation_hint", F.concat(F.lit("Update "), "name"))
+    deps = deps.withColumn("message", F.concat_ws(" ", "name", "version", F.lit("is affected by"), cve))
+    deps = deps.withColumn("remediation_hint", F.concat_ws(" ", F.lit("Update"), "name", *[F.when(F.col("fixed") != "", F.concat(F.lit("to "), "fixed"))] * (records is not None)))
     deps = _numbered(deps, "dependency", "dependency", "manifest", "line_num")
-    return {
+    out = {
         "secrets": _numbered(code_rules.secret_findings(rows), "secret", "regex"),
         "static_analysis": _numbered(code_rules.code_findings(rows), "static_analysis", "regex"),
         "syntax_trees": _numbered(syntax_tree.tree_findings(texts), "static_analysis", "ast"),
         "dependencies": deps.dropDuplicates(["file_path", "line_number", "rule_id", "message"]),
     }
+    return {name: rows.where(~F.col("rule_id").isin(*disabled)) for name, rows in out.items()} if disabled else out
 
 
 def _together(parts: dict[str, DataFrame]) -> DataFrame:
@@ -61,10 +73,13 @@ def scan_files(spark: SparkSession, found: DataFrame, scan_all: bool = False, ad
     return _together(detectors(spark, found, scan_all, advisory_rows))
 
 
-def scan_repository(spark: SparkSession, root: str, threshold: str = "HIGH", advisory_file: str | None = None, **options) -> tuple[dict, DataFrame]:
+def scan_repository(
+    spark: SparkSession, root: str, threshold: str = "HIGH", advisory_file: str | None = None, osv: str | None = None, disabled: list[str] = (), dotenv: bool = False, **options
+) -> tuple[dict, DataFrame]:
     """Summary and findings of a folder. options: scan_all, include_ignored, exclude, include (see sources.files.discover).
 
-    advisory_file: a JSON file of advisories instead of the built-in ones. The summary has the time of each detector.
+    advisory_file: a JSON file of advisories instead of the built-in ones; osv: an OSV dump (see advisories.read_osv) instead of
+    both; disabled, dotenv: see detectors(). The summary has the time of each detector.
     """
     began, times = time.time(), {}
     found = files.discover(spark, root, **{"include_ignored": False} | options).persist(StorageLevel.MEMORY_AND_DISK)
@@ -72,14 +87,18 @@ def scan_repository(spark: SparkSession, root: str, threshold: str = "HIGH", adv
     times["discovery"] = _since(began)
     known = advisories.read_advisories(spark, advisory_file) if advisory_file else None
     parts = {}
-    for name, rows in detectors(spark, found, options.get("scan_all", False), known).items():
+    records = advisories.read_osv(spark, osv) if osv else None
+    for name, rows in detectors(spark, found, options.get("scan_all", False), known, records, list(disabled), dotenv).items():
         start = time.time()
         parts[name] = rows.persist(StorageLevel.MEMORY_AND_DISK)
         parts[name].count()
         times[name] = _since(start)
     rows = _together(parts).persist(StorageLevel.MEMORY_AND_DISK)
-    scanned = files.scannable(found, options.get("scan_all", False)).count()
-    return _summary(rows, threshold, began, scanned_files=scanned, scanner_times_ms=times, files_by_extension=counts), rows
+    scanned = files.scannable(found, options.get("scan_all", False), dotenv).count()
+    summary = _summary(rows, threshold, began, scanned_files=scanned, scanner_times_ms=times, files_by_extension=counts)
+    for held in (found, *parts.values()):  # the findings are kept, what they were made of is not
+        held.unpersist()
+    return summary, rows
 
 
 def _since(began: float) -> float:
