@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkwarden.functions import catalog as K
 from sparkwarden.functions import text as T
-from sparkwarden.operators import bursts, code_rules, dependencies, html, rule_index
+from sparkwarden.operators import bursts, code_rules, cube, dependencies, html, rule_index
 from sparkwarden.operators import version_ranges as ranges_op
 from sparkwarden.plans import fixtures as X
 from sparkwarden.plans.registry import _LINES, _rule_sql, _secret_sql, _table, query
@@ -254,3 +254,29 @@ def event_verdict_stream(spark, sf_dir):
     out = verdicts.run_to_end(changes, f"{scratch.folder(spark)}/sparkwarden/verdicts-{uuid.uuid4().hex}", "changes")
     last = out.groupBy("user_id").agg(F.max_by(F.struct("verdict", "max_rank"), F.struct("batch_id", "max_rank")).alias("last"))
     return last.select("user_id", "last.verdict", "last.max_rank")
+
+
+# --- a cube of counts ----------------------------------------------------------------------------------------------------------------
+
+_DIMS = ["source", "lang", "kind"]
+_KIND_OF = "CASE WHEN trim(line) = '' THEN 'blank' WHEN length(line) > 200 THEN 'long' WHEN contains(line, '://') THEN 'address' ELSE 'plain' END"
+
+
+def _deliveries(spark, sf_dir):
+    """The lines of documents, counted in seven deliveries that are stored one after the other."""
+    lines = T.lines(_table(spark, sf_dir, "documents"), "doc_id", "text", "source", "lang").withColumn("kind", F.expr(_KIND_OF)).withColumn("size", F.length("line"))
+    return scratch.stored(cube.deliveries(lines.withColumn("day", F.col("doc_id") % 7), "day", _DIMS, "doc_id", "size"), "deliveries")
+
+
+@query(f"""WITH {_LINES}, k AS (SELECT source, lang, {_KIND_OF} AS kind FROM doc_lines JOIN documents USING (doc_id))
+  SELECT CAST(grouping(source, lang, kind) AS INTEGER) AS level, source, lang, kind, count(*) AS n FROM k GROUP BY CUBE (source, lang, kind)""")
+def line_cube(spark, sf_dir):
+    """Lines by source, language and kind in all combinations, merged from deliveries."""
+    return cube.cube(_deliveries(spark, sf_dir), _DIMS).select("level", *_DIMS, "n")
+
+
+@query()
+def line_cube_sketches(spark, sf_dir):
+    """How many documents, and how long the lines are, in the cells of line_cube: from sketches, tested against exact values."""
+    found = cube.cube(_deliveries(spark, sf_dir), _DIMS)
+    return found.select("level", *_DIMS, F.col("distinct_values").alias("docs"), F.col("quantiles")[0].alias("median_size"), F.col("quantiles")[1].alias("p95_size"))

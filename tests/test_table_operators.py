@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkwarden.functions import catalog as K
 from sparkwarden.functions import text as T
-from sparkwarden.operators import advisories, bursts, code_rules, dependencies, rule_index, version_ranges
+from sparkwarden.operators import advisories, bursts, code_rules, cube, dependencies, rule_index, version_ranges
 from sparkwarden.plans import fixtures as X
 from sparkwarden.plans import tables
 from sparkwarden.sources import nested_ignore
@@ -225,3 +225,25 @@ def test_the_deepest_last_rule_decides(spark):
     assert not any(r.ignored for r in nested_ignore.decided(df, table.limit(0)).collect()) and nested_ignore.decided(df.limit(0), table).count() == 0
     files = spark.createDataFrame([(".gitignore", "*.log\r\n!y.log"), ("a/b/.gitignore", "x"), ("a/x.gitignore", "no")], "file_path string, content string")
     assert sorted(tuple(r) for r in nested_ignore.rules_of_files(files).collect()) == [("", 0, "*.log"), ("", 1, "!y.log"), ("a/b", 0, "x")]
+
+
+# --- cube ------------------------------------------------------------------------------------------------------------------------------------
+
+
+def test_cube_merges_deliveries(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(d, rng.choice(["x", "y", None]), rng.choice(["p", "q"]), rng.randrange(3000) if rng.random() < 0.95 else None, rng.randrange(10_000) if rng.random() < 0.95 else None) for d in range(6) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "day int, a string, b string, who long, size long")
+    for d in range(6):  # a delivery at a time
+        cube.deliveries(df.where(F.col("day") == d), "day", ["a", "b"], "who", "size").write.mode("append").parquet(f"file://{tmp_path}/days")
+    got = {(r.level, r.a, r.b): r for r in cube.cube(spark.read.parquet(f"file://{tmp_path}/days"), ["a", "b"], (0.1, 0.5, 0.9)).collect()}
+    assert len(got) == 6 + 3 + 2 + 1
+    for (level, a, b), r in got.items():
+        mine = [x for x in rows if (level & 2 or x[1] == a) and (level & 1 or x[2] == b)]
+        values, sizes = {x[3] for x in mine} - {None}, sorted(x[4] for x in mine if x[4] is not None)
+        assert r.n == len(mine) and abs(r.distinct_values - len(values)) <= 0.05 * len(values)
+        for share, q in zip((0.1, 0.5, 0.9), r.quantiles, strict=True):
+            assert abs(sum(x <= q for x in sizes) / len(sizes) - share) <= 0.02
+    nothing = cube.deliveries(df.where("a = 'x'").withColumn("size", F.lit(None).cast("long")), "day", ["a"], "who", "size")
+    assert all(r.quantiles is None for r in cube.cube(nothing, ["a"]).collect())
+    assert cube.cube(cube.deliveries(df.limit(0), "day", ["a"], "who", "size"), ["a"]).where("level = 0").count() == 0
