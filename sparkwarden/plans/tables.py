@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkwarden.functions import catalog as K
 from sparkwarden.functions import text as T
-from sparkwarden.operators import bursts, code_rules, cube, dependencies, html, rule_index
+from sparkwarden.operators import bursts, code_rules, cube, dependencies, html, line_sequences, rule_index
 from sparkwarden.operators import version_ranges as ranges_op
 from sparkwarden.plans import fixtures as X
 from sparkwarden.plans.registry import _LINES, _rule_sql, _secret_sql, _table, query
@@ -280,3 +280,42 @@ def line_cube_sketches(spark, sf_dir):
     """How many documents, and how long the lines are, in the cells of line_cube: from sketches, tested against exact values."""
     found = cube.cube(_deliveries(spark, sf_dir), _DIMS)
     return found.select("level", *_DIMS, F.col("distinct_values").alias("docs"), F.col("quantiles")[0].alias("median_size"), F.col("quantiles")[1].alias("p95_size"))
+
+
+# --- rules over several lines ----------------------------------------------------------------------------------------------------------
+
+SEQUENCES = {
+    "SEQ-1": r"/[0-9]{4}/ then within 3 /@/", "SEQ-2": r"/@/ then within 5 /[0-9]{4}/ unless /:/", "SEQ-3": r"/[.]$/ then within 1 /^[A-Z]/ then within 2 /,/", "SEQ-4": r"/https?:\/\// then within 4 /[0-9]/",
+    "SEQ-5": r"/[?]/ then within 2 /[.]/ unless /!/", "SEQ-6": r"/^[a-z]/ then within 3 /[A-Z]{2}/", "SEQ-7": r"/key|token|password/ then within 6 /[=:]/", "SEQ-8": r"/[(]/ then within 2 /[)]/ unless /[.]/",
+    "SEQ-9": r"/the/ then within 1 /and/ then within 1 /of|de/ then within 3 /[.]/", "SEQ-10": r"/[A-Z][a-z]+ [A-Z][a-z]+/ then within 8 /[0-9]+[.][0-9]+/ unless /;/",
+}
+
+
+def _sequence_sql() -> str:
+    parts = []
+    for rule, text in SEQUENCES.items():
+        steps = line_sequences.parse(text)
+        ctes, last = [], len(steps) - 1
+        ctes.append(f"e{last} AS (SELECT id, line_no, line, CASE WHEN regexp_matches(line, {X.literal(steps[last].pattern)}) THEN line_no END AS e FROM every)")
+        for k in range(last, 0, -1):
+            frame = f"OVER (PARTITION BY id ORDER BY line_no RANGE BETWEEN 1 FOLLOWING AND {steps[k].within} FOLLOWING)"
+            stop = f"min(CASE WHEN regexp_matches(line, {X.literal(steps[k].unless)}) THEN line_no END) {frame}" if steps[k].unless else "NULL"
+            ctes.append(f"w{k} AS (SELECT id, line_no, line, min(CASE WHEN e IS NOT NULL THEN struct_pack(a := line_no, b := e) END) {frame} AS next, {stop} AS stop FROM e{k})")
+            ctes.append(f"e{k - 1} AS (SELECT id, line_no, line, CASE WHEN regexp_matches(line, {X.literal(steps[k - 1].pattern)}) AND next IS NOT NULL AND (stop IS NULL OR stop >= next.a) THEN next.b END AS e FROM w{k})")
+        parts.append(f"SELECT * FROM (WITH {', '.join(ctes)} SELECT id, '{rule}' AS rule_id, line_no, e AS end_line FROM e0 WHERE e IS NOT NULL)")
+    return " UNION ALL ".join(parts)
+
+
+_TALK = """talk AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
+  talk_lines AS (SELECT -1 - conv_id AS id, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INTEGER) AS line_no, unnest(string_split(text, chr(10))) AS line FROM talk),
+  every AS (SELECT doc_id AS id, line_no, line FROM doc_lines UNION ALL SELECT * FROM talk_lines)"""
+
+
+@query(f"WITH {_LINES}, {_TALK} {_sequence_sql()}")
+def line_sequences_found(spark, sf_dir):
+    """Ten rules of two to four steps over the lines of documents, and of conversations read as one text (ids from -1 down)."""
+    docs = T.lines(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id", "text")
+    turns = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))  # the turns of one conversation
+    talk = turns.select((F.lit(-1) - F.col("conv_id")).alias("id"), F.posexplode(F.split(F.array_join("t.text", "\n"), "\n")).alias("pos", "line"))
+    every = docs.unionByName(talk.select("id", (F.col("pos") + 1).alias("line_no"), "line"))
+    return line_sequences.sequence_findings(every, SEQUENCES, "id")

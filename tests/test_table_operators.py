@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkwarden.functions import catalog as K
 from sparkwarden.functions import text as T
-from sparkwarden.operators import advisories, bursts, code_rules, cube, dependencies, rule_index, version_ranges
+from sparkwarden.operators import advisories, bursts, code_rules, cube, dependencies, line_sequences, rule_index, version_ranges
 from sparkwarden.plans import fixtures as X
 from sparkwarden.plans import tables
 from sparkwarden.sources import nested_ignore
@@ -247,3 +247,43 @@ def test_cube_merges_deliveries(spark, tmp_path):
     nothing = cube.deliveries(df.where("a = 'x'").withColumn("size", F.lit(None).cast("long")), "day", ["a"], "who", "size")
     assert all(r.quantiles is None for r in cube.cube(nothing, ["a"]).collect())
     assert cube.cube(cube.deliveries(df.limit(0), "day", ["a"], "who", "size"), ["a"]).where("level = 0").count() == 0
+
+
+# --- rules over several lines ------------------------------------------------------------------------------------------------------------------
+
+
+def plain_sequences(lines, steps):
+    """(first, last line) by trying, from each line, the nearest line of the next step that can be carried through."""
+    numbers = sorted(lines)
+    has = lambda n, p: any(re.search(p, x) for x in lines[n] if x is not None)
+
+    def end(n, k):
+        if not has(n, steps[k].pattern):
+            return None
+        if k == len(steps) - 1:
+            return n
+        step = steps[k + 1]
+        for m in (m for m in numbers if n < m <= n + step.within):
+            if (last := end(m, k + 1)) is not None:
+                return last
+            if step.unless and has(m, step.unless):
+                return None
+        return None
+
+    return [(n, e) for n in numbers if (e := end(n, 0)) is not None]
+
+
+def test_sequences_are_those_of_a_plain_matcher(spark):
+    rng = random.Random(12)
+    texts = {(k, s): {n: [rng.choice(["open(f", "write(f)", "close(f)", "x", "open( write(", "a/b", None]) for _ in range(rng.choice([1, 1, 1, 2]))] for n in range(1, rng.randrange(2, 40)) if rng.random() < 0.9} for k in range(40) for s in "ab"}
+    texts[None, "a"] = {1: ["open(f"], 2: ["write(f)"]}
+    rules = {"R1": r"/open\(/ then within 5 /write\(/ unless /close\(/", "R2": r"/write/ then within 2 /write/ then within 2 /close/", "R3": r"/open/ then within 1 /open/ unless /x/ then within 9 /a\/b/ unless /write/", "R4": "/x/ then within 3 /nowhere/"}
+    rows = [(k, s, n, x) for (k, s), t in texts.items() for n, xs in t.items() for x in xs]
+    df = spark.createDataFrame(rows, "k int, s string, line_no int, line string").withColumn("met", F.lit("clash"))
+    want = sorted(str((k, s, r, n, e)) for (k, s), t in texts.items() for r, text in rules.items() for n, e in plain_sequences(t, line_sequences.parse(text)))
+    got = line_sequences.sequence_findings(df, rules, "k", "s")
+    assert sorted(str(tuple(r)) for r in got.collect()) == want and len(want) > 100
+    assert line_sequences.sequence_findings(df.limit(0), rules, "k", "s").count() == 0
+    for wrong in ("open", "/a/", "/a/ then /b/", "/a/ then within x /b/", "/a/ then within 2 /b/ or"):
+        with pytest.raises(ValueError):
+            line_sequences.parse(wrong)
