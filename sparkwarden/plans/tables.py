@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkwarden.functions import catalog as K
 from sparkwarden.functions import text as T
-from sparkwarden.operators import bursts, code_rules, cube, dependencies, html, line_sequences, rule_index
+from sparkwarden.operators import bursts, char_model, code_rules, cube, dependencies, html, line_ranges, line_sequences, rule_index
 from sparkwarden.operators import version_ranges as ranges_op
 from sparkwarden.plans import fixtures as X
 from sparkwarden.plans.registry import _LINES, _rule_sql, _secret_sql, _table, query
@@ -319,3 +319,38 @@ def line_sequences_found(spark, sf_dir):
     talk = turns.select((F.lit(-1) - F.col("conv_id")).alias("id"), F.posexplode(F.split(F.array_join("t.text", "\n"), "\n")).alias("pos", "line"))
     every = docs.unionByName(talk.select("id", (F.col("pos") + 1).alias("line_no"), "line"))
     return line_sequences.sequence_findings(every, SEQUENCES, "id")
+
+
+# --- lines of huge texts, randomness -----------------------------------------------------------------------------------------------------
+
+RANGE = 997
+
+
+@query("""WITH whole AS (SELECT lang, string_agg(text, '' ORDER BY doc_id) AS text FROM documents GROUP BY lang), p AS (SELECT lang, string_split(text, chr(10)) AS parts FROM whole WHERE text <> ''),
+  l AS (SELECT lang, CAST(generate_subscripts(parts, 1) AS BIGINT) AS line_no, unnest(parts) AS line, len(parts) AS n FROM p)
+  SELECT lang, line_no, CAST(length(line) AS BIGINT) AS n_chars FROM l WHERE NOT (line = '' AND line_no = n)""")
+def line_numbering_ranges(spark, sf_dir):
+    """Lines of all documents of a language read as one text, which comes in ranges."""
+    parts = line_ranges.ranges(_table(spark, sf_dir, "documents"), "lang", "text", RANGE, "doc_id")
+    return line_ranges.range_lines(parts, "lang", "doc_id", "part").select("lang", "line_no", "n_chars")
+
+
+_SYM = "CASE WHEN {0} BETWEEN 32 AND 126 THEN {0} - 32 ELSE 95 END"
+_RANDOM = "[A-Za-z0-9]{16,}"
+
+
+@query(f"""WITH b AS (SELECT regexp_extract_all(hex(encode(text)), '..') AS l FROM documents WHERE strlen(text) > 1),
+  xy AS (SELECT unnest(list_transform(list_zip(l[1:len(l) - 1], l[2:len(l)]), lambda p: p[1] || p[2])) AS h FROM b), g AS (SELECT h, count(*) AS n FROM xy GROUP BY h),
+  raw AS (SELECT ('0x' || h[1:2])::INTEGER AS x, ('0x' || h[3:4])::INTEGER AS y, n FROM g), pairs AS (SELECT {_SYM.format('x')} AS a, {_SYM.format('y')} AS b, sum(n) AS n FROM raw GROUP BY ALL)
+  SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, CAST(n AS BIGINT) AS n FROM pairs""")
+def character_pairs(spark, sf_dir):
+    """The character model's counts over all documents."""
+    return char_model.pair_counts(_table(spark, sf_dir, "documents")).select(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), "n")
+
+
+@query()
+def random_tokens(spark, sf_dir):
+    """Long runs of letters and digits in documents with their bits per character, under the documents' model and by entropy."""
+    docs = _table(spark, sf_dir, "documents")
+    tokens = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(f"({_RANDOM})"), F.lit(1))).alias("token")).distinct()
+    return tokens.select("doc_id", "token", char_model.bits(F.col("token"), char_model.model(docs)).alias("bits"), T.entropy(F.col("token")).alias("entropy"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkwarden.functions import catalog as K
 from sparkwarden.functions import text as T
-from sparkwarden.operators import advisories, bursts, code_rules, cube, dependencies, line_sequences, rule_index, version_ranges
+from sparkwarden.operators import advisories, bursts, char_model, code_rules, cube, dependencies, line_ranges, line_sequences, rule_index, version_ranges
 from sparkwarden.plans import fixtures as X
 from sparkwarden.plans import tables
 from sparkwarden.sources import nested_ignore
@@ -287,3 +287,54 @@ def test_sequences_are_those_of_a_plain_matcher(spark):
     for wrong in ("open", "/a/", "/a/ then /b/", "/a/ then within x /b/", "/a/ then within 2 /b/ or"):
         with pytest.raises(ValueError):
             line_sequences.parse(wrong)
+
+
+# --- lines of ranges, randomness -----------------------------------------------------------------------------------------------------------------
+
+
+def test_lines_of_ranges_are_those_of_whole_texts(spark):
+    rng = random.Random(13)
+    texts = ["", "a", "\n", "\r\n", "a\r\nb", "\r\r\n\n\r", "x" * 50, "a\n\nb\n"] + ["".join(rng.choice(["a", "é", "\n", "\r", "\r\n", " ", "word "]) for _ in range(rng.randrange(60))) for _ in range(150)]
+    df = spark.createDataFrame([*enumerate(texts), (None, "a\nb"), (9999, None)], "k long, t string").withColumn("o", F.lit(0))
+    want = {}
+    for r in T.lines(df, "k", "t").collect():
+        want[r.k, r.line_no] = len(r.line)
+    for size in (1, 2, 7, 1000):
+        parts = line_ranges.ranges(df, "k", "t", size, "o").repartition(5)
+        got = line_ranges.range_lines(parts, "k", "o", "part").collect()
+        assert {(r.k, r.line_no): r.n_chars for r in got} == want and len(got) == len(want), size
+        assert max(r.pieces for r in got) > 1 or size == 1000
+    assert line_ranges.range_lines(line_ranges.ranges(df.limit(0), "k", "t", 5, "o"), "k", "o", "part").count() == 0
+
+
+def test_equal_ranges_at_one_place_count_each(spark):
+    df = spark.createDataFrame([(1, 0, "a\nb"), (1, 0, "a\nb"), (1, 1, "c")], "k long, part int, chunk string")
+    assert sorted((r.line_no, r.n_chars) for r in line_ranges.range_lines(df, "k", "part").collect()) == [(1, 1), (2, 2), (3, 2)]
+
+
+def test_the_character_model_tells_keys_from_words(spark):
+    rng = random.Random(4)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null")
+    costs = char_model.model(docs)
+    words = [w for r in docs.limit(150).collect() for w in re.findall(r"[A-Za-z]{4,}", r.text)]
+    plain = ["".join(rng.choice(words).capitalize() for _ in range(rng.randrange(3, 6))) for _ in range(400)]
+    keys = ["".join(rng.choice("0123456789abcdef") for _ in range(rng.randrange(20, 41))) for _ in range(400)]
+    tokens = spark.createDataFrame([(t, k) for ts, k in ((plain, 0), (keys, 1)) for t in ts] + [("a", 0), ("", 0), (None, 0)], "t string, k int")
+    rows = tokens.select("t", "k", char_model.bits(F.col("t"), costs).alias("bits"), T.entropy(F.col("t")).alias("entropy")).collect()
+    told = [r for r in rows if r.t and len(r.t) > 1]
+    sym = lambda c: ord(c) - 32 if 32 <= ord(c) < 127 else 95
+    for r in told[:50]:
+        assert abs(r.bits - sum(costs[sym(a), sym(b)] for a, b in zip(r.t, r.t[1:], strict=False)) / (len(r.t) - 1)) < 1e-6
+    assert {r.bits for r in rows if r.t in ("a", "")} == {0.0} and [r.bits for r in rows if r.t is None] == [None]
+
+    def best(value):
+        """Precision and recall at the threshold of the best F1."""
+        out = (0, 0, 0)
+        for cut in sorted({value(r) for r in told}):
+            hit = [r.k for r in told if value(r) >= cut]
+            p, c = sum(hit) / len(hit), sum(hit) / len(keys)
+            out = max(out, (2 * p * c / (p + c) if p + c else 0, p, c))
+        return out
+
+    model_f, p, c = best(lambda r: r.bits)
+    assert p > 0.99 and c > 0.99 and model_f > best(lambda r: r.entropy)[0] + 0.1
