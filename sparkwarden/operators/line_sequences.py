@@ -56,8 +56,9 @@ def sequence_findings(lines: DataFrame, rules: dict[str, str], *key: str) -> Dat
     for rule, steps in parsed.items():
         met = F.array(*[has(s.pattern) for s in steps])
         stops = F.array(*[has(s.unless) if s.unless else F.lit(False) for s in steps])
-        marks.append(F.when(F.exists(met, lambda x: x) | F.exists(stops, lambda x: x), F.struct(F.lit(rule).alias("rule_id"), met.alias("met"), stops.alias("stops"))))
-    found = lines.select(*key, "line_no", F.explode(F.array_compact(F.array(*marks))).alias("m")).select(*key, "line_no", "m.*")
+        marks.append(F.struct(F.lit(rule).alias("rule_id"), met.alias("met"), stops.alias("stops")))
+    some = F.filter(F.array(*marks), lambda m: F.exists(m["met"], lambda x: x) | F.exists(m["stops"], lambda x: x))  # each pattern is tried once a line
+    found = lines.select(*key, "line_no", F.explode(some).alias("m")).select(*key, "line_no", "m.*")
     most = max(len(s) for s in parsed.values())
     either = [F.bool_or(F.coalesce(F.get(c, F.lit(k)), F.lit(False))).alias(f"_{c}{k}") for k in range(most) for c in ("met", "stops")]
     found = found.groupBy(*key, "rule_id", "line_no").agg(*either)

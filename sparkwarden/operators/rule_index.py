@@ -43,9 +43,9 @@ def _grams(literal: str) -> list[bytes]:
 
 def spread(lines: DataFrame) -> DataFrame:
     """lines (with lower) with (at, gram): a row for each three bytes of the line in lower case."""
-    size = F.octet_length("lower")
-    rows = lines.where(size >= GRAM).select("*", F.explode(F.sequence(F.lit(1), size - (GRAM - 1))).alias("at"))
-    return rows.withColumn("gram", F.substring(F.col("lower").cast("binary"), F.col("at"), F.lit(GRAM)))
+    data = lines.withColumn("raw", F.col("lower").cast("binary")).where(F.octet_length("lower") >= GRAM)  # the bytes of a line are copied once, not for each gram
+    rows = data.select("*", F.explode(F.sequence(F.lit(1), F.octet_length("raw") - (GRAM - 1))).alias("at"))
+    return rows.withColumn("gram", F.substring("raw", F.col("at"), F.lit(GRAM))).drop("raw")
 
 
 def gram_counts(lines: DataFrame, rules: list[tuple], every: int = EVERY) -> dict[bytes, int]:

@@ -425,7 +425,7 @@ _HITS = [("PyPI", "flask", "2.0.0", "GHSA-1"), ("PyPI", "django", "3.0.0", "G-4"
 @query("WITH " + _PKG_ROWS.sql + ", " + X.relation("h", _HITS, "ecosystem string, name string, version string, id string") + ", " + X.relation("r", [(x,) for x in _OSV], "j string") + f""", {_OSV_SQL}
   SELECT manifest, line_num, p.name, h.version, 'DEP-' || replace(cve, '-', '_') AS rule_id, severity, fixed FROM p JOIN h ON p.ecosystem = h.ecosystem AND p.name = h.name AND regexp_replace(version_spec, '^[=^]+', '') = h.version JOIN osv USING (id)""")
 def osv_join(spark, sf_dir):
-    return advisories.osv_findings(_PKG_ROWS.frame(spark, sf_dir), X.frame(spark, _HITS, "ecosystem string, name string, version string, id string"), _osv(X.frame(spark, [(x,) for x in _OSV], "j string")))
+    return advisories.osv_findings(_PKG_ROWS.frame(spark, sf_dir).drop("snippet"), X.frame(spark, _HITS, "ecosystem string, name string, version string, id string"), _osv(X.frame(spark, [(x,) for x in _OSV], "j string")))
 
 
 # --- times, budget and advice -------------------------------------------------------------------------------------------------------
