@@ -13,13 +13,17 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkwarden.llm.common import written
+from sparkwarden.llm.common import tidy, written
+
+#: Levels of jumps that one plan walks down.
+LEVELS = 4
 
 OPEN, CLOSE = "### ", "</turn>"
 _SPECIAL = re.compile(r"\\|###|</turn>|:")
@@ -71,18 +75,22 @@ def branches(tree: DataFrame, best: int = 1) -> DataFrame:
     base = written(base, "tree-nodes")
     known = base.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there"))
     linked = base.join(known, ["tree", "parent"], "left")
-    now = written(linked.select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.col("own").alias("total"), F.lit(1).cast("long").alias("steps")), "tree-jump")
-    done, open_ = now.where("up is null"), now.where("up is not null")
-    jumps = [open_.select("tree", "node", "up")]
-    for _ in range(max(1, base.count()).bit_length()):  # what is still open then hangs on a cycle
-        if not open_.limit(1).count():
+    up = F.when(F.col("there"), F.col("parent"))
+    now = written(linked.select("tree", "node", up.alias("up"), F.col("own").alias("total"), F.lit(1).cast("long").alias("steps"), F.lit(True).alias("fresh")), "tree-jump")
+    ended, jumps = [], []
+    for _ in range(max(1, base.count()).bit_length() + 1):  # what is still open then hangs on a cycle
+        tidy(base)  # the driver keeps nothing of past rounds
+        done, open_ = now.where("up is null"), now.where("up is not null")
+        ended.append(done.where("fresh").drop("fresh"))
+        if open_.isEmpty():
             break
-        far = done.unionByName(open_).select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("steps").alias("further"))
-        joined = open_.join(far, ["tree", "up"])  # nodes that have reached their root are joined no more
-        now = joined.select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("steps") + F.col("further")).alias("steps"))
-        now = written(now, "tree-jump")
-        done, open_ = done.unionByName(now.where("up is null")), now.where("up is not null")
         jumps.append(open_.select("tree", "node", "up"))
+        far = now.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("steps").alias("further"))
+        joined = open_.join(far, ["tree", "up"])  # nodes that have reached their root are joined no more
+        joined = joined.select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("steps") + F.col("further")).alias("steps"), F.lit(True).alias("fresh"))
+        kept = done.withColumn("fresh", F.lit(False)).join(open_.select("tree").distinct(), "tree", "left_semi")  # trees without an open node are left behind
+        now = written(joined.unionByName(kept), "tree-jump")
+    done = reduce(DataFrame.unionByName, ended)
     inner = base.where("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
     leaves = done.join(inner, ["tree", "node"], "left_anti")
     order = [F.desc("total"), F.col("node")]
@@ -94,6 +102,9 @@ def branches(tree: DataFrame, best: int = 1) -> DataFrame:
         here, there = F.struct("node", "position"), F.struct(F.col("up").alias("node"), (F.col("position") - F.lit(1 << k)).alias("position"))
         rows = rows.join(jumps[k], ["tree", "node"], "left").select("tree", "branch", F.explode(F.array(here, there)).alias("step"))
         rows = rows.where("step.node is not null").select("tree", "branch", "step.node", "step.position")
+        if k and k % LEVELS == 0:
+            rows = written(rows, "tree-paths")
+            tidy(rows)
     return rows.select("tree.tree", "branch", "position", "node")
 
 

@@ -72,3 +72,18 @@ def test_branches_against_recursion(spark):
         got[r.tree].setdefault(r.branch, {})[r.position] = r.node
     assert {t: [[p[k] for k in sorted(p)] for _, p in sorted(b.items())] for t, b in got.items()} == best
     assert chat.format_trees(df, 2).where("tree = 91").count() == 1
+
+
+def test_a_round_of_a_long_path_reads_as_many_tables_as_the_first(spark, monkeypatch):
+    read, write = [], chat.written
+
+    def counted(df, what):
+        read.append((what, len(df.inputFiles()), df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")))
+        return write(df, what)
+
+    monkeypatch.setattr(chat, "written", counted)
+    rows = [(1, k, k - 1 if k else None, "user", "x", 0.0) for k in range(300)] + [(2, 0, None, "user", "y", 0.0)]
+    got = chat.branches(spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")).collect()
+    assert sorted((r.tree, r.position, r.node) for r in got) == [(1, k, k) for k in range(300)] + [(2, 0, 0)]
+    rounds = [n for what, _, n in read if what == "tree-jump"][1:]
+    assert len(rounds) >= 8 and max(rounds) == rounds[0]
