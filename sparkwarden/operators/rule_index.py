@@ -2,7 +2,8 @@
 
 A match of a rule needs one of its literals, and a literal needs each of its grams; the gram that is rarest in the lines
 stands for it. Lines are spread out into grams, the few that the index has are joined with it, and only those candidates are
-tried: the literal first, then the pattern, rule by rule, so that a pattern is compiled once for many lines. What a rule
+tried: the literal around its gram first, which looks at a few bytes of the line, then the whole line for what else a rule
+needs, then the pattern, rule by rule, so that a pattern is compiled once for many lines. What a rule
 costs is the lines that hold its rarest gram, not a test on every line; nothing is shuffled.
 
 A rule is a tuple (rule_id, severity, confidence, literals, pattern); a pattern that begins with (?i) ignores case, and
@@ -24,7 +25,7 @@ BLOCK_ROWS = 50_000
 #: Of so many lines one is looked at to tell which grams are rare. That decides how fast lines pass, not what is found.
 EVERY = 64
 
-_RULE = "rule_ord int, rule_id string, severity string, confidence double, pattern string, literal string, earlier array<string>, folded boolean, gram binary"
+_RULE = "rule_ord int, rule_id string, severity string, confidence double, pattern string, literal string, earlier array<string>, folded boolean, gram binary, around binary, ahead int"
 
 
 def _literals(rules: list[tuple]):
@@ -42,10 +43,10 @@ def _grams(literal: str) -> list[bytes]:
 
 
 def spread(lines: DataFrame) -> DataFrame:
-    """lines (with lower) with (at, gram): a row for each three bytes of the line in lower case."""
+    """lines (with lower) with (raw, at, gram): a row for each three bytes of the line in lower case."""
     data = lines.withColumn("raw", F.col("lower").cast("binary")).where(F.octet_length("lower") >= GRAM)  # the bytes of a line are copied once, not for each gram
     rows = data.select("*", F.explode(F.sequence(F.lit(1), F.octet_length("raw") - (GRAM - 1))).alias("at"))
-    return rows.withColumn("gram", F.substring("raw", F.col("at"), F.lit(GRAM))).drop("raw")
+    return rows.withColumn("gram", F.substring("raw", F.col("at"), F.lit(GRAM)))
 
 
 def gram_counts(lines: DataFrame, rules: list[tuple], every: int = EVERY) -> dict[bytes, int]:
@@ -71,19 +72,31 @@ def entries(rules: list[tuple], counts: dict[bytes, int]) -> tuple[list[tuple],
             continue
         folded = pattern.startswith("(?i)")
         said = [x.lower() if folded else x for x in literals]
-        out += [(k, rule_id, severity, float(confidence), f"(?dU){pattern}", x, said[:j], folded, g) for j, (x, g) in enumerate(zip(said, best, strict=True))]
+        for j, (x, g) in enumerate(zip(said, best, strict=True)):
+            around = x.lower().encode() if x.isascii() else None  # what is not ASCII may have other bytes in a line's lower case
+            out.append((k, rule_id, severity, float(confidence), f"(?dU){pattern}", x, said[:j], folded, g, around, around.index(g) if around else None))
     return out, rest
 
 
 def _verified(found: DataFrame, keep: tuple[str, ...], silent: Column | None) -> DataFrame:
-    """Candidates that match. A line comes once for each literal of a rule whose gram it has: at the first place of the gram,
-    and only if it has none of the rule's earlier literals."""
+    """Candidates that match. A line comes once for each literal of a rule whose gram it has: at the first place of the literal
+    (of its gram, if the literal is not all ASCII), and only if it has none of the rule's earlier literals. `around` is looked
+    for at the gram before anything goes over the line, so a gram that lines hold often costs no more than a few bytes each."""
     where = F.when(F.col("folded"), F.col("lower")).otherwise(F.col("line"))
-    first = F.octet_length(F.call_function("substring_index", F.col("lower"), F.col("gram").cast("string"), F.lit(1))) == F.col("at") - 1
-    found = found.where(first & F.contains(where, F.col("literal")) & ~F.exists("earlier", lambda x: F.contains(where, x)))
-    if silent is not None:
-        found = found.where(~silent)
-    return found.sortWithinPartitions("rule_ord").where(F.regexp_instr("line", F.col("pattern")) > 0).select(*keep, "line_no", "line", "rule_id", "severity", "confidence", "rule_ord")
+    before = lambda x: F.octet_length(F.call_function("substring_index", F.col("lower"), x.cast("string"), F.lit(1)))
+    begin = F.col("at") - F.col("ahead")
+    stands = (begin > 0) & (F.substring("raw", begin, F.octet_length("around")) == F.col("around"))
+    first = F.when(F.col("around").isNull(), before(F.col("gram")) == F.col("at") - 1).when(stands, before(F.col("around")) == begin - 1)
+    found = found.where(F.when(first, F.contains(where, F.col("literal"))))  # one condition of the join, tried from the cheapest part on
+    goes = ~F.exists("earlier", lambda x: F.contains(where, x))
+    found = _only(found, goes if silent is None else goes & ~silent).sortWithinPartitions("rule_ord")
+    return _only(found, F.regexp_instr("line", F.col("pattern")) > 0).select(*keep, "line_no", "line", "rule_id", "severity", "confidence", "rule_ord")
+
+
+def _only(rows: DataFrame, condition: Column) -> DataFrame:
+    """rows that meet a condition, tried where it stands in the plan: as a filter it would become a part of the join with the grams,
+    which with a function of arrays is no longer compiled and then copies a line for each of its bytes."""
+    return rows.select("*", F.explode(F.when(condition, F.array(F.lit(True)))).alias("_kept")).drop("_kept")
 
 
 def indexed_findings(lines: DataFrame, rules: list[tuple], *keep: str, silent: Column | None = None, counts: dict[bytes, int] | None = None) -> DataFrame:

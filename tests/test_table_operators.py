@@ -38,6 +38,21 @@ def test_rule_index_finds_what_the_rules_find(spark, lines):
     assert rule_index.indexed_findings(lines, [], "id").count() == 0 == rule_index.indexed_findings(lines.limit(0), tables.RULES, "id").count()
 
 
+def _joined_on(df):
+    return [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
+
+
+def test_rule_index_of_words_looks_at_few_bytes_first(spark):
+    texts = ["x" * 3000 + "abcdefgh" * 3, "abcdefg abcdefgh", "İabcdefgh ΑΣabcdefgh", "éa édgh", "ÉDGH ab", "abcdefgH", "(a+b) abcdefgh", ""]
+    lines = spark.createDataFrame([(k, 1, t) for k, t in enumerate(texts)], "id long, line_no int, line string")
+    rules = [("W", "LOW", 0.5, ("abcdefgh",), "(?i)abcdefgh"), ("N", "LOW", 0.5, ("édgh",), "(?i)édgh"), ("C", "LOW", 0.5, ("abcdefgH", "(a+b)"), r"abcdefgH|\(a\+b\)")]
+    for counts in (None, {}, {b"abc": 9, b"dgh": 1, b"fgh": 1}):
+        got = rule_index.indexed_findings(lines, rules, "id", counts=counts)
+        assert sorted((r.id, r.rule_id) for r in got.collect()) == [(0, "W"), (1, "W"), (2, "W"), (3, "N"), (4, "N"), (5, "C"), (5, "W"), (6, "C"), (6, "W")]
+    (join,) = _joined_on(got)
+    assert "lambda" not in join and "regexp" not in join  # patterns are tried in the order of rules, and the join is compiled
+
+
 def test_rule_index_in_blocks_and_odd_literals(spark, lines, monkeypatch):
     rules = [("A", "LOW", 1.0, ("ev",), r"ev"), ("B", "LOW", 1, ("é ",), r"é é"), ("C", "HIGH", 0.5, ("EVAL", "aaa"), r"(?i)eval|a{150}"), ("D", "LOW", 1.0, (), r"^x{300}"), ("E", "LOW", 1.0, ("eval(", "exec(", "zzz"), r"e(val|xec)\("), ("F", "LOW", 1.0, ("AAA",), r"AAA")]
     want = sorted((r.id, rule) for r in lines.collect() for rule, _, _, literals, pattern in rules if r.line and re.search(pattern, r.line))
