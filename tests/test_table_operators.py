@@ -53,6 +53,11 @@ def test_rule_index_of_words_looks_at_few_bytes_first(spark):
     assert "lambda" not in join and "regexp" not in join  # patterns are tried in the order of rules, and the join is compiled
 
 
+def test_rule_index_of_all_rules_joins_without_functions_of_arrays(spark, lines):
+    (join,) = _joined_on(rule_index.indexed_findings(lines, tables.RULES, "id", silent=tables._silent(), counts={}))
+    assert "lambda" not in join and "rlike" not in join.lower() and "regexp" not in join
+
+
 def test_rule_index_in_blocks_and_odd_literals(spark, lines, monkeypatch):
     rules = [("A", "LOW", 1.0, ("ev",), r"ev"), ("B", "LOW", 1, ("é ",), r"é é"), ("C", "HIGH", 0.5, ("EVAL", "aaa"), r"(?i)eval|a{150}"), ("D", "LOW", 1.0, (), r"^x{300}"), ("E", "LOW", 1.0, ("eval(", "exec(", "zzz"), r"e(val|xec)\("), ("F", "LOW", 1.0, ("AAA",), r"AAA")]
     want = sorted((r.id, rule) for r in lines.collect() for rule, _, _, literals, pattern in rules if r.line and re.search(pattern, r.line))
