@@ -309,6 +309,27 @@ def test_sequences_are_those_of_a_plain_matcher(spark):
             line_sequences.parse(wrong)
 
 
+def test_patterns_of_sequences_are_tried_in_one_pass_for_all_rules(spark):
+    tried = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            tried.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame([(1, n, "open write close"[n % 3 * 5 :][:5]) for n in range(60)], "k int, line_no int, line string").mapInArrow(seen, "k int, line_no int, line string")
+    rules = {f"R{n}": f"/open/ then within {n} /write/" for n in range(1, 6)}
+    assert line_sequences.sequence_findings(df, rules, "k").count() and tried.value == 60
+
+
+def test_literal_patterns_of_sequences_are_those_of_the_expressions(spark):
+    plain, other = ["a", "[.]", "of|de", "[(]x|é", "a b", "[|]" "c", "😀"], ["a|", "|a", "[^]a]", "a.", "[ab]", "a\\.", "^a", "a$", "(a)", "a{2}", "[&]", "a||b"]
+    assert [bool(line_sequences._PLAIN.fullmatch(p)) for p in plain + other] == [p != "[|]c" for p in plain] + [False] * len(other)
+    lines = spark.createDataFrame([(x,) for x in ["", "a", ".", "of", "xde", "(x", "(é", "a b", "|c", "😀", "b", None, "ab", "A"]], "line string")
+    both = lines.select("line", *[F.array(line_sequences._met(p), F.col("line").rlike(f"(?dU){p}")).alias(str(k)) for k, p in enumerate(plain)])
+    assert all(x == y for r in both.collect() for x, y in r[1:])
+
+
 # --- lines of ranges, randomness -----------------------------------------------------------------------------------------------------------------
 
 
