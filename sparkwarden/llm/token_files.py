@@ -210,6 +210,16 @@ def piece_starts(raw: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(starts[:n])
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct value, and for each place which of them it holds."""
+    order = np.argsort(values)
+    ranked = values[order]
+    new = np.concatenate([[True], ranked[1:] != ranked[:-1]])[: len(values)]
+    which = np.empty(len(values), dtype=np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
 #: Pieces that are one text for the library.
 JOINED = 2000
 #: Pieces whose ids a worker keeps.
@@ -227,24 +237,31 @@ class Encoder(Counter):
             vocab = self.library.get_vocab(with_added_tokens=False)
             self.size = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
             self.size[list(vocab.values())] = [len(t) for t in vocab]
+            from tokenizers import Tokenizer, pre_tokenizers
+
+            self.by_line = Tokenizer.from_str(data.decode())
+            self.by_line.no_truncation()
+            self.by_line.no_padding()
+            self.by_line.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit("\n"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        got = self.library.encode(texts, num_threads=1) if self.kind == "model" else [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str], library=None) -> list[bytes]:
+        library = library or self.library
+        got = library.encode(texts, num_threads=1) if self.kind == "model" else [x.ids for x in library.encode_batch_fast(texts, add_special_tokens=False)]
         flat = np.fromiter(itertools.chain.from_iterable(got), "<u4").tobytes()
         ends = list(itertools.accumulate([4 * len(x) for x in got]))
         return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if got else []
 
     def _new(self, pieces: list[bytes]) -> list[bytes]:
-        """The ids of pieces. Those that begin with a space and go on with something else stay pieces when they stand one after
-        the other, so the library gets many as one text, and the tokens' sizes tell where each ends."""
-        spaced = [len(p) > 1 and p[0] == 32 and p[1] not in b" \t\n\r" and p[1:3] != b"\xc2\xa0" for p in pieces]
-        rest = iter(self._ids([p.decode() for p, joined in zip(pieces, spaced, strict=True) if not joined]))
-        many = [p for p, joined in zip(pieces, spaced, strict=True) if joined]
-        flat = b"".join(self._ids([b"".join(many[k : k + JOINED]).decode() for k in range(0, len(many), JOINED)]))
+        """The ids of pieces. The library gets many as the lines of one text, which it cuts at the line ends instead of by its
+        expression, and the tokens' sizes tell where each ends; pieces that hold a line end go on their own."""
+        alone = [b"\n" in p for p in pieces]
+        rest = iter(self._ids([p.decode() for p, own in zip(pieces, alone, strict=True) if own]))
+        many = [p for p, own in zip(pieces, alone, strict=True) if not own]
+        flat = b"".join(self._ids([b"\n".join(many[k : k + JOINED]).decode() for k in range(0, len(many), JOINED)], self.by_line))
         ends = np.cumsum(self.size[np.frombuffer(flat, "<u4")])
-        cuts = 4 * (np.searchsorted(ends, np.cumsum([len(p) for p in many])) + 1)
+        cuts = 4 * (np.searchsorted(ends, np.cumsum(list(map(len, many)))) + 1)
         found = iter([flat[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=False)])
-        return [next(found) if joined else next(rest) for joined in spaced]
+        return [next(rest) if own else next(found) for own in alone]
 
     def _looked_up(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts of safe characters, none of them empty."""
@@ -253,7 +270,7 @@ class Encoder(Counter):
         raw, first = np.frombuffer(data, np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in coded])])
         starts = piece_starts(raw, first)
         ends = np.concatenate([starts[1:], first[-1:]])
-        _, one, which = np.unique(span_hashes(raw, starts, ends), return_index=True, return_inverse=True)
+        one, which = _distinct(span_hashes(raw, starts, ends))
         pieces = [data[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
         got = list(map(self.pieces.get, pieces))
         if None in got:
@@ -262,7 +279,7 @@ class Encoder(Counter):
                 self.pieces.clear()
             for k, ids in zip(new, self._new([pieces[k] for k in new]), strict=True):
                 got[k] = self.pieces[pieces[k]] = ids
-        size = np.array([len(x) // 4 for x in got])
+        size = np.array(list(map(len, got))) // 4
         n = size[which]
         end = np.cumsum(n)
         at = np.repeat((np.cumsum(size) - size)[which] - (end - n), n) + np.arange(end[-1])

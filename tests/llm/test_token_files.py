@@ -121,3 +121,13 @@ def test_special_strings_and_repeats(monkeypatch):
         assert [x.tolist() for x in ENCODER.ids(texts)] == [ids(t) for t in texts]
     for text in texts:
         assert ENCODER.ids([text])[0].tolist() == ids(text)
+
+
+def test_new_pieces_go_to_the_library_as_the_lines_of_one_text(monkeypatch):
+    _, kind, data = token_files.tokenizer_version(PATH)
+    encoder, sent = token_files.Encoder(kind, data), []
+    ids = encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda texts, *library: sent.extend(texts) or ids(texts, *library))
+    pieces = [x.encode() for x in ["abc", " zxqvwk", "\n", "é", "12", " ’", "'s", "  ", "\t", " \n\n", "\xa0", "!?", " a"] + [f" w{k}x" for k in range(50)]]
+    want = [np.array(encoder.library.encode(p.decode(), add_special_tokens=False).ids, "<u4").tobytes() for p in pieces]
+    assert encoder._new(pieces) == want and len(sent) == 3  # two hold a line end
