@@ -6,11 +6,16 @@ least one: neighbouring paragraphs mostly share it and are one row, about one in
 paragraph shares the keys of all its bands, one with a changed word each key with a probability of 0.69 or more.
 
 Paragraphs of one key are compared with those of the first and the last text that has the key, in an order of texts that
-goes by the key, never all with all: the pairs are aligned at the key, cut into blocks and verified by exact Jaccard of their shingles. A key may be common
-while these two texts say something else around it; paragraphs that match neither go into a further round with longer
-keys, and at last into one whose key is the whole paragraph, so a paragraph that occurs word by word in two texts is
-never missed. Equal texts are one text. Overlapping paragraphs that matched are one passage, links make components, and
-a passage's words are cut where they match an earlier text: what is cut in one place stands in another.
+goes by the key: the pairs are aligned at the key, cut into blocks and verified by exact Jaccard of their shingles. That is
+all that there is to compare if a key stands in two places. Where it stands in more, none of the other pairs is left out,
+and yet they are not compared all with all. Equal paragraphs are one, linked with the first text that has it. Unlike
+ones that are similar enough differ in one word that is changed, added or left out (two would cost six shingles of 47),
+so they have their first or last HALF words in common: of few paragraphs with such a half all are compared, of many those
+that are equal but for one word are one class, linked with its first text and with what is a word shorter. So no
+link is lost, and what is compared grows with the paragraphs, not with their pairs. (That they differ in one word holds if
+no three words in a row repeat in them, and for a similarity of 0.8 or more.) Equal texts are one text.
+Overlapping paragraphs that matched are one passage, links make components, and a passage's words are cut where they
+match an earlier text: what is cut in one place stands in another.
 """
 
 from __future__ import annotations
@@ -25,11 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkwarden.llm.common import connected_components, forget, gram_hashes, mix, slices, span_hashes, text_bytes, tidy, word_hashes, word_spans, written
+from sparkwarden.llm.common import _ROOT_INV, connected_components, forget, gram_hashes, mix, powers, prefix_sums, slices, span_hashes, sums_hashes, text_bytes, tidy, word_hashes, word_spans, written
 
 PASSAGE, SHINGLE, SIMILARITY = 51, 5, 0.8
-#: Words of a key and bands, for each round.
-ROUNDS = ((8, 3), (26, 1), (PASSAGE, 1))
+#: Words of a key, and bands.
+KEY, BANDS = 8, 3
+#: Words at the beginning or the end of a paragraph that one with another word has as well; so many paragraphs with the
+#: same are compared all with all, more go by their words but one. That decides what is faster, not what is found.
+HALF, FEW = PASSAGE // 2, 16
 #: Orders of the texts, of which each key has one.
 ORDERS = 2
 #: Paragraphs of a block that is verified at once; shingles of a paragraph and of a block.
@@ -74,16 +82,13 @@ def keys(shingles: np.ndarray, spelled: np.ndarray, length: int, band: int) -> t
     return at, spelled[at]
 
 
-def _open(n: int, cand: np.ndarray, done_lo: np.ndarray, done_hi: np.ndarray) -> np.ndarray:
-    """Which of n paragraphs lie in a candidate (packed places) and in none of the verified spans."""
-    steps = np.zeros((2, n + 1), dtype=np.int64)
-    first, more, _ = unpacked(cand)
-    np.add.at(steps[0], first, 1)
-    np.add.at(steps[0], np.minimum(first + more + 1, n), -1)
-    np.add.at(steps[1], np.minimum(done_lo, n), 1)
-    np.add.at(steps[1], np.clip(done_hi - PASSAGE + 1, 0, n), -1)
-    total = np.cumsum(steps, axis=1)[:, :n]
-    return (total[0] > 0) & (total[1] == 0)
+def _inside(n: int, places: np.ndarray) -> np.ndarray:
+    """Which of n paragraphs lie in one of the packed places, or next to one."""
+    steps = np.zeros(n + 1, dtype=np.int64)
+    first, more, _ = unpacked(places)
+    np.add.at(steps, np.maximum(first - 1, 0), 1)
+    np.add.at(steps, np.minimum(first + more + 2, n), -1)
+    return np.cumsum(steps)[:n] > 0
 
 
 def packed(first, more, anchor):
@@ -100,14 +105,13 @@ def _lists(column: pa.Array) -> list[np.ndarray]:
     return np.split(flat, np.cumsum(size)[:-1])
 
 
-def _key_rows(length: int, bands: int, narrowed: bool):
-    """(t, text) or (t, text, cand, done_lo, done_hi) to (key, t, place): a row for each run of paragraphs with one key."""
+def _key_rows(length: int, bands: int):
+    """(t, text) to (key, t, place): a row for each run of paragraphs with one key."""
 
     def run(batches):
         for b in batches:
             names = b.column(0).to_numpy(zero_copy_only=False)
             raw, offsets = text_bytes(pc.utf8_lower(b.column(1)))
-            todo = [_lists(b.column(k)) for k in (2, 3, 4)] if narrowed and b.num_rows else None
             for x, y in slices(offsets):
                 words, rows, _, _ = word_hashes(raw[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x])
                 count = np.maximum(np.diff(rows) - PASSAGE + 1, 0)
@@ -115,11 +119,6 @@ def _key_rows(length: int, bands: int, narrowed: bool):
                     continue
                 doc = np.repeat(np.arange(y - x), count)
                 para = np.arange(len(doc)) + np.repeat(rows[:-1] - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
-                if todo:
-                    some = np.concatenate([_open(int(count[k]), *(part[x + k] for part in todo)) for k in range(y - x)])
-                    doc, para = doc[some], para[some]
-                    if not len(doc):
-                        continue
                 made = hashes(words, length)
                 for band in range(bands):
                     at, key = (x[para] for x in keys(*made, length, band))
@@ -215,22 +214,24 @@ def _verify(similarity: float):
     return run
 
 
-# --- rounds -------------------------------------------------------------------------------------------------------
+# --- candidates ---------------------------------------------------------------------------------------------------
 
 
 def _repeated_keys(rows: DataFrame) -> DataFrame:
-    """The rows whose key more than one text has, with the first and the last such text in the key's order.
+    """The rows whose key more than one text has, with the first and the last such text in the key's order, and whether the
+    row is neither of these two (`other`): what such a key has beyond the two goes to _rest().
 
-    There are ORDERS orders of texts, so the paragraphs of one passage meet other texts under other keys: among copies that
-    each differ from an original but not from it alone, more of them meet the original, or a copy that is near to both.
+    There are ORDERS orders of texts, so the paragraphs of one passage meet other texts under other keys.
     The ends are combined in the map tasks and written, so both sides of the join are plain shuffles and the rows of a
     key that very many texts have can be split among tasks.
     """
-    place = F.struct(F.xxhash64(F.pmod("key", F.lit(ORDERS)), "t").alias("h"), "t")
-    ends = rows.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first.t <> last.t")
-    ends = written(ends.select("key", F.col("first.t").alias("t1"), F.col("last.t").alias("t2")), "paragraph-ends")
+    end = F.struct(F.xxhash64(F.pmod("key", F.lit(ORDERS)), "t").alias("h"), "t", "place")
+    ends = rows.groupBy("key").agg(F.min(end).alias("first"), F.max(end).alias("last")).where("first.t <> last.t")
+    ends = ends.select("key", *[F.col(f"{e}.{c}").alias(f"{c[0]}{k}") for k, e in ((1, "first"), (2, "last")) for c in ("t", "place")])
+    ends = written(ends, "paragraph-ends")
     tidy(ends)
-    return rows.join(ends, "key")
+    is_end = [(F.col("t") == F.col(f"t{k}")) & (F.col("place") == F.col(f"p{k}")) for k in (1, 2)]
+    return rows.join(ends, "key").select("key", "t", "place", "t1", "t2", (~(is_end[0] | is_end[1])).alias("other"))
 
 
 def _pairs(cand: DataFrame) -> DataFrame:
@@ -251,9 +252,119 @@ def unpacked_columns(place: str):
     return F.shiftright(place, 32), F.shiftright(place, 6).bitwiseAND(F.lit(0x3FFFFFF)), F.col(place).bitwiseAND(F.lit(63))
 
 
-def _links(texts: DataFrame, cand: DataFrame, similarity: float) -> DataFrame:
-    """The verified spans of one round's candidates."""
-    pairs = written(_pairs(cand), "paragraph-pairs")
+# --- keys that stand in more than two places ----------------------------------------------------------------------
+
+
+def _listed(batches):
+    """For each text of (t, text, a list): its t, its list, its words and their prefix sums."""
+    for b in batches:
+        names = b.column(0).to_numpy(zero_copy_only=False)
+        raw, offsets = text_bytes(pc.utf8_lower(b.column(1)))
+        lists = _lists(b.column(2)) if b.num_rows else []
+        for x, y in slices(offsets):
+            words, rows, _, _ = word_hashes(raw[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x])
+            for k in range(x, y):
+                yield names[k], lists[k], words[rows[k - x] : rows[k - x + 1]]
+
+
+_EVERY = "whole long, left long, right long, t long, at int"
+
+
+def _every_paragraph(batches):
+    """(t, text, places) to a row for each paragraph there, with the hashes of all, the first HALF and the last HALF of its words."""
+    for t, places, words in _listed(batches):
+        at = np.flatnonzero(_inside(len(words) - PASSAGE + 1, places))
+        sums = prefix_sums(words)
+        made = [sums_hashes(sums, at + a, at + b).view(np.int64) for a, b in ((0, PASSAGE), (0, HALF), (PASSAGE - HALF, PASSAGE))]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, made), pa.array(np.full(len(at), t)), pa.array(at.astype(np.int32))], names=[c.split()[0] for c in _EVERY.split(", ")])
+
+
+#: The words that may be another one beside an equal first or last half, so that the paragraph begins and ends with a shingle of
+#: the other. The word at the far end is left out for the paragraphs that have a word more inside.
+_GAPS = (np.array([*range(HALF, PASSAGE - SHINGLE), PASSAGE - 1]), np.array([0, *range(SHINGLE, PASSAGE - HALF)]))
+_BUT_ONE = "words long, gap int, t long, at int"
+
+
+def _but_one(batches):
+    """(t, text, paragraphs: twice their place, and 1 if the last half is what others have) to the hashes of all words but one."""
+    for t, asked, words in _listed(batches):
+        sums, back = prefix_sums(words), powers(_ROOT_INV, len(words) + 1)
+        for part in range(0, len(asked), 1 << 14):
+            mine = asked[part : part + (1 << 14)]
+            for side, gaps in enumerate(_GAPS):
+                at = (mine[mine % 2 == side] // 2)[:, None]
+                if not len(at):
+                    continue
+                value = (sums[at + gaps] - sums[at]) * back[at] + (sums[at + PASSAGE] - sums[at + gaps + 1]) * back[at + 1]
+                columns = [mix(value).ravel().view(np.int64), np.tile(gaps, len(at)).astype(np.int32), np.full(value.size, t), np.repeat(at.ravel(), len(gaps)).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=[c.split()[0] for c in _BUT_ONE.split(", ")])
+
+
+def _aligned(rows: DataFrame, edge: int = 0) -> DataFrame:
+    """(t, at, rep, ra), paragraphs to compare, as distinct pairs of blocks (see _pairs); none lies within `edge` words of its block's ends."""
+    within = F.pmod("at", F.lit(BLOCK))
+    moved = F.when(within < edge, -BLOCK // 2).when(within >= BLOCK - edge, BLOCK // 2).otherwise(0)
+    start = (F.col("at") - within + moved).cast("int")
+    return rows.select("t", start.alias("start"), "rep", (start + F.col("ra") - F.col("at")).cast("int").alias("rep_start")).distinct()
+
+
+def _both_ways(rows: DataFrame) -> DataFrame:
+    return rows.unionByName(rows.select(F.col("rep").alias("t"), F.col("ra").alias("at"), F.col("t").alias("rep"), F.col("at").alias("ra")))
+
+
+def _against(rows: DataFrame, *ends: str) -> DataFrame:
+    """Pairs of each row's paragraph with those of `ends`, structs (t, at), that stand in another text."""
+    met = rows.select("t", "at", F.explode(F.filter(F.array(*ends), lambda e: e["t"] != F.col("t"))).alias("e"))
+    return met.select("t", "at", F.col("e.t").alias("rep"), F.col("e.at").alias("ra"))
+
+
+def _rest(texts: DataFrame, cand: DataFrame) -> DataFrame:
+    """Pairs of blocks, as of _pairs, for the keys of cand that stand in more than two places: whatever is alike there is
+    linked, with each other or by way of others that are alike, and each text with an earlier one if there is one.
+
+    A paragraph that several texts have stands for all of them, by the first and the last of them: equal ones are linked with the
+    first. Of those that are unlike, two of one text do not count, so then the other's last text is met.
+    """
+    keys = cand.where("other").select("key").distinct()
+    places = cand.join(keys, "key", "left_semi").select("t", "place").distinct().groupBy("t").agg(F.collect_list("place").alias("places"))
+    every = written(texts.join(places, "t").select("t", "text", "places").mapInArrow(_every_paragraph, _EVERY), "paragraph-every")
+    one = every.groupBy("whole").agg(F.min(F.struct("t", "at", "left", "right")).alias("a"), F.max(F.struct("t", "at")).alias("z"), F.count("*").alias("n"))
+    one = written(one.select("whole", "a", F.when(F.col("z.t") != F.col("a.t"), F.col("z")).alias("z")), "paragraph-one")
+    tidy(one)
+    equal = every.join(one.where("z is not null").select("whole", F.struct("a.t", "a.at").alias("e")), "whole")
+    pairs, edge = [_aligned(_against(equal, "e"))], SHINGLE
+
+    many, halves = [], []
+    for side, half in enumerate(("left", "right")):
+        rows = one.select(F.col(f"a.{half}").alias("half"), F.struct("a.t", "a.at").alias("a"), "z")
+        counts = written(rows.groupBy("half").agg(F.count("*").alias("n")).where("n > 1"), "paragraph-halves")
+        halves.append(counts)
+        rows = rows.join(counts, "half")
+        few = rows.where(F.col("n") <= FEW).groupBy("half").agg(F.collect_list(F.struct("a", "z")).alias("all"))
+        few = few.select("all", F.posexplode("all").alias("k", "x")).select("x", F.explode(F.slice("all", F.col("k") + 2, F.size("all"))).alias("y"))
+        met = lambda p, q: F.struct(p["t"].alias("t"), p["at"].alias("at"), q["t"].alias("rep"), q["at"].alias("ra"))
+        x, y = F.col("x"), F.col("y")
+        links = F.when(x["a"]["t"] != y["a"]["t"], F.array(met(x["a"], y["a"]))).otherwise(F.array(met(x["a"], y["z"]), met(y["a"], x["z"])))
+        pairs.append(_aligned(_both_ways(few.select(F.explode(links).alias("l")).select("l.*").where("rep is not null")), edge))
+        more = rows.where(F.col("n") > FEW).select(F.explode(F.array_compact(F.array("a", "z"))).alias("p"))
+        many.append(more.select("p.t", (F.col("p.at") * 2 + side).alias("asked")))
+    asked = _union(many).groupBy("t").agg(F.collect_list("asked").alias("asked"))
+    short = written(texts.join(asked, "t").select("t", "text", "asked").mapInArrow(_but_one, _BUT_ONE), "paragraph-words")
+    shared = short.join(short.groupBy("words").agg(F.min("t").alias("a"), F.max("t").alias("z")).where("a <> z").select("words"), "words", "left_semi")
+    shared = written(shared, "paragraph-shared")
+    plain, place = F.col("gap").isin(0, PASSAGE - 1), F.struct("t", "at")
+    changed = shared.where(~plain).groupBy("words", "gap").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a.t <> z.t")
+    added = shared.groupBy("words").agg(*[f(F.when(c, place)).alias(f"{n}{m}") for n, f in (("a", F.min), ("z", F.max)) for m, c in ((0, plain), (1, ~plain))]).where("a0 is not null and a1 is not null")
+    added = shared.join(added, "words").withColumns({e: F.when(plain, F.col(f"{e}1")).otherwise(F.col(f"{e}0")) for e in "az"})
+    for rows in (shared.join(changed, ["words", "gap"]), added):
+        pairs.append(_aligned(_both_ways(_against(rows, "a", "z")), edge))
+    found = written(_union(pairs).distinct(), "paragraph-rest")
+    forget(every, one, *halves, short, shared)
+    return found
+
+
+def _links(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The verified spans of pairs of blocks."""
     asked = pairs.select("t", "start").unionByName(pairs.select(F.col("rep").alias("t"), F.col("rep_start").alias("start")))
     asked = asked.distinct().groupBy("t").agg(F.collect_list("start").alias("starts"))
     pieces = written(texts.join(asked, "t").select("t", "text", "starts").mapInArrow(_pieces, "t long, start int, shingles binary"), "paragraph-pieces")
@@ -272,31 +383,19 @@ def _spans(links: DataFrame) -> DataFrame:
     return links.select("t", "lo", "hi").unionByName(links.select(F.col("rep").alias("t"), F.col("rep_lo").alias("lo"), F.col("rep_hi").alias("hi"))).distinct()
 
 
-def _narrowed(texts: DataFrame, cand: DataFrame, links: DataFrame) -> DataFrame:
-    """texts with their candidates (places) and what is verified, for the next round."""
-    places = cand.select("t", "place").distinct().groupBy("t").agg(F.collect_list("place").alias("cand"))
-    done = _spans(links).groupBy("t").agg(F.collect_list(F.struct("lo", "hi")).alias("done"))
-    both = texts.join(places, "t").join(done, "t", "left")
-    none = F.array().cast("array<int>")
-    return both.select("t", "text", "cand", F.coalesce(F.col("done.lo"), none).alias("done_lo"), F.coalesce(F.col("done.hi"), none).alias("done_hi"))
-
-
 def matches(slim: DataFrame, copied: DataFrame, similarity: float) -> tuple[list[DataFrame], DataFrame]:
-    """(t, lo, hi, rep, rep_lo, rep_hi) of each round, and (t, text) of the texts that are copied or had a candidate."""
-    texts, links, cand = None, [], None
-    for length, bands in ROUNDS:
-        source = slim if texts is None else _narrowed(texts, cand, _union(links))
-        rows = written(source.mapInArrow(_key_rows(length, bands, texts is not None), "key long, t long, place long"), "paragraph-keys")
-        tidy(rows)
-        before, cand = cand, written(_repeated_keys(rows), "paragraph-candidates")
-        forget(rows, before)
-        if texts is None:
-            wanted = cand.select("t").unionByName(copied.select("t")).distinct()
-            texts = written(slim.groupBy("t").agg(F.first("text").alias("text")).join(wanted, "t"), "paragraph-texts")
-            tidy(texts)
-        links.append(_links(texts, cand, similarity))
+    """(t, lo, hi, rep, rep_lo, rep_hi) of what is compared by key and of the rest, and (t, text) of the texts that are copied or had a candidate."""
+    rows = written(slim.mapInArrow(_key_rows(KEY, BANDS), "key long, t long, place long"), "paragraph-keys")
+    tidy(rows)
+    cand = written(_repeated_keys(rows), "paragraph-candidates")
+    forget(rows)
+    wanted = cand.select("t").unionByName(copied.select("t")).distinct()
+    texts = written(slim.groupBy("t").agg(F.first("text").alias("text")).join(wanted, "t"), "paragraph-texts")
+    tidy(texts)
+    links = [_links(texts, written(_pairs(cand), "paragraph-pairs"), similarity)]
+    rest = _rest(texts, cand)
     forget(cand)
-    return links, texts
+    return [*links, _links(texts, rest, similarity)], texts
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:

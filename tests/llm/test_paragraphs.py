@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from sparkwarden.llm import paragraphs as P
-from sparkwarden.llm.common import mix
+from sparkwarden.llm.common import mix, word_hashes
 from sparkwarden.llm.queries import QUERIES
 
 N = P.PASSAGE
@@ -111,6 +111,45 @@ def test_near_passages(spark):
     assert len(groups) >= 0.9 * near
 
 
+@pytest.mark.parametrize("few", [16, 2])
+def test_no_link_of_a_key_is_lost(spark, monkeypatch, few):
+    """Twelve copies of a passage, each with a word of its own changed, added or left out, and no original: all pairs of
+    paragraphs that share a key and are alike are found in one group, and cut unless they are the first."""
+    monkeypatch.setattr(P, "FEW", few)
+    rng, texts = random.Random(8), []
+    for k in range(12):
+        run = filler(rng, 64)
+        for j in range(12):
+            w, at = list(run), rng.choice([12, 30, 31, 48]) if j < 9 else rng.randrange(6, 58)
+            w[at : at + rng.choice([0, 1, 1])] = filler(rng, 1) if j % 4 else []
+            texts.append((100 * k + j, " ".join(filler(rng, rng.randrange(200, 300)) + w + filler(rng, 20))))
+    rows = P.repeated_paragraphs(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    order = {r["doc_id"]: r["t"] for r in spark.createDataFrame(texts, "doc_id long, text string").selectExpr("doc_id", "xxhash64(text) t").collect()}
+    group, cut = {}, set()
+    for r in rows:
+        group |= {(r.doc_id, p): r.group_id for p in range(r.place, r.place + r.n_words)}
+        spans = [(c.start_byte, c.end_byte) for c in r.cuts]
+        cut |= {(r.doc_id, p) for p in range(r.place, r.place + r.n_words) if any(a <= 6 * p and 6 * p + 5 <= b for a, b in spans)}
+    shared = defaultdict(set)
+    for i, text in texts:
+        w = word_hashes(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))[0]
+        for band in range(P.BANDS):
+            for p, key in enumerate(P.keys(*P.hashes(w, P.KEY), P.KEY, band)[1].tolist()):
+                shared[band, key].add((i, p))
+    grams, seen = {i: text.split() for i, text in texts}, 0
+    for members in shared.values():
+        for i, p in members:
+            for j, q in members:
+                if i < j and abs(p - q) < 400 and i // 100 == j // 100:
+                    a, b = tuple(grams[i][p : p + N]), tuple(grams[j][q : q + N])
+                    if a[:5] == b[:5] and a[-5:] == b[-5:] and jaccard(a, b) >= 0.8:
+                        seen += 1
+                        assert all(group.get((i, p + x)) == group[j, q + y] for x in (0, N - 1) for y in (0, N - 1))
+                        last, place = max((order[i], i, p), (order[j], j, q))[1:]
+                        assert {(last, place + x) for x in (0, 25, N - 1)} <= cut
+    assert seen > 1000
+
+
 def test_cuts_leave_one_copy_of_everything(spark, planted):
     df = spark.createDataFrame([(i, t, "x", len(t or "")) for i, t in planted if i is not None and (i % 3 != 2 or i > 100)], "doc_id long, text string, t string, n_chars int")
     left = P.without_repeats(df)
