@@ -58,6 +58,19 @@ def test_rule_index_of_all_rules_joins_without_functions_of_arrays(spark, lines)
     assert "lambda" not in join and "rlike" not in join.lower() and "regexp" not in join
 
 
+def test_rule_index_reads_lines_once_and_makes_no_row_for_a_byte(spark, monkeypatch):
+    texts = ["a=", "=b", "==", "x == y", "", "=", "é", "é==", "K==AC", "ac", "AC", "xA", "C", "K", "k", None, "a==" * 9, "evaL", "va eval"]
+    lines = spark.createDataFrame([(k, 1, t) for k, t in enumerate(texts)], "id long, line_no int, line string").coalesce(1)
+    rules = [("E", "LOW", 0.5, ("==",), "=="), ("A", "LOW", 0.5, ("AC",), "AC"), ("K", "LOW", 0.5, ("k",), "(?i)k"), ("V", "LOW", 0.5, ("eval", "=="), "eval|y|==")]
+    want = sorted((k, r) for k, t in enumerate(texts) for r, _, _, _, p in rules if t and re.search(p, t))
+    for most in (rule_index.WORK_BYTES, 3, 1):
+        monkeypatch.setattr(rule_index, "WORK_BYTES", most)
+        got = rule_index.indexed_findings(lines, rules, "id")
+        assert sorted((r.id, r.rule_id) for r in got.collect()) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and "sequence(" not in plan
+
+
 def test_rule_index_in_blocks_and_odd_literals(spark, lines, monkeypatch):
     rules = [("A", "LOW", 1.0, ("ev",), r"ev"), ("B", "LOW", 1, ("é ",), r"é é"), ("C", "HIGH", 0.5, ("EVAL", "aaa"), r"(?i)eval|a{150}"), ("D", "LOW", 1.0, (), r"^x{300}"), ("E", "LOW", 1.0, ("eval(", "exec(", "zzz"), r"e(val|xec)\("), ("F", "LOW", 1.0, ("AAA",), r"AAA")]
     want = sorted((r.id, rule) for r in lines.collect() for rule, _, _, literals, pattern in rules if r.line and re.search(pattern, r.line))
