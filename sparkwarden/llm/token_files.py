@@ -11,6 +11,7 @@ documents is one file, written by one task, and Parquet's commit leaves no half
 
 from __future__ import annotations
 
+import codecs
 import itertools
 import re
 import zlib
@@ -131,7 +132,7 @@ def encode_many(values: np.ndarray, bounds: np.ndarray, block: int = BLOCK):
         if len(own):
             w = w.copy()
             w[(w >> np.uint64(60)) == 0] = np.arange(len(own), dtype=np.uint64)
-        yield w.astype("<u8").tobytes(), (upto[b[r] : b[r + 1]] - upto[b[r]]).astype("<u4").tobytes(), own.astype("<u8").tobytes()
+        yield w.astype("<u8", copy=False).tobytes(), (upto[b[r] : b[r + 1]] - upto[b[r]]).astype("<u4").tobytes(), own.astype("<u8", copy=False).tobytes()
 
 
 def decode(words: bytes, escapes: bytes) -> np.ndarray:
@@ -212,16 +213,25 @@ def piece_starts(raw: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A place of each distinct value, and for each place which of them it holds."""
-    order = np.argsort(values)
-    ranked = values[order]
-    new = np.concatenate([[True], ranked[1:] != ranked[:-1]])[: len(values)]
-    which = np.empty(len(values), dtype=np.int64)
-    which[order] = np.cumsum(new) - 1
-    return order[new], which
+    which = pa.array(values).dictionary_encode().indices.to_numpy()
+    place = np.empty(int(which.max(initial=-1)) + 1, dtype=np.int64)
+    place[which] = np.arange(len(values))
+    return place, which
+
+
+def _spelled() -> str:
+    """The character that stands for each byte in a byte-level token; a line end stands for itself here."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    named = {b: b if b in plain else next(other) for b in range(256)}
+    return "".join(map(chr, (named | {10: 10}).values()))
+
+
+_SPELLED = _spelled()
 
 
 #: Pieces that are one text for the library.
-JOINED = 2000
+JOINED = 200
 #: Pieces whose ids a worker keeps.
 _MOST_KEPT = 1_500_000
 
@@ -242,7 +252,7 @@ class Encoder(Counter):
             self.by_line = Tokenizer.from_str(data.decode())
             self.by_line.no_truncation()
             self.by_line.no_padding()
-            self.by_line.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit("\n"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.by_line.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
 
     def _ids(self, texts: list[str], library=None) -> list[bytes]:
         library = library or self.library
@@ -252,12 +262,12 @@ class Encoder(Counter):
         return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if got else []
 
     def _new(self, pieces: list[bytes]) -> list[bytes]:
-        """The ids of pieces. The library gets many as the lines of one text, which it cuts at the line ends instead of by its
-        expression, and the tokens' sizes tell where each ends; pieces that hold a line end go on their own."""
+        """The ids of pieces. The library gets many as the lines of one text, already spelled as its tokens are, which it cuts at the
+        line ends and no further; the tokens' sizes tell where each ends. Pieces that hold a line end go on their own."""
         alone = [b"\n" in p for p in pieces]
         rest = iter(self._ids([p.decode() for p, own in zip(pieces, alone, strict=True) if own]))
         many = [p for p, own in zip(pieces, alone, strict=True) if not own]
-        flat = b"".join(self._ids([b"\n".join(many[k : k + JOINED]).decode() for k in range(0, len(many), JOINED)], self.by_line))
+        flat = b"".join(self._ids([codecs.charmap_decode(b"\n".join(many[k : k + JOINED]), "strict", _SPELLED)[0] for k in range(0, len(many), JOINED)], self.by_line))
         ends = np.cumsum(self.size[np.frombuffer(flat, "<u4")])
         cuts = 4 * (np.searchsorted(ends, np.cumsum(list(map(len, many)))) + 1)
         found = iter([flat[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=False)])

@@ -131,3 +131,19 @@ def test_new_pieces_go_to_the_library_as_the_lines_of_one_text(monkeypatch):
     pieces = [x.encode() for x in ["abc", " zxqvwk", "\n", "é", "12", " ’", "'s", "  ", "\t", " \n\n", "\xa0", "!?", " a"] + [f" w{k}x" for k in range(50)]]
     want = [np.array(encoder.library.encode(p.decode(), add_special_tokens=False).ids, "<u4").tobytes() for p in pieces]
     assert encoder._new(pieces) == want and len(sent) == 3  # two hold a line end
+
+
+def test_new_pieces_go_to_the_library_spelled_as_tokens_are():
+    import json
+
+    from tokenizers import pre_tokenizers
+
+    alphabet = set(pre_tokenizers.ByteLevel.alphabet())
+    assert {c for c in token_files._SPELLED if c != "\n"} == alphabet - {"\u010a"} and len(set(token_files._SPELLED)) == 256
+    version, kind, data = tokens.tokenizer_version(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder = token_files.Encoder(kind, data)
+    assert json.loads(encoder.by_line.to_str())["pre_tokenizer"]["type"] == "CharDelimiterSplit"
+    texts = ["".join(chr(c) for c in range(0x250) if not tokens._UNSAFE.search(chr(c)))] + [f" {chr(a)}{chr(b)}x\u2013" for a in range(32, 127) for b in (10, 32, 39, 65, 0xE9, 0x24F)]
+    for text, ids in zip(texts, encoder.ids(texts), strict=True):
+        assert ids.tolist() == encoder.library.encode(text, add_special_tokens=False).ids, text
+    assert len(encoder.pieces) > token_files.JOINED
