@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkwarden.llm.common import _ROOT_INV, connected_components, forget, gram_hashes, mix, powers, prefix_sums, slices, span_hashes, sums_hashes, text_bytes, tidy, word_hashes, word_spans, written
+from sparkwarden.llm.common import _ROOT_INV, connected_components, delete, forget, gram_hashes, mix, powers, prefix_sums, slices, span_hashes, sums_hashes, text_bytes, tidy, word_hashes, word_spans, written
 
 PASSAGE, SHINGLE, SIMILARITY = 51, 5, 0.8
 #: Words of a key, and bands.
@@ -38,8 +38,8 @@ KEY, BANDS = 8, 3
 #: Words at the beginning or the end of a paragraph that one with another word has as well; so many paragraphs with the
 #: same are compared all with all, more go by their words but one. That decides what is faster, not what is found.
 HALF, FEW = PASSAGE // 2, 16
-#: Orders of the texts, of which each key has one.
-ORDERS = 2
+#: Orders of the texts, of which each key has one: by t with these bits turned round.
+ORDERS = (0, 0x2AAAAAAAAAAAAAAA)
 #: Paragraphs of a block that is verified at once; shingles of a paragraph and of a block.
 BLOCK = 256
 _EACH = PASSAGE - SHINGLE + 1
@@ -100,13 +100,22 @@ def unpacked(place):
     return place >> 32, (place >> 6) & 0x3FFFFFF, place & 63
 
 
+def _again(doc: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Which of the values (of texts in order) stand further ahead in the same text."""
+    order = np.lexsort((value, doc))  # stable, so equal ones stay in order
+    same = (doc[order][1:] == doc[order][:-1]) & (value[order][1:] == value[order][:-1])
+    out = np.zeros(len(doc), dtype=bool)
+    out[order[1:][same]] = True
+    return out
+
+
 def _lists(column: pa.Array) -> list[np.ndarray]:
     flat, size = column.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
     return np.split(flat, np.cumsum(size)[:-1])
 
 
 def _key_rows(length: int, bands: int):
-    """(t, text) to (key, t, place): a row for each run of paragraphs with one key."""
+    """(t, text) to (key, t, place, again): a row for each run of paragraphs with one key; again: the text has had the key before."""
 
     def run(batches):
         for b in batches:
@@ -128,7 +137,8 @@ def _key_rows(length: int, bands: int):
                     k = np.flatnonzero(since % (PASSAGE - length + 1) == 0)
                     size = np.diff(np.concatenate([k, [len(para)]]))
                     place = packed(para[k] - rows[doc[k]], size - 1, at[k] - para[k])
-                    yield pa.RecordBatch.from_arrays([pa.array(mix(key[k] + np.uint64(band)).view(np.int64)), pa.array(names[x + doc[k]]), pa.array(place)], names=["key", "t", "place"])
+                    named = mix(key[k] + np.uint64(band)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(named), pa.array(names[x + doc[k]]), pa.array(place), pa.array(_again(doc[k], named))], names=["key", "t", "place", "again"])
 
     return run
 
@@ -221,14 +231,14 @@ def _repeated_keys(rows: DataFrame) -> DataFrame:
     """The rows whose key more than one text has, with the first and the last such text in the key's order, and whether the
     row is neither of these two (`other`): what such a key has beyond the two goes to _rest().
 
-    There are ORDERS orders of texts, so the paragraphs of one passage meet other texts under other keys.
+    There are several orders of texts, so the paragraphs of one passage meet other texts under other keys.
     The ends are combined in the map tasks and written, so both sides of the join are plain shuffles and the rows of a
     key that very many texts have can be split among tasks.
     """
-    end = F.struct(F.xxhash64(F.pmod("key", F.lit(ORDERS)), "t").alias("h"), "t", "place")
-    ends = rows.groupBy("key").agg(F.min(end).alias("first"), F.max(end).alias("last")).where("first.t <> last.t")
-    ends = ends.select("key", *[F.col(f"{e}.{c}").alias(f"{c[0]}{k}") for k, e in ((1, "first"), (2, "last")) for c in ("t", "place")])
-    ends = written(ends, "paragraph-ends")
+    turned = lambda t: F.col(t).bitwiseXOR(F.element_at(F.array(*[F.lit(x).cast("long") for x in ORDERS]), (F.pmod("key", F.lit(len(ORDERS))) + 1).cast("int")))
+    ends = rows.where(~F.col("again")).withColumn("h", turned("t")).groupBy("key")  # numbers only, so they are hashed and not sorted
+    ends = ends.agg(F.min("h").alias("h1"), F.min_by("place", "h").alias("p1"), F.max("h").alias("h2"), F.max_by("place", "h").alias("p2")).where("h1 <> h2")
+    ends = written(ends.select("key", turned("h1").alias("t1"), "p1", turned("h2").alias("t2"), "p2"), "paragraph-ends")
     tidy(ends)
     is_end = [(F.col("t") == F.col(f"t{k}")) & (F.col("place") == F.col(f"p{k}")) for k in (1, 2)]
     return rows.join(ends, "key").select("key", "t", "place", "t1", "t2", (~(is_end[0] | is_end[1])).alias("other"))
@@ -267,36 +277,38 @@ def _listed(batches):
                 yield names[k], lists[k], words[rows[k - x] : rows[k - x + 1]]
 
 
-_EVERY = "whole long, left long, right long, t long, at int"
+_EVERY = "whole long, left long, right long, t long, at int, again boolean"
 
 
 def _every_paragraph(batches):
-    """(t, text, places) to a row for each paragraph there, with the hashes of all, the first HALF and the last HALF of its words."""
+    """(t, text, places) to a row for each paragraph there, with the hashes of all, the first HALF and the last HALF of its words, and whether the text has had it before."""
     for t, places, words in _listed(batches):
         at = np.flatnonzero(_inside(len(words) - PASSAGE + 1, places))
         sums = prefix_sums(words)
         made = [sums_hashes(sums, at + a, at + b).view(np.int64) for a, b in ((0, PASSAGE), (0, HALF), (PASSAGE - HALF, PASSAGE))]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, made), pa.array(np.full(len(at), t)), pa.array(at.astype(np.int32))], names=[c.split()[0] for c in _EVERY.split(", ")])
+        again = _again(np.zeros(len(at), np.int8), made[0])
+        yield pa.RecordBatch.from_arrays([*map(pa.array, made), pa.array(np.full(len(at), t)), pa.array(at.astype(np.int32)), pa.array(again)], names=[c.split()[0] for c in _EVERY.split(", ")])
 
 
 #: The words that may be another one beside an equal first or last half, so that the paragraph begins and ends with a shingle of
 #: the other. The word at the far end is left out for the paragraphs that have a word more inside.
 _GAPS = (np.array([*range(HALF, PASSAGE - SHINGLE), PASSAGE - 1]), np.array([0, *range(SHINGLE, PASSAGE - HALF)]))
-_BUT_ONE = "words long, gap int, t long, at int"
+_BUT_ONE = "words long, gap int, t long, at int, copied boolean"
 
 
 def _but_one(batches):
-    """(t, text, paragraphs: twice their place, and 1 if the last half is what others have) to the hashes of all words but one."""
+    """(t, text, paragraphs: four times their place, and 2 if other texts have the same, and 1 if the last half is what others have) to the hashes of all words but one."""
     for t, asked, words in _listed(batches):
         sums, back = prefix_sums(words), powers(_ROOT_INV, len(words) + 1)
         for part in range(0, len(asked), 1 << 14):
             mine = asked[part : part + (1 << 14)]
             for side, gaps in enumerate(_GAPS):
-                at = (mine[mine % 2 == side] // 2)[:, None]
+                its = mine[mine % 2 == side]
+                at = (its // 4)[:, None]
                 if not len(at):
                     continue
                 value = (sums[at + gaps] - sums[at]) * back[at] + (sums[at + PASSAGE] - sums[at + gaps + 1]) * back[at + 1]
-                columns = [mix(value).ravel().view(np.int64), np.tile(gaps, len(at)).astype(np.int32), np.full(value.size, t), np.repeat(at.ravel(), len(gaps)).astype(np.int32)]
+                columns = [mix(value).ravel().view(np.int64), np.tile(gaps, len(at)).astype(np.int32), np.full(value.size, t), np.repeat(at.ravel(), len(gaps)).astype(np.int32), np.repeat(its // 2 % 2 == 1, len(gaps))]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=[c.split()[0] for c in _BUT_ONE.split(", ")])
 
 
@@ -328,11 +340,14 @@ def _rest(texts: DataFrame, cand: DataFrame) -> DataFrame:
     keys = cand.where("other").select("key").distinct()
     places = cand.join(keys, "key", "left_semi").select("t", "place").distinct().groupBy("t").agg(F.collect_list("place").alias("places"))
     every = written(texts.join(places, "t").select("t", "text", "places").mapInArrow(_every_paragraph, _EVERY), "paragraph-every")
-    one = every.groupBy("whole").agg(F.min(F.struct("t", "at", "left", "right")).alias("a"), F.max(F.struct("t", "at")).alias("z"), F.count("*").alias("n"))
-    one = written(one.select("whole", "a", F.when(F.col("z.t") != F.col("a.t"), F.col("z")).alias("z")), "paragraph-one")
+    one = every.where(~F.col("again")).groupBy("whole").agg(*[F.min(c).alias(c) for c in ("left", "right", "t")], F.min_by("at", "t").alias("at"), F.max("t").alias("tz"), F.max_by("at", "t").alias("az"))
+    one = one.select("whole", F.struct("t", "at", "left", "right").alias("a"), F.when(F.col("tz") != F.col("t"), F.struct(F.col("tz").alias("t"), F.col("az").alias("at"))).alias("z"))
+    one = written(one, "paragraph-one")
     tidy(one)
     equal = every.join(one.where("z is not null").select("whole", F.struct("a.t", "a.at").alias("e")), "whole")
-    pairs, edge = [_aligned(_against(equal, "e"))], SHINGLE
+    same = written(_aligned(_against(equal, "e")), "paragraph-same")
+    forget(every)
+    pairs, edge = [same], SHINGLE
 
     many, halves = [], []
     for side, half in enumerate(("left", "right")):
@@ -342,16 +357,21 @@ def _rest(texts: DataFrame, cand: DataFrame) -> DataFrame:
         rows = rows.join(counts, "half")
         few = rows.where(F.col("n") <= FEW).groupBy("half").agg(F.collect_list(F.struct("a", "z")).alias("all"))
         few = few.select("all", F.posexplode("all").alias("k", "x")).select("x", F.explode(F.slice("all", F.col("k") + 2, F.size("all"))).alias("y"))
-        met = lambda p, q: F.struct(p["t"].alias("t"), p["at"].alias("at"), q["t"].alias("rep"), q["at"].alias("ra"))
+        link = lambda p, q: F.struct(p["t"].alias("t"), p["at"].alias("at"), q["t"].alias("rep"), q["at"].alias("ra"))
         x, y = F.col("x"), F.col("y")
-        links = F.when(x["a"]["t"] != y["a"]["t"], F.array(met(x["a"], y["a"]))).otherwise(F.array(met(x["a"], y["z"]), met(y["a"], x["z"])))
+        links = F.when(x["a"]["t"] != y["a"]["t"], F.array(link(x["a"], y["a"]))).otherwise(F.array(link(x["a"], y["z"]), link(y["a"], x["z"])))
         pairs.append(_aligned(_both_ways(few.select(F.explode(links).alias("l")).select("l.*").where("rep is not null")), edge))
-        more = rows.where(F.col("n") > FEW).select(F.explode(F.array_compact(F.array("a", "z"))).alias("p"))
-        many.append(more.select("p.t", (F.col("p.at") * 2 + side).alias("asked")))
+        many.append(rows.where(F.col("n") > FEW).select("a.t", (F.col("a.at") * 4 + F.col("z").isNotNull().cast("int") * 2 + side).alias("asked")))
     asked = _union(many).groupBy("t").agg(F.collect_list("asked").alias("asked"))
     short = written(texts.join(asked, "t").select("t", "text", "asked").mapInArrow(_but_one, _BUT_ONE), "paragraph-words")
-    shared = short.join(short.groupBy("words").agg(F.min("t").alias("a"), F.max("t").alias("z")).where("a <> z").select("words"), "words", "left_semi")
-    shared = written(shared, "paragraph-shared")
+    # each paragraph is there once, by its first place; those that have all words but one in common with another one, in another text, are then added by their last text too
+    place = F.xxhash64("t", "at")
+    alike = short.groupBy("words").agg(F.min(place).alias("a"), F.max(place).alias("z"), F.min("t").alias("ta"), F.max("t").alias("tz"), F.max("copied").alias("copied")).where("a <> z and (ta <> tz or copied)")
+    met = written(short.drop("copied").join(alike.select("words"), "words", "left_semi"), "paragraph-met")
+    forget(short)
+    last = one.where("z is not null").select(F.col("a.t").alias("t"), F.col("a.at").alias("at"), "z")
+    shared = written(met.unionByName(met.join(last, ["t", "at"]).select("words", "gap", "z.t", "z.at")), "paragraph-shared")
+    delete(met)
     plain, place = F.col("gap").isin(0, PASSAGE - 1), F.struct("t", "at")
     changed = shared.where(~plain).groupBy("words", "gap").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a.t <> z.t")
     added = shared.groupBy("words").agg(*[f(F.when(c, place)).alias(f"{n}{m}") for n, f in (("a", F.min), ("z", F.max)) for m, c in ((0, plain), (1, ~plain))]).where("a0 is not null and a1 is not null")
@@ -359,7 +379,7 @@ def _rest(texts: DataFrame, cand: DataFrame) -> DataFrame:
     for rows in (shared.join(changed, ["words", "gap"]), added):
         pairs.append(_aligned(_both_ways(_against(rows, "a", "z")), edge))
     found = written(_union(pairs).distinct(), "paragraph-rest")
-    forget(every, one, *halves, short, shared)
+    forget(one, *halves, same, shared)
     return found
 
 
@@ -385,7 +405,7 @@ def _spans(links: DataFrame) -> DataFrame:
 
 def matches(slim: DataFrame, copied: DataFrame, similarity: float) -> tuple[list[DataFrame], DataFrame]:
     """(t, lo, hi, rep, rep_lo, rep_hi) of what is compared by key and of the rest, and (t, text) of the texts that are copied or had a candidate."""
-    rows = written(slim.mapInArrow(_key_rows(KEY, BANDS), "key long, t long, place long"), "paragraph-keys")
+    rows = written(slim.mapInArrow(_key_rows(KEY, BANDS), "key long, t long, place long, again boolean"), "paragraph-keys")
     tidy(rows)
     cand = written(_repeated_keys(rows), "paragraph-candidates")
     forget(rows)

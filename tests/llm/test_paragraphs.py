@@ -234,3 +234,23 @@ def test_copies_around_an_original(spark):
             rows.append((9 * c + j, " ".join(some() + t + some())))
     found = {r.doc_id for r in P.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum(d % 9 == 0 for d in found) == 40 and sum(d % 9 > 0 for d in found) >= 0.9 * 320
+
+
+def test_a_paragraph_that_several_texts_have_is_looked_at_once(spark, monkeypatch):
+    rng, seen, real = random.Random(5), [], P.written
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base = [word() for _ in range(P.PASSAGE)]
+    variants = [[*base[:45], f"v{k}", *base[46:]] for k in range(20)]
+    docs = [(2 * k + n, " ".join([word() for _ in range(9)] + v + [word() for _ in range(9)])) for k, v in enumerate(variants) for n in range(2)]
+
+    def spy(df, what):
+        out = real(df, what)
+        if what == "paragraph-words":
+            seen.append(max(r["count"] for r in out.groupBy("words", "gap").count().collect()))
+        return out
+
+    monkeypatch.setattr(P, "written", spy)
+    got = P.repeated_paragraphs(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == list(range(40)) and len({r.group_id for r in got}) == 1
+    assert seen == [20]  # not 40: one for each of the twenty, by the first text that has it
+    assert P._again(np.array([0, 0, 0, 1, 1]), np.array([7, 8, 7, 7, 7])).tolist() == [False, False, True, False, True]
