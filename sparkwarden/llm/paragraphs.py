@@ -337,9 +337,11 @@ def _rest(texts: DataFrame, cand: DataFrame) -> DataFrame:
     A paragraph that several texts have stands for all of them, by the first and the last of them: equal ones are linked with the
     first. Of those that are unlike, two of one text do not count, so then the other's last text is met.
     """
+    tidy(cand)  # what verified the pairs of keys
     keys = cand.where("other").select("key").distinct()
     places = cand.join(keys, "key", "left_semi").select("t", "place").distinct().groupBy("t").agg(F.collect_list("place").alias("places"))
     every = written(texts.join(places, "t").select("t", "text", "places").mapInArrow(_every_paragraph, _EVERY), "paragraph-every")
+    tidy(every)
     one = every.where(~F.col("again")).groupBy("whole").agg(*[F.min(c).alias(c) for c in ("left", "right", "t")], F.min_by("at", "t").alias("at"), F.max("t").alias("tz"), F.max_by("at", "t").alias("az"))
     one = one.select("whole", F.struct("t", "at", "left", "right").alias("a"), F.when(F.col("tz") != F.col("t"), F.struct(F.col("tz").alias("t"), F.col("az").alias("at"))).alias("z"))
     one = written(one, "paragraph-one")
