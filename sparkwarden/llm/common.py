@@ -40,6 +40,17 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
+def written_once(df: DataFrame, what: str) -> DataFrame:
+    """written(), and Spark drops the shuffle files of df when it is there and not some time later; nothing may be left of df that is read again but its sources."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, "false")
+    conf.set(name, "true")
+    try:
+        return written(df, what)
+    finally:
+        conf.set(name, before)
+
+
 def forget(*tables: DataFrame | None) -> None:
     """Deletes tables made by written() that nothing will read again, and tidies up."""
     known = [t for t in tables if t is not None]

@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkwarden.llm.common import _ROOT_INV, connected_components, delete, forget, gram_hashes, mix, powers, prefix_sums, slices, span_hashes, sums_hashes, text_bytes, tidy, word_hashes, word_spans, written
+from sparkwarden.llm.common import _ROOT_INV, connected_components, delete, gram_hashes, mix, powers, prefix_sums, slices, span_hashes, sums_hashes, text_bytes, word_hashes, word_spans
+from sparkwarden.llm.common import written_once as written
 
 PASSAGE, SHINGLE, SIMILARITY = 51, 5, 0.8
 #: Words of a key, and bands.
@@ -204,8 +205,21 @@ def shift(similarity: float) -> int:
 _LINKS = "t long, lo int, hi int, rep long, rep_lo int, rep_hi int"
 
 
-def _verify(similarity: float):
-    """(t, start, rep, rep_start, sa, sb) to the spans of words that are alike in both, ends exclusive."""
+def _alike_spans(a: np.ndarray, b: np.ndarray, similarity: float) -> list[np.ndarray]:
+    """The rows of two blocks and the first and last shingles, there and in the other block, of the paragraphs in a row of `a` that are alike."""
+    good = np.zeros((len(a), BLOCK + 2), dtype=np.int8)
+    good[:, 1:-1], partner = alike(a, b, similarity)
+    step = np.diff(good, axis=1)
+    row, lo = np.nonzero(step == 1)
+    last = np.nonzero(step == -1)[1] - 1 + _EACH - 1  # the last shingle of the last paragraph
+    return [x.astype(np.int64) for x in (row, lo, last, partner[row, lo], partner[row, last])]
+
+
+def _verify(similarity: float, both_ways: bool):
+    """(t, start, rep, rep_start, sa, sb) to the spans of words that are alike in both, ends exclusive.
+
+    both_ways: paragraphs of t that begin and end with shingles of rep, and those of rep that do so with t's; the same spans once.
+    """
 
     def run(batches):
         for b in batches:
@@ -213,12 +227,16 @@ def _verify(similarity: float):
                 part = b.slice(k, 2048)
                 t, start, rep, rep_start = (part.column(c).to_numpy(zero_copy_only=False) for c in range(4))
                 sa, sb = (np.frombuffer(b"".join(part.column(c).to_pylist()), dtype=np.uint32).reshape(-1, _SPAN) for c in (4, 5))
-                good = np.zeros((len(t), BLOCK + 2), dtype=np.int8)
-                good[:, 1:-1], partner = alike(sa, sb, similarity)
-                step = np.diff(good, axis=1)
-                row, lo = np.nonzero(step == 1)
-                last = np.nonzero(step == -1)[1] - 1 + _EACH - 1  # the last shingle of the last paragraph
-                columns = [t[row], start[row] + lo, start[row] + last + SHINGLE, rep[row], rep_start[row] + partner[row, lo], rep_start[row] + partner[row, last] + SHINGLE]
+                row, *spans = _alike_spans(sa, sb, similarity)
+                if both_ways:
+                    row_b, *spans_b = _alike_spans(sb, sa, similarity)
+                    packed_spans = np.concatenate([row, row_b]) << 40
+                    for n, m in enumerate((2, 3, 0, 1)):  # of rep first
+                        packed_spans |= np.concatenate([spans[n], spans_b[m]]) << 10 * n
+                    packed_spans = np.unique(packed_spans)
+                    row, *spans = packed_spans >> 40, *((packed_spans >> 10 * n) & 1023 for n in range(4))
+                lo, last, rep_lo, rep_last = spans
+                columns = [t[row], start[row] + lo, start[row] + last + SHINGLE, rep[row], rep_start[row] + rep_lo, rep_start[row] + rep_last + SHINGLE]
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64 if n in (0, 3) else np.int32)) for n, c in enumerate(columns)], names=[c.split()[0] for c in _LINKS.split(", ")])
 
     return run
@@ -239,7 +257,6 @@ def _repeated_keys(rows: DataFrame) -> DataFrame:
     ends = rows.where(~F.col("again")).withColumn("h", turned("t")).groupBy("key")  # numbers only, so they are hashed and not sorted
     ends = ends.agg(F.min("h").alias("h1"), F.min_by("place", "h").alias("p1"), F.max("h").alias("h2"), F.max_by("place", "h").alias("p2")).where("h1 <> h2")
     ends = written(ends.select("key", turned("h1").alias("t1"), "p1", turned("h2").alias("t2"), "p2"), "paragraph-ends")
-    tidy(ends)
     is_end = [(F.col("t") == F.col(f"t{k}")) & (F.col("place") == F.col(f"p{k}")) for k in (1, 2)]
     return rows.join(ends, "key").select("key", "t", "place", "t1", "t2", (~(is_end[0] | is_end[1])).alias("other"))
 
@@ -320,8 +337,10 @@ def _aligned(rows: DataFrame, edge: int = 0) -> DataFrame:
     return rows.select("t", start.alias("start"), "rep", (start + F.col("ra") - F.col("at")).cast("int").alias("rep_start")).distinct()
 
 
-def _both_ways(rows: DataFrame) -> DataFrame:
-    return rows.unionByName(rows.select(F.col("rep").alias("t"), F.col("ra").alias("at"), F.col("t").alias("rep"), F.col("at").alias("ra")))
+def _later_first(rows: DataFrame) -> DataFrame:
+    """Each pair once, as (t, at) and (rep, ra) of an earlier text: _verify() looks at both ways."""
+    later = F.col("t") > F.col("rep")
+    return rows.select(*[F.when(later, F.col(x)).otherwise(F.col(y)).alias(n) for n, x, y in (("t", "t", "rep"), ("at", "at", "ra"), ("rep", "rep", "t"), ("ra", "ra", "at"))])
 
 
 def _against(rows: DataFrame, *ends: str) -> DataFrame:
@@ -337,41 +356,35 @@ def _rest(texts: DataFrame, cand: DataFrame) -> DataFrame:
     A paragraph that several texts have stands for all of them, by the first and the last of them: equal ones are linked with the
     first. Of those that are unlike, two of one text do not count, so then the other's last text is met.
     """
-    tidy(cand)  # what verified the pairs of keys
     keys = cand.where("other").select("key").distinct()
     places = cand.join(keys, "key", "left_semi").select("t", "place").distinct().groupBy("t").agg(F.collect_list("place").alias("places"))
     every = written(texts.join(places, "t").select("t", "text", "places").mapInArrow(_every_paragraph, _EVERY), "paragraph-every")
-    tidy(every)
     one = every.where(~F.col("again")).groupBy("whole").agg(*[F.min(c).alias(c) for c in ("left", "right", "t")], F.min_by("at", "t").alias("at"), F.max("t").alias("tz"), F.max_by("at", "t").alias("az"))
-    one = one.select("whole", F.struct("t", "at", "left", "right").alias("a"), F.when(F.col("tz") != F.col("t"), F.struct(F.col("tz").alias("t"), F.col("az").alias("at"))).alias("z"))
-    one = written(one, "paragraph-one")
-    tidy(one)
-    equal = every.join(one.where("z is not null").select("whole", F.struct("a.t", "a.at").alias("e")), "whole")
+    z = F.when(F.col("tz") != F.col("t"), F.struct(F.col("tz").alias("t"), F.col("az").alias("at")))
+    one = written(one.select("whole", "t", "at", "left", "right", z.alias("z")), "paragraph-one")
+    equal = every.join(one.where("z is not null").select("whole", F.struct("t", "at").alias("e")), "whole")
     same = written(_aligned(_against(equal, "e")), "paragraph-same")
-    forget(every)
+    delete(every)
     pairs, edge = [same], SHINGLE
 
-    many, halves = [], []
-    for side, half in enumerate(("left", "right")):
-        rows = one.select(F.col(f"a.{half}").alias("half"), F.struct("a.t", "a.at").alias("a"), "z")
-        counts = written(rows.groupBy("half").agg(F.count("*").alias("n")).where("n > 1"), "paragraph-halves")
-        halves.append(counts)
-        rows = rows.join(counts, "half")
-        few = rows.where(F.col("n") <= FEW).groupBy("half").agg(F.collect_list(F.struct("a", "z")).alias("all"))
-        few = few.select("all", F.posexplode("all").alias("k", "x")).select("x", F.explode(F.slice("all", F.col("k") + 2, F.size("all"))).alias("y"))
-        link = lambda p, q: F.struct(p["t"].alias("t"), p["at"].alias("at"), q["t"].alias("rep"), q["at"].alias("ra"))
-        x, y = F.col("x"), F.col("y")
-        links = F.when(x["a"]["t"] != y["a"]["t"], F.array(link(x["a"], y["a"]))).otherwise(F.array(link(x["a"], y["z"]), link(y["a"], x["z"])))
-        pairs.append(_aligned(_both_ways(few.select(F.explode(links).alias("l")).select("l.*").where("rep is not null")), edge))
-        many.append(rows.where(F.col("n") > FEW).select("a.t", (F.col("a.at") * 4 + F.col("z").isNotNull().cast("int") * 2 + side).alias("asked")))
-    asked = _union(many).groupBy("t").agg(F.collect_list("asked").alias("asked"))
+    sides = _union([one.select(F.lit(side).alias("side"), F.col(half).alias("half"), "t", "at", "z") for side, half in enumerate(("left", "right"))])
+    counts = written(sides.groupBy("side", "half").agg(F.count("*").alias("n")).where("n > 1"), "paragraph-halves")
+    beside = written(sides.join(counts, ["side", "half"]), "paragraph-beside")  # the few that have a half in common with another
+    delete(counts)
+    few = beside.where(F.col("n") <= FEW).select("side", "half", F.struct("t", "at").alias("a"), "z")
+    link = lambda p, q: F.struct(F.col(f"{p}.t").alias("t"), F.col(f"{p}.at").alias("at"), F.col(f"{q}.t").alias("rep"), F.col(f"{q}.at").alias("ra"))
+    met = few.join(few.withColumnsRenamed({"a": "b", "z": "y"}), ["side", "half"]).where("a < b")
+    links = F.when(F.col("a.t") != F.col("b.t"), F.array(link("a", "b"))).otherwise(F.array(link("a", "y"), link("b", "z")))
+    pairs.append(_aligned(_later_first(met.select(F.explode(links).alias("l")).select("l.*").where("rep is not null")), edge))
+    many = beside.where(F.col("n") > FEW).select("t", (F.col("at") * 4 + F.col("z").isNotNull().cast("int") * 2 + F.col("side")).alias("asked"))
+    asked = many.groupBy("t").agg(F.collect_list("asked").alias("asked"))
     short = written(texts.join(asked, "t").select("t", "text", "asked").mapInArrow(_but_one, _BUT_ONE), "paragraph-words")
     # each paragraph is there once, by its first place; those that have all words but one in common with another one, in another text, are then added by their last text too
     place = F.xxhash64("t", "at")
     alike = short.groupBy("words").agg(F.min(place).alias("a"), F.max(place).alias("z"), F.min("t").alias("ta"), F.max("t").alias("tz"), F.max("copied").alias("copied")).where("a <> z and (ta <> tz or copied)")
     met = written(short.drop("copied").join(alike.select("words"), "words", "left_semi"), "paragraph-met")
-    forget(short)
-    last = one.where("z is not null").select(F.col("a.t").alias("t"), F.col("a.at").alias("at"), "z")
+    delete(short)
+    last = one.where("z is not null").select("t", "at", "z")
     shared = written(met.unionByName(met.join(last, ["t", "at"]).select("words", "gap", "z.t", "z.at")), "paragraph-shared")
     delete(met)
     plain, place = F.col("gap").isin(0, PASSAGE - 1), F.struct("t", "at")
@@ -379,24 +392,23 @@ def _rest(texts: DataFrame, cand: DataFrame) -> DataFrame:
     added = shared.groupBy("words").agg(*[f(F.when(c, place)).alias(f"{n}{m}") for n, f in (("a", F.min), ("z", F.max)) for m, c in ((0, plain), (1, ~plain))]).where("a0 is not null and a1 is not null")
     added = shared.join(added, "words").withColumns({e: F.when(plain, F.col(f"{e}1")).otherwise(F.col(f"{e}0")) for e in "az"})
     for rows in (shared.join(changed, ["words", "gap"]), added):
-        pairs.append(_aligned(_both_ways(_against(rows, "a", "z")), edge))
+        pairs.append(_aligned(_later_first(_against(rows, "a", "z")), edge))
     found = written(_union(pairs).distinct(), "paragraph-rest")
-    forget(one, *halves, same, shared)
+    delete(one, beside, same, shared)
     return found
 
 
-def _links(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+def _links(texts: DataFrame, pairs: DataFrame, similarity: float, both_ways: bool = False) -> DataFrame:
     """The verified spans of pairs of blocks."""
     asked = pairs.select("t", "start").unionByName(pairs.select(F.col("rep").alias("t"), F.col("rep_start").alias("start")))
     asked = asked.distinct().groupBy("t").agg(F.collect_list("start").alias("starts"))
     pieces = written(texts.join(asked, "t").select("t", "text", "starts").mapInArrow(_pieces, "t long, start int, shingles binary"), "paragraph-pieces")
-    tidy(pieces)
     left = pieces.withColumnRenamed("shingles", "sa")
     right = pieces.select(F.col("t").alias("rep"), F.col("start").alias("rep_start"), F.col("shingles").alias("sb"))
     # the side that many texts share joins first, while the pairs are narrow; then each block meets its few partners
     both = pairs.join(right, ["rep", "rep_start"]).join(left, ["t", "start"]).select("t", "start", "rep", "rep_start", "sa", "sb")
-    links = written(both.mapInArrow(_verify(similarity), _LINKS), "paragraph-links")
-    forget(pairs, pieces)
+    links = written(both.mapInArrow(_verify(similarity, both_ways), _LINKS), "paragraph-links")
+    delete(pairs, pieces)
     return links
 
 
@@ -408,16 +420,14 @@ def _spans(links: DataFrame) -> DataFrame:
 def matches(slim: DataFrame, copied: DataFrame, similarity: float) -> tuple[list[DataFrame], DataFrame]:
     """(t, lo, hi, rep, rep_lo, rep_hi) of what is compared by key and of the rest, and (t, text) of the texts that are copied or had a candidate."""
     rows = written(slim.mapInArrow(_key_rows(KEY, BANDS), "key long, t long, place long, again boolean"), "paragraph-keys")
-    tidy(rows)
     cand = written(_repeated_keys(rows), "paragraph-candidates")
-    forget(rows)
+    delete(rows)
     wanted = cand.select("t").unionByName(copied.select("t")).distinct()
     texts = written(slim.groupBy("t").agg(F.first("text").alias("text")).join(wanted, "t"), "paragraph-texts")
-    tidy(texts)
     links = [_links(texts, written(_pairs(cand), "paragraph-pairs"), similarity)]
     rest = _rest(texts, cand)
-    forget(cand)
-    return [*links, _links(texts, rest, similarity)], texts
+    delete(cand)
+    return [*links, _links(texts, rest, similarity, both_ways=True)], texts
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -504,7 +514,7 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, id_col:
     places = texts.join(marked, "t").select("t", "text", "copied", "lo", "hi", "cut_lo", "cut_hi").mapInArrow(_passages, _OUT).withColumn("node", node("t", F.col("node_place")))
     places = places.join(roots.withColumnRenamed("root", "group"), "node", "left").withColumn("group", F.coalesce("group", "node")).drop("node", "node_place")
     places = written(places, "paragraph-places")
-    forget(texts, spans, marked, *rounds)
+    delete(texts, spans, marked, *rounds)
 
     whole = F.array(F.struct("start_byte", "end_byte"))
     out = keyed.select("id", "t").join(places, "t").join(copied, "t", "left")
