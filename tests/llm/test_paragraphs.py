@@ -1,9 +1,11 @@
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkwarden.llm import paragraphs as P
 from sparkwarden.llm.common import mix, word_hashes
@@ -254,3 +256,18 @@ def test_a_paragraph_that_several_texts_have_is_looked_at_once(spark, monkeypatc
     assert sorted(r.doc_id for r in got) == list(range(40)) and len({r.group_id for r in got}) == 1
     assert seen == [20]  # not 40: one for each of the twenty, by the first text that has it
     assert P._again(np.array([0, 0, 0, 1, 1]), np.array([7, 8, 7, 7, 7])).tolist() == [False, False, True, False, True]
+
+
+def test_shuffle_files_go_with_the_step_that_made_them(spark):
+    disk, name = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return {f for f in (files.apply(k).getName() for k in range(files.size())) if f.startswith("shuffle_")}
+
+    before, kept = shuffled(), spark.conf.get(name)
+    assert len(P.written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "test").collect()) == 7
+    until = time.time() + 10
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffled() - before and spark.conf.get(name) == kept
